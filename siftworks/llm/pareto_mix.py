@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .common import cut
+
 WEIGHTS = (5.0, 2.0, 1.0)
 MAX_COPIES = 3
 BUCKETS = 4096
@@ -22,12 +24,7 @@ WORDS = r"[^\x20\x09-\x0D]+"
 
 def word_count(text):
     """Number of runs of other characters than ASCII white space; null: 0."""
-    return F.coalesce(F.size(F.regexp_extract_all(text, F.lit(WORDS), F.lit(0))), F.lit(0)).cast("bigint")
-
-
-def _n_words(text):
-    # The same count without an array of all words: word starts are what is left when all else is removed.
-    return F.coalesce(F.length(F.regexp_replace(F.regexp_replace(text, WORDS, "w"), r"[\x20\x09-\x0D]+", "")), F.lit(0)).cast("bigint")
+    return F.coalesce(F.regexp_count(text, F.lit(WORDS)), F.lit(0)).cast("bigint")
 
 
 def targets(sizes: DataFrame, weights=WEIGHTS, max_copies: int = MAX_COPIES) -> DataFrame:
@@ -58,9 +55,9 @@ def uniform(*cols, seed: int = SEED):
 
 def plan(docs: DataFrame, seed: int = SEED) -> DataFrame:
     """(doc_id, text_hash, size, source_size, target, copies) for each row of docs (doc_id, source, text)."""
-    size = _n_words(F.col("text"))
+    size = word_count(F.col("text"))
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "source", size.alias("size"), F.xxhash64("text").alias("text_hash"))
-    rows = rows.withColumn("u", uniform("doc_id", "text_hash", seed=seed))
+    rows = cut(rows.withColumn("u", uniform("doc_id", "text_hash", seed=seed)))  # numbers only: texts are read once
     aim = targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")))
     ratio = F.coalesce(F.try_divide(F.col("target"), F.col("source_size")), F.lit(0.0))
     # Copies that floating point leaves a hair below a whole number are whole.
