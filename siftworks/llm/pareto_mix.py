@@ -100,9 +100,10 @@ def mix(docs: DataFrame) -> DataFrame:
 
     Documents without words stay once: they have no words to weigh and are not the mix's to drop.
     """
-    planned = plan(docs.select("doc_id", "source", "text")).groupBy("doc_id", "text_hash").agg(F.sum("copies").alias("_copies"), F.max("size").alias("_size"), F.count("*").alias("_rows"))
-    planned = planned.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "_copies", "_size", "_rows")
-    hashed = docs.withColumn("_own", F.xxhash64("text"))
-    joined = hashed.join(planned, hashed.doc_id.cast("bigint").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_hash")))
-    times = F.when(F.col("_size") == 0, 1).otherwise(F.ceil(F.col("_copies") / F.col("_rows"))).cast("int")
-    return joined.withColumn("_times", F.explode(F.array_repeat(F.lit(0), times))).select(*(hashed[c] for c in docs.columns))
+    planned = plan(docs.select("doc_id", "source", "text")).groupBy("doc_id", "text_hash").agg(F.sum("copies").alias("copies"), F.max("size").alias("size"), F.count("*").alias("rows"))
+    # Rows that repeat id and text share their copies evenly, the rounding going up.
+    times = F.when(F.col("size") == 0, 1).otherwise(F.ceil(F.col("copies") / F.col("rows"))).cast("int")
+    planned = planned.select(F.col("doc_id").alias("_sw_id"), F.col("text_hash").alias("_sw_hash"), times.alias("_sw_times"))
+    same = docs.doc_id.cast("bigint").eqNullSafe(F.col("_sw_id")) & (F.xxhash64(docs.text) == F.col("_sw_hash"))
+    joined = docs.join(planned, same)
+    return joined.withColumn("_sw_copy", F.explode(F.array_repeat(F.lit(0), F.col("_sw_times")))).select(*(docs[c] for c in docs.columns))

@@ -186,7 +186,7 @@ def keep_representatives(docs: DataFrame) -> DataFrame:
     through, as a class cannot name them.
     """
     classes = near_duplicates(docs.select("doc_id", "text"), with_hash=True)
-    first = classes.where("doc_id = component_id").groupBy(F.col("doc_id").alias("_id")).agg(F.min("text_hash").alias("_first"))
-    hashed = docs.withColumn("_hash", F.xxhash64("text"))
-    kept = hashed.join(first, (hashed.doc_id == F.col("_id")) & (F.col("_hash") == F.col("_first")), "left_semi").dropDuplicates(["doc_id", "_hash"])
-    return kept.drop("_hash").unionByName(docs.where("doc_id is null"))
+    first = classes.where("doc_id = component_id").groupBy(F.col("doc_id").alias("_sw_id")).agg(F.min("text_hash").alias("_sw_first"))
+    hashed = docs.withColumn("_sw_hash", F.xxhash64("text"))
+    kept = hashed.join(first, (hashed.doc_id == F.col("_sw_id")) & (F.col("_sw_hash") == F.col("_sw_first")), "left_semi").dropDuplicates(["doc_id", "_sw_hash"])
+    return kept.drop("_sw_hash").unionByName(docs.where("doc_id is null"))
