@@ -77,11 +77,20 @@ def plan(docs: DataFrame, seed: int = SEED) -> DataFrame:
     edge = edge.withColumnRenamed("source", "_source")
     x = x.join(edge, x.source.eqNullSafe(F.col("_source")), "left").drop("_source")
     sure = x.where("bucket is null or edge is null or bucket <> edge").withColumn("extra", F.coalesce(F.col("bucket") < F.col("edge"), F.lit(False)))
-    order = W.partitionBy("source").orderBy("rank", "doc_id", "text_hash").rowsBetween(W.unboundedPreceding, -1)
-    last = x.where("bucket = edge").withColumn("ahead", F.col("before") + F.coalesce(F.sum("size").over(order), F.lit(0)))
-    # A document is in if that brings the sum nearer to the rest than leaving it out.
-    last = last.withColumn("extra", F.col("ahead") + F.col("size") / 2 <= F.col("rest")).drop("ahead")
-    out = sure.unionByName(last)
+    order = W.partitionBy("source").orderBy("rank", "doc_id", "text_hash")
+    last = x.where("bucket = edge").withColumn("reach", F.col("before") + F.sum("size").over(order.rowsBetween(W.unboundedPreceding, 0)))
+    last = last.withColumn("extra", F.col("reach") <= F.col("rest")).drop("reach")
+    out = cut(sure.unionByName(last).drop("u", "bucket", "edge", "before"))
+    # The first document that does not fit leaves a gap; the one of the rest whose size is nearest to it, or none, closes it.
+    taken = out.where("extra").groupBy("source").agg(F.sum("size").alias("got"))
+    gap = out.groupBy("source").agg(F.max("rest").alias("rest")).join(taken.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source")), "left")
+    gap = gap.select(F.col("source").alias("_source"), (F.col("rest") - F.coalesce("got", F.lit(0))).alias("gap"))
+    free = out.where("not extra and rank is not null and size > 0").join(gap, out.source.eqNullSafe(F.col("_source"))).where("size <= 2 * gap").drop("_source")
+    near = F.struct(F.abs(F.col("size") - F.col("gap")).alias("off"), "rank", "doc_id", "text_hash")
+    pick = free.groupBy("source").agg(F.min(near).alias("pick")).select(F.col("source").alias("_source"), F.col("pick.doc_id").alias("_doc"), F.col("pick.text_hash").alias("_hash"))
+    out = out.join(pick, out.source.eqNullSafe(F.col("_source")), "left")
+    picked = F.col("_hash").isNotNull() & F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("text_hash") == F.col("_hash"))
+    out = out.withColumn("extra", F.col("extra") | (F.coalesce(picked, F.lit(False)) & F.col("rank").isNotNull()))
     copies = F.least(F.col("whole") + F.col("extra").cast("bigint"), F.lit(MAX_COPIES))
     return out.select("doc_id", "text_hash", "size", "source_size", "target", copies.alias("copies"))
 

@@ -19,7 +19,7 @@ from .common import cut
 
 SHARDS = 40
 VIRTUAL = 64
-SLACK = 0.002
+SLACK = 0.0002
 OVERHEAD = 16
 SEED = 6
 

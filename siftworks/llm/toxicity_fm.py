@@ -1,6 +1,6 @@
 """Toxicity by a factorization machine over hashed terms.
 
-A text is the set of its hashed lower-case words. The machine adds a weight for each term and, through
+A text is the set of its hashed lower-case words and word beginnings of five letters. The machine adds a weight for each term and, through
 low-rank factors, one for each pair of terms, so an insult together with a group mention can weigh more
 than both apart. It is fitted on a bounded sample of labelled rows; terms that labels do not tell apart get no
 parameters, which keeps long clean texts at the base score. Scoring covers every whole text.
@@ -25,6 +25,7 @@ MAX_TRAIN = 12_000
 MAX_TERMS = 1024
 MIN_Z = 3.5
 THRESHOLD = 0.7
+PREFIX = 5
 WORD = re.compile(r"[^\W_]+")
 
 
@@ -32,9 +33,14 @@ def term(word: str) -> int:
     return zlib.crc32(word.encode()) & ((1 << BITS) - 1)
 
 
+def word_terms(word: str) -> list[int]:
+    """The term of a word, and of its first letters where it has more."""
+    return [term(word), term(word[:PREFIX] + "*")] if len(word) > PREFIX else [term(word)]
+
+
 def terms(text: str | None) -> np.ndarray:
     """Sorted distinct hashed terms of a text."""
-    return np.unique(np.array([term(w) for w in set(WORD.findall((text or "").lower()))], np.int32))
+    return np.unique(np.array([t for w in set(WORD.findall((text or "").lower())) for t in word_terms(w)], np.int32))
 
 
 @dataclass
@@ -114,18 +120,18 @@ def scorer(machine: Machine):
     place[machine.known] = np.arange(len(machine.known))
 
     def run(batches):
-        cache: dict[str, int] = {}
+        cache: dict[str, tuple[int, ...]] = {}
         for b in batches:
             scores = []
             for text in b.column(1):
                 words = set(WORD.findall((text.as_py() or "").lower()))
-                active = set()
+                active: set[int] = set()
                 for w in words:
-                    i = cache.get(w)
-                    if i is None:
-                        i = cache[w] = int(place[term(w)])
-                    if i >= 0:
-                        active.add(i)
+                    known = cache.get(w)
+                    if known is None:
+                        known = cache[w] = tuple(int(place[t]) for t in word_terms(w) if place[t] >= 0)
+                    if known:
+                        active.update(known)
                 scores.append(machine.score(np.array(sorted(active), np.int64)))
                 if len(cache) > 300_000:
                     cache.clear()
