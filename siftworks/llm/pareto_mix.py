@@ -19,6 +19,7 @@ WEIGHTS = (5.0, 2.0, 1.0)
 MAX_COPIES = 3
 BUCKETS = 4096
 SEED = 10
+MAX_BROADCAST = 50_000  # rows of some numbers and a source's name
 WORDS = r"[^\x20\x09-\x0D]+"
 
 
@@ -53,6 +54,15 @@ def uniform(*cols, seed: int = SEED):
     return (F.shiftrightunsigned(F.xxhash64(F.lit(seed), *cols), 11).cast("double") + 0.5) / float(1 << 53)
 
 
+def by_source(rows: DataFrame, facts: DataFrame, how: str = "inner") -> DataFrame:
+    """rows with the facts (one row a source, named _source) of their source.
+
+    The facts go to all executors if they are few, which is counted; else AQE splits the join's skewed partitions.
+    """
+    facts = F.broadcast(facts) if facts.count() <= MAX_BROADCAST else facts
+    return rows.join(facts, rows.source.eqNullSafe(F.col("_source")), how).drop("_source")
+
+
 def plan(docs: DataFrame, seed: int = SEED) -> DataFrame:
     """(doc_id, text_hash, size, source_size, target, copies) for each row of docs (doc_id, source, text)."""
     size = word_count(F.col("text"))
@@ -63,7 +73,7 @@ def plan(docs: DataFrame, seed: int = SEED) -> DataFrame:
     # Copies that floating point leaves a hair below a whole number are whole.
     aim = aim.withColumn("whole", F.floor(ratio + 1e-9)).withColumn("p", F.greatest(ratio - F.col("whole"), F.lit(0.0)))
     aim = aim.withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size")).withColumnRenamed("source", "_source")
-    x = rows.join(aim, rows.source.eqNullSafe(F.col("_source"))).drop("_source")
+    x = by_source(rows, cut(aim))
     odds = lambda v: v / (1 - v)
     x = x.withColumn("rank", F.when(F.col("p") > 0, odds(F.col("u")) / odds(F.col("p"))))
     # rank * odds(p) / (1 + ...) is even over (0, 1): buckets of it hold like numbers of documents, in rank order.
@@ -75,7 +85,7 @@ def plan(docs: DataFrame, seed: int = SEED) -> DataFrame:
     sums = sums.withColumn("before", F.coalesce("before", F.lit(0)))
     edge = sums.where("before < rest").groupBy("source").agg(F.max("bucket").alias("edge"), F.max("before").alias("before"))
     edge = edge.withColumnRenamed("source", "_source")
-    x = x.join(edge, x.source.eqNullSafe(F.col("_source")), "left").drop("_source")
+    x = by_source(x, cut(edge), "left")
     sure = x.where("bucket is null or edge is null or bucket <> edge").withColumn("extra", F.coalesce(F.col("bucket") < F.col("edge"), F.lit(False)))
     order = W.partitionBy("source").orderBy("rank", "doc_id", "text_hash")
     last = x.where("bucket = edge").withColumn("reach", F.col("before") + F.sum("size").over(order.rowsBetween(W.unboundedPreceding, 0)))
@@ -85,10 +95,10 @@ def plan(docs: DataFrame, seed: int = SEED) -> DataFrame:
     taken = out.where("extra").groupBy("source").agg(F.sum("size").alias("got"))
     gap = out.groupBy("source").agg(F.max("rest").alias("rest")).join(taken.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source")), "left")
     gap = gap.select(F.col("source").alias("_source"), (F.col("rest") - F.coalesce("got", F.lit(0))).alias("gap"))
-    free = out.where("not extra and rank is not null and size > 0").join(gap, out.source.eqNullSafe(F.col("_source"))).where("size <= 2 * gap").drop("_source")
+    free = by_source(out.where("not extra and rank is not null and size > 0"), cut(gap)).where("size <= 2 * gap")
     near = F.struct(F.abs(F.col("size") - F.col("gap")).alias("off"), "rank", "doc_id", "text_hash")
     pick = free.groupBy("source").agg(F.min(near).alias("pick")).select(F.col("source").alias("_source"), F.col("pick.doc_id").alias("_doc"), F.col("pick.text_hash").alias("_hash"))
-    out = out.join(pick, out.source.eqNullSafe(F.col("_source")), "left")
+    out = by_source(out, cut(pick), "left")
     picked = F.col("_hash").isNotNull() & F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("text_hash") == F.col("_hash"))
     out = out.withColumn("extra", F.col("extra") | (F.coalesce(picked, F.lit(False)) & F.col("rank").isNotNull()))
     copies = F.least(F.col("whole") + F.col("extra").cast("bigint"), F.lit(MAX_COPIES))
