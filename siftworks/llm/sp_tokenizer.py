@@ -2,8 +2,8 @@
 
 The model's protobuf is parsed here, and its normaliser, white-space marker, unigram scores or merges and byte
 fallback are rebuilt. Texts are cut where no piece can cross, between a character and a following marker;
-the distinct parts of an Arrow batch are encoded by the library's threads and remembered. Parity is verified by
-encoding every whole text with the sentencepiece library as well.
+the distinct parts of a batch are encoded by the library's threads and remembered. Parity is verified by
+encoding every part with the sentencepiece library as well.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ import importlib
 import os
 import re
 import struct
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -27,7 +28,8 @@ MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 PARTS = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
-KNOWN_PARTS = 300_000
+KNOWN_PARTS = 500_000
+os.environ.setdefault("RAYON_NUM_THREADS", "2")  # the cores of a task's executor share the library's threads
 
 
 def default_model() -> str:
@@ -87,6 +89,7 @@ class Model:
             raise ValueError("only unigram and BPE models without user symbols or pieces across a marker are rebuilt")
         self.char_norm = normalizers.Precompiled(self.charsmap) if self.charsmap else None
         self.tokenizer = Tokenizer(self._unigram() if self.type == UNIGRAM else self._bpe())
+        self.odd: set[str] = set()  # parts seen without parity
         self.bytes_of = [self._bytes(i) for i in range(len(self.pieces))]
 
     def _unigram(self):
@@ -152,23 +155,55 @@ class Model:
                 out += [self.ids[f"<0x{x:02X}>"] for x in s.encode()] if self.byte_fallback else [self.unk]
         return out
 
-    def learn(self, parts, known: dict[str, bytes]) -> None:
+    def learn(self, parts: set[str], known: dict[str, bytes]) -> None:
         """Encodes the parts that known lacks, on the library's threads, into little-endian int32 ids."""
-        new = [p for p in set(parts) if p not in known]
+        new = parts.difference(known)
         plain = [p for p in new if self.type == UNIGRAM or not p.startswith(MARK * 2)]
-        for p, e in zip(plain, self.tokenizer.encode_batch(plain, add_special_tokens=False)):
-            known[p] = np.array(e.ids, "<i4").tobytes()
-        for p in set(new) - set(plain):
-            known[p] = np.array(self._tied(p), "<i4").tobytes()
-
-    def encode_batch(self, texts: list[str], known: dict[str, bytes] | None = None) -> list[bytes]:
-        """Ids of each text as little-endian int32 bytes."""
+        for p, e in zip(plain, self.tokenizer.encode_batch_fast(plain, add_special_tokens=False)):
+            known[p] = array("i", e.ids).tobytes()
+        for p in new.difference(plain):
+            known[p] = array("i", self._tied(p)).tobytes()
+
+    def verify(self, parts: set[str], known: dict[str, bytes], other) -> set[str]:
+        """The parts that the sentencepiece processor encodes otherwise.
+
+        A text's parts are encoded apart from each other by both, so texts without such a part have parity.
+        """
+        parts = list(parts)
+        return {p for p, ids in zip(parts, other.encode([p[1:].replace(MARK, " ") for p in parts], num_threads=1)) if array("i", ids).tobytes() != known[p]}
+
+    def split(self, text: str) -> list[str]:
+        """The normalised text cut where no piece can cross."""
+        text = self.normalise(text)
+        if text[:1] == MARK and MARK * 2 not in text and text[-1] != MARK:
+            return [MARK + w for w in text[1:].split(MARK)]  # what the pattern finds, sooner
+        return PARTS.findall(text)
+
+    def encode_batch(self, texts: list[str], known: dict[str, bytes] | None = None, other=None) -> list[bytes] | list[tuple[bytes, bool]]:
+        """Ids of each text as little-endian int32 bytes; with `other`, a sentencepiece processor, also its parity.
+
+        known: parts encoded before, which the call adds to. Parity is verified on each part when it is first met,
+        or on whole texts for models whose normaliser is more than a prefix and markers.
+        """
         known = {} if known is None else known
         if len(known) > KNOWN_PARTS:
             known.clear()
-        split = [PARTS.findall(self.normalise(t)) for t in texts]
-        self.learn((p for s in split for p in s), known)
-        return [b"".join(map(known.__getitem__, s)) for s in split]
+        split = [self.split(t) for t in texts]
+        found = [list(map(known.get, s)) for s in split]
+        unseen = [[i for i, x in enumerate(f) if x is None] if None in f else [] for f in found]
+        new = {s[i] for s, o in zip(split, unseen) for i in o}
+        self.learn(new, known)
+        for s, f, o in zip(split, found, unseen):
+            for i in o:
+                f[i] = known[s[i]]
+        ids = [b"".join(f) for f in found]
+        if other is None:
+            return ids
+        if self.char_norm or self.trim or not self.dummy_prefix:
+            return [(x, array("i", other.encode(t)).tobytes() == x) for x, t in zip(ids, texts)]
+        if new:
+            self.odd |= self.verify(new, known, other)
+        return [(x, not self.odd or self.odd.isdisjoint(s)) for x, s in zip(ids, split)]
 
     def decode(self, ids: bytes) -> str:
         """Text of little-endian int32 ids; bytes that are no UTF-8 become U+FFFD."""
@@ -230,7 +265,7 @@ def token_report(docs: DataFrame, path: str | None = None) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, round_trip, parity) for every row of docs (doc_id, text).
 
     ids_sha256 is of little-endian int32 ids; round_trip: decoding gives the normalised text back; parity: the sentencepiece
-    library makes the same ids of the whole text. Null and empty texts have no tokens; repeated rows give equal rows.
+    library makes the same ids of all of the text. Null and empty texts have no tokens; repeated rows give equal rows.
     """
     proto = model_bytes(path)
 
@@ -239,10 +274,9 @@ def token_report(docs: DataFrame, path: str | None = None) -> DataFrame:
         for b in batches:
             out = []
             for part in _pieces([x or "" for x in b.column(1).to_pylist()]):
-                for text, ids in zip(part, model.encode_batch(part, known)):
+                for text, (ids, same) in zip(part, model.encode_batch(part, known, own)):
                     want = model.normalise(text).replace(MARK, " ")
                     want = want[1:] if model.dummy_prefix else want
-                    same = np.array(own.encode(text), "<i4").tobytes() == ids
                     out.append((len(ids) // 4, hashlib.sha256(ids).hexdigest(), model.decode(ids) == want, same))
             cols = list(zip(*out)) if out else [[]] * 4
             kinds = (pa.int64(), pa.string(), pa.bool_(), pa.bool_())
