@@ -22,7 +22,7 @@ from .common import held_out
 BITS = 18
 FACTORS = 6
 MAX_TRAIN = 12_000
-MAX_TERMS = 1024
+MAX_TERMS = 512
 MIN_Z = 3.5
 THRESHOLD = 0.7
 PREFIX = 5
@@ -59,7 +59,7 @@ class Machine:
         return 1.0 / (1.0 + float(np.exp(-np.clip(self.bias + self.weight[active].sum() + pairs, -30, 30))))
 
 
-def fit(rows: list[np.ndarray], labels: np.ndarray, seed: int = 2, rounds: int = 400) -> Machine:
+def fit(rows: list[np.ndarray], labels: np.ndarray, seed: int = 2, rounds: int = 200) -> Machine:
     """Full-batch Adam on the class-balanced logistic loss. Without both labels the machine scores 0 or 1 for all."""
     labels = np.asarray(labels, np.float64)
     empty = np.zeros(0, np.int32)
@@ -78,21 +78,22 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, seed: int = 2, rounds: int =
     for i, r in enumerate(rows):
         x[i, np.isin(known, r, assume_unique=True)] = 1
     rng = np.random.default_rng(seed)
-    p = [np.zeros(1), np.zeros(len(known)), rng.normal(0, 0.05, (len(known), FACTORS))]
+    p = [np.zeros(1, np.float32), np.zeros(len(known), np.float32), rng.normal(0, 0.05, (len(known), FACTORS)).astype(np.float32)]
     decay = [0.0, 2e-3, 2e-2]
     m, s = [np.zeros_like(a) for a in p], [np.zeros_like(a) for a in p]
-    weight = np.where(labels == 1, 0.5 / n[1], 0.5 / n[0])
+    weight, labels = np.where(labels == 1, 0.5 / n[1], 0.5 / n[0]).astype(np.float32), labels.astype(np.float32)
+    xt = np.ascontiguousarray(x.T)
     for t in range(1, rounds + 1):
         xv = x @ p[2]
         margin = p[0] + x @ p[1] + 0.5 * ((xv**2).sum(1) - x @ (p[2] ** 2).sum(1))
         g = weight * (1 / (1 + np.exp(-np.clip(margin, -30, 30))) - labels)
-        xg = x.T @ g
-        grads = [np.array([g.sum()]), xg, x.T @ (g[:, None] * xv) - p[2] * xg[:, None]]
+        xg = xt @ g
+        grads = [np.array([g.sum()]), xg, xt @ (g[:, None] * xv) - p[2] * xg[:, None]]
         for i in range(3):
             d = grads[i] + decay[i] * p[i] / max(1, len(known))
             m[i], s[i] = 0.9 * m[i] + 0.1 * d, 0.999 * s[i] + 0.001 * d * d
             p[i] -= 0.05 * (m[i] / (1 - 0.9**t)) / (np.sqrt(s[i] / (1 - 0.999**t)) + 1e-8)
-    return Machine(known, float(p[0][0]), p[1], p[2])
+    return Machine(known, float(p[0][0]), p[1].astype(float), p[2].astype(float))
 
 
 def _terms(batches):
