@@ -31,7 +31,8 @@ def extract_json(raw: str | None) -> dict | None:
                 pass
             at = text.find("{", at + 1)
     try:
-        out = json.loads(repair_json(raw[raw.index("{") :]))
+        fixed = repair_json(raw)
+        out = json.loads(fixed[fixed.index("{") :])
         return out if isinstance(out, dict) else None
     except ValueError:
         return None

@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import protocols, python_code
 from ..operators import bootstrap, state
@@ -25,22 +26,22 @@ def code_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", "source", code.alias("code"))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def structural(code: pd.Series) -> pd.Series:
     return code.map(python_code.structural_hash)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def signature(code: pd.Series) -> pd.Series:
     return code.map(lambda c: ",".join(python_code.signatures(c)))
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def findings(code: pd.Series) -> pd.Series:
     return code.map(python_code.safety_findings)
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(T.BooleanType())
 def compiles(code: pd.Series) -> pd.Series:
     return code.map(lambda c: python_code.compile_error(c) is None)
 
