@@ -9,28 +9,31 @@ GRAMS = "case when SIZE(t) < 3 then ARRAY() else UNIQUE(EACH(RANGE(1, LONG(SIZE(
 GRAMS = GRAMS.replace("ARRAY()", "SLICE(t, 1, 0)")
 HASHED = f"h as (select doc_id, {SPLIT3} as split, SHA({NORM}) as hash from documents where text is not null)"
 
+# Copies are counted by split first: pairs join classes, so a large group of copies makes no more of them than a small one.
 both(
     "exact_dup_pairs",
     "X1 X4 D5 J3 B2",
-    f"with {HASHED} select a.doc_id as doc_a, a.split as split_a, b.doc_id as doc_b, b.split as split_b, 'instruction_exact' as method, DOUBLE(1) as score from h a join h b on a.hash = b.hash and a.split < b.split",
+    f"with {HASHED}, c as (select hash, split, min(doc_id) as doc, LONG(count(*)) as members from h group by hash, split) select a.doc as doc_a, a.split as split_a, a.members as members_a, b.doc as doc_b, b.split as split_b, b.members as members_b, 'instruction_exact' as method, DOUBLE(1) as score from c a join c b on a.hash = b.hash and a.split < b.split",
 )
 both("code_dup_groups", "X2 X3 D5", f"with c as (select doc_id, {SPLIT3} as split, JOIN(WHERE_EACH(EACH(LINES(text), trim(x)), x <> '' and not (x like '#%')), NEWLINE()) as code from documents) select SHA(code) as code_hash, LONG(count(*)) as n, LONG(count(distinct split)) as n_splits, min(doc_id) as first_doc from c where length(code) > 0 group by code having count(*) > 1")
-both("keep_first_dedup", "D1 D2 B11", "select doc_id, content_hash from (select doc_id, SHA(concat(coalesce(nullif(text, ''), '~'), '|', coalesce(nullif(lang, ''), '~'))) as content_hash, row_number() over (partition by coalesce(nullif(text, ''), '~'), coalesce(nullif(lang, ''), '~') order by doc_id) as rn from documents) q where rn = 1")
+both("keep_first_dedup", "D1 D2 B11", "select min(doc_id) as doc_id, content_hash from (select doc_id, SHA(concat(coalesce(nullif(text, ''), '~'), '|', coalesce(nullif(lang, ''), '~'))) as content_hash from documents) q group by content_hash")
 both("id_dedup_keep_first", "D3 S21", "select source, lang, doc_id, n_chars from (select *, row_number() over (partition by source, lang order by doc_id) as rn from documents) q where rn = 1")
 both(
     "signature_dedup_reason",
     "D4",
-    f"with {HASHED}, s as (select doc_id, hash, row_number() over (partition by hash order by doc_id) as by_hash from h), f as (select d.doc_id, s.hash, s.by_hash, row_number() over (partition by substr(d.text, 1, 64), d.lang order by d.doc_id) as by_head from documents d join s on s.doc_id = d.doc_id) select doc_id, case when by_hash > 1 then 'full_signature' when by_head > 1 then 'structural_signature' else 'kept' end as verdict from f",
+    f"with {HASHED}, m as (select hash, min(doc_id) as first_doc from h group by hash), k as (select substr(text, 1, 64) as head, lang, min(doc_id) as first_doc from documents group by 1, 2) select h.doc_id, case when m.first_doc < h.doc_id then 'full_signature' when k.first_doc < h.doc_id then 'structural_signature' else 'kept' end as verdict from h join m on m.hash = h.hash join documents d on d.doc_id = h.doc_id join k on k.head = substr(d.text, 1, 64) and k.lang = d.lang",
 )
 both(
     "benchmark_contamination",
     "X5 X6 J4 D8 D11",
     f"with d as (select doc_id as id, {TOKENS} as t from documents), b as (select item_id as id, {TOKENS} as t from benchmark), dg as (select id, EXPLODE({GRAMS}) as g from d), bg as (select id, EXPLODE({GRAMS}) as g from b), n as (select id, LONG(count(*)) as n from bg group by id) select dg.id as doc_id, bg.id as item_id, LONG(count(*)) as shared, round(DOUBLE(count(*)) / DOUBLE(max(n.n)), 6) as containment from dg join bg on dg.g = bg.g join n on n.id = bg.id group by dg.id, bg.id having count(*) >= 20",
 )
+# Sets with a Jaccard index over 0.7 share one of the first 30 % (and one more) of their grams in any common order,
+# so candidates come from an equality on such grams and not from all pairs of a bucket.
 both(
     "ngram_blocked_audit",
     "J4 X5 X6 X7 B1",
-    f"with f as (select doc_id, {SPLIT3} as split, substr(SHA({NORM}), 1, 2) as bucket, {TOKENS} as t from documents), g as (select doc_id, split, bucket, {GRAMS} as g from f), p as (select a.doc_id as doc_a, b.doc_id as doc_b, SIZE(COMMON(a.g, b.g)) as shared, SIZE(a.g) + SIZE(b.g) as total from g a join g b on a.bucket = b.bucket and a.split < b.split) select doc_a, doc_b, round(DOUBLE(shared) / DOUBLE(total - shared), 6) as jaccard from p where total > shared and DOUBLE(shared) / DOUBLE(total - shared) > 0.7",
+    f"with c as (select SHA({NORM}) as hash, {SPLIT3} as split, min(doc_id) as doc, max(text) as text, LONG(count(*)) as members from documents where text is not null group by 1, 2), f as (select doc, split, members, substr(hash, 1, 2) as bucket, {TOKENS} as t from c), g as (select doc, split, members, bucket, SORTED({GRAMS}) as g from f), p as (select doc, split, bucket, EXPLODE(SLICE(g, 1, cast(floor(DOUBLE(0.3) * SIZE(g)) as int) + 1)) as k from g), x as (select distinct a.doc as doc_a, b.doc as doc_b from p a join p b on a.bucket = b.bucket and a.k = b.k and a.split < b.split), y as (select x.doc_a, x.doc_b, a.members as members_a, b.members as members_b, SIZE(COMMON(a.g, b.g)) as shared, SIZE(a.g) + SIZE(b.g) as total from x join g a on a.doc = x.doc_a join g b on b.doc = x.doc_b) select doc_a, members_a, doc_b, members_b, round(DOUBLE(shared) / DOUBLE(total - shared), 6) as jaccard from y where DOUBLE(shared) / DOUBLE(total - shared) > 0.7",
 )
 both(
     "dedup_summary",

@@ -29,6 +29,7 @@ CALLS = {
     "EITHER": ("array_union({0}, {1})", "list_distinct(list_concat({0}, {1}))"),
     "HAS": ("array_contains({0}, {1})", "list_contains({0}, {1})"),
     "SORTED_LIST": ("sort_array(collect_list({0}))", "list_sort(list({0}))"),
+    "SORTED": ("sort_array({0})", "list_sort({0})"),
     "SLICE": ("slice({0}, {1}, {2})", "list_slice({0}, {1}, {1} + {2} - 1)"),
     "ARRAY": ("array({all})", "list_value({all})"),
     "RANGE": ("sequence({0}, {1})", "generate_series({0}, {1})"),

@@ -49,7 +49,12 @@ both("length_percentiles", "A18 A19 B10", f"select lang, LONG(count(*)) as n, {Q
 both("nearest_rank", "A21", "with r as (select lang, n_chars, row_number() over (partition by lang order by n_chars, doc_id) as rn, count(*) over (partition by lang) as n from documents) select lang, max(case when rn = floor(n / DOUBLE(2)) + 1 then n_chars end) as p50, max(case when rn = case when n > 10 then floor(DOUBLE(0.9) * n) + 1 else n end then n_chars end) as p90 from r group by lang")
 both("token_audit", "A22 X9", "with t as (select lang, SIZE(FIND_ALL(text, '[^ \\t\\n\\r]+')) as n from documents) select lang, LONG(sum(n)) as total, BROUND(avg(DOUBLE(n)), 4) as mean, max(n) as most, min(n) as least_n from t group by lang")
 both("truncation_audit", "A20 A23 X8 X34", "with t as (select conv_id, role, greatest(LONG(1), LONG(floor(length(text) / DOUBLE(4)))) as n from conversations where text is not null), c as (select conv_id, LONG(sum(n)) as total, LONG(sum(case when role = 'assistant' then 0 else n end)) as prompt from t group by conv_id) select case when total <= 384 then 'intact' when prompt < 384 then 'partial' else 'lost' end as status, LONG(count(*)) as n, LONG(sum(least(total, 384))) as kept_tokens from c group by 1")
-both("dataset_hash", "A24 A27", "select lang, SHA(JOIN(SORTED_LIST(concat(TEXT(doc_id), ':', SHA(coalesce(text, '')))), NEWLINE())) as digest, LONG(count(*)) as n from documents group by lang")
+# A tree of hashes: rows of one of 4096 hash ranges are sorted together, then the ranges' digests.
+both(
+    "dataset_hash",
+    "A24 A27",
+    "with r as (select lang, SHA(concat(TEXT(doc_id), ':', coalesce(text, ''))) as h from documents), b as (select lang, substr(h, 1, 3) as bucket, SHA(JOIN(SORTED_LIST(h), NEWLINE())) as digest, count(*) as n from r group by lang, substr(h, 1, 3)) select lang, SHA(JOIN(SORTED_LIST(concat(bucket, digest)), NEWLINE())) as digest, LONG(sum(n)) as n from b group by lang",
+)
 both("reject_histogram", "A28", "select substr(coalesce(nullif(r, ''), 'unknown'), 1, 60) as reason, LONG(count(*)) as n from (select case when n_chars < 300 then 'too short' when lang = 'de' then '' when n_chars > 5000 then 'too long' end as r from documents) q group by 1")
 both("missing_ids", "A29", "with g as (select EXPLODE(RANGE(lo, hi)) as id from (select LONG(min(doc_id)) as lo, LONG(max(doc_id)) as hi from labels) q) select g.id from g left join labels l on l.doc_id = g.id where l.doc_id is null")
 both("duplicate_ids", "A38", "select l_orderkey as id, LONG(count(*)) as n, max(case when rn = 2 then l_linenumber end) as second_line from (select l_orderkey, l_linenumber, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey) as rn from lineitem) q group by l_orderkey having count(*) > 1")
