@@ -116,7 +116,7 @@ def protocol_diagnostics(spark, sf_dir):
 def paired_bootstrap(spark, sf_dir):
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     x = docs.join(labels, "doc_id").select("lang", "doc_id", ((F.col("quality") == 1) & (F.col("n_chars") % 3 > 0)).cast("int").alias("a"), (F.col("quality") == 1).cast("int").alias("b"))
-    return bootstrap.paired_interval(x, ["lang"], "doc_id", "a", "b", draws=200)
+    return bootstrap.paired_interval(x, ["lang"], "doc_id", "a", "b")
 
 
 @register("early_stop_fold", "ST3 ST4 B12 B13")
@@ -131,8 +131,13 @@ def crc_seeds(spark, sf_dir):
 
 @register("file_manifest", "K9 A26 S19")
 def file_manifest(spark, sf_dir):
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(f"{sf_dir}/nation.parquet", pathGlobFilter="*.parquet")
-    return files.select(F.element_at(F.split("path", "/"), -1).alias("file"), F.sha2("content", 256).alias("sha256"), F.length("content").cast("bigint").alias("size"))
+    """A row for each file of the folder, and one named '.' for the folder: the hash of all names and hashes in order of name."""
+    root = sf_dir.split("://")[-1].rstrip("/")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(sf_dir)
+    inside = F.col("path").substr(F.instr("path", root) + len(root) + 1, F.length("path"))
+    rows = files.select(inside.alias("file"), F.sha2("content", 256).alias("sha256"), F.length("content").cast("bigint").alias("size"))
+    pairs = F.transform(F.sort_array(F.collect_list(F.struct("file", "sha256"))), lambda x: F.concat(x["file"], x["sha256"]))
+    return rows.unionByName(rows.agg(F.lit(".").alias("file"), F.sha2(F.array_join(pairs, ""), 256).alias("sha256"), F.sum("size").alias("size")))
 
 
 @register("replay_trajectories", "V10 V10a V10b V10c S15")
