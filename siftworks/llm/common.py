@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,13 +15,30 @@ PIECE_BYTES = 4_000_000
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a temporary one only where that is unset, as in tests."""
+    """The folder in spark.checkpoint.dir. Where that is unset a local session, as in tests, gets a temporary one; a cluster must name a shared one."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="siftworks-"))
+        path = spark.conf.get("spark.checkpoint.dir", None)
+        if path is None:
+            if sc.master.split("[")[0] != "local":
+                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+            path = tempfile.mkdtemp(prefix="siftworks-")
+        sc.setCheckpointDir(path)
     return sc.getCheckpointDir()
 
 
+@contextmanager
+def tidy_shuffles(spark: SparkSession):
+    """Shuffle files of the actions within go as soon as each action has ended; their results are written tables."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """df computed once and kept in the shared checkpoint folder, so lost executors cost no recomputation."""
     checkpoint_dir(df.sparkSession)
@@ -27,12 +46,52 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def tabled(df: DataFrame) -> DataFrame:
-    """df written once as a Parquet table in the shared checkpoint folder, for rows that compress well there."""
+    """df written once as a Parquet table in the shared checkpoint folder, for rows that compress well there. drop_table removes it."""
     path = f"{checkpoint_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def drop_table(df: DataFrame) -> None:
+    """Removes what tabled() wrote; nothing that is still to be computed may read it."""
+    jvm = df.sparkSession.sparkContext._jvm
+    for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def fresh(columns, *names: str) -> list[str]:
+    """The names, each made longer until no column has it in either case."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def pack(*arrays: np.ndarray) -> bytes:
+    """Arrays one after another behind their lengths, for blobs that stand for many rows in a shuffle."""
+    return np.array([len(a) for a in arrays], np.int64).tobytes() + b"".join(a.tobytes() for a in arrays)
+
+
+def unpack(data: bytes, *kinds) -> list[np.ndarray]:
+    sizes, at, out = np.frombuffer(data, np.int64, len(kinds)), 8 * len(kinds), []
+    for n, kind in zip(sizes.tolist(), kinds):
+        out.append(np.frombuffer(data, kind, n, at))
+        at += n * np.dtype(kind).itemsize
+    return out
+
+
+def mix64(x: np.ndarray) -> np.ndarray:
+    """A one-to-one scramble of 64-bit keys."""
+    x = np.asarray(x, np.uint64) + np.uint64(0x9E3779B97F4A7C15)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

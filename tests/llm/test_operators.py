@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from siftworks.llm import crossparse_lang, kn_quality, line_dedup, pareto_mix, png_media, ring_sharding, secrets_crf, simhash_gray, sp_tokenizer, toxicity_fm
+from siftworks.llm import crossparse_lang, kn_quality, pareto_mix, png_media, ring_sharding, secrets_crf, simhash_gray, sp_tokenizer, toxicity_fm
 from siftworks.llm.common import components
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -272,89 +272,6 @@ def test_ring_balance_and_movement(spark):
     assert moved < 0.35  # a plain modulus moves ten elevenths
 
 
-# 7 lines
-
-
-def test_edit_distance_and_similarity():
-    rng = np.random.default_rng(0)
-
-    def brute(a, b):
-        p = list(range(len(b) + 1))
-        for i, x in enumerate(a, 1):
-            q = [i]
-            for j, y in enumerate(b, 1):
-                q.append(min(p[j] + 1, q[-1] + 1, p[j - 1] + (x != y)))
-            p = q
-        return p[-1]
-
-    for _ in range(300):
-        a = "".join(rng.choice(list("ab c"), rng.integers(0, 60)))
-        b = "".join(c for c in a if rng.random() > 0.1) + "".join(rng.choice(list("ab c"), rng.integers(0, 6)))
-        d = brute(a, b)
-        assert line_dedup.edit_distance(a, b, 30) == min(d, 31)
-        n = max(len(a), len(b))
-        assert line_dedup.similar(a, b) == (d <= int(0.2 * n + 1e-9))
-
-
-def test_line_simhash_majority():
-    words = [[f"w{i * j % 17}".encode() for j in range(n)] for i, n in enumerate((5, 6, 40, 255, 256, 700))]
-    for w, h in zip(words, line_dedup.simhashes(words).tolist()):
-        hashes = [xxhash.xxh64_intdigest(x) for x in w]
-        assert h == sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in hashes) > len(hashes))
-
-
-def brute_lines(rows):
-    """Kept and dropped lines by comparing all pairs of distinct lines."""
-    places = defaultdict(list)
-    for i, text in {(r[0], r[1]) for r in rows}:
-        for n, line in enumerate((text or "").split("\n")):
-            if form := line_dedup.normal_form(line):
-                places[form].append((i, n))
-    up = {f: f for f in places}
-
-    def find(f):
-        while up[f] != f:
-            f = up[f]
-        return f
-
-    prints = dict(zip(places, line_dedup.simhashes([f.encode().split(b" ") for f in places]).tolist()))
-    for a, b in combinations(places, 2):
-        if (prints[a] ^ prints[b]).bit_count() <= 3 and line_dedup.similar(a, b):
-            up[find(a)] = find(b)
-    groups = defaultdict(list)
-    for f, p in places.items():
-        groups[find(f)] += [x for x in p if x[0] is not None]
-    return {x for g in groups.values() for x in sorted(g)[1:]}
-
-
-def test_line_dedup_rows(docs, rows, none):
-    gone = brute_lines(rows)
-    got = line_dedup.line_report(docs).collect()
-    assert len(got) == len(rows)
-    assert {(r.doc_id, n) for r in got for n in r.dropped_lines} == gone and len(gone) > 20
-    clean = line_dedup.dedup_lines(docs)
-    assert clean.columns == docs.columns and clean.count() == len(rows)
-    left = {r.doc_id: r.text for r in clean.collect() if r.doc_id is not None}
-    for i, text, *_ in rows:
-        if i is not None:
-            want = None if text is None else "\n".join(x for n, x in enumerate(text.split("\n")) if (i, n) not in gone)
-            assert left[i] == want
-    assert line_dedup.line_report(none).count() == 0
-
-
-def test_line_designs_find_the_same():
-    rng = np.random.default_rng(0)
-    base = rng.integers(0, 1 << 63, 40, dtype=np.uint64)
-    prints = np.concatenate([base, base ^ np.uint64(0b1000000000000000000100000000000000001)])
-    for d in line_dedup.DESIGNS:
-        masks, found = line_dedup.block_masks(*d), np.zeros(len(prints), int)
-        for i, m in enumerate(masks):
-            key = ((prints & np.uint64(m)) * np.uint64(0x9E3779B97F4A7C15) & ~np.uint64(63) | np.uint64(i)).view(np.int64)
-            order = np.argsort(key, kind="stable")
-            found[order] += line_dedup.near_in_groups(key[order], prints[order], masks)
-        assert (found == 1).all()  # each pair in the bucket of the first mask that it agrees on
-
-
 # 8 near duplicates
 
 
