@@ -60,6 +60,24 @@ def drop_table(df: DataFrame) -> None:
         path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+MARK_BITS = 24
+
+
+def marks(keys: DataFrame, hashed) -> DataFrame:
+    """A fixed table of 2 ** MARK_BITS bits, in words of 64, in which the rows of keys set the bit of their 64-bit hash; at most 2 ** (MARK_BITS - 6) rows."""
+    place = F.shiftrightunsigned(hashed, 64 - MARK_BITS)
+    bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), place.bitwiseAND(F.lit(63)).cast("int"))
+    return cut(keys.groupBy(F.shiftright(place, 6).alias("_word")).agg(F.bit_or(bit).alias("_bits")))
+
+
+def marked(rows: DataFrame, hashed, table: DataFrame, how: str = "left_semi") -> DataFrame:
+    """The rows whose bit is set in marks(), or with left_anti the others: those are surely not among the keys and need no shuffle to tell."""
+    word, bits = fresh(rows.columns, "_word", "_bits")
+    table = F.broadcast(table.toDF(word, bits))
+    place = F.shiftrightunsigned(hashed, 64 - MARK_BITS)
+    return rows.join(table, (F.shiftright(place, 6) == F.col(word)) & (F.getbit(F.col(bits), place.bitwiseAND(F.lit(63)).cast("int")) == 1), how)
+
+
 def fresh(columns, *names: str) -> list[str]:
     """The names, each made longer until no column has it in either case."""
     taken, out = {c.lower() for c in columns}, []

@@ -1,10 +1,11 @@
 """SimHash near-duplicates found through a hierarchical index over fingerprints in Gray order.
 
-Fingerprints are made in Arrow batches. Distinct fingerprints are dealt by the masked blocks they must
-share (five blocks, any two differing bits leave three blocks equal), so each task holds groups that
-agree on 38 or 39 bits. Within a task the fingerprints are sorted by Gray rank; runs of neighbours share
-a (mask, pattern) of common bits in upper nodes, and the search goes down pairs of nodes, leaving out
-whole groups once the differing bits that all their members share exceed the limit.
+Fingerprints are made in Arrow batches. The distinct ones, in the order of their Gray rank, fall into parts by quantiles; the bits that
+all fingerprints of a part have in common are its node, and the nodes of all parts are the index's upper level, which every executor
+gets. A task sorts its fingerprints by Gray rank; runs of LEAF neighbours share a (mask, pattern) of common bits. A run goes to its own part
+and to those later parts whose node differs from the run's in MAX_DIFF common bits or fewer; all others are pruned there. In a part,
+own and foreign fingerprints form two trees; the search goes down pairs of nodes and leaves out whole groups once the differing bits
+that all their members share exceed the limit.
 """
 
 from __future__ import annotations
@@ -17,12 +18,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, cut
+from .common import components, cut, fresh, pack, unpack
 
 SEED = 42
 SHINGLE = 3
 MAX_DIFF = 2
 FANOUT = 8
+LEAF = 64
+MAX_PARTS = 4096
 ONE = np.uint64(1)
 
 
@@ -59,13 +62,6 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(_fingerprints, "doc_id bigint, fp bigint, text_hash bigint")
 
 
-def block_masks(blocks: int = 5, differing: int = MAX_DIFF) -> list[int]:
-    """Masks that keep all but `differing` of the blocks: fingerprints that differ in so many bits share one."""
-    edges = [round(i * 64 / blocks) for i in range(blocks + 1)]
-    parts = [((1 << (hi - lo)) - 1) << lo for lo, hi in zip(edges, edges[1:])]
-    return [sum(parts[i] for i in range(blocks) if i not in out) for out in combinations(range(blocks), differing)]
-
-
 def gray_rank(x: np.ndarray) -> np.ndarray:
     """Position of each fingerprint in the reflected Gray order."""
     for s in (1, 2, 4, 8, 16, 32):
@@ -73,32 +69,70 @@ def gray_rank(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def _levels(keys: np.ndarray, fps: np.ndarray):
-    """Nodes bottom-up, as (mask of common bits, their pattern, first child, end of children); one top node for each key."""
+def common(fps: np.ndarray, first: np.ndarray):
+    """(mask of the bits that all members share, their pattern) of the runs that begin at `first`."""
+    ones, zeros = np.bitwise_and.reduceat(fps, first), np.bitwise_and.reduceat(~fps, first)
+    return ones | zeros, ones
+
+
+def levels(fps: np.ndarray):
+    """Nodes bottom-up over fingerprints in Gray order, as (mask of common bits, their pattern, first child, end of children); one top node."""
     full = np.uint64(0xFFFFFFFFFFFFFFFF)
-    levels = [(np.full(len(fps), full), fps, None, None)]
-    group = np.concatenate([[0], np.cumsum(keys[1:] != keys[:-1])])
-    while len(group) > group[-1] + 1:
-        begin = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
-        within = np.arange(len(group)) - begin[group]
-        first = np.flatnonzero(within % FANOUT == 0)
-        mask, pattern = levels[-1][:2]
+    out = [(np.full(len(fps), full), fps, None, None)]
+    while len(out[-1][0]) > 1:
+        mask, pattern = out[-1][:2]
+        first = np.arange(0, len(mask), FANOUT)
         ones = np.bitwise_and.reduceat(pattern & mask, first)
         zeros = np.bitwise_and.reduceat(~pattern & mask, first)
-        levels.append((ones | zeros, ones, first, np.append(first[1:], len(group))))
-        group = group[first]
-    return levels
+        out.append((ones | zeros, ones, first, np.append(first[1:], len(mask))))
+    return out
 
 
-def _children(a: np.ndarray, b: np.ndarray, first: np.ndarray, end: np.ndarray):
-    """Pairs of children of the node pairs (a, b), each unordered pair once."""
-    na, nb = end[a] - first[a], end[b] - first[b]
+def _children(first, end, other_first, other_end, a, b, same: bool):
+    """Pairs of children of the node pairs (a, b); in one tree each unordered pair once."""
+    na, nb = end[a] - first[a], other_end[b] - other_first[b]
     n = na * nb
     at = np.repeat(np.arange(len(a)), n)
     k = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-    x, y = first[a][at] + k // nb[at], first[b][at] + k % nb[at]
-    keep = x <= y
-    return x[keep], y[keep]
+    x, y = first[a][at] + k // nb[at], other_first[b][at] + k % nb[at]
+    if same:
+        keep = x <= y
+        x, y = x[keep], y[keep]
+    return x, y
+
+
+def descend(tree, other, max_diff: int = MAX_DIFF, chunk: int = 500_000):
+    """Arrays (a, b) of leaves of the two trees (in one tree: a < b) within max_diff bits, and at last the number of node pairs compared.
+
+    Trees of unlike height wait at the top of the lower one. Memory is bounded by `chunk`.
+    """
+    same, compared = tree is other, 0
+    stack = [(len(tree) - 1, len(other) - 1, np.zeros(1, np.int64), np.zeros(1, np.int64))]
+    while stack:
+        i, j, a, b = stack.pop()
+        (mask, pattern, first, end), (other_mask, other_pattern, other_first, other_end) = tree[i], other[j]
+        compared += len(a)
+        near = np.bitwise_count((pattern[a] ^ other_pattern[b]) & mask[a] & other_mask[b]) <= max_diff
+        a, b = a[near], b[near]
+        if i == j == 0:
+            yield (a[a < b], b[a < b]) if same else (a, b)
+            continue
+        down, across = i >= j, j >= i  # the higher tree goes down, both if they are level
+        step = chunk // FANOUT**2 + 1
+        for k in range(0, len(a), step):
+            x, y = a[k : k + step], b[k : k + step]
+            if down and across:
+                x, y = _children(first, end, other_first, other_end, x, y, same)
+            elif down:
+                n = end[x] - first[x]
+                y = np.repeat(y, n)
+                x = np.repeat(first[x], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            else:
+                n = other_end[y] - other_first[y]
+                x = np.repeat(x, n)
+                y = np.repeat(other_first[y], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            stack.append((i - down, j - across, x, y))
+    yield compared
 
 
 def _find(label: np.ndarray, i: np.ndarray) -> np.ndarray:
@@ -117,57 +151,123 @@ def _union(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
         np.minimum.at(label, np.maximum(a, b), np.minimum(a, b))
 
 
-def link(keys: np.ndarray, fps: np.ndarray, max_diff: int = MAX_DIFF, chunk: int = 200_000):
-    """Pairs (fp, representative) that connect all fingerprints of one key within max_diff bits.
+def link(own: np.ndarray, foreign: np.ndarray | None = None, max_diff: int = MAX_DIFF):
+    """(fp, representative) pairs that connect all of `own`, or all of `own` with all of `foreign`, within max_diff bits, and the node pairs compared.
 
-    The number of pairs is at most that of the fingerprints. Memory is bounded by the rows and `chunk`.
+    The number of pairs is at most that of the fingerprints. Both are distinct and in any order.
     """
-    order = np.lexsort((gray_rank(fps), keys))
-    keys, fps = keys[order], fps[order]
-    levels = _levels(keys, fps)
-    label = np.arange(len(fps))
-    top = np.arange(len(levels[-1][0]))
-    stack = [(len(levels) - 1, top[i : i + chunk], top[i : i + chunk]) for i in range(0, len(top), chunk)]
-    while stack:
-        depth, a, b = stack.pop()
-        mask, pattern, first, end = levels[depth]
-        near = np.bitwise_count((pattern[a] ^ pattern[b]) & mask[a] & mask[b]) <= max_diff
-        a, b = a[near], b[near]
-        if depth == 0:
-            off = a < b
-            _union(label, a[off], b[off])
-            continue
-        for i in range(0, len(a), chunk // FANOUT**2 + 1):
-            j = i + chunk // FANOUT**2 + 1
-            stack.append((depth - 1, *_children(a[i:j], b[i:j], first, end)))
+    own = own[np.argsort(gray_rank(own))]
+    if foreign is None:
+        fps, tree = own, levels(own)
+        other, base = tree, 0
+    else:
+        foreign = foreign[np.argsort(gray_rank(foreign))]
+        fps, tree, other, base = np.concatenate([own, foreign]), levels(own), levels(foreign), len(own)
+    label, compared = np.arange(len(fps)), 0
+    if len(own) and (foreign is None or len(foreign)):
+        for got in descend(tree, other, max_diff):
+            if isinstance(got, int):
+                compared = got
+            else:
+                _union(label, got[0], got[1] + base)
     root = _find(label, np.arange(len(fps)))
     linked = root != np.arange(len(fps))
-    return fps[linked], fps[root[linked]]
+    return fps[linked], fps[root[linked]], compared
+
+
+def _deal(bounds: np.ndarray, nodes: tuple[np.ndarray, np.ndarray]):
+    """Blobs (part, own, data) of fingerprints for their own part and for each later part whose node may hold a near one."""
+
+    def run(batches):
+        for b in batches:
+            fps = b.column(0).to_numpy().view(np.uint64)
+            rank = gray_rank(fps)
+            order = np.argsort(rank)
+            fps, part = fps[order], np.searchsorted(bounds, rank[order], "right")
+            out = []
+            for p in np.unique(part).tolist():
+                mine = fps[part == p]
+                out.append((p, True, pack(mine)))
+                first = np.arange(0, len(mine), LEAF)
+                mask, pattern = common(mine, first)
+                near = np.bitwise_count((pattern[:, None] ^ nodes[1][p + 1 :]) & mask[:, None] & nodes[0][p + 1 :]) <= MAX_DIFF
+                for q in np.flatnonzero(near.any(0)).tolist():
+                    out.append((p + 1 + q, False, pack(mine[np.repeat(near[:, q], np.diff(np.append(first, len(mine))))])))
+            parts, own, data = zip(*out) if out else ((), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), pa.array(own, pa.bool_()), pa.array(data, pa.binary())], names=["part", "own", "data"])
 
+    return run
 
-def _link_partition(batches):
-    got = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
-    if not got:
-        return
-    keys, fps = (np.concatenate(x) for x in zip(*got))
-    a, b = link(keys, fps.view(np.uint64))
-    yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
 
+FOREIGN = 500_000  # foreign fingerprints that are held at once
 
-def links(distinct: DataFrame) -> DataFrame:
-    """Edges (a, b) that connect all fingerprints of `distinct` (column fp) at MAX_DIFF or fewer differing bits."""
-    masks = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(m - (1 << 64) if m >> 63 else m).cast("bigint").alias("mask")) for i, m in enumerate(block_masks())))
-    keyed = distinct.select("fp", F.explode(masks).alias("m")).select(F.xxhash64(F.col("m.i"), F.col("fp").bitwiseAND(F.col("m.mask"))).alias("key"), "fp")
-    n = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return keyed.repartition(n, "key").mapInArrow(_link_partition, "a bigint, b bigint")
+
+def _link_parts(batches):
+    """Edges of each part, whose blobs stand together, its own ones first."""
+    part, own, tried, foreign, n = None, [], False, [], 0
+
+    def edges(*sides):
+        a, b, _ = link(*sides)
+        return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
+
+    def flush():
+        nonlocal own, tried, foreign, n
+        if own and not tried:
+            own, tried = [np.concatenate(own)], True
+            yield edges(own[0])
+        if own and foreign:
+            yield edges(own[0], np.concatenate(foreign))
+        foreign, n = [], 0
+
+    for b in batches:
+        for p, mine, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
+            if p != part or n > FOREIGN:
+                yield from flush()
+            if p != part:
+                part, own, tried = p, [], False
+            (fps,) = unpack(data.as_buffer(), "<u8")
+            if mine:
+                own.append(fps)
+            else:
+                foreign.append(fps)
+                n += len(fps)
+    yield from flush()
+
+
+def gray_column(fp):
+    """Gray rank of a bigint column, less 2 ** 63, so that signed order is rank order."""
+    for s in (1, 2, 4, 8, 16, 32):
+        fp = fp.bitwiseXOR(F.shiftrightunsigned(fp, s))
+    return fp.bitwiseXOR(F.lit(-(1 << 63)).cast("bigint"))
+
+
+def links(distinct: DataFrame, per_part: int = 250_000) -> DataFrame:
+    """Edges (a, b) that connect all fingerprints of `distinct` (column fp, no repeats) at MAX_DIFF or fewer differing bits."""
+    spark = distinct.sparkSession
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = distinct.count()
+    parts = min(MAX_PARTS, max(tasks, n // per_part)) if n > LEAF * tasks else 1
+    ranked = distinct.select("fp", gray_column(F.col("fp")).alias("rank"))
+    cuts = sorted({int(x) for x in ranked.stat.approxQuantile("rank", [i / parts for i in range(1, parts)], 0.2 / parts)}) if parts > 1 else []
+    bounds = (np.array(cuts, np.int64).view(np.uint64) ^ np.uint64(1 << 63)) if cuts else np.zeros(0, np.uint64)
+    part = F.lit(0)
+    if cuts:  # at most MAX_PARTS numbers
+        part = F.size(F.filter(F.array(*(F.lit(c).cast("bigint") for c in cuts)), lambda c: c <= F.col("rank")))
+    both = ranked.groupBy(part.alias("part")).agg(F.bit_and("fp").alias("ones"), F.bit_and(F.bitwise_not("fp")).alias("zeros")).collect()
+    mask, ones = np.full(len(bounds) + 1, 0, np.uint64), np.zeros(len(bounds) + 1, np.uint64)
+    for r in both:
+        pair = np.array([r.ones, r.zeros], np.int64).view(np.uint64)
+        mask[r.part], ones[r.part] = pair[0] | pair[1], pair[0]
+    dealt = distinct.select("fp").mapInArrow(_deal(bounds, (mask, ones)), "part int, own boolean, data binary")
+    return dealt.repartition(tasks, "part").sortWithinPartitions("part", F.desc("own")).mapInArrow(_link_parts, "a bigint, b bigint")
 
 
 def near_duplicates(docs: DataFrame, with_hash: bool = False) -> DataFrame:
     """(doc_id, fingerprint, component_id) for every row of docs (doc_id, text, any others).
 
-    Null and empty texts have fingerprint zero and link like any other. Repeated rows and ties share a
-    class; component_id is the least non-null doc_id reachable, null if there is none. An empty table
-    gives an empty result. with_hash adds text_hash, XXH64 of the text.
+    Null and empty texts have fingerprint zero and link like any other; texts of any length count whole. Repeated rows and ties share a
+    class; component_id is the least non-null doc_id reachable, null if there is none. An empty table gives an empty result. Columns
+    of other names are not looked at. with_hash adds text_hash, XXH64 of the text.
     """
     prints = cut(fingerprints(docs))
     distinct = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
@@ -180,13 +280,14 @@ def near_duplicates(docs: DataFrame, with_hash: bool = False) -> DataFrame:
 
 
 def keep_representatives(docs: DataFrame) -> DataFrame:
-    """The rows of docs, one for each near-duplicate class: the one with the least doc_id.
+    """The rows of docs, one for each near-duplicate class: the one with the least doc_id, with all columns, whatever their names.
 
     Rows that repeat that doc_id stay once, the one with the least text hash. Rows without an id pass
-    through, as a class cannot name them.
+    through, as a class cannot name them. Null, empty and long texts and empty tables are treated as near_duplicates says.
     """
+    own_id, first, text_hash = fresh(docs.columns, "_id", "_first", "_hash")
     classes = near_duplicates(docs.select("doc_id", "text"), with_hash=True)
-    first = classes.where("doc_id = component_id").groupBy(F.col("doc_id").alias("_sw_id")).agg(F.min("text_hash").alias("_sw_first"))
-    hashed = docs.withColumn("_sw_hash", F.xxhash64("text"))
-    kept = hashed.join(first, (hashed.doc_id == F.col("_sw_id")) & (F.col("_sw_hash") == F.col("_sw_first")), "left_semi").dropDuplicates(["doc_id", "_sw_hash"])
-    return kept.drop("_sw_hash").unionByName(docs.where("doc_id is null"))
+    chosen = classes.where("doc_id = component_id").groupBy(F.col("doc_id").alias(own_id)).agg(F.min("text_hash").alias(first))
+    hashed = docs.withColumn(text_hash, F.xxhash64("text"))
+    kept = hashed.join(chosen, (hashed.doc_id == F.col(own_id)) & (F.col(text_hash) == F.col(first)), "left_semi").dropDuplicates(["doc_id", text_hash])
+    return kept.drop(text_hash).unionByName(docs.where("doc_id is null"))

@@ -308,24 +308,47 @@ def test_near_duplicate_rows(docs, rows, none):
     assert simhash_gray.near_duplicates(none).count() == 0 and simhash_gray.keep_representatives(none).count() == 0
 
 
+def groups_of(pairs, items):
+    up = {int(x): int(x) for x in items}
+
+    def find(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for a, b in pairs:
+        up[find(int(a))] = find(int(b))
+    return find
+
+
 def test_gray_index_finds_all_links():
     rng = np.random.default_rng(0)
     base = rng.integers(0, 1 << 63, 50, dtype=np.uint64)
     near = [b ^ (np.uint64(1) << np.uint64(rng.integers(64))) ^ (np.uint64(1) << np.uint64(rng.integers(64))) for b in base for _ in range(30)]
     fps = np.unique(np.concatenate([base, np.array(near, np.uint64)]))
-    up = {int(x): int(x) for x in fps}
+    for sides in ((fps,), (fps[::3], np.setdiff1d(fps, fps[::3])), (fps[:1], fps[1:]), (fps, np.zeros(0, np.uint64))):
+        a, b, _ = simhash_gray.link(*sides)
+        find = groups_of(zip(a, b), fps)
+        for x in sides[0]:
+            other = sides[-1]
+            assert len({find(int(x)), *(find(int(c)) for c in other[np.bitwise_count(other ^ x) <= 2])}) == 1
 
-    def find(x):
-        while up[x] != x:
-            x = up[x]
-        return x
 
-    for m in simhash_gray.block_masks():
-        for a, b in zip(*simhash_gray.link(fps & np.uint64(m), fps, chunk=500)):
-            up[find(int(a))] = find(int(b))
-    for i, x in enumerate(fps):
-        close = fps[np.bitwise_count(fps ^ x) <= 2]
-        assert len({find(int(c)) for c in close}) == 1
+def test_gray_index_prunes():
+    fps = np.unique(np.random.default_rng(0).integers(0, 1 << 63, 50_000, dtype=np.uint64))
+    assert simhash_gray.link(fps)[2] < 0.05 * len(fps) ** 2 / 2
+
+
+def test_gray_parts_find_all_links(spark):
+    rng = np.random.default_rng(1)
+    base = rng.integers(0, 1 << 63, 3000, dtype=np.uint64) << np.uint64(1)
+    near = base[:1500] ^ (np.uint64(1) << rng.integers(0, 64, 1500).astype(np.uint64)) ^ (np.uint64(1) << rng.integers(0, 64, 1500).astype(np.uint64))
+    fps = np.unique(np.concatenate([base, near]))
+    edges = simhash_gray.links(spark.createDataFrame([(int(x),) for x in fps.view(np.int64)], "fp bigint"), per_part=100).collect()
+    at = np.array([(r.a, r.b) for r in edges], np.int64).view(np.uint64)
+    find = groups_of(at, fps)
+    for x in fps:
+        assert len({find(int(c)) for c in fps[np.bitwise_count(fps ^ x) <= 2]}) == 1
 
 
 def test_components(spark):
