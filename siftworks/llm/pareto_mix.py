@@ -1,10 +1,11 @@
 """Mixing sources to target weights by certain whole copies and Pareto order sampling.
 
-Each source's target of words gives every one of its documents target / size expected copies: the whole
-part is allocated for certain, the fraction is an inclusion probability p. Documents are ranked by
-random odds over inclusion odds, (u / (1 - u)) / (p / (1 - p)), and the first ones, as many as reach the
-rest of the target in words, get one copy more. The ranking is never gathered in one task: words are
-summed in fixed buckets of the rank, and only the bucket that the target falls into is sorted.
+A source's target of words is shared among its documents in unequal parts: a document of 2 ** level words or more expects copies in
+proportion to 2 ** (FAVOUR * level), MAX_COPIES at most, so that the expected words of all come to the target. The whole part of what it
+expects is allocated for certain, the fraction is its inclusion probability p. Documents are ranked by random odds over inclusion
+odds, (u / (1 - u)) / (p / (1 - p)), and the first ones, a sample of fixed size in words, that of the rest of the target, get one copy
+more. The ranking is never gathered in one task: words are summed in fixed buckets of the rank, and only the bucket
+that the target falls into is sorted.
 """
 
 from __future__ import annotations
@@ -13,11 +14,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, fresh
 
 WEIGHTS = (5.0, 2.0, 1.0)
 MAX_COPIES = 3
 BUCKETS = 4096
+FAVOUR = 0.25
 SEED = 10
 MAX_BROADCAST = 50_000  # rows of some numbers and a source's name
 WORDS = r"[^\x20\x09-\x0D]+"
@@ -33,7 +35,8 @@ def targets(sizes: DataFrame, weights=WEIGHTS, max_copies: int = MAX_COPIES) ->
 
     Weights repeat over the sources by code point, null last. Targets share the sum of sizes by weight;
     one that exceeds max_copies times its source's size stops there and the excess is shared by weight
-    again. Level by level that fills the sources in order of size over weight, which is what is summed here.
+    again. Level by level that fills the sources in order of size over weight, which is what is summed here, over some numbers
+    and a name for each source, in one task.
     """
     names = W.orderBy(F.col("source").asc_nulls_last())
     weight = F.element_at(F.array(*map(F.lit, weights)), ((F.row_number().over(names) - 1) % len(weights) + 1).cast("int"))
@@ -54,75 +57,97 @@ def uniform(*cols, seed: int = SEED):
     return (F.shiftrightunsigned(F.xxhash64(F.lit(seed), *cols), 11).cast("double") + 0.5) / float(1 << 53)
 
 
-def by_source(rows: DataFrame, facts: DataFrame, how: str = "inner") -> DataFrame:
-    """rows with the facts (one row a source, named _source) of their source.
+def by_key(rows: DataFrame, facts: DataFrame, keys: tuple[str, ...] = ("source",), how: str = "inner") -> DataFrame:
+    """rows with the facts of their source, or source and level: one row for each, in columns named with a _ before.
 
     The facts go to all executors if they are few, which is counted; else AQE splits the join's skewed partitions.
     """
     facts = F.broadcast(facts) if facts.count() <= MAX_BROADCAST else facts
-    return rows.join(facts, rows.source.eqNullSafe(F.col("_source")), how).drop("_source")
+    same = rows[keys[0]].eqNullSafe(F.col(f"_{keys[0]}"))
+    for k in keys[1:]:
+        same &= rows[k].eqNullSafe(F.col(f"_{k}"))
+    return rows.join(facts, same, how).drop(*(f"_{k}" for k in keys))
+
+
+def expected(levels: DataFrame, aim: DataFrame) -> DataFrame:
+    """(_source, _level, source_size, target, whole, p, rest) from (source, level, words) and targets().
+
+    Copies expected are the lesser of MAX_COPIES and c * 2 ** (FAVOUR * level), with the c that makes a source's expected words its target:
+    going down from the longest documents, levels are full until c times the next one's share is MAX_COPIES or less.
+    """
+    down = W.partitionBy("source").orderBy(F.col("level").desc())
+    x = by_key(levels, aim.withColumnRenamed("source", "_source")).withColumn("share", F.pow(F.lit(2.0), F.col("level") * FAVOUR))
+    full = F.coalesce(F.sum("words").over(down.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)) * MAX_COPIES
+    open_ = F.sum(F.col("words") * F.col("share")).over(down.rowsBetween(0, W.unboundedFollowing))
+    x = x.withColumn("c", F.try_divide(F.col("target") - full, open_))
+    # The first level that is not full sets c; a hair above it is floating point's.
+    fits = F.when(F.col("c") * F.col("share") <= MAX_COPIES * (1 + 1e-12), F.col("level"))
+    whole_source = W.partitionBy("source")
+    x = x.withColumn("c", F.max(F.when(fits.isNotNull(), F.struct("level", "c"))).over(whole_source).getField("c"))
+    copies = F.coalesce(F.least(F.col("c") * F.col("share"), F.lit(float(MAX_COPIES))), F.lit(float(MAX_COPIES)))
+    x = x.withColumn("whole", F.floor(copies + 1e-9)).withColumn("p", F.greatest(copies - F.col("whole"), F.lit(0.0)))
+    x = x.withColumn("rest", F.col("target") - F.sum(F.col("whole") * F.col("words")).over(whole_source))
+    return x.select(F.col("source").alias("_source"), F.col("level").alias("_level"), "source_size", "target", "whole", "p", "rest")
 
 
 def plan(docs: DataFrame, seed: int = SEED) -> DataFrame:
     """(doc_id, text_hash, size, source_size, target, copies) for each row of docs (doc_id, source, text)."""
     size = word_count(F.col("text"))
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "source", size.alias("size"), F.xxhash64("text").alias("text_hash"))
-    rows = cut(rows.withColumn("u", uniform("doc_id", "text_hash", seed=seed)))  # numbers only: texts are read once
-    aim = targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")))
-    ratio = F.coalesce(F.try_divide(F.col("target"), F.col("source_size")), F.lit(0.0))
-    # Copies that floating point leaves a hair below a whole number are whole.
-    aim = aim.withColumn("whole", F.floor(ratio + 1e-9)).withColumn("p", F.greatest(ratio - F.col("whole"), F.lit(0.0)))
-    aim = aim.withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size")).withColumnRenamed("source", "_source")
-    x = by_source(rows, cut(aim))
+    # Numbers only: texts are read once. A row's own number tells rows that repeat another.
+    rows = rows.withColumn("u", uniform("doc_id", "text_hash", seed=seed)).withColumn("row", F.monotonically_increasing_id())
+    rows = cut(rows.withColumn("level", F.length(F.bin("size"))))
+    levels = cut(rows.groupBy("source", "level").agg(F.sum("size").alias("words")))
+    aim = cut(targets(levels.groupBy("source").agg(F.sum("words").alias("source_size"))))
+    x = by_key(rows, cut(expected(levels, aim)), ("source", "level")).drop("level")
     odds = lambda v: v / (1 - v)
-    x = x.withColumn("rank", F.when(F.col("p") > 0, odds(F.col("u")) / odds(F.col("p"))))
-    # rank * odds(p) / (1 + ...) is even over (0, 1): buckets of it hold like numbers of documents, in rank order.
-    even = F.col("rank") * odds(F.col("p"))
-    x = x.withColumn("bucket", F.when(F.col("p") > 0, F.floor(even / (1 + even) * BUCKETS).cast("int")))
-    sums = x.where("bucket is not null").groupBy("source", "bucket", "rest").agg(F.sum("size").alias("words"))
+    x = x.withColumn("rank", F.when((F.col("p") > 0) & (F.col("size") > 0), odds(F.col("u")) / odds(F.col("p"))))
+    x = x.withColumn("bucket", F.floor(F.col("rank") / (1 + F.col("rank")) * BUCKETS).cast("int"))  # in rank order
+    sums = x.where("bucket is not null").groupBy("source", "bucket").agg(F.max("rest").alias("rest"), F.sum("size").alias("words"))
     run = W.partitionBy("source").orderBy("bucket")
-    sums = sums.withColumn("before", F.sum("words").over(run.rowsBetween(W.unboundedPreceding, -1)))
-    sums = sums.withColumn("before", F.coalesce("before", F.lit(0)))
-    edge = sums.where("before < rest").groupBy("source").agg(F.max("bucket").alias("edge"), F.max("before").alias("before"))
-    edge = edge.withColumnRenamed("source", "_source")
-    x = by_source(x, cut(edge), "left")
+    sums = sums.withColumn("before", F.coalesce(F.sum("words").over(run.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+    edge = sums.where("before < rest").groupBy(F.col("source").alias("_source")).agg(F.max("bucket").alias("edge"), F.max("before").alias("before"))
+    x = by_key(x, cut(edge), how="left")
     sure = x.where("bucket is null or edge is null or bucket <> edge").withColumn("extra", F.coalesce(F.col("bucket") < F.col("edge"), F.lit(False)))
-    order = W.partitionBy("source").orderBy("rank", "doc_id", "text_hash")
+    order = W.partitionBy("source").orderBy("rank", "doc_id", "text_hash", "row")
     last = x.where("bucket = edge").withColumn("reach", F.col("before") + F.sum("size").over(order.rowsBetween(W.unboundedPreceding, 0)))
     last = last.withColumn("extra", F.col("reach") <= F.col("rest")).drop("reach")
     out = cut(sure.unionByName(last).drop("u", "bucket", "edge", "before"))
     # The first document that does not fit leaves a gap; the one of the rest whose size is nearest to it, or none, closes it.
-    taken = out.where("extra").groupBy("source").agg(F.sum("size").alias("got"))
-    gap = out.groupBy("source").agg(F.max("rest").alias("rest")).join(taken.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source")), "left")
-    gap = gap.select(F.col("source").alias("_source"), (F.col("rest") - F.coalesce("got", F.lit(0))).alias("gap"))
-    free = by_source(out.where("not extra and rank is not null and size > 0"), cut(gap)).where("size <= 2 * gap")
-    near = F.struct(F.abs(F.col("size") - F.col("gap")).alias("off"), "rank", "doc_id", "text_hash")
-    pick = free.groupBy("source").agg(F.min(near).alias("pick")).select(F.col("source").alias("_source"), F.col("pick.doc_id").alias("_doc"), F.col("pick.text_hash").alias("_hash"))
-    out = by_source(out, cut(pick), "left")
-    picked = F.col("_hash").isNotNull() & F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("text_hash") == F.col("_hash"))
-    out = out.withColumn("extra", F.col("extra") | (F.coalesce(picked, F.lit(False)) & F.col("rank").isNotNull()))
-    copies = F.least(F.col("whole") + F.col("extra").cast("bigint"), F.lit(MAX_COPIES))
-    return out.select("doc_id", "text_hash", "size", "source_size", "target", copies.alias("copies"))
+    left = out.groupBy(F.col("source").alias("_source")).agg((F.max("rest") - F.sum(F.when(F.col("extra"), F.col("size")).otherwise(0))).alias("gap"))
+    free = by_key(out.where("not extra and rank is not null"), cut(left)).where("size <= 2 * gap")
+    near = F.struct(F.abs(F.col("size") - F.col("gap")).alias("off"), "rank", "doc_id", "text_hash", "row")
+    pick = free.groupBy(F.col("source").alias("_source")).agg(F.min(near).getField("row").alias("pick"))
+    out = by_key(out, cut(pick), how="left")
+    extra = F.col("extra") | F.coalesce(F.col("row") == F.col("pick"), F.lit(False))
+    return out.select("doc_id", "text_hash", "size", "source_size", "target", (F.col("whole") + extra.cast("bigint")).alias("copies"))
 
 
 def mix_report(docs: DataFrame) -> DataFrame:
     """(doc_id, size, source_size, target, taken) for every row of docs.
 
-    Null sources form one source, null and blank texts have size 0 and take nothing, and equal rows get
-    equal copies wherever the sample does not end between them. An empty table gives an empty result.
+    Null sources form one source, null and blank texts have size 0 and take nothing; texts of any length count whole. Equal rows get
+    equal copies wherever the sample does not end between them; ties in rank go by doc_id, then by text. An empty table gives an empty
+    result. Columns of other names are not looked at.
     """
     return plan(docs).select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
 def mix(docs: DataFrame) -> DataFrame:
-    """The rows of docs, each as often as the plan says; a copy keeps its doc_id and all columns.
+    """The rows of docs, each as often as the plan says; a copy keeps its doc_id and all columns, whatever their names.
 
-    Documents without words stay once: they have no words to weigh and are not the mix's to drop.
+    Documents without words stay once: they have no words to weigh and are not the mix's to drop. Rows that repeat id and text
+    share their copies, those that come first in the order of their other columns' hash taking the odd ones. Nulls, ties, long texts
+    and empty tables are treated as mix_report says.
     """
-    planned = plan(docs.select("doc_id", "source", "text")).groupBy("doc_id", "text_hash").agg(F.sum("copies").alias("copies"), F.max("size").alias("size"), F.count("*").alias("rows"))
-    # Rows that repeat id and text share their copies evenly, the rounding going up.
-    times = F.when(F.col("size") == 0, 1).otherwise(F.ceil(F.col("copies") / F.col("rows"))).cast("int")
-    planned = planned.select(F.col("doc_id").alias("_sw_id"), F.col("text_hash").alias("_sw_hash"), times.alias("_sw_times"))
-    same = docs.doc_id.cast("bigint").eqNullSafe(F.col("_sw_id")) & (F.xxhash64(docs.text) == F.col("_sw_hash"))
-    joined = docs.join(planned, same)
-    return joined.withColumn("_sw_copy", F.explode(F.array_repeat(F.lit(0), F.col("_sw_times")))).select(*(docs[c] for c in docs.columns))
+    own_id, own_hash, copies, rows, times, nth = fresh(docs.columns, "_id", "_hash", "_copies", "_rows", "_times", "_nth")
+    planned = plan(docs.select("doc_id", "source", "text")).groupBy(F.col("doc_id").alias(own_id), F.col("text_hash").alias(own_hash)).agg(F.when(F.max("size") == 0, F.count("*")).otherwise(F.sum("copies")).alias(copies), F.count("*").alias(rows))
+    same = docs.doc_id.cast("bigint").eqNullSafe(F.col(own_id)) & (F.xxhash64(docs.text) == F.col(own_hash))
+    joined = docs.join(planned.where(F.col(copies) > 0), same)
+    even = joined.where(F.col(copies) % F.col(rows) == 0).withColumn(times, F.col(copies) / F.col(rows))
+    # Only where the sample ends between equal rows, twice a source at most, are rows told apart.
+    order = W.partitionBy(own_id, own_hash).orderBy(F.xxhash64(*(docs[c] for c in docs.columns)))
+    odd = joined.where(F.col(copies) % F.col(rows) != 0).withColumn(nth, F.row_number().over(order))
+    odd = odd.withColumn(times, F.floor(F.col(copies) / F.col(rows)) + (F.col(nth) <= F.col(copies) % F.col(rows)).cast("int")).drop(nth)
+    both = even.unionByName(odd).where(F.col(times) > 0)
+    return both.withColumn(nth, F.explode(F.array_repeat(F.lit(0), F.col(times).cast("int")))).select(*docs.columns)

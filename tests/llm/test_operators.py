@@ -9,6 +9,7 @@ from itertools import combinations
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from siftworks.llm import crossparse_lang, kn_quality, pareto_mix, png_media, ring_sharding, secrets_crf, simhash_gray, sp_tokenizer, toxicity_fm
 from siftworks.llm.common import components
@@ -448,6 +449,50 @@ def brute_targets(sizes):
         full |= over
 
 
+def brute_mix(rows, u):
+    """(taken of each row) of (doc_id, source, words, text_hash); u: the row's random number."""
+    sizes, taken = defaultdict(int), [0] * len(rows)
+    for _, s, n, _ in rows:
+        sizes[s] += n
+    for s, target in brute_targets(sizes).items():
+        own = [i for i, r in enumerate(rows) if r[1] == s and r[2]]
+        share = {i: 2 ** (0.25 * rows[i][2].bit_length()) for i in own}
+        lo, hi = 0.0, 1e9  # the c that makes the expected words the target
+        for _ in range(200):
+            c = (lo + hi) / 2
+            lo, hi = (c, hi) if sum(min(3, c * share[i]) * rows[i][2] for i in own) < target else (lo, c)
+        expected = {i: min(3, hi * share[i]) for i in own}
+        whole = {i: int(expected[i] + 1e-9) for i in own}
+        p = {i: max(0, expected[i] - whole[i]) for i in own}
+        rest = target - sum(whole[i] * rows[i][2] for i in own)
+        odds = lambda v: v / (1 - v)
+        order = sorted((odds(u[i]) / odds(p[i]), rows[i][0], rows[i][3], i) for i in own if p[i] > 1e-9)
+        got, extra = 0, set()
+        for *_, i in order:
+            if got + rows[i][2] > rest + 1e-6:
+                break
+            got += rows[i][2]
+            extra.add(i)
+        free = [(abs(rows[i][2] - (rest - got)), r, rows[i][0], rows[i][3], i) for r, *_, i in order if i not in extra and rows[i][2] <= 2 * (rest - got)]
+        if free:
+            extra.add(min(free)[-1])
+        for i in own:
+            taken[i] = (whole[i] + (i in extra)) * rows[i][2]
+    return taken
+
+
+def test_mix_against_brute_force(spark):
+    import random
+
+    rng = random.Random(8)
+    docs = [(i, f"s{rng.choice((1, 1, 1, 2, 3, 4))}", " ".join("w" * rng.choice((1, 3)) for _ in range(int(rng.paretovariate(0.7)) % 300 + 1))) for i in range(500)]
+    df = spark.createDataFrame(docs, "doc_id bigint, source string, text string")
+    facts = {r.doc_id: r for r in df.select("doc_id", pareto_mix.uniform("doc_id", F.xxhash64("text")).alias("u"), F.xxhash64("text").alias("h")).collect()}
+    want = brute_mix([(i, s, len(t.split()), facts[i].h) for i, s, t in docs], [facts[i].u for i, *_ in docs])
+    got = {r.doc_id: r.taken for r in pareto_mix.mix_report(df).collect()}
+    assert [got[i] for i, *_ in docs] == want and len({round(w / len(t.split())) for w, (_, _, t) in zip(want, docs)}) >= 3
+
+
 def test_mix_rows(docs, rows, none):
     sizes = defaultdict(int)
     for i, t, _, s, *_ in rows:
@@ -458,9 +503,23 @@ def test_mix_rows(docs, rows, none):
     source = {r[0]: r[3] for r in rows}
     for i, size, source_size, target, taken in first:
         assert source_size == sizes[source[i]] and target == pytest.approx(want[source[i]]) and taken % max(size, 1) == 0 and taken <= 3 * size
-    assert pareto_mix.mix_report(none).count() == 0
-    mixed = pareto_mix.mix(docs)
-    assert mixed.columns == docs.columns and mixed.count() > 0
+    assert pareto_mix.mix_report(none).count() == 0 and pareto_mix.mix(none).count() == 0
+    clash = docs.withColumnsRenamed({"fp": "_id", "target": "_HASH", "lang": "_times"})
+    mixed = pareto_mix.mix(clash)
+    assert mixed.columns == clash.columns
+    words = Counter()
+    for r in mixed.collect():
+        words[r.doc_id] += len(WORD.findall(r.text or ""))
+    plan = Counter()
+    for i, *_, taken in map(tuple, pareto_mix.mix_report(docs).collect()):
+        plan[i] += taken
+    assert {k: v for k, v in words.items() if v} == {k: v for k, v in plan.items() if v}
+
+
+def test_mix_deals_copies_of_repeated_rows(spark):
+    docs = spark.createDataFrame([(1, "a", "w w w w w")] * 7 + [(2, "b", "v " * 40)], "doc_id bigint, source string, text string")
+    report, mixed = pareto_mix.mix_report(docs).collect(), pareto_mix.mix(docs).collect()
+    assert sum(len(r.text.split()) for r in mixed if r.doc_id == 1) == sum(r.taken for r in report if r.doc_id == 1) > 0
 
 
 def test_mix_reaches_targets(spark):
@@ -470,7 +529,10 @@ def test_mix_reaches_targets(spark):
         assert abs(r["sum(taken)"] - r["max(target)"]) <= 0.01 * r["max(target)"] + 40
 
 
-def test_pareto_inclusion_is_even(spark):
-    docs = spark.range(4000).selectExpr("id as doc_id", "case when id % 2 = 0 then 'a' else 'b' end as source", "'w w w w' as text")
-    got = pareto_mix.mix_report(docs).join(docs.select("doc_id", "source"), "doc_id").groupBy("source").agg({"taken": "avg"}).collect()
-    assert {r.source: round(r["avg(taken)"] / 4, 1) for r in got} == {"a": 1.4, "b": 0.6}
+def test_pareto_inclusion_follows_length(spark):
+    """Equal documents share alike; longer ones are likelier to be in."""
+    docs = spark.range(8000).selectExpr("id as doc_id", "case when id % 2 = 0 then 'a' else 'b' end as source", "case when id % 4 < 2 then 'w w w w' else repeat('w ', 64) end as text")
+    got = {(r.source, r.words): r.copies for r in pareto_mix.mix_report(docs).join(docs.select("doc_id", "source"), "doc_id").groupBy("source", F.col("size").alias("words")).agg(F.avg(F.col("taken") / F.col("size")).alias("copies")).collect()}
+    for s, target in (("a", 10 / 7), ("b", 4 / 7)):
+        c = target * 68 / (4 * 2**0.75 + 64 * 2**1.75)
+        assert got[s, 4] == pytest.approx(c * 2**0.75, rel=0.1) and got[s, 64] == pytest.approx(c * 2**1.75, rel=0.1)
