@@ -209,26 +209,50 @@ def test_automaton_knows_exactly_the_substrings():
         for n in range(1, 7):
             state = 0
             for c in probe[:n]:
-                state = table[state, c] if state >= 0 else -1
-            assert (state >= 0) == (probe[:n] in have)
+                state = int(table[state, c]) if state != crossparse_lang.NONE else state
+            assert (state != crossparse_lang.NONE) == (probe[:n] in have)
 
 
 def test_phrases_against_greedy_parse():
-    model = crossparse_lang.fit({"a": "the cat sat on the mat and ate", "b": "der hund lag auf der matte und schlief"})
-    for text in ("the mat sat", "der hund ate the zzz", "x" * 700 + "the cat"):
-        symbols = crossparse_lang.squeeze(model.classes[crossparse_lang.points(text)])
-        want = []
-        for table in model.tables:
-            n = 0
+    many = "".join(chr(0x4E00 + i * 7 % 300) for i in range(2000))
+    model = crossparse_lang.fit({"a": "the cat sat on the mat and ate", "b": "der hund lag auf der matte und schlief", "zh": many})
+    for text in ("the mat sat", "der hund ate the zzz", "x" * 700 + "the cat", many[100:500]):
+        for alphabet, table in zip(model.alphabets, model.tables):
+            symbols, n = alphabet.encode(crossparse_lang.points(text)), 0
             for i in range(0, len(symbols), crossparse_lang.BLOCK):
                 block, j = symbols[i : i + crossparse_lang.BLOCK], 0
                 while j < len(block):
                     state, k = 0, j
-                    while k < len(block) and table[state, block[k]] >= 0:
-                        state, k = table[state, block[k]], k + 1
+                    while k < len(block) and table[state, block[k]] != crossparse_lang.NONE:
+                        state, k = int(table[state, block[k]]), k + 1
                     n, j = n + 1, max(k, j + 1)
-            want.append(n)
-        assert crossparse_lang.phrases(model, [symbols])[0].tolist() == want
+            assert crossparse_lang.phrases(table, [symbols])[0] == n
+
+
+def test_alphabets_merge_no_learned_letter():
+    found = [0x4E00 + 3 * i for i in range(500)]
+    alphabet = crossparse_lang.Alphabet(found)
+    codes = {tuple(alphabet.encode(np.array([c], np.uint32)).tolist()) for c in found}
+    assert len(codes) == 500 and alphabet.encode(np.array([0x4E01, 32, 33], np.uint32)).tolist() == [1, 0]
+
+
+def test_language_tells_scripts_apart(spark):
+    rows, n = [], 0
+    pools = {"ja": range(0x3041, 0x3090), "ko": range(0xAC00, 0xAE00), "el": range(0x3B1, 0x3C9), "ru": range(0x430, 0x450), "ar": range(0x628, 0x64A), "xx": range(97, 123)}
+    rng = np.random.default_rng(0)
+    for lang, pool in pools.items():
+        words = ["".join(map(chr, rng.choice(list(pool), 4))) for _ in range(40)]
+        for _ in range(30):
+            rows.append((n, lang, " ".join(rng.choice(words, 30))))
+            n += 1
+    got = crossparse_lang.identify(spark.createDataFrame(rows, "doc_id bigint, lang string, text string")).collect()
+    assert all(r.lang_pred == rows[r.doc_id][1] for r in got)
+
+
+def test_language_repeated_ids_and_nulls(spark):
+    rows = [(1, "en", "the cat sat"), (1, "en", None), (1, None, "the cat"), (None, "fr", "le chat"), (2, "en", "dog"), (2, "en", "dog")]
+    got = crossparse_lang.identify(spark.createDataFrame(rows, "doc_id bigint, lang string, text string")).collect()
+    assert len(got) == 6 and sum(r.lang_pred == "und" for r in got) == 1
 
 
 def test_language_rows(spark, docs, rows, none):
