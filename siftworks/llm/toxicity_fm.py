@@ -2,8 +2,9 @@
 
 A text is the set of its hashed lower-case words and word beginnings of five letters. The machine adds a weight for each term and, through
 low-rank factors, one for each pair of terms, so an insult together with a group mention can weigh more
-than both apart. It is fitted on a bounded sample of labelled rows; terms that labels do not tell apart get no
-parameters, which keeps long clean texts at the base score. Scoring covers every whole text.
+than both apart. It is fitted on a bounded sample of labelled rows. Terms get parameters if labels tell them apart by themselves, or
+if they are of a pair that labels tell apart from what its two terms lead to expect: a pair counts even where each of
+its terms alone says nothing. All other terms get none, which keeps long clean texts at the base score. Scoring covers every whole text.
 """
 
 from __future__ import annotations
@@ -17,13 +18,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out
+from .common import cut, held_out
 
 BITS = 18
 FACTORS = 6
 MAX_TRAIN = 12_000
-MAX_TERMS = 512
-MIN_Z = 3.5
+FREQUENT = 4096  # terms of which pairs are tried: those in most rows of the sample
+MAX_TERMS = 1024  # with parameters; half of them at most for pairs
+MIN_Z, MIN_PAIR_Z, MIN_ROWS = 3.5, 6.0, 3
 THRESHOLD = 0.7
 PREFIX = 5
 WORD = re.compile(r"[^\W_]+")
@@ -59,24 +61,63 @@ class Machine:
         return 1.0 / (1.0 + float(np.exp(-np.clip(self.bias + self.weight[active].sum() + pairs, -30, 30))))
 
 
+def chosen(seen: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(terms that labels tell apart, strongest first; the FREQUENT commonest terms). seen: [label, term] rows, n: [label] rows."""
+    both = seen.sum(0) / n.sum()
+    z = (seen[1] / n[1] - seen[0] / n[0]) / np.sqrt(np.maximum(both * (1 - both), 1e-12) * (1 / n[0] + 1 / n[1]))
+    told = np.flatnonzero((np.abs(z) >= MIN_Z) & (seen.sum(0) >= MIN_ROWS))
+    often = np.flatnonzero(seen.sum(0) >= MIN_ROWS)
+    return told[np.argsort(-np.abs(z[told]), kind="stable")], often[np.argsort(-seen.sum(0)[often], kind="stable")[:FREQUENT]]
+
+
+def telling_pairs(x: np.ndarray, labels: np.ndarray) -> np.ndarray:
+    """Columns of x (rows by terms) in pairs whose toxic rows differ from what both terms' rates lead to expect; strongest first."""
+    n, toxic = np.float32(len(labels)), labels.astype(np.float32)
+    base = toxic.mean()
+    rows = x.sum(0)
+    rate = (toxic @ x + 1) / (rows + 1 / base)  # drawn to the base rate
+    strength = np.zeros(x.shape[1], np.float32)
+    xt = np.ascontiguousarray(x.T)
+    for i in range(0, x.shape[1], 256):
+        part = x[:, i : i + 256]
+        both, hit = xt @ part, xt @ (part * toxic[:, None])
+        want = np.clip(rate[:, None] * rate[None, i : i + 256] / base, 0.02 * base, 0.98)
+        spread = np.sqrt(both * want * (1 - want))
+        z = np.where((both >= 8) & (both < 0.5 * n), (hit - both * want) / np.maximum(spread, 1.0), 0.0)
+        z[np.arange(i, min(i + 256, x.shape[1])), np.arange(z.shape[1])] = 0
+        strength = np.maximum(strength, np.abs(z).max(1))
+    found = np.flatnonzero(strength >= MIN_PAIR_Z)
+    return found[np.argsort(-strength[found], kind="stable")]
+
+
 def fit(rows: list[np.ndarray], labels: np.ndarray, seed: int = 2, rounds: int = 200) -> Machine:
-    """Full-batch Adam on the class-balanced logistic loss. Without both labels the machine scores 0 or 1 for all."""
-    labels = np.asarray(labels, np.float64)
+    """fit_columns() on sets of terms."""
+    labels = np.asarray(labels, np.int64)
+    seen = np.zeros((2, 1 << BITS))
+    for r, y in zip(rows, labels.tolist()):
+        seen[y][r] += 1
+    if not len(labels) or labels.min() == labels.max():
+        return fit_columns(np.zeros((len(labels), 0), np.float32), np.zeros(0, np.int32), np.zeros(0, np.int32), labels)
+    told, often = chosen(seen, np.bincount(labels, minlength=2))
+    columns = np.unique(np.concatenate([told[:MAX_TERMS], often])).astype(np.int32)
+    x = np.zeros((len(rows), len(columns)), np.float32)
+    for i, r in enumerate(rows):
+        x[i, np.isin(columns, r, assume_unique=True)] = 1
+    return fit_columns(x, columns, told, labels, seed, rounds)
+
+
+def fit_columns(x: np.ndarray, columns: np.ndarray, told: np.ndarray, labels: np.ndarray, seed: int = 2, rounds: int = 200) -> Machine:
+    """Full-batch Adam on the class-balanced logistic loss. x: 1 where a row has the term of a column; told: terms, strongest first.
+
+    Without both labels the machine scores 0 or 1 for all.
+    """
     empty = np.zeros(0, np.int32)
     if not len(labels) or labels.min() == labels.max():
         return Machine(empty, 30.0 if len(labels) and labels.max() > 0 else -30.0, np.zeros(0), np.zeros((0, FACTORS)))
-    seen = np.zeros((2, 1 << BITS))
-    for r, y in zip(rows, labels):
-        seen[int(y)][r] += 1
-    n = np.array([(labels == 0).sum(), (labels == 1).sum()])
-    share = seen / n[:, None]
-    both = seen.sum(0) / n.sum()
-    z = (share[1] - share[0]) / np.sqrt(np.maximum(both * (1 - both), 1e-12) * (1 / n[0] + 1 / n[1]))
-    known = np.flatnonzero((np.abs(z) >= MIN_Z) & (seen.sum(0) >= 3))
-    known = np.sort(known[np.argsort(-np.abs(z[known]), kind="stable")[:MAX_TERMS]]).astype(np.int32)
-    x = np.zeros((len(rows), len(known)), np.float32)
-    for i, r in enumerate(rows):
-        x[i, np.isin(known, r, assume_unique=True)] = 1
+    paired = columns[telling_pairs(x, labels)][: MAX_TERMS // 2]
+    known = np.unique(np.concatenate([paired, told[: MAX_TERMS - len(paired)]])).astype(np.int32)
+    x = np.ascontiguousarray(x[:, np.searchsorted(columns, known)])
+    n = np.bincount(labels, minlength=2)
     rng = np.random.default_rng(seed)
     p = [np.zeros(1, np.float32), np.zeros(len(known), np.float32), rng.normal(0, 0.05, (len(known), FACTORS)).astype(np.float32)]
     decay = [0.0, 2e-3, 2e-2]
@@ -98,21 +139,48 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, seed: int = 2, rounds: int =
 
 def _terms(batches):
     for b in batches:
-        yield pa.RecordBatch.from_arrays([pa.array([terms(x.as_py()).tobytes() for x in b.column(0)], pa.binary()), b.column(1)], names=["terms", "toxic"])
+        yield pa.RecordBatch.from_arrays([pa.array([terms(x.as_py()) for x in b.column(0)], pa.list_(pa.int32())), b.column(1)], names=["terms", "toxic"])
+
+
+def _bits(columns: np.ndarray):
+    """Of each row's terms, those among `columns`, one bit each."""
+    place = np.full(1 << BITS, -1, np.int32)
+    place[columns] = np.arange(len(columns))
+
+    def run(batches):
+        for b in batches:
+            out = []
+            for t in b.column(0):
+                at = place[np.asarray(t.values)]
+                bits = np.zeros(len(columns), np.uint8)
+                bits[at[at >= 0]] = 1
+                out.append(np.packbits(bits).tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary()), b.column(1)], names=["bits", "toxic"])
+
+    return run
 
 
 def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Machine:
     """A machine from at most max_train labelled rows that are not held out, those of least hash of doc_id.
 
-    A document with several labels counts as toxic if one says so; null labels and ids are left out. The sample is
-    gathered as hashed terms, a few kB a row.
+    A document with several labels counts as toxic if one says so, and so do equal sets of terms, which teach once; null labels and ids
+    are left out. Spark counts the terms, at most 2 ** BITS; a row is gathered as one bit for each of at most FREQUENT + MAX_TERMS terms.
     """
-    chosen = labels.where("doc_id is not null and toxic is not null").where(~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    chosen = chosen.orderBy(F.xxhash64(F.lit(2), "doc_id"), "doc_id").limit(max_train).select(F.col("doc_id").alias("_id"), F.col("toxic").cast("int").alias("toxic"))
-    rows = docs.join(F.broadcast(chosen), docs.doc_id == F.col("_id")).select("text", "toxic").mapInArrow(_terms, "terms binary, toxic int")
-    got = {(bytes(r.terms), r.toxic) for r in rows.dropDuplicates(["terms"]).collect()}  # equal texts teach once
-    got = sorted(got)
-    return fit([np.frombuffer(t, np.int32) for t, _ in got], np.array([y for _, y in got]))
+    picked = labels.where("doc_id is not null and toxic is not null").where(~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    picked = picked.orderBy(F.xxhash64(F.lit(2), "doc_id"), "doc_id").limit(max_train).select(F.col("doc_id").alias("_id"), F.col("toxic").cast("int").alias("_toxic"))
+    rows = docs.select("doc_id", "text").join(F.broadcast(picked), F.col("doc_id") == F.col("_id")).select("text", "_toxic")
+    rows = cut(rows.mapInArrow(_terms, "terms array<int>, toxic int").groupBy("terms").agg(F.max("toxic").alias("toxic")))
+    n = {r.toxic: r.n for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    if len(n) < 2:
+        return fit([np.zeros(0, np.int32)] * len(n), np.array(sorted(n), np.int64))
+    seen = np.zeros((2, 1 << BITS))
+    counts = rows.select(F.explode("terms").alias("term"), "toxic").groupBy("term", "toxic").agg(F.count("*").alias("n")).toArrow()
+    seen[counts["toxic"].to_numpy(), counts["term"].to_numpy()] = counts["n"].to_numpy()
+    told, often = chosen(seen, np.array([n[0], n[1]]))
+    columns = np.unique(np.concatenate([told[:MAX_TERMS], often])).astype(np.int32)
+    got = sorted((bytes(r.bits), r.toxic) for r in rows.mapInArrow(_bits(columns), "bits binary, toxic int").collect())
+    x = np.unpackbits(np.frombuffer(b"".join(b for b, _ in got), np.uint8).reshape(len(got), -1), axis=1)[:, : len(columns)].astype(np.float32)
+    return fit_columns(x, columns, told, np.array([y for _, y in got], np.int64))
 
 
 def scorer(machine: Machine):
@@ -144,7 +212,8 @@ def scorer(machine: Machine):
 def score(docs: DataFrame, machine: Machine) -> DataFrame:
     """(doc_id, held_out, score, predicted) for every row of docs (doc_id, text).
 
-    Null and empty texts have no terms and get the base score; repeated rows get equal ones. Ids and labels do not enter.
+    Null and empty texts have no terms and get the base score; repeated rows and texts of equal terms get equal ones; texts of any length
+    are scored whole. An empty table gives an empty result. Ids, labels and columns of other names do not enter.
     """
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", held_out().alias("held_out"))
     out = rows.mapInArrow(scorer(machine), "doc_id bigint, held_out boolean, score double")
@@ -152,7 +221,7 @@ def score(docs: DataFrame, machine: Machine) -> DataFrame:
 
 
 def keep_clean(docs: DataFrame, machine: Machine, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of docs whose score is under the threshold, with all columns."""
+    """The rows of docs whose score is under the threshold, with all columns, whatever their names; nulls, ties and long texts as score() says."""
     run = scorer(machine)
     schema = docs.schema
 

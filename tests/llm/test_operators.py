@@ -87,6 +87,37 @@ def test_toxicity_learns_pairs():
     assert score(1, 2) > 0.7 > max(score(1), score(2))
 
 
+def test_toxicity_learns_pairs_of_terms_that_tell_nothing_alone():
+    """Terms 1 and 2 are each in as many toxic rows as clean ones; only both together, or neither, are toxic."""
+    rng = np.random.default_rng(1)
+    rows, y = [], []
+    for i in range(4000):
+        noise = rng.integers(10, 200, 12)
+        a, b = i % 2, i // 2 % 2
+        rows.append(np.unique(np.concatenate([noise, [1] * a, [2] * b])).astype(np.int32))
+        y.append(int(a == b))
+    m = toxicity_fm.fit(rows, np.array(y))
+    place = {int(k): i for i, k in enumerate(m.known)}
+    score = lambda *t: m.score(np.array([place[k] for k in t], np.int64))
+    assert {1, 2} <= set(place) and min(score(1, 2), score()) > 0.7 > 0.3 > max(score(1), score(2))
+
+
+def test_machine_sums_all_pairs():
+    rng = np.random.default_rng(0)
+    m = toxicity_fm.Machine(np.arange(6), 0.3, rng.normal(size=6), rng.normal(size=(6, 3)))
+    for active in ([], [2], [0, 3, 5], [0, 1, 2, 3, 4, 5]):
+        margin = 0.3 + sum(m.weight[i] for i in active) + sum(m.factors[i] @ m.factors[j] for i, j in combinations(active, 2))
+        assert m.score(np.array(active, np.int64)) == pytest.approx(1 / (1 + np.exp(-margin)))
+
+
+def test_toxicity_labels_of_equal_texts(spark):
+    """Of equal texts with different labels the toxic one counts, however rows are dealt."""
+    docs = spark.createDataFrame([(i, f"word{i % 40} same text") for i in range(400)], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, int(i % 7 == 0)) for i in range(400)], "doc_id bigint, toxic int")
+    a, b = (toxicity_fm.train(docs.repartition(k), labels) for k in (1, 5))
+    assert a.known.tolist() == b.known.tolist() and np.allclose(a.weight, b.weight) and a.bias == pytest.approx(b.bias)
+
+
 def test_toxicity_rows(spark, docs, rows, labels, none):
     machine = toxicity_fm.train(docs, labels)
     got = toxicity_fm.score(docs, machine).collect()
