@@ -48,7 +48,7 @@ def cut(df: DataFrame) -> DataFrame:
 def tabled(df: DataFrame) -> DataFrame:
     """df written once as a Parquet table in the shared checkpoint folder, for rows that compress well there. drop_table removes it."""
     path = f"{checkpoint_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("parquet.enable.dictionary", "false").parquet(path)  # hashes and texts, of which few repeat
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
