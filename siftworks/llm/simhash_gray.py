@@ -1,8 +1,8 @@
 """SimHash near-duplicates found through a hierarchical index over fingerprints in Gray order.
 
-Fingerprints are made in Arrow batches. The distinct ones, in the order of their Gray rank, fall into parts by quantiles; the bits that
+Fingerprints are made in Arrow batches. The distinct ones are dealt by ranges of their Gray rank and sorted by it; the bits that
 all fingerprints of a part have in common are its node, and the nodes of all parts are the index's upper level, which every executor
-gets. A task sorts its fingerprints by Gray rank; runs of LEAF neighbours share a (mask, pattern) of common bits. A run goes to its own part
+gets. Runs of LEAF neighbours share a (mask, pattern) of common bits. A run goes to its own part
 and to those later parts whose node differs from the run's in MAX_DIFF common bits or fewer; all others are pruned there. In a part,
 own and foreign fingerprints form two trees; the search goes down pairs of nodes and leaves out whole groups once the differing bits
 that all their members share exceed the limit.
@@ -25,7 +25,7 @@ SHINGLE = 3
 MAX_DIFF = 2
 FANOUT = 8
 LEAF = 64
-MAX_PARTS = 4096
+PER_PART, MAX_PARTS = 20_000, 4096
 ONE = np.uint64(1)
 
 
@@ -175,22 +175,21 @@ def link(own: np.ndarray, foreign: np.ndarray | None = None, max_diff: int = MAX
     return fps[linked], fps[root[linked]], compared
 
 
-def _deal(bounds: np.ndarray, nodes: tuple[np.ndarray, np.ndarray]):
-    """Blobs (part, own, data) of fingerprints for their own part and for each later part whose node may hold a near one."""
+def _deal(mask: np.ndarray, pattern: np.ndarray):
+    """Blobs (part, own, data) of fingerprints for their own part and for each later part whose node may hold a near one.
+
+    Rows (fp, part) come in Gray order within a part.
+    """
 
     def run(batches):
         for b in batches:
-            fps = b.column(0).to_numpy().view(np.uint64)
-            rank = gray_rank(fps)
-            order = np.argsort(rank)
-            fps, part = fps[order], np.searchsorted(bounds, rank[order], "right")
-            out = []
+            fps, part, out = b.column(0).to_numpy().view(np.uint64), b.column(1).to_numpy(), []
             for p in np.unique(part).tolist():
                 mine = fps[part == p]
                 out.append((p, True, pack(mine)))
                 first = np.arange(0, len(mine), LEAF)
-                mask, pattern = common(mine, first)
-                near = np.bitwise_count((pattern[:, None] ^ nodes[1][p + 1 :]) & mask[:, None] & nodes[0][p + 1 :]) <= MAX_DIFF
+                own_mask, own_pattern = common(mine, first)
+                near = np.bitwise_count((own_pattern[:, None] ^ pattern[p + 1 :]) & own_mask[:, None] & mask[p + 1 :]) <= MAX_DIFF
                 for q in np.flatnonzero(near.any(0)).tolist():
                     out.append((p + 1 + q, False, pack(mine[np.repeat(near[:, q], np.diff(np.append(first, len(mine))))])))
             parts, own, data = zip(*out) if out else ((), (), ())
@@ -241,24 +240,18 @@ def gray_column(fp):
     return fp.bitwiseXOR(F.lit(-(1 << 63)).cast("bigint"))
 
 
-def links(distinct: DataFrame, per_part: int = 250_000) -> DataFrame:
+def links(distinct: DataFrame, per_part: int = PER_PART) -> DataFrame:
     """Edges (a, b) that connect all fingerprints of `distinct` (column fp, no repeats) at MAX_DIFF or fewer differing bits."""
-    spark = distinct.sparkSession
-    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    n = distinct.count()
-    parts = min(MAX_PARTS, max(tasks, n // per_part)) if n > LEAF * tasks else 1
-    ranked = distinct.select("fp", gray_column(F.col("fp")).alias("rank"))
-    cuts = sorted({int(x) for x in ranked.stat.approxQuantile("rank", [i / parts for i in range(1, parts)], 0.2 / parts)}) if parts > 1 else []
-    bounds = (np.array(cuts, np.int64).view(np.uint64) ^ np.uint64(1 << 63)) if cuts else np.zeros(0, np.uint64)
-    part = F.lit(0)
-    if cuts:  # at most MAX_PARTS numbers
-        part = F.size(F.filter(F.array(*(F.lit(c).cast("bigint") for c in cuts)), lambda c: c <= F.col("rank")))
-    both = ranked.groupBy(part.alias("part")).agg(F.bit_and("fp").alias("ones"), F.bit_and(F.bitwise_not("fp")).alias("zeros")).collect()
-    mask, ones = np.full(len(bounds) + 1, 0, np.uint64), np.zeros(len(bounds) + 1, np.uint64)
+    tasks = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = min(MAX_PARTS, distinct.count() // per_part + 1)
+    ranked = distinct.select("fp", gray_column(F.col("fp")).alias("rank")).repartitionByRange(parts, "rank").sortWithinPartitions("rank")
+    ranked = cut(ranked.select("fp", F.spark_partition_id().alias("part")))
+    both = ranked.groupBy("part").agg(F.bit_and("fp").alias("ones"), F.bit_and(F.bitwise_not("fp")).alias("zeros")).collect()  # a node a part
+    mask, pattern = (np.zeros(1 + max((r.part for r in both), default=0), np.uint64) for _ in range(2))
     for r in both:
-        pair = np.array([r.ones, r.zeros], np.int64).view(np.uint64)
-        mask[r.part], ones[r.part] = pair[0] | pair[1], pair[0]
-    dealt = distinct.select("fp").mapInArrow(_deal(bounds, (mask, ones)), "part int, own boolean, data binary")
+        ones, zeros = np.array([r.ones, r.zeros], np.int64).view(np.uint64)
+        mask[r.part], pattern[r.part] = ones | zeros, ones
+    dealt = ranked.mapInArrow(_deal(mask, pattern), "part int, own boolean, data binary")
     return dealt.repartition(tasks, "part").sortWithinPartitions("part", F.desc("own")).mapInArrow(_link_parts, "a bigint, b bigint")
 
 
