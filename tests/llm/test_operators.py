@@ -235,9 +235,11 @@ def test_quality_rows(spark, docs, rows, none):
 
 def test_kneser_ney_against_definition():
     rng = np.random.default_rng(0)
-    grams, n = np.unique(rng.integers(0, 6, 400) * 32768 + rng.integers(0, 3, 400) * 1024 + rng.integers(0, 4, 400) * 32 + rng.integers(0, 5, 400), return_counts=True)
+    code = lambda parts: sum(x.astype(np.int64) << 5 * (4 - i) for i, x in enumerate(parts))
+    grams, n = np.unique(code([rng.integers(0, k, 400) for k in (6, 2, 3, 4, 5)]), return_counts=True)
     model = kn_quality.estimate({2: (grams, n)})
-    tables = [{(g >> 15, g >> 10 & 31, g >> 5 & 31, g & 31): int(c) for g, c in zip(grams.tolist(), n)}]
+    split = lambda g: tuple(int(g) >> 5 * i & 31 for i in range(4, -1, -1))
+    tables = [{split(g): int(c) for g, c in zip(grams, n)}]
     while len(next(iter(tables[0]))) > 1:
         tables.insert(0, dict(Counter(k[1:] for k in tables[0])))
 
@@ -245,9 +247,7 @@ def test_kneser_ney_against_definition():
         if not gram:
             return 1 / 32
         t = tables[len(gram) - 1]
-        full = np.zeros(32 ** len(gram), int)
-        full[: len(t)] = list(t.values())
-        d = kn_quality.discounts(full)
+        d = kn_quality.discounts(np.array(list(t.values())))
         row = {k: c for k, c in t.items() if k[:-1] == gram[:-1]}
         if not row:
             return p(gram[1:])
@@ -255,12 +255,44 @@ def test_kneser_ney_against_definition():
         mine = row.get(gram, 0)
         return (mine - d[min(mine, 3)]) / total + sum(d[min(c, 3)] for c in row.values()) / total * p(gram[1:])
 
-    codes = np.concatenate([grams[:40], rng.integers(0, 32**4, 60)])
-    want = [np.log2(p((g >> 15, g >> 10 & 31, g >> 5 & 31, g & 31))) for g in codes.tolist()]
-    assert np.allclose(model.log2(2, codes), want, atol=1e-4)
+    codes = np.concatenate([grams[:40], rng.integers(0, 32**5, 60), grams[40:60] ^ 7])
+    assert np.allclose(model.log2(2, codes), [np.log2(p(split(g))) for g in codes], atol=1e-4)
     context = np.arange(32) + (int(grams[0]) & ~31)
     assert np.exp2(model.log2(2, context)).sum() == pytest.approx(1, abs=1e-3)
-    assert (np.diff(model.seen.astype(object)) > 0).all()
+    assert (np.diff(model.seen.astype(object)) > 0).all() and (np.diff(model.contexts.astype(object)) > 0).all()
+
+
+def test_grams_are_of_code_points():
+    letters = {1: [ord(c) for c in "абв"], 2: [ord(c) for c in "日本語"]}
+    codes, n = kn_quality.lower_points("Аб 1,日本".encode(), [0, 7, 13])
+    assert n.tolist() == [5, 2] and kn_quality._symbols(letters)(np.array([1, 2]), codes, n).tolist() == [1, 2, 0, kn_quality.DIGIT, kn_quality.MARK, 1, 2]
+    grams = kn_quality.grams(np.array([1, 2, 3, 9], np.uint8), np.array([3, 1]))
+    assert grams.tolist() == [1, 1 << 5 | 2, 1 << 10 | 2 << 5 | 3, 9]
+
+
+def test_bands_reject_gibberish_and_keep_clean(spark):
+    """Every language has a band: letters of words mixed, or replaced by random ones, are out; clean texts stay."""
+    import random
+
+    rng = random.Random(1)
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("text is not null").select("doc_id", "text", "lang")
+    mixed = lambda t: " ".join("".join(rng.sample(w, len(w))) for w in t.split())
+    random_ = lambda t: " ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in w) for w in t.split())
+    some = docs.orderBy(F.xxhash64("doc_id")).limit(30).collect()
+    bad = [(10**9 + 2 * i + k, f(r.text), r.lang) for i, r in enumerate(some) for k, f in enumerate((mixed, random_))]
+    got = kn_quality.quality(docs.unionByName(spark.createDataFrame(bad, docs.schema))).where("not base_failed").collect()
+    clean = [r.kept for r in got if r.doc_id < 10**9]
+    assert np.mean(clean) > 0.98
+    for k in (0, 1):
+        out = [r.kept for r in got if r.doc_id >= 10**9 and r.doc_id % 2 == k]
+        assert np.mean(out) < 0.15 and len(out) > 20
+
+
+def test_languages_in_groups_score_alike(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    rows = kn_quality.slotted(docs)
+    whole, apart = ({(r.doc_id, r.slot, r.n_words): r.bits for r in kn_quality.scored(rows, most).collect()} for most in (1 << 40, 1))
+    assert whole.keys() == apart.keys() and all(apart[k] == pytest.approx(v, abs=1e-6) for k, v in whole.items())
 
 
 # 5 language
