@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from .common import cut
 
 SHARDS = 40
-VIRTUAL = 64
+VIRTUAL = 256
 SLACK = 0.0002
 OVERHEAD = 16
 SEED = 6
@@ -62,18 +62,21 @@ def assign(docs: DataFrame, shards: int = SHARDS, virtual: int = VIRTUAL, slack:
     """(doc_id, size, text_crc32, law, shard, slot, grown_shard) for every row of docs (doc_id, text).
 
     The law is `bytes`: sizes by shard differ by little, as no shard holds over (1 + slack) times the mean
-    plus one document. Null texts have size 16 and the checksum of no bytes. Rows that repeat an id fall to the
-    same arc; their order among each other is that of their checksums. Slots number each shard's rows from 0 without gaps.
-    grown_shard is null, as no law about growth is promised here. An empty table gives an empty result.
+    plus one document. Null texts have size 16 and the checksum of no bytes; texts of any length count whole. Rows that repeat an id fall to
+    the same arc, those without one to that of their text; their order among each other, ties included, is that of checksum and size. Slots
+    number each shard's rows from 0 without gaps. grown_shard is null, as no law about growth is promised here. An empty table gives
+    an empty result. Columns of other names are not looked at.
     """
     spark = docs.sparkSession
     data = F.coalesce(F.col("text").cast("binary"), F.lit(b""))
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), (F.octet_length(data) + OVERHEAD).cast("bigint").alias("size"), F.crc32(data).alias("text_crc32"))
-    rows = rows.withColumn("at", F.shiftrightunsigned(F.xxhash64(F.lit(SEED), "doc_id"), 1))
+    # Rows without an id stand where their text does, not all in one place.
+    place = F.when(F.col("doc_id").isNull(), F.xxhash64(F.lit(SEED), "text_crc32", "size")).otherwise(F.xxhash64(F.lit(SEED), "doc_id"))
+    rows = rows.withColumn("at", F.shiftrightunsigned(place, 1))
     nodes = ring(spark, shards, virtual)
     places, owner = [x[0] for x in nodes], [x[1] for x in nodes]
     # The arc of a hash: a fixed table by its top bits gives a first guess range, at most a few nodes wide.
-    top = 12
+    top = 14
     starts = [bisect_right(places, (i << (63 - top)) - 1) if i else 0 for i in range((1 << top) + 1)]
     wide = max(b - a for a, b in zip(starts, starts[1:]))
     table, at = F.array(*map(F.lit, starts)), F.array(*map(F.lit, [*places, *[(1 << 63) - 1] * (wide + 1)]))
