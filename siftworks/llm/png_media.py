@@ -77,6 +77,20 @@ def chunks(data: bytes):
         at += 12 + n
 
 
+def _diagonals(rows: np.ndarray, above: np.ndarray, kind: int) -> np.ndarray:
+    """Rows of the average or Paeth filter undone: samples of one diagonal need those of the last two only, so each is done at once."""
+    h, w = rows.shape
+    done = np.zeros((h + 1, w + 1), np.uint8)  # a row above and a column to the left
+    done[0, 1:] = above
+    for d in range(h + w - 1):
+        y = np.arange(max(0, d - w + 1), min(h, d + 1))
+        x = d - y
+        left, up, corner = done[y + 1, x], done[y, x + 1], done[y, x]
+        guess = ((left.astype(np.int16) + up) // 2).astype(np.uint8) if kind == 3 else _paeth(left, up, corner)
+        done[y + 1, x + 1] = rows[y, x] + guess
+    return done[1:, 1:]
+
+
 def unfilter(kinds: np.ndarray, rows: np.ndarray) -> np.ndarray:
     """Samples from filtered rows. Runs of rows with one filter that needs no finished row are undone at once."""
     out = np.zeros_like(rows)
@@ -90,12 +104,7 @@ def unfilter(kinds: np.ndarray, rows: np.ndarray) -> np.ndarray:
         elif kind == 2:
             out[i:j] = np.cumsum(np.concatenate([above[None], rows[i:j]]), axis=0, dtype=np.uint8)[1:]
         elif kind in (3, 4):
-            for y in range(i, j):
-                up, left, corner = (out[y - 1] if y else above), np.uint8(0), np.uint8(0)
-                for x in range(rows.shape[1]):
-                    guess = (int(left) + int(up[x])) // 2 if kind == 3 else int(_paeth(left, up[x], corner))
-                    left, corner = np.uint8((int(rows[y, x]) + guess) & 255), up[x]
-                    out[y, x] = left
+            out[i:j] = _diagonals(rows[i:j], above, kind)
         else:
             raise ValueError(f"unknown filter {kind}")
     return out
@@ -146,39 +155,43 @@ def cosine_hash(image: np.ndarray) -> str:
     return np.packbits(bits).tobytes().hex()
 
 
-def media_row(text: bytes | None):
-    """(media, read back payload, n_bytes) of one text; ValueError if the stored form does not read back."""
-    data = payload(text)
-    media = encode(np.frombuffer(data, np.uint8).reshape(-1, WIDTH))
-    image = decode(media)
-    back = image.tobytes()
-    if back != data:
-        raise ValueError("the stored image differs from its payload")
-    return media, back, image, len(text or b"")
+MEDIA = "doc_id bigint, n_bytes bigint, media binary"
 
 
-def _features(batches):
+def _encode(batches):
     for b in batches:
-        out = []
-        for text in b.column(1):
-            media, back, image, n = media_row(text.as_py())
-            out.append((n, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-WIDTH:]), len(media), hashlib.sha256(media).hexdigest(), cosine_hash(image)))
-        cols = list(zip(*out)) if out else [[]] * 7
-        kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-        yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, k) for c, k in zip(cols, kinds))], names=[c.split()[0] for c in SCHEMA.split(", ")])
+        texts = [x.as_py() or b"" for x in b.column(1)]
+        media = [encode(np.frombuffer(payload(t), np.uint8).reshape(-1, WIDTH)) for t in texts]
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(t) for t in texts], pa.int64()), pa.array(media, pa.binary())], names=["doc_id", "n_bytes", "media"])
 
 
-def media_features(docs: DataFrame) -> DataFrame:
-    """One row of digests for each row of docs; null texts count as empty, repeated rows give equal rows."""
-    return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("binary").alias("text")).mapInArrow(_features, SCHEMA)
+def to_media(docs: DataFrame) -> DataFrame:
+    """(doc_id, n_bytes, media binary): each text of docs (doc_id, text) as a PNG file; null texts count as empty, texts of any length are stored whole."""
+    return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("binary").alias("text")).mapInArrow(_encode, MEDIA)
 
 
-def _encode(batches):
+def _features(batches):
     for b in batches:
-        media = [media_row(x.as_py())[0] for x in b.column(1)]
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(media, pa.binary())], names=["doc_id", "media"])
+        out = []
+        for stored in b.column(2):
+            media = stored.as_py()
+            image = decode(media)
+            back = image.tobytes()
+            out.append((len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-WIDTH:]), len(media), hashlib.sha256(media).hexdigest(), cosine_hash(image)))
+        cols = list(zip(*out)) if out else [[]] * 6
+        kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(c, k) for c, k in zip(cols, kinds))], names=[c.split()[0] for c in SCHEMA.split(", ")])
 
 
-def to_media(docs: DataFrame) -> DataFrame:
-    """(doc_id, media binary): each text as a PNG file."""
-    return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("binary").alias("text")).mapInArrow(_encode, "doc_id bigint, media binary")
+def read_media(stored: DataFrame) -> DataFrame:
+    """One row of digests for each row of to_media(), from what its binary column holds: chunks checked, inflated, unfiltered. ValueError if it is damaged."""
+    return stored.select("doc_id", "n_bytes", "media").mapInArrow(_features, SCHEMA)
+
+
+def media_features(docs: DataFrame) -> DataFrame:
+    """One row of digests for each row of docs (doc_id, text), which are stored as a binary column and read back.
+
+    Null texts count as empty; repeated rows and equal texts give equal values; texts of any length are stored whole. There are no ties.
+    An empty table gives an empty result. Columns of other names are not looked at.
+    """
+    return read_media(to_media(docs))

@@ -29,6 +29,7 @@ NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 PARTS = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 KNOWN_PARTS = 500_000
+LONG_PART = 400  # characters from which a part, as in scripts without blanks, is not remembered
 os.environ.setdefault("RAYON_NUM_THREADS", "2")  # the cores of a task's executor share the library's threads
 
 
@@ -197,12 +198,14 @@ class Model:
             for i in o:
                 f[i] = known[s[i]]
         ids = [b"".join(f) for f in found]
+        if other is not None and new and not (self.char_norm or self.trim or not self.dummy_prefix):
+            self.odd |= self.verify(new, known, other)
+        for p in [p for p in new if len(p) > LONG_PART]:
+            del known[p]
         if other is None:
             return ids
         if self.char_norm or self.trim or not self.dummy_prefix:
             return [(x, array("i", other.encode(t)).tobytes() == x) for x, t in zip(ids, texts)]
-        if new:
-            self.odd |= self.verify(new, known, other)
         return [(x, not self.odd or self.odd.isdisjoint(s)) for x, s in zip(ids, split)]
 
     def decode(self, ids: bytes) -> str:
@@ -265,7 +268,8 @@ def token_report(docs: DataFrame, path: str | None = None) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, round_trip, parity) for every row of docs (doc_id, text).
 
     ids_sha256 is of little-endian int32 ids; round_trip: decoding gives the normalised text back; parity: the sentencepiece
-    library makes the same ids of all of the text. Null and empty texts have no tokens; repeated rows give equal rows.
+    library makes the same ids of all of the text. Null and empty texts have no tokens; repeated rows give equal rows; texts of any length are
+    encoded whole. Pieces of equal score merge from the left. An empty table gives an empty result. Columns of other names are not looked at.
     """
     proto = model_bytes(path)
 

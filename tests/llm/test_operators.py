@@ -178,6 +178,15 @@ def test_png_filters_round_trip():
     image = np.random.default_rng(0).integers(0, 256, (9, 64)).astype(np.uint8)
     for kind in (None, 0, 1, 2, 3, 4):
         assert (png_media.decode(png_media.encode(image, kind)) == image).all()
+    mixed = np.array([0, 4, 4, 3, 2, 3, 4, 1, 4])  # a filter a row, undone sample by sample
+    filtered = np.random.default_rng(1).integers(0, 256, (9, 64)).astype(np.uint8)
+    want = np.zeros((10, 65), int)
+    for y in range(9):
+        for x in range(64):
+            a, b, c = want[y + 1, x], want[y, x + 1], want[y, x]
+            near = min((abs(b - c), 0, a), (abs(a - c), 1, b), (abs(a + b - 2 * c), 2, c))[2]
+            want[y + 1, x + 1] = (int(filtered[y, x]) + (0, a, b, (a + b) // 2, near)[mixed[y]]) & 255
+    assert (png_media.unfilter(mixed, filtered) == want[1:, 1:]).all()
     bad = bytearray(png_media.encode(image))
     bad[60] ^= 1
     with pytest.raises(ValueError):
@@ -198,6 +207,17 @@ def test_media_rows(docs, rows, none):
     assert png_media.decode(media[0]).tobytes().rstrip(b"\0").decode() == rows[0][1]
 
 
+def test_cosine_hash_by_definition():
+    """The 8 x 8 low frequencies of the 32 x 32 means of the image, each against their median."""
+    image = np.random.default_rng(2).integers(0, 256, (70, 64)).astype(np.uint8)
+    at = [y * 70 // 32 for y in range(33)]
+    small = np.array([[image[at[y] : at[y + 1], 2 * x : 2 * x + 2].mean() for x in range(32)] for y in range(32)])
+    wave = [[np.cos(np.pi * (2 * i + 1) * k / 64) for i in range(32)] for k in range(8)]
+    freq = [sum(small[y, x] * wave[u][y] * wave[v][x] for y in range(32) for x in range(32)) for u in range(8) for v in range(8)]
+    bits = "".join("1" if i and f > np.median(freq[1:]) else "0" for i, f in enumerate(freq))
+    assert png_media.cosine_hash(image) == f"{int(bits, 2):016x}"
+
+
 def test_cosine_hash_tells_like_from_unlike():
     smooth = np.add.outer(np.arange(64), np.arange(64)).astype(np.uint8)
     other = np.random.default_rng(0).integers(0, 256, (64, 64)).astype(np.uint8)
