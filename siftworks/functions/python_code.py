@@ -120,8 +120,9 @@ def rewrite_first(code: str, change: Rewrite) -> str | None:
 
 def _swap_compare(table: dict) -> Rewrite:
     def change(n):
-        if isinstance(n, ast.Compare) and type(n.ops[0]) in table:
-            n.ops[0] = table[type(n.ops[0])]()
+        at = next((i for i, op in enumerate(n.ops) if type(op) in table), None) if isinstance(n, ast.Compare) else None
+        if at is not None:  # the first operator of a chain that has another
+            n.ops[at] = table[type(n.ops[at])]()
             return n
 
     return change
@@ -133,7 +134,9 @@ def _call_named(n, *names: str) -> bool:
 
 def _shift_range(by: int) -> Rewrite:
     def change(n):
-        if _call_named(n, "range") and n.args:
+        if not _call_named(n, "range") or not n.args:
+            return None
+        if not any(_call_named(x, "range") and x.args for a in n.args for x in ast.walk(a)):  # the innermost of a nest
             op = ast.Sub() if by < 0 else ast.Add()
             n.args[-1] = ast.BinOp(n.args[-1], op, ast.Constant(abs(by)))
             return n

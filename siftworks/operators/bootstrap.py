@@ -1,23 +1,38 @@
-"""Paired bootstrap intervals without gathering rows: replicate weights come from hashes."""
+"""Paired bootstrap intervals from counts: rows with equal outcomes are drawn together."""
 
 from __future__ import annotations
 
+import zlib
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def paired_interval(rows: DataFrame, keys: list[str], row_id: str, a: str, b: str, draws: int = 10_000, seed: int = 42) -> DataFrame:
-    """(keys, n, delta, low, high): mean of b - a and its 95 % interval over Poisson bootstrap replicates.
+def replicate_means(delta: np.ndarray, n: np.ndarray, draws: int, seed: int) -> np.ndarray:
+    """Sorted means of `draws` Poisson bootstrap replicates of n rows for each value of delta.
 
-    Each row weighs in each replicate by a Poisson(1) draw fixed by seed, row and replicate, so rows never
-    move: sums by replicate are partial, and what is shuffled is draws rows a task and key.
+    A row weighs by a Poisson(1) draw in each replicate; n rows that are alike weigh by a Poisson(n) draw together, which is the same law.
     """
-    u = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col(row_id), F.col("draw")), 11).cast("double") + 0.5) / float(1 << 53)
-    steps = [0.36787944, 0.73575888, 0.91969860, 0.98101184, 0.99634015, 0.99940582, 0.99991676]  # Poisson(1) distribution function
-    weight = sum(((u > s).cast("int") for s in steps), F.lit(0))
-    x = rows.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1)))).withColumn("w", weight)
-    means = x.groupBy(*keys, "draw").agg((F.sum(F.col("w") * (F.col(b) - F.col(a))) / F.greatest(F.sum("w"), F.lit(1))).alias("m"))
-    ends = means.groupBy(*keys).agg(F.sort_array(F.collect_list("m")).alias("m"))
-    at = lambda q: F.element_at("m", int(q * draws) + 1)
-    mean = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.avg(F.col(b) - F.col(a)).alias("delta"))
-    return mean.join(ends, keys).select(*keys, "n", F.round("delta", 6).alias("delta"), F.round(at(0.025), 6).alias("low"), F.round(at(0.975), 6).alias("high"))
+    weights = np.random.default_rng(seed).poisson(n, (draws, len(n)))
+    return np.sort((weights * delta).sum(1) / np.maximum(weights.sum(1), 1))
+
+
+def paired_interval(rows: DataFrame, keys: list[str], a: str, b: str, draws: int = 10_000, seed: int = 42) -> DataFrame:
+    """(keys, n, delta, low, high): mean of b - a and its 95 % interval over `draws` bootstrap replicates.
+
+    Rows are counted by value of b - a first, so what a task gets is a few counts a key, however many rows there are. The draws are fixed
+    by seed and key.
+    """
+    counts = rows.groupBy(*keys, (F.col(b) - F.col(a)).cast("double").alias("delta")).agg(F.count("*").alias("n"))
+    types = {f.name: f.dataType.simpleString() for f in rows.schema}
+
+    def interval(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("delta")
+        key = [pdf[k].iloc[0] for k in keys]
+        means = replicate_means(pdf.delta.to_numpy(), pdf.n.to_numpy(), draws, zlib.crc32(repr([seed, *map(str, key)]).encode()))
+        low, high = (round(float(means[int(q * draws)]), 6) for q in (0.025, 0.975))
+        return pd.DataFrame([[*key, int(pdf.n.sum()), round(float((pdf.delta * pdf.n).sum() / pdf.n.sum()), 6), low, high]], columns=[*keys, "n", "delta", "low", "high"])
+
+    return counts.groupBy(*keys).applyInPandas(interval, ", ".join(f"{k} {types[k]}" for k in keys) + ", n bigint, delta double, low double, high double")

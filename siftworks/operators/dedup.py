@@ -39,11 +39,11 @@ def ngrams(text: Column, n: int = 3) -> Column:
 
 
 def contamination(docs: DataFrame, frozen: DataFrame, doc: str, item: str, text: str = "text", least: int = 20) -> DataFrame:
-    """(doc, item, shared, containment) of rows that share `least` or more n-grams with a frozen item, by an inverted index."""
+    """(doc, item, shared, containment) of rows that share `least` or more n-grams with a frozen item, or all of a shorter one, by an inverted index."""
     index = frozen.select(item, F.explode(ngrams(F.col(text))).alias("g"))
     sizes = index.groupBy(item).agg(F.count("*").alias("n"))
-    hits = docs.select(doc, F.explode(ngrams(F.col(text))).alias("g")).join(index, "g").groupBy(doc, item).agg(F.count("*").alias("shared")).where(F.col("shared") >= least)
-    return hits.join(sizes, item).select(doc, item, "shared", (F.col("shared") / F.col("n")).alias("containment"))
+    hits = docs.select(doc, F.explode(ngrams(F.col(text))).alias("g")).join(index, "g").groupBy(doc, item).agg(F.count("*").alias("shared"))
+    return hits.join(sizes, item).where(F.col("shared") >= F.least(F.lit(least), F.col("n"))).select(doc, item, "shared", (F.col("shared") / F.col("n")).alias("containment"))
 
 
 def rank_first(df: DataFrame, group: list[str], order: list[Column], k: int) -> DataFrame:

@@ -21,12 +21,12 @@ both("id_dedup_keep_first", "D3 S21", "select source, lang, doc_id, n_chars from
 both(
     "signature_dedup_reason",
     "D4",
-    f"with {HASHED}, m as (select hash, min(doc_id) as first_doc from h group by hash), k as (select substr(text, 1, 64) as head, lang, min(doc_id) as first_doc from documents group by 1, 2) select h.doc_id, case when m.first_doc < h.doc_id then 'full_signature' when k.first_doc < h.doc_id then 'structural_signature' else 'kept' end as verdict from h join m on m.hash = h.hash join documents d on d.doc_id = h.doc_id join k on k.head = substr(d.text, 1, 64) and k.lang = d.lang",
+    f"with {HASHED}, m as (select hash, min(doc_id) as first_doc from h group by hash), s as (select doc_id, SHA(REPLACE_ALL(lower(text), '[^a-z]+', ' ')) as shape, lang from documents where text is not null), k as (select shape, lang, min(doc_id) as first_doc from s group by 1, 2) select h.doc_id, case when m.first_doc < h.doc_id then 'full_signature' when k.first_doc < h.doc_id then 'structural_signature' else 'kept' end as verdict from h join m on m.hash = h.hash join s on s.doc_id = h.doc_id join k on k.shape = s.shape and k.lang = s.lang",
 )
 both(
     "benchmark_contamination",
     "X5 X6 J4 D8 D11",
-    f"with d as (select doc_id as id, {TOKENS} as t from documents), b as (select item_id as id, {TOKENS} as t from benchmark), dg as (select id, EXPLODE({GRAMS}) as g from d), bg as (select id, EXPLODE({GRAMS}) as g from b), n as (select id, LONG(count(*)) as n from bg group by id) select dg.id as doc_id, bg.id as item_id, LONG(count(*)) as shared, round(DOUBLE(count(*)) / DOUBLE(max(n.n)), 6) as containment from dg join bg on dg.g = bg.g join n on n.id = bg.id group by dg.id, bg.id having count(*) >= 20",
+    f"with d as (select doc_id as id, {TOKENS} as t from documents), b as (select item_id as id, {TOKENS} as t from benchmark), dg as (select id, EXPLODE({GRAMS}) as g from d), bg as (select id, EXPLODE({GRAMS}) as g from b), n as (select id, LONG(count(*)) as n from bg group by id) select dg.id as doc_id, bg.id as item_id, LONG(count(*)) as shared, round(DOUBLE(count(*)) / DOUBLE(max(n.n)), 6) as containment from dg join bg on dg.g = bg.g join n on n.id = bg.id group by dg.id, bg.id having count(*) >= least(20, max(n.n))",
 )
 # Sets with a Jaccard index over 0.7 share one of the first 30 % (and one more) of their grams in any common order,
 # so candidates come from an equality on such grams and not from all pairs of a bucket.
@@ -38,7 +38,7 @@ both(
 both(
     "dedup_summary",
     "D9 A40",
-    f"with {HASHED}, g as (select hash, LONG(count(*)) as n, COUNT_IF(split = 'train') as a, COUNT_IF(split = 'val') as b, COUNT_IF(split = 'test') as c from h group by hash) select LONG(count(*)) as n_hashes, COUNT_IF(n > 1) as n_groups, LONG(sum(n - 1)) as n_extra, LONG(sum(a * b + a * c + b * c)) as n_cross_pairs, LONG(0) as unresolved, 'PASS' as conclusion from g",
+    f"with {HASHED}, g as (select hash, LONG(count(*)) as n, COUNT_IF(split = 'train') as a, COUNT_IF(split = 'val') as b, COUNT_IF(split = 'test') as c, min(doc_id) as first_doc from h group by hash), q as (select g.*, a * b + a * c + b * c as crossing, l.doc_id is not null as reviewed from g left join (select distinct doc_id from labels) l on l.doc_id = g.first_doc) select LONG(count(*)) as n_hashes, COUNT_IF(n > 1) as n_groups, LONG(sum(n - 1)) as n_extra, LONG(sum(crossing)) as n_cross_pairs, COUNT_IF(crossing > 0 and not reviewed) as unresolved, case when COUNT_IF(crossing > 0 and not reviewed) = 0 then 'PASS' else 'FAIL' end as conclusion from q",
 )
 both("review_queue", "D9 D6 D7", f"with {HASHED} select hash, min(doc_id) as representative, LONG(count(*)) as members, LONG(count(distinct split)) as splits, 'quarantine' as status from h group by hash having count(distinct split) > 1")
 both("family_leakage", "D10 U2", f"with s as (select distinct source as family, {SPLIT3} as split from documents) select a.split as split_a, b.split as split_b, LONG(count(*)) as shared from s a join s b on a.family = b.family and a.split < b.split group by a.split, b.split")

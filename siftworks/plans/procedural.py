@@ -7,8 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions import protocols, python_code
-from ..operators import bootstrap, state
+from ..functions import protocols, python_code, workspace
+from ..operators import bootstrap, state, stopping
 from .catalogue import register, table
 
 # A code sample for each document: the text sets its numbers and its shape.
@@ -116,7 +116,7 @@ def protocol_diagnostics(spark, sf_dir):
 def paired_bootstrap(spark, sf_dir):
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     x = docs.join(labels, "doc_id").select("lang", "doc_id", ((F.col("quality") == 1) & (F.col("n_chars") % 3 > 0)).cast("int").alias("a"), (F.col("quality") == 1).cast("int").alias("b"))
-    return bootstrap.paired_interval(x, ["lang"], "doc_id", "a", "b")
+    return bootstrap.paired_interval(x, ["lang"], "a", "b")
 
 
 @register("early_stop_fold", "ST3 ST4 B12 B13")
@@ -143,3 +143,58 @@ def file_manifest(spark, sf_dir):
 @register("replay_trajectories", "V10 V10a V10b V10c S15")
 def replay_trajectories(spark, sf_dir):
     return state.replay(table(spark, sf_dir, "conversations"))
+
+
+@register("stop_machine", "ST3 ST4")
+def stop_machine(spark, sf_dir):
+    """Events of each user as probes and, where they are purchases, full validations."""
+    x = table(spark, sf_dir, "events")
+    nth = F.pmod(F.xxhash64("event_id"), F.lit(1000))
+    rows = x.select("user_id", "ts", "event_id", F.when(F.col("event_type") == "purchase", "full").otherwise("probe").alias("kind"), (F.col("value") / 100).cast("double").alias("value"), (nth % 4).cast("double").alias("epoch"), (1 - (nth % 7) / 100).alias("syntax"), F.when(nth == 0, 0.1).otherwise(0.0).alias("timeout"))
+    return stopping.fold(rows, "user_id", ["ts", "event_id"])
+
+
+TASKS = (
+    ("def solution(xs):\n    return sum(xs) - 1\n", "sum(xs) - 1", "sum(xs)", "assert solution([1, 2]) == 3\nassert solution([]) == 0\n"),
+    ("def solution(s):\n    return s[1:]\n", "s[1:]", "s[::-1]", "assert solution('abc') == 'cba'\n"),
+    ("def solution(n):\n    return n > 0\n", "n > 0", "n >= 0", "assert solution(0)\nassert not solution(-1)\n"),
+)
+PLAN = ("inspect_task", "list_files", "read_file", "run_tests", "propose_patch", "apply_patch", "run_tests", "write_memory", "finish")
+REPLAY = ("actions", "valid", "tools", "tool_errors", "patches", "patched", "tests", "passed", "finish_without_tests", "mismatch")
+
+
+def trajectory(old: str, new: str) -> list[dict]:
+    """Inspect, test, patch, test again and finish."""
+    patch = {"path": "solution.py", "old": old, "new": new}
+    arguments = {"read_file": {"path": "solution.py"}, "propose_patch": patch, "apply_patch": patch, "write_memory": {"memory": {"done": True}}, "finish": {"criterion": "test_pass", "tests_passed": True}}
+    return [{"kind": k} | arguments.get(k, {}) for k in PLAN]
+
+
+@register("workspace_replay", "V10 V10a V10b V10c V10d V10e V10f V11 S15 A31 A35")
+def workspace_replay(spark, sf_dir):
+    """Each conversation's task replayed on a workspace, clean and spoilt in five ways at a step that its number sets. Equal replays run once."""
+    import os
+
+    kinds = ("none", *workspace.SPOILS)
+    steps = len(PLAN)
+
+    def run(batches):
+        os.environ[workspace.NETWORK] = "0"  # the sandbox's processes get no network from here
+        for pdf in batches:
+            out = []
+            for k, spoil, at in zip(pdf["task"], pdf["spoil"], pdf["at"]):
+                code, old, new, tests = TASKS[k]
+                space = workspace.Workspace({"solution.py": code, "test_solution.py": tests}, task=f"task {k}")
+                got = workspace.replay(space, workspace.spoilt(trajectory(old, new), None if spoil == "none" else spoil, int(at)))
+                undone = None
+                if done := next((r["action_id"] for r in space.log if r["success"]), None):
+                    space.rollback_patch(done)
+                    undone = space.files["solution.py"] == code
+                out.append([k, spoil, at, *(got[c] for c in REPLAY), got["success"], got["finished"], got["max_steps_hit"], undone])
+            yield pd.DataFrame(out, columns=["task", "spoil", "at", *REPLAY, "success", "finished", "max_steps_hit", "undone"])
+
+    turns = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.count("*").alias("turns"))
+    wanted = turns.select("conv_id", (F.col("conv_id") % len(TASKS)).cast("int").alias("task"), (F.col("turns") % steps).cast("int").alias("at"), F.explode(F.array(*map(F.lit, kinds))).alias("spoil"))
+    schema = "task int, spoil string, at int, " + ", ".join(f"{c} int" for c in REPLAY) + ", success boolean, finished boolean, max_steps_hit boolean, undone boolean"
+    done = wanted.select("task", "spoil", "at").distinct().repartition("task", "spoil", "at").mapInPandas(run, schema)
+    return wanted.join(done, ["task", "spoil", "at"])

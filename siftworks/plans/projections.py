@@ -5,7 +5,7 @@ from .dedup import GRAMS, NORM, TOKENS
 
 IDS = "i as (select doc_id, concat('m_', TEXT(doc_id), case doc_id % 5 when 0 then '_sr_off_by_one' when 1 then '_er_index' when 2 then '_sr_x_er_y' when 3 then '_boundary' else '' end) as sid, text, lang, n_chars from documents)"
 
-both("chatml_projection", "P1 P2", f"select doc_id, concat_ws(concat(NEWLINE(), NEWLINE()), case when length(text) > 0 then substr(text, 1, 200) end, case when lang = 'en' then concat('```python', NEWLINE(), substr(text, 1, 50), NEWLINE(), '```') end, case when n_chars > 2000 then 'Fix it.' end) as user_message, case when n_chars > 1000 then LONG(3) else LONG(2) end as n_messages from documents")
+both("chatml_projection", "P1 P2", f"select doc_id, concat_ws(concat(NEWLINE(), NEWLINE()), case when length(text) > 0 then text end, case when lang = 'en' then concat('```python', NEWLINE(), text, NEWLINE(), '```') end, case when n_chars > 2000 then 'Fix it.' end) as user_message, case when n_chars > 1000 then LONG(3) else LONG(2) end as n_messages from documents")
 both("last_user_split", "P3", "with u as (select conv_id, max(case when role = 'user' then turn end) as last_user from conversations group by conv_id) select c.conv_id, COUNT_IF(c.turn <= u.last_user) as prompt_turns, COUNT_IF(c.turn > u.last_user) as answer_turns from conversations c join u on u.conv_id = c.conv_id group by c.conv_id")
 both("variant_and_bug_types", "P4 P5 P6 P7 B4", f"with {IDS} select sid, case when sid like '%boundary' then 'boundary' when sid like '%sr%' then 'static_repair' when sid like '%er%' then 'execution_repair' else 'code' end as variant, nullif(FIND(sid, '^.*_(sr|er)_(.+)$', 2), '') as greedy, case when sid like '%\\_sr\\_%' then 'a' end as marker, case when contains(sid, '_sr_') then nullif(FIND(sid, '_sr_(.+)$', 1), '') when contains(sid, '_er_') then nullif(FIND(sid, '_er_(.+)$', 1), '') end as first_marker, case when contains(sid, 'branch_deletion') then 'branch_deletion' when contains(sid, 'off_by_one') then 'off_by_one' when contains(sid, 'index') then 'index' end as ladder from i".replace("case when sid like '%\\_sr\\_%' then 'a' end as marker, ", ""))
 both("difficulty_levels", "P8", "select doc_id, case when n_chars < 200 then 0 when n_chars < 500 then 1 when n_chars < 1000 then 2 when n_chars < 2000 then 3 else 4 end as difficulty, coalesce(TRY_INT(substr(source, 4)), -1) as source_number from documents")
@@ -36,8 +36,8 @@ both("json_repair", "X18 X17", "select event_id, concat(REPLACE_ALL(concat(subst
 both("strict_parsing", "X22", "select doc_id, TRY_INT(substr(source, 4)) as as_int, case lower(lang) when 'en' then true when 'fr' then false end as as_bool, try_cast(concat('1.', substr(source, 4)) as double) as as_float from documents")
 both("failure_class_ladder", "X23", "select conv_id, turn, case when text is null or length(text) < 20 then 'FORMAT' when role not in ('user', 'assistant', 'system') then 'TYPE' when contains(lower(text), 'password') then 'SAFETY' when not contains(text, '.') then 'ARGUMENTS' when length(text) > 4000 then 'SCHEMA' else 'OK' end as failure_class from conversations")
 both("unique_patch", "X27 V11", "with c as (select doc_id, text, LONG((length(text) - length(replace(text, ' the ', ''))) / 5) as n from documents) select doc_id, case n when 0 then 'not_found' when 1 then 'ok' else 'not_unique' end as status, case n when 1 then SHA(replace(text, ' the ', ' a ')) end as patched from c")
-both("indent_tests", "X28", "select doc_id, SHA(JOIN(EACH(LINES(substr(text, 1, 2000)), concat('    ', x)), NEWLINE())) as indented from documents")
-both("retention_check", "X33 Q3", "with a as (select conv_id, max(case when role = 'assistant' then text end) as answer, max(case when role = 'user' then substr(text, 1, 20) end) as target from conversations group by conv_id) select COUNT_IF(SAFE(contains(answer, target))) as retained, LONG(count(*)) as n from a")
+both("indent_tests", "X28", "select doc_id, SHA(JOIN(EACH(LINES(text), concat('    ', x)), NEWLINE())) as indented from documents")
+both("retention_check", "X33 Q3", "with a as (select conv_id, max(case when role = 'assistant' then text end) as answer, max(case when role = 'user' then text end) as target from conversations group by conv_id) select COUNT_IF(SAFE(contains(answer, target))) as retained, LONG(count(*)) as n from a")
 both("padded_lengths", "X35", "with t as (select conv_id, turn, SIZE(FIND_ALL(text, '[^ \\t\\n\\r]+')) as n from conversations) select conv_id, turn, n, max(n) over (partition by conv_id) - n as padding from t")
 both("preserved_answers", "X34", "with t as (select conv_id, role, WHERE_EACH(SPLIT(text, ' '), x <> '') as w from conversations) select conv_id, LONG(sum(case when role = 'assistant' then SIZE(SLICE(w, 1, 64)) else SIZE(SLICE(w, 1, 32)) end)) as kept from t group by conv_id")
 both("bankers_rounding", "X24", "select l_orderkey, l_linenumber, BROUND(l_quantity / 4, 0) as q0, BROUND(l_discount * 10, 1) as d1 from lineitem")

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import scratch
+
 SAMPLE = (
     "sample_id STRING, family_id STRING, difficulty INT, task_type STRING, language STRING, skill_tags ARRAY<STRING>, instruction STRING, broken_code STRING, "
     "execution_feedback STRING, target_code STRING, public_tests STRING, hidden_tests STRING, verified BOOLEAN, "
@@ -57,6 +60,13 @@ def read_skipping(spark: SparkSession, paths: str | list[str], schema: str = SAM
     return spark.read.schema(schema).option("mode", "DROPMALFORMED").json(paths)
 
 
+def read_samples_only(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """Samples of files that may not hold chat records: one that does fails the job."""
+    df = spark.read.schema(f"{SAMPLE}, messages ARRAY<STRUCT<role:STRING,content:STRING>>").json(paths)
+    guard = F.when(F.col("messages").isNotNull(), F.raise_error(F.lit("chat record where samples are expected")).cast("boolean")).otherwise(F.lit(True))
+    return df.where(guard).drop("messages")
+
+
 def read_either(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """(sample_id, messages) of files that hold samples or chat records."""
     df = spark.read.schema(f"{SAMPLE}, messages ARRAY<STRUCT<role:STRING,content:STRING>>").json(paths)
@@ -107,9 +117,77 @@ def split_rejects(df: DataFrame, reason: Column) -> tuple[DataFrame, DataFrame]:
 
 
 def artifact_manifest(spark: SparkSession, folder: str) -> DataFrame:
-    """(path, sha256, size, lines) of every file under a folder."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
-    return files.select("path", F.sha2("content", 256).alias("sha256"), F.col("length").alias("size"), (F.length(F.decode("content", "ISO-8859-1")) - F.length(F.replace(F.decode("content", "ISO-8859-1"), F.lit("\n"), F.lit("")))).alias("lines"))
+    """(path, sha256, size, lines) of every file under a folder, each hashed on an executor as it stands there."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select("path", "length", "content")
+
+    def run(batches):
+        for pdf in batches:
+            yield pdf.assign(sha256=[hashlib.sha256(c).hexdigest() for c in pdf.content], lines=[c.count(b"\n") for c in pdf.content]).rename(columns={"length": "size"})[["path", "sha256", "size", "lines"]]
+
+    return files.mapInPandas(run, "path string, sha256 string, size bigint, lines bigint")
+
+
+def lock_hash(spark: SparkSession, paths: list[str]) -> tuple[str, dict[str, str]]:
+    """(SHA-256 of the files' bytes one after another in the order given, SHA-256 of each), CRLF read as LF. For small files that are frozen."""
+    whole, each = hashlib.sha256(), {}
+    for path in paths:
+        rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content").orderBy("path").toLocalIterator()
+        data = b"".join(bytes(r.content) for r in rows).replace(b"\r\n", b"\n")
+        whole.update(data)
+        each[path] = hashlib.sha256(data).hexdigest()
+    return whole.hexdigest(), each
+
+
+def lock_errors(spark: SparkSession, lock: dict, paths: dict[str, str]) -> list[str]:
+    """What differs between a lock, {name_sha256: ..., sha_lock: ...}, and the files by name, whose order is the lock's."""
+    missing = [f"{name}: file missing" for name, path in paths.items() if not scratch.exists(spark, path)]
+    if missing:
+        return missing
+    whole, each = lock_hash(spark, list(paths.values()))
+    found = {f"{name}_sha256": each[path] for name, path in paths.items()} | {"sha_lock": whole}
+    return [f"{k}: lock={lock.get(k)} actual={v}" for k, v in found.items() if lock.get(k) != v]
+
+
+def missing_fields(report: dict, fields: list[str]) -> list[str]:
+    """Dotted fields that a report lacks or that are null in it."""
+    out = []
+    for name in fields:
+        at = report
+        for part in name.split("."):
+            at = at.get(part) if isinstance(at, dict) else None
+        if at is None:
+            out.append(name)
+    return out
+
+
+def backup_once(spark: SparkSession, path: str, mark: str = ".bak") -> bool:
+    """Copies what is at path to path + mark if there is no such copy yet; True if it did."""
+    if not scratch.exists(spark, path) or scratch.exists(spark, path + mark):
+        return False
+    scratch.copy(spark, path, path + mark)
+    return True
+
+
+def write_once(df: DataFrame, path: str, frozen: tuple[str, ...] = ()) -> None:
+    """Writes JSON lines where nothing is yet, and never below a frozen folder."""
+    inside = [f for f in frozen if path.rstrip("/") == f.rstrip("/") or path.startswith(f.rstrip("/") + "/")]
+    if inside:
+        raise ValueError(f"frozen: {inside[0]}")
+    if scratch.exists(df.sparkSession, path):
+        raise FileExistsError(path)
+    write_jsonl(df, path)
+
+
+def markdown(title: str, sections: dict[str, list[dict]]) -> str:
+    """A report: a heading, then for each section a heading and a table of its rows; nulls show as '-'."""
+    lines = [f"# {title}"]
+    for name, rows in sections.items():
+        lines += ["", f"## {name}", ""]
+        columns = list(dict.fromkeys(c for r in rows for c in r))
+        if columns:
+            lines += ["| " + " | ".join(columns) + " |", "|" + " --- |" * len(columns)]
+        lines += ["| " + " | ".join("-" if r.get(c) is None else str(r[c]).replace("|", "\\|") for c in columns) + " |" for r in rows] or ["(none)"]
+    return "\n".join(lines) + "\n"
 
 
 def write_report(report: dict, path: str) -> None:
