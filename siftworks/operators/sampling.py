@@ -17,6 +17,17 @@ def draw(key: str, seed: int = 42) -> Column:
     return F.sha2(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string")), 256)
 
 
+def ranks(df: DataFrame, order: list[str]) -> tuple[DataFrame, int]:
+    """(df with rank, 1 for the first row by `order`; number of rows). Rows are sorted by ranges, and only the ranges' sizes reach the driver."""
+    rows = df.orderBy(*order).withColumns({"_at": F.monotonically_increasing_id(), "_p": F.spark_partition_id()})
+    sizes = dict(rows.groupBy("_p").count().collect())
+    ahead, total = {}, 0
+    for p in sorted(sizes):
+        ahead[p], total = total, total + sizes[p]
+    base = F.element_at(F.create_map(*(F.lit(x) for kv in (ahead or {0: 0}).items() for x in kv)), F.col("_p"))
+    return rows.withColumn("rank", base + F.col("_at").bitwiseAND((1 << 33) - 1) + 1).drop("_at", "_p"), total
+
+
 def group_split(df: DataFrame, group: str, fractions: dict[str, float], seed: int = 42, exact: bool = False) -> DataFrame:
     """df with a split column; rows of one group stay together and the last split takes what rounding leaves.
 
@@ -29,14 +40,8 @@ def group_split(df: DataFrame, group: str, fractions: dict[str, float], seed: in
         ranked = df.sparkSession.createDataFrame(list(zip(names, range(1, len(names) + 1))), T.StructType([*keys.schema.fields, T.StructField("_rn", T.IntegerType())]))
         n = len(names)
     else:
-        n = keys.count()
-        order = keys.orderBy(draw(group, seed), group).select(group, F.monotonically_increasing_id().alias("_at"), F.spark_partition_id().alias("_p"))
-        sizes = dict(order.groupBy("_p").count().collect())
-        ahead, total = {}, 0
-        for p in sorted(sizes):
-            ahead[p], total = total, total + sizes[p]
-        base = F.element_at(F.create_map(*(F.lit(x) for kv in (ahead or {0: 0}).items() for x in kv)), F.col("_p"))
-        ranked = order.withColumn("_rn", base + F.col("_at").bitwiseAND((1 << 33) - 1) + 1)
+        rows, n = ranks(keys.withColumn("_draw", draw(group, seed)), ["_draw", group])
+        ranked = rows.select(group, F.col("rank").alias("_rn"))
     cut, edge = F.lit(list(fractions)[-1]), 0
     ends = []
     for name in list(fractions)[:-1]:

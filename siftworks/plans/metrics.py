@@ -1,6 +1,8 @@
 """Conditional rates, breakdowns, percentiles, hashes, model comparison and its statistics."""
 
-from .catalogue import both
+from pyspark.sql import functions as F
+
+from .catalogue import both, register, table
 
 # Outcomes: a labelled document is a task result; three derived models stand for evaluated ones.
 OUT = "o as (select d.doc_id, d.source as family, d.lang, case when d.lang = 'en' then 'code_generation' when d.lang = 'fr' then 'static_repair' else 'execution_repair' end as task_type, d.n_chars, d.n_chars > 40 as syntax_ok, l.quality = 1 as public_passed, l.quality = 1 and d.n_chars < 3000 as hidden_passed, d.n_chars > 100 as hidden_present, l.toxic = 1 as timed_out, d.n_chars % 7 <> 0 as format_ok, case when d.lang <> 'en' and d.n_chars % 5 > 0 then l.quality = 1 end as repaired, case when d.n_chars % 3 > 0 then l.toxic = 1 end as broke from documents d join labels l on l.doc_id = d.doc_id)"
@@ -46,7 +48,7 @@ both("pool_stats", "A16", "with f as (select source, count(*) as n from document
 both("replay_ratios", "A17 X24", "select case when source in ('src0', 'src1') then 'replay_code' when source like 'src1%' then 'replay_boundary' else 'new' end as bucket, BROUND(DOUBLE(count(*)) / DOUBLE(sum(count(*)) over ()), 6) as ratio from documents group by 1")
 Q5 = ", ".join(f"LONG(BROUND(QUANTILE(DOUBLE(n_chars), {q}), 0)) as p{int(q * 100)}" for q in (0.5, 0.9, 0.95, 0.99))
 both("length_percentiles", "A18 A19 B10", f"select lang, LONG(count(*)) as n, {Q5}, max(n_chars) as longest, BROUND(avg(DOUBLE(n_chars)), 2) as mean from documents group by lang")
-both("nearest_rank", "A21", "with r as (select lang, n_chars, row_number() over (partition by lang order by n_chars, doc_id) as rn, count(*) over (partition by lang) as n from documents) select lang, max(case when rn = floor(n / DOUBLE(2)) + 1 then n_chars end) as p50, max(case when rn = case when n > 10 then floor(DOUBLE(0.9) * n) + 1 else n end then n_chars end) as p90 from r group by lang")
+both("nearest_rank", "A21", "with h as (select lang, n_chars, LONG(count(*)) as c from documents where n_chars is not null group by lang, n_chars), r as (select lang, n_chars, sum(c) over (partition by lang order by n_chars) as upto, sum(c) over (partition by lang) as n from h) select lang, min(case when upto >= floor(n / DOUBLE(2)) + 1 then n_chars end) as p50, min(case when upto >= case when n > 10 then floor(DOUBLE(0.9) * n) + 1 else n end then n_chars end) as p90 from r group by lang")
 both("token_audit", "A22 X9", "with t as (select lang, SIZE(FIND_ALL(text, '[^ \\t\\n\\r]+')) as n from documents) select lang, LONG(sum(n)) as total, BROUND(avg(DOUBLE(n)), 4) as mean, max(n) as most, min(n) as least_n from t group by lang")
 both("truncation_audit", "A20 A23 X8 X34", "with t as (select conv_id, role, greatest(LONG(1), LONG(floor(length(text) / DOUBLE(4)))) as n from conversations where text is not null), c as (select conv_id, LONG(sum(n)) as total, LONG(sum(case when role = 'assistant' then 0 else n end)) as prompt from t group by conv_id) select case when total <= 384 then 'intact' when prompt < 384 then 'partial' else 'lost' end as status, LONG(count(*)) as n, LONG(sum(least(total, 384))) as kept_tokens from c group by 1")
 # A tree of hashes: rows of one of 4096 hash ranges are sorted together, then the ranges' digests.
@@ -56,7 +58,14 @@ both(
     "with r as (select lang, SHA(concat(TEXT(doc_id), ':', coalesce(text, ''))) as h from documents), b as (select lang, substr(h, 1, 3) as bucket, SHA(JOIN(SORTED_LIST(h), NEWLINE())) as digest, count(*) as n from r group by lang, substr(h, 1, 3)) select lang, SHA(JOIN(SORTED_LIST(concat(bucket, digest)), NEWLINE())) as digest, LONG(sum(n)) as n from b group by lang",
 )
 both("reject_histogram", "A28", "select substr(coalesce(nullif(r, ''), 'unknown'), 1, 60) as reason, LONG(count(*)) as n from (select case when n_chars < 300 then 'too short' when lang = 'de' then '' when n_chars > 5000 then 'too long' end as r from documents) q group by 1")
-both("missing_ids", "A29", "with g as (select EXPLODE(RANGE(lo, hi)) as id from (select LONG(min(doc_id)) as lo, LONG(max(doc_id)) as hi from labels) q) select g.id from g left join labels l on l.doc_id = g.id where l.doc_id is null")
+@register("missing_ids", "A29", "with g as (select EXPLODE(RANGE(lo, hi)) as id from (select LONG(min(doc_id)) as lo, LONG(max(doc_id)) as hi from labels) q) select g.id from g left join labels l on l.doc_id = g.id where l.doc_id is null")
+def missing_ids(spark, sf_dir):
+    """The range of ids is made in partitions, not exploded from one row."""
+    labels = table(spark, sf_dir, "labels")
+    ends = labels.agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).first()
+    ids = spark.range(ends.lo or 0, (-1 if ends.hi is None else ends.hi) + 1) if ends.lo is not None else spark.range(0)
+    return ids.join(labels, ids.id == labels.doc_id, "left_anti")
+
 both("duplicate_ids", "A38", "select l_orderkey as id, LONG(count(*)) as n, max(case when rn = 2 then l_linenumber end) as second_line from (select l_orderkey, l_linenumber, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey) as rn from lineitem) q group by l_orderkey having count(*) > 1")
 both("trajectory_rates", "A31 A35", "select role, LONG(count(*)) as steps, RATE(COUNT_IF(length(text) > 0), count(*)) as parse_rate, RATE(COUNT_IF(text like '%?%'), count(*)) as question_rate from conversations group by role")
 both("failure_taxonomy", "A32 B22", "with d as (select EXPLODE(ARRAY('FORMAT_PARSE_FAIL', 'SCHEMA_VALIDATION_FAIL', 'SAFETY_FAIL', 'TIMEOUT', 'REPEATED_ACTION_LOOP')) as class), c as (select case when length(text) < 30 then 'FORMAT_PARSE_FAIL' when text like '%?%' then 'SCHEMA_VALIDATION_FAIL' when length(text) > 3000 then 'TIMEOUT' end as class from conversations) select d.class as failure_class, LONG(count(c.class)) as n from d left join c on c.class = d.class group by d.class")

@@ -1,6 +1,10 @@
 """Splits, stratified samples, caps and quotas. Draws are ranks by a hash of seed and key, so they are the same anywhere."""
 
-from .catalogue import both
+from pyspark.sql import functions as F
+
+from ..operators import sampling
+from .catalogue import both, register, table
+from .dialect import spark_sql
 
 DRAW = "SHA(concat('42:', TEXT({})))".format
 LEVEL = "case when n_chars < 200 then 0 when n_chars < 500 then 1 when n_chars < 1000 then 2 when n_chars < 2000 then 3 else 4 end"
@@ -14,19 +18,26 @@ both("family_split_70_10_20", "G1 X24", f"with {FAMILY} select d.doc_id, f.key a
 both("family_split_counts", "G2", f"with {FAMILY}, s as (select {CUT} as split from f), x as (select 'train' as split union all select 'val' union all select 'test') select x.split, LONG(count(s.split)) as families, count(s.split) = 0 as empty_warning from x left join s on s.split = x.split group by x.split")
 both("partition_with_minimums", "G3", f"with {FAMILY} select key as family, case when rn <= least(n, greatest(5, BROUND(n * DOUBLE(0.1), 0))) then 'validation' when rn <= least(n, greatest(5, BROUND(n * DOUBLE(0.1), 0)) + greatest(8, BROUND(n * DOUBLE(0.15), 0))) then 'test' else 'train' end as part from f")
 both("split_60_40_ceil", "G4", f"with {FAMILY} select key as family, case when rn <= ceil(DOUBLE(0.6) * n) then 'selection' else 'heldout' end as part from f")
-both("stage_mix", "G5 B8", f"with {LEVELS}, {RANKED}, {MIX} select r.doc_id, r.difficulty from r join m on m.difficulty = r.difficulty where r.rn <= BROUND(200 * m.frac, 0)")
+both("stage_mix", "G5 B8", f"with {LEVELS}, {RANKED}, {MIX} select r.doc_id, r.difficulty from r join m on m.difficulty = r.difficulty where r.rn <= 200 and r.rn <= BROUND(200 * m.frac, 0)")
 both("stage_shortfall", "G5", f"with {LEVELS}, {MIX}, c as (select difficulty, count(*) as n from p group by difficulty) select m.difficulty, LONG(BROUND(2000 * m.frac, 0)) as target, LONG(coalesce(c.n, 0)) as available, LONG(greatest(BROUND(2000 * m.frac, 0) - coalesce(c.n, 0), 0)) as shortfall from m left join c on c.difficulty = m.difficulty")
 both("calibrated_total", "G6 B7", f"with {LEVELS}, {MIX}, c as (select difficulty, count(*) as n from p group by difficulty) select LONG(floor(min(coalesce(c.n, 0) / m.frac))) as zero_if_empty, LONG(floor(min(c.n / m.frac))) as empty_ignored from m left join c on c.difficulty = m.difficulty")
 both("stage_assembly", "G7 U1", f"with {LEVELS}, {RANKED}, {MIX}, t as (select floor(min(k.n / m.frac)) as total from (select difficulty, count(*) as n from p group by difficulty) k join m on m.difficulty = k.difficulty) select r.doc_id, 'new' as origin from r join m on m.difficulty = r.difficulty cross join t where r.rn <= BROUND(t.total * m.frac, 0) union all select doc_id, 'replay' from r where difficulty = 0 and rn <= 10")
-both("antiforget_mix", "G8", f"with {LEVELS}, s as (select doc_id, lang, row_number() over (partition by lang order by {DRAW('doc_id')}, doc_id) as rn from p where source <> 'src0') select doc_id, lang from s where rn <= case lang when 'en' then 60 when 'de' then 20 else 10 end")
-both("validation_slice", "G9", f"with r as (select doc_id, row_number() over (order by {DRAW('doc_id')}, doc_id) as rn, count(*) over () as n from documents) select doc_id from r where rn <= BROUND(n * DOUBLE(0.15), 0)")
+both("antiforget_mix", "G8", f"with {LEVELS}, s as (select doc_id, lang, row_number() over (partition by lang order by {DRAW('doc_id')}, doc_id) as rn from p where source <> 'src0') select doc_id, lang from s where rn <= 60 and rn <= case lang when 'en' then 60 when 'de' then 20 else 10 end")
+@register("validation_slice", "G9", f"with r as (select doc_id, row_number() over (order by {DRAW('doc_id')}, doc_id) as rn, count(*) over () as n from documents) select doc_id from r where rn <= BROUND(n * DOUBLE(0.15), 0)")
+def validation_slice(spark, sf_dir):
+    """Ranks come from ranges of the draw, so no task orders all rows."""
+    d = table(spark, sf_dir, "documents").select("doc_id", F.expr(spark_sql(DRAW("doc_id"))).alias("draw"))
+    ranked, n = sampling.ranks(d, ["draw", "doc_id"])
+    return ranked.where(F.col("rank") <= round(n * 0.15)).select("doc_id")
+
+
 both("family_cap", "G10", "select l_orderkey, l_linenumber, l_suppkey from (select *, row_number() over (partition by l_suppkey order by l_orderkey, l_linenumber) as rn from lineitem) q where rn <= 7")
 both("two_stage_cap", "G11", "with a as (select *, row_number() over (partition by l_suppkey, l_returnflag order by l_orderkey, l_linenumber) as k from lineitem), b as (select *, row_number() over (partition by l_suppkey order by l_orderkey, l_linenumber) as f from a where k <= 3) select l_orderkey, l_linenumber, l_suppkey, l_returnflag from b where f <= 8")
-both("stratified_subsample", "G12 G13", f"with s as (select doc_id, lang, row_number() over (partition by lang order by {DRAW('doc_id')}, doc_id) as rn from documents) select doc_id, lang, rn <= 40 as selected from s")
-both("probe_selection", "G14 B14", f"with k as (select doc_id, lang, dense_rank() over (order by lang) as b, row_number() over (partition by lang order by {DRAW('doc_id')}, doc_id) as rn from documents) select doc_id, lang from k where b <= 4 and rn <= 50 div 4 + case when b <= 50 % 4 then 1 else 0 end".replace("50 div 4", "12"))
-both("first_k_round_robin", "G15", "with k as (select doc_id, lang, row_number() over (partition by lang order by doc_id) as rn from documents) select doc_id, lang from (select *, row_number() over (order by rn, lang) as pos from k) q where pos <= 30")
+both("stratified_subsample", "G12 G13", f"with s as (select doc_id, lang, row_number() over (partition by lang order by {DRAW('doc_id')}, doc_id) as rn from documents), k as (select doc_id from s where rn <= 40) select d.doc_id, d.lang, k.doc_id is not null as selected from documents d left join k on k.doc_id = d.doc_id")
+both("probe_selection", "G14 B14", f"with b as (select lang, row_number() over (order by lang) as b from (select distinct lang from documents) q), k as (select doc_id, lang, row_number() over (partition by lang order by {DRAW('doc_id')}, doc_id) as rn from documents) select k.doc_id, k.lang from k join b on b.lang = k.lang where b.b <= 4 and k.rn <= 13 and k.rn <= 12 + case when b.b <= 50 % 4 then 1 else 0 end")
+both("first_k_round_robin", "G15", "with k as (select doc_id, lang, row_number() over (partition by lang order by doc_id) as rn from documents), f as (select doc_id, lang, rn from k where rn <= 30) select doc_id, lang from (select *, row_number() over (order by rn, lang) as pos from f) q where pos <= 30")
 both("proportional_allocation", "G16 B9 O1", f"with {LEVELS}, c as (select difficulty, count(*) as n from p group by difficulty), t as (select sum(n) as total from c), q as (select difficulty, n, LONG(floor(DOUBLE(100 * n) / DOUBLE(total))) as base, row_number() over (order by n desc, difficulty) as pos from c cross join t), e as (select 100 - sum(base) as rest from q) select difficulty, LONG(n) as size, LONG(base + case when pos <= rest then 1 else 0 end) as quota from q cross join e")
-both("stratified_candidates", "G17", f"with {LEVELS}, {RANKED}, q as (select difficulty, LONG(floor(DOUBLE(100 * count(*)) / DOUBLE(sum(count(*)) over ()))) as quota from p group by difficulty) select r.doc_id, r.difficulty from r join q on q.difficulty = r.difficulty where r.rn <= q.quota")
+both("stratified_candidates", "G17", f"with {LEVELS}, {RANKED}, q as (select difficulty, LONG(floor(DOUBLE(100 * count(*)) / DOUBLE(sum(count(*)) over ()))) as quota from p group by difficulty) select r.doc_id, r.difficulty from r join q on q.difficulty = r.difficulty where r.rn <= 100 and r.rn <= q.quota")
 RATIO = "a as (select lang, count(*) as n, case lang when 'en' then DOUBLE(0.6) when 'fr' then DOUBLE(0.15) when 'de' then DOUBLE(0.15) else DOUBLE(0.1) end as r from documents where lang is not null group by lang), t as (select floor(min(n / (r - DOUBLE(0.03)))) as bound, sum(n) as total from a), b as (select least(bound, total) as t from t)"
 both("ratio_feasible_max", "G18 B15", f"with {RATIO}, l as (select lang, n, r, least(n, ceil((r - DOUBLE(0.03)) * b.t)) as low, b.t as total from a cross join b), g as (select *, total - sum(low) over () as slack, coalesce(sum(n - low) over (order by r desc, lang rows between unbounded preceding and 1 preceding), 0) as before from l) select lang, LONG(n) as available, LONG(total) as feasible_total, LONG(low + greatest(least(n - low, slack - before), 0)) as chosen from g")
 both("target_redistribution", "G19", f"with {RATIO}, x as (select lang, n, r, n < BROUND(1000 * r, 0) as under from a), y as (select *, sum(case when under then n else 0 end) over () as fixed, sum(case when under then 0 else r end) over () as open_r from x) select lang, LONG(case when under then n else least(n, BROUND((1000 - fixed) * r / open_r, 0)) end) as target from y")
