@@ -71,20 +71,25 @@ def chosen(seen: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def telling_pairs(x: np.ndarray, labels: np.ndarray) -> np.ndarray:
-    """Columns of x (rows by terms) in pairs whose toxic rows differ from what both terms' rates lead to expect; strongest first."""
-    n, toxic = np.float32(len(labels)), labels.astype(np.float32)
-    base = toxic.mean()
-    rows = x.sum(0)
-    rate = (toxic @ x + 1) / (rows + 1 / base)  # drawn to the base rate
-    strength = np.zeros(x.shape[1], np.float32)
-    xt = np.ascontiguousarray(x.T)
-    for i in range(0, x.shape[1], 256):
-        part = x[:, i : i + 256]
-        both, hit = xt @ part, xt @ (part * toxic[:, None])
-        want = np.clip(rate[:, None] * rate[None, i : i + 256] / base, 0.02 * base, 0.98)
-        spread = np.sqrt(both * want * (1 - want))
-        z = np.where((both >= 8) & (both < 0.5 * n), (hit - both * want) / np.maximum(spread, 1.0), 0.0)
-        z[np.arange(i, min(i + 256, x.shape[1])), np.arange(z.shape[1])] = 0
+    """Columns of x (rows by terms, 0 or 1) in pairs whose toxic rows differ from what both terms' rates lead to expect; strongest first.
+
+    Pairs are counted for some columns and rows at a time, so that no more than x, a byte a cell, is held.
+    """
+    toxic = labels.astype(np.float32)
+    base, width = toxic.mean(), x.shape[1]
+    rate = (toxic @ x + 1) / (x.sum(0, dtype=np.float32) + 1 / base)  # drawn to the base rate
+    strength = np.zeros(width, np.float32)
+    for i in range(0, width, 256):
+        j = min(i + 256, width)
+        both, hit = np.zeros((width, j - i), np.float32), np.zeros((width, j - i), np.float32)
+        for k in range(0, len(x), 1024):
+            rows = x[k : k + 1024].astype(np.float32)
+            part = rows[:, i:j]
+            both += rows.T @ part
+            hit += rows.T @ (part * toxic[k : k + 1024, None])
+        want = np.clip(rate[:, None] * rate[None, i:j] / base, 0.02 * base, 0.98)
+        z = np.where((both >= 8) & (both < 0.5 * len(x)), (hit - both * want) / np.maximum(np.sqrt(both * want * (1 - want)), 1.0), 0.0)
+        z[np.arange(i, j), np.arange(j - i)] = 0
         strength = np.maximum(strength, np.abs(z).max(1))
     found = np.flatnonzero(strength >= MIN_PAIR_Z)
     return found[np.argsort(-strength[found], kind="stable")]
@@ -97,10 +102,10 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, seed: int = 2, rounds: int =
     for r, y in zip(rows, labels.tolist()):
         seen[y][r] += 1
     if not len(labels) or labels.min() == labels.max():
-        return fit_columns(np.zeros((len(labels), 0), np.float32), np.zeros(0, np.int32), np.zeros(0, np.int32), labels)
+        return fit_columns(np.zeros((len(labels), 0), np.uint8), np.zeros(0, np.int32), np.zeros(0, np.int32), labels)
     told, often = chosen(seen, np.bincount(labels, minlength=2))
     columns = np.unique(np.concatenate([told[:MAX_TERMS], often])).astype(np.int32)
-    x = np.zeros((len(rows), len(columns)), np.float32)
+    x = np.zeros((len(rows), len(columns)), np.uint8)
     for i, r in enumerate(rows):
         x[i, np.isin(columns, r, assume_unique=True)] = 1
     return fit_columns(x, columns, told, labels, seed, rounds)
@@ -116,7 +121,7 @@ def fit_columns(x: np.ndarray, columns: np.ndarray, told: np.ndarray, labels: np
         return Machine(empty, 30.0 if len(labels) and labels.max() > 0 else -30.0, np.zeros(0), np.zeros((0, FACTORS)))
     paired = columns[telling_pairs(x, labels)][: MAX_TERMS // 2]
     known = np.unique(np.concatenate([paired, told[: MAX_TERMS - len(paired)]])).astype(np.int32)
-    x = np.ascontiguousarray(x[:, np.searchsorted(columns, known)])
+    x = x[:, np.searchsorted(columns, known)].astype(np.float32)
     n = np.bincount(labels, minlength=2)
     rng = np.random.default_rng(seed)
     p = [np.zeros(1, np.float32), np.zeros(len(known), np.float32), rng.normal(0, 0.05, (len(known), FACTORS)).astype(np.float32)]
@@ -179,7 +184,7 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Mac
     told, often = chosen(seen, np.array([n[0], n[1]]))
     columns = np.unique(np.concatenate([told[:MAX_TERMS], often])).astype(np.int32)
     got = sorted((bytes(r.bits), r.toxic) for r in rows.mapInArrow(_bits(columns), "bits binary, toxic int").collect())
-    x = np.unpackbits(np.frombuffer(b"".join(b for b, _ in got), np.uint8).reshape(len(got), -1), axis=1)[:, : len(columns)].astype(np.float32)
+    x = np.unpackbits(np.frombuffer(b"".join(b for b, _ in got), np.uint8).reshape(len(got), -1), axis=1, count=len(columns))
     return fit_columns(x, columns, told, np.array([y for _, y in got], np.int64))
 
 
