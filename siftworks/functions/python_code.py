@@ -9,6 +9,7 @@ from __future__ import annotations
 import ast
 import copy
 import hashlib
+import json
 import os
 import re
 import subprocess
@@ -312,9 +313,38 @@ def run_python(code: str, timeout_s: float = 10.0, limit: int = 4000) -> dict:
     return {"returncode": p.returncode, "stdout": p.stdout[:limit], "stderr": p.stderr[:limit], "timed_out": False}
 
 
+def expected_outputs(code: str, name: str, calls: list[list], timeout_s: float = 10.0) -> list[dict] | None:
+    """What code's function returns for each list of arguments, run in one process: {"ok": True, "value": JSON value} or {"ok": False, "error": name}.
+
+    None if the process fails or prints no JSON. Values that JSON cannot hold count as errors.
+    """
+    harness = f"""
+import json
+_out = []
+for _args in json.loads({json.dumps(json.dumps(calls))}):
+    try:
+        _value = {name}(*_args)
+        json.dumps(_value)
+        _out.append({{"ok": True, "value": _value}})
+    except Exception as e:
+        _out.append({{"ok": False, "error": type(e).__name__}})
+print(json.dumps(_out))
+"""
+    got = run_python(f"{code}\n{harness}", timeout_s, limit=1 << 20)
+    try:
+        return json.loads(got["stdout"].strip().splitlines()[-1]) if got["returncode"] == 0 else None
+    except (IndexError, ValueError):
+        return None
+
+
+def assertions(name: str, calls: list[list], outputs: list[dict]) -> list[str]:
+    """A test line for each call that returned a value."""
+    return [f"assert {name}({', '.join(map(repr, c))}) == {o['value']!r}" for c, o in zip(calls, outputs) if o["ok"]]
+
+
 def verify(code: str, tests: str, timeout_s: float = 10.0) -> dict:
     """Runs assert tests after the code; passed only if there is a test, none fails and time suffices."""
     n = len(re.findall(r"\bassert\b", tests or ""))
     got = run_python(f"{code}\n{tests}", timeout_s)
     passed = got["returncode"] == 0 and n > 0
-    return {"passed": passed, "collected": n, "failed": 0 if passed else max(1, int(got["returncode"] not in (0, None))), "timed_out": got["timed_out"]}
+    return {"passed": passed, "collected": n, "failed": 0 if passed else max(1, int(got["returncode"] not in (0, None))), "timed_out": got["timed_out"], "output": got["stdout"] + "\n" + got["stderr"]}

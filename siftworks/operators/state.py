@@ -1,28 +1,59 @@
-"""Folds over ordered state: early stopping with patience, and replay of trajectories."""
+"""Folds over rows in order, one state at a time, and replay of trajectories."""
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+def fold_in_order(rows: DataFrame, key: str, order: list[str], columns: list[str], start: Callable, step: Callable, finish: Callable, schema: str) -> DataFrame:
+    """(key, what finish(state) returns) for each key: state = step(state, *columns) over the key's rows in order.
+
+    Rows are read from partitions sorted by key and order and folded as they come, so a key of any length needs the memory of one state.
+    Null keys are one key. schema: that of finish()'s values.
+    """
+    kind = rows.schema[key].dataType.simpleString()
+    names = [key, *(c.split()[0] for c in schema.split(", "))]
+
+    def run(batches: Iterator[pd.DataFrame]):
+        now: tuple | None = None
+        state = None
+        for pdf in batches:
+            out = []
+            for k, *values in zip(*(pdf[c] for c in (key, *columns))):
+                k = (None if pd.isna(k) else k,)
+                if k != now:
+                    if now is not None:
+                        out.append([*now, *finish(state)])
+                    now, state = k, start()
+                state = step(state, *(None if pd.isna(v) else v for v in values))
+            yield pd.DataFrame(out, columns=names, dtype=object)
+        if now is not None:
+            yield pd.DataFrame([[*now, *finish(state)]], columns=names, dtype=object)
+
+    dealt = rows.select(*dict.fromkeys([key, *order, *columns])).repartition(key).sortWithinPartitions(key, *order)
+    return dealt.mapInPandas(run, f"{key} {kind}, {schema}")
+
+
 def early_stop(rows: DataFrame, key: str, order: list[str], value: str, min_delta: float = 1.0, patience: int = 5) -> DataFrame:
     """(key, n, best, stopped_at): the best value and the 1-based position at which `patience` probes in a row have not beaten best + min_delta.
 
     best moves only by at least min_delta, so this is a recurrence and no running maximum; null values count as no gain.
     stopped_at is null where it never happens.
     """
-    probes = F.transform(F.sort_array(F.collect_list(F.struct(*order, F.col(value).cast("double").alias("v")))), lambda x: x["v"])
-    start = F.struct(F.lit(0).alias("n"), F.lit(float("-inf")).alias("best"), F.lit(0).alias("bad"), F.lit(0).alias("stop"))
 
-    def step(s, v):
-        gain = F.coalesce(v >= s["best"] + min_delta, F.lit(False))
-        bad = F.when(gain, 0).otherwise(s["bad"] + 1)
-        stop = F.when((s["stop"] == 0) & (bad >= patience), s["n"] + 1).otherwise(s["stop"])
-        return F.struct((s["n"] + 1).alias("n"), F.when(gain & (s["stop"] == 0), v).otherwise(s["best"]).alias("best"), bad.alias("bad"), stop.alias("stop"))
+    def step(state, v):
+        n, best, bad, stop = state
+        gain = v is not None and float(v) >= best + min_delta
+        bad = 0 if gain else bad + 1
+        if gain and stop is None:
+            best = float(v)
+        return n + 1, best, bad, n + 1 if stop is None and bad >= patience else stop
 
-    folded = rows.groupBy(key).agg(F.aggregate(probes, start, step).alias("s"))
-    return folded.select(key, F.col("s.n").alias("n"), F.round("s.best", 6).alias("best"), F.nullif("s.stop", F.lit(0)).alias("stopped_at"))
+    return fold_in_order(rows, key, order, [value], lambda: (0, float("-inf"), 0, None), step, lambda s: (s[0], round(s[1], 6), s[3]), "n bigint, best double, stopped_at bigint")
 
 
 def replay(turns: DataFrame) -> DataFrame:

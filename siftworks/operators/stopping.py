@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 from dataclasses import asdict, dataclass
 
-import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .state import fold_in_order
 
 # Fixed values of the rules.
 PATIENCE, MIN_DELTA, MAX_EPOCHS = 4, 0.005, 3
@@ -86,34 +87,21 @@ class Stopping:
 def fold(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
     """(key, seen, stopped_at, reason, pending, best_probe, best_full) from rows (key, order..., kind, value, epoch, syntax, timeout).
 
-    kind is 'probe' or 'full'. Rows of a key are read in order from a sorted partition and folded as they come, so a key of any length needs
-    the memory of one state. After a confirmed stop later rows are only counted. Null keys are a key of their own.
+    kind is 'probe' or 'full'. After a confirmed stop later rows are only counted.
     """
-    types = {f.name: f.dataType.simpleString() for f in rows.schema}
-    columns = ["seen", "stopped_at", "reason", "pending", "best_probe", "best_full"]
-
-    def run(batches: Iterator[pd.DataFrame]):
-        now, machine, seen, at = None, None, 0, None
-        row = lambda: [None if now == "" else now[0], seen, at, machine.reason, machine.pending, machine.best_probe, machine.best_full]
-        for pdf in batches:
-            out = []
-            for k, kind, *numbers in zip(pdf[key], pdf["kind"], pdf["value"], pdf["epoch"], pdf["syntax"], pdf["timeout"]):
-                k = "" if pd.isna(k) else (k,)
-                if machine is None or k != now:
-                    if machine is not None:
-                        out.append(row())
-                    now, machine, seen, at = k, Stopping(), 0, None
-                value, epoch, syntax, timeout = (None if x is None else float(x) for x in numbers)
-                seen += 1
-                if not machine.stopped:
-                    if kind == "full":
-                        machine.full(value, epoch, syntax, timeout)
-                    else:
-                        machine.probe(value, syntax, timeout)
-                    at = seen if machine.stopped else None
-            yield pd.DataFrame(out, columns=[key, *columns])
-        if machine is not None:
-            yield pd.DataFrame([row()], columns=[key, *columns])
-
-    dealt = rows.select(key, *order, "kind", "value", "epoch", "syntax", "timeout").repartition(key).sortWithinPartitions(key, *order)
-    return dealt.mapInPandas(run, f"{key} {types[key]}, seen bigint, stopped_at bigint, reason string, pending boolean, best_probe double, best_full double")
+
+    def step(state, kind, missing, *numbers):
+        machine, seen, at = state
+        value, epoch, syntax, timeout = (None if x is None else float(x) for x in numbers)
+        if value is None and not missing:
+            value = float("nan")  # pandas does not tell it from null
+        if not machine.stopped:
+            if kind == "full":
+                machine.full(value, epoch, syntax, timeout)
+            else:
+                machine.probe(value, syntax, timeout)
+            at = seen + 1 if machine.stopped else None
+        return machine, seen + 1, at
+
+    finish = lambda s: (s[1], s[2], s[0].reason, s[0].pending, s[0].best_probe, s[0].best_full)
+    return fold_in_order(rows.withColumn("_missing", F.col("value").isNull()), key, order, ["kind", "_missing", "value", "epoch", "syntax", "timeout"], lambda: (Stopping(), 0, None), step, finish, "seen bigint, stopped_at bigint, reason string, pending boolean, best_probe double, best_full double")

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions import protocols, python_code, workspace
+from ..functions import protocols, python_code, tokens, workspace
 from ..operators import bootstrap, state, stopping
 from .catalogue import register, table
 
@@ -198,3 +198,29 @@ def workspace_replay(spark, sf_dir):
     schema = "task int, spoil string, at int, " + ", ".join(f"{c} int" for c in REPLAY) + ", success boolean, finished boolean, max_steps_hit boolean, undone boolean"
     done = wanted.select("task", "spoil", "at").distinct().repartition("task", "spoil", "at").mapInPandas(run, schema)
     return wanted.join(done, ["task", "spoil", "at"])
+
+
+@register("boundary_outputs", "V8c V9 V8")
+def boundary_outputs(spark, sf_dir):
+    """Edge cases of each task's argument run through the corrected code: outputs, and the test lines made of them, which must pass."""
+    examples = ([1, 2], "abc", 3)
+
+    def run(batches):
+        for pdf in batches:
+            rows = []
+            for k in pdf["task"]:
+                code = TASKS[k][0].replace(TASKS[k][1], TASKS[k][2], 1)
+                calls = [[v] for v in python_code.boundary_values(examples[k])]
+                outputs = python_code.expected_outputs(code, "solution", calls) or []
+                tests = "\n".join(python_code.assertions("solution", calls, outputs))
+                rows.append((k, len(calls), sum(o["ok"] for o in outputs), python_code.verify(code, tests)["passed"], python_code.verify(TASKS[k][0], tests)["passed"]))
+            yield pd.DataFrame(rows, columns=["task", "cases", "returned", "passes", "broken_passes"])
+
+    return spark.range(len(TASKS)).select(F.col("id").cast("int").alias("task")).mapInPandas(run, "task int, cases int, returned int, passes boolean, broken_passes boolean")
+
+
+@register("token_lengths", "V13 A23 X34")
+def token_lengths(spark, sf_dir):
+    """Tokens of whole texts by an installed vocabulary, and by language how many are over the limit of training."""
+    x = tokens.lengths(table(spark, sf_dir, "documents").select("doc_id", "lang", "text"), "text")
+    return x.groupBy("lang").agg(F.count("*").alias("n"), F.sum("tokens").alias("tokens"), F.max("tokens").alias("longest"), F.count_if(F.col("tokens") > 384).alias("truncated"))

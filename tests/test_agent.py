@@ -119,7 +119,7 @@ def test_stop_rules():
 
 def test_stop_machine_over_rows(spark):
     rng = random.Random(3)
-    rows = [(u, i, rng.choice(["probe"] * 5 + ["full"]), None if rng.random() < 0.01 else rng.random() / 20, float(i // 30), 1 - rng.random() / 30, rng.choice([0.0] * 60 + [0.1])) for u in (1, 2, 3, None) for i in range(120)]
+    rows = [(u, i, rng.choice(["probe"] * 5 + ["full"]), rng.choice([None, float("nan")]) if rng.random() < 0.02 else rng.random() / 20, float(i // 30), 1 - rng.random() / 30, rng.choice([0.0] * 60 + [0.1])) for u in (1, 2, 3, None) for i in range(120)]
     want = {}
     for u, _, kind, value, epoch, syntax, timeout in rows:
         s, seen, at = want.setdefault(u, [stopping.Stopping(), 0, None])
@@ -183,3 +183,27 @@ def test_reports_and_guards(spark, tmp_path):
     with pytest.raises(FileExistsError):
         records.write_once(chat, str(tmp_path / "chat"))
     assert records.missing_fields({"a": {"b": 0}}, ["a.b", "a.c", "d"]) == ["a.c", "d"]
+
+
+def test_expected_outputs_become_tests():
+    code = "def f(x):\n    if x == 3:\n        raise ValueError\n    return {1} if x == 2 else [x]\n"
+    out = python_code.expected_outputs(code, "f", [[1], [2], [3]])
+    assert out == [{"ok": True, "value": [1]}, {"ok": False, "error": "TypeError"}, {"ok": False, "error": "ValueError"}]
+    assert python_code.assertions("f", [[1], [2], [3]], out) == ["assert f(1) == [1]"]
+    assert python_code.expected_outputs("def f(x:", "f", [[1]]) is None
+
+
+def test_boundary_outputs_tell_broken_code(spark):
+    from siftworks.plans import catalogue
+
+    got = catalogue.queries()["boundary_outputs"](spark, "/root/testdata/sf0.001").collect()
+    assert len(got) == len(TASKS) and all(r.cases == r.returned > 2 and r.passes and not r.broken_passes for r in got)
+
+
+def test_token_lengths(spark):
+    from siftworks.functions import tokens
+
+    rows = [(1, "the cat"), (2, None), (3, "日本 <|endoftext|>")]
+    got = {r.i: r.tokens for r in tokens.lengths(spark.createDataFrame(rows, "i int, t string"), "t").collect()}
+    own = tokens.load(open(tokens.VOCABULARY, encoding="utf-8").read())
+    assert got == {i: len(own.encode(t or "", add_special_tokens=False).ids) for i, t in rows}
