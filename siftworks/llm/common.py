@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
+import ctypes.util
 import tempfile
 import uuid
 from contextlib import contextmanager
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -114,6 +117,20 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def released(run):
+    """run, a function of Arrow batches, that hands free memory back to the system when a task's batches end: workers live on and serve other stages."""
+
+    def wrapped(batches):
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        if libc := ctypes.util.find_library("c"):
+            trim = getattr(ctypes.CDLL(libc), "malloc_trim", None)  # of the GNU library
+            if trim:
+                trim(0)
+
+    return wrapped
+
+
 def held_out(doc_id="doc_id"):
     """True where crc32(doc_id as text) mod 3 is 1: rows that nothing may be learned from. A null id counts as ''."""
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % 3 == 1

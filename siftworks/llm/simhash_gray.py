@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, cut, fresh, pack, unpack
+from .common import components, cut, fresh, pack, released, unpack
 
 SEED = 42
 SHINGLE = 3
@@ -59,7 +59,7 @@ def _fingerprints(batches):
 def fingerprints(docs: DataFrame) -> DataFrame:
     """(doc_id, fp bigint, text_hash bigint) of whole texts."""
     rows = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("binary").alias("text"), F.xxhash64("text").alias("text_hash"))
-    return rows.mapInArrow(_fingerprints, "doc_id bigint, fp bigint, text_hash bigint")
+    return rows.mapInArrow(released(_fingerprints), "doc_id bigint, fp bigint, text_hash bigint")
 
 
 def gray_rank(x: np.ndarray) -> np.ndarray:

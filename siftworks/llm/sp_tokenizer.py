@@ -24,11 +24,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer, models, normalizers
 
+from .common import released
+
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 PARTS = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
-KNOWN_PARTS = 500_000
+KNOWN_PARTS = 300_000
 LONG_PART = 400  # characters from which a part, as in scripts without blanks, is not remembered
 os.environ.setdefault("RAYON_NUM_THREADS", "2")  # the cores of a task's executor share the library's threads
 
@@ -287,4 +289,4 @@ def token_report(docs: DataFrame, path: str | None = None) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, k) for c, k in zip(cols, kinds))], names=["doc_id", "n_tokens", "ids_sha256", "round_trip", "parity"])
 
     schema = "doc_id bigint, n_tokens bigint, ids_sha256 string, round_trip boolean, parity boolean"
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, schema)
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(released(run), schema)

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, held_out
+from .common import cut, held_out, released
 
 BITS = 18
 FACTORS = 6
@@ -207,7 +207,7 @@ def scorer(machine: Machine):
                     if known:
                         active.update(known)
                 scores.append(machine.score(np.array(sorted(active), np.int64)))
-                if len(cache) > 300_000:
+                if len(cache) > 200_000:
                     cache.clear()
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(scores, pa.float64())], names=["doc_id", "held_out", "score"])
 
@@ -237,4 +237,4 @@ def keep_clean(docs: DataFrame, machine: Machine, threshold: float = THRESHOLD)
             (scored,) = run([pa.RecordBatch.from_arrays([none, b.column(at), none], names=["doc_id", "text", "held_out"])])
             yield b.filter(pa.array([x < threshold for x in scored.column(2).to_pylist()], pa.bool_()))
 
-    return docs.mapInArrow(kept, schema)
+    return docs.mapInArrow(released(kept), schema)
