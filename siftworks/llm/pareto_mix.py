@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import cut, fresh
+from .common import cut, fresh, marked, marks
 
 WEIGHTS = (5.0, 2.0, 1.0)
 MAX_COPIES = 3
@@ -142,12 +142,17 @@ def mix(docs: DataFrame) -> DataFrame:
     """
     own_id, own_hash, copies, rows, times, nth = fresh(docs.columns, "_id", "_hash", "_copies", "_rows", "_times", "_nth")
     planned = plan(docs.select("doc_id", "source", "text")).groupBy(F.col("doc_id").alias(own_id), F.col("text_hash").alias(own_hash)).agg(F.when(F.max("size") == 0, F.count("*")).otherwise(F.sum("copies")).alias(copies), F.count("*").alias(rows))
+    planned = cut(planned)
+    # Rows that stay once each are told by a table of bits; only the others' texts are shuffled.
+    table = marks(planned.where(F.col(copies) != F.col(rows)), F.xxhash64(own_id, own_hash))
+    place = F.xxhash64(F.col("doc_id").cast("bigint"), F.xxhash64("text"))
     same = docs.doc_id.cast("bigint").eqNullSafe(F.col(own_id)) & (F.xxhash64(docs.text) == F.col(own_hash))
-    joined = docs.join(planned.where(F.col(copies) > 0), same)
+    joined = marked(docs, place, table).join(planned.where(F.col(copies) > 0).hint("shuffle_hash"), same)
     even = joined.where(F.col(copies) % F.col(rows) == 0).withColumn(times, F.col(copies) / F.col(rows))
     # Only where the sample ends between equal rows, twice a source at most, are rows told apart.
     order = W.partitionBy(own_id, own_hash).orderBy(F.xxhash64(*(docs[c] for c in docs.columns)))
     odd = joined.where(F.col(copies) % F.col(rows) != 0).withColumn(nth, F.row_number().over(order))
     odd = odd.withColumn(times, F.floor(F.col(copies) / F.col(rows)) + (F.col(nth) <= F.col(copies) % F.col(rows)).cast("int")).drop(nth)
     both = even.unionByName(odd).where(F.col(times) > 0)
-    return both.withColumn(nth, F.explode(F.array_repeat(F.lit(0), F.col(times).cast("int")))).select(*docs.columns)
+    both = both.withColumn(nth, F.explode(F.array_repeat(F.lit(0), F.col(times).cast("int")))).select(*docs.columns)
+    return marked(docs, place, table, "left_anti").unionByName(both)

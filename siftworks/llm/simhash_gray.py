@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, cut, fresh, pack, released, unpack
+from .common import components, cut, fresh, marked, marks, pack, released, unpack
 
 SEED = 42
 SHINGLE = 3
@@ -278,9 +278,16 @@ def keep_representatives(docs: DataFrame) -> DataFrame:
     Rows that repeat that doc_id stay once, the one with the least text hash. Rows without an id pass
     through, as a class cannot name them. Null, empty and long texts and empty tables are treated as near_duplicates says.
     """
-    own_id, first, text_hash = fresh(docs.columns, "_id", "_first", "_hash")
-    classes = near_duplicates(docs.select("doc_id", "text"), with_hash=True)
-    chosen = classes.where("doc_id = component_id").groupBy(F.col("doc_id").alias(own_id)).agg(F.min("text_hash").alias(first))
-    hashed = docs.withColumn(text_hash, F.xxhash64("text"))
-    kept = hashed.join(chosen, (hashed.doc_id == F.col(own_id)) & (F.col(text_hash) == F.col(first)), "left_semi").dropDuplicates(["doc_id", text_hash])
-    return kept.drop(text_hash).unionByName(docs.where("doc_id is null"))
+    own_id, own_hash, kept, text_hash = fresh(docs.columns, "_id", "_own_hash", "_kept", "_hash")
+    classes = near_duplicates(docs.select("doc_id", "text"), with_hash=True).where("doc_id is not null")
+    groups = classes.groupBy("doc_id", "text_hash").agg(F.max("component_id").alias("component_id"), F.count("*").alias("n"))
+    first = groups.where("doc_id = component_id").groupBy(F.col("doc_id").alias(own_id)).agg(F.min("text_hash").alias(own_hash))
+    stays = (F.col("text_hash") == F.col(own_hash)) & F.col(own_hash).isNotNull()
+    groups = cut(groups.join(first, F.col("doc_id") == F.col(own_id), "left").select("doc_id", "text_hash", "n", F.coalesce(stays, F.lit(False)).alias(kept)))
+    # Most rows stay and are the only ones of their id and text: a table of bits tells them, and only the others' texts are shuffled.
+    table = marks(groups.where(~F.col(kept) | (F.col("n") > 1)), F.xxhash64("doc_id", "text_hash"))
+    own, place = docs.where("doc_id is not null"), F.xxhash64(F.col("doc_id").cast("bigint"), F.xxhash64("text"))
+    asked = marked(own, place, table).withColumn(text_hash, F.xxhash64("text"))
+    wanted = groups.where(F.col(kept)).select(F.col("doc_id").alias(own_id), F.col("text_hash").alias(own_hash))
+    found = asked.join(wanted, (F.col("doc_id").cast("bigint") == F.col(own_id)) & (F.col(text_hash) == F.col(own_hash)), "left_semi").dropDuplicates(["doc_id", text_hash])
+    return marked(own, place, table, "left_anti").unionByName(found.drop(text_hash)).unionByName(docs.where("doc_id is null"))
