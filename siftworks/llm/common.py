@@ -113,7 +113,18 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+BATCH_ROWS = 4000
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Lets Arrow batches of this session hold BATCH_ROWS rows at most: whole texts pass through them, on both sides of the pipe to Python."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
