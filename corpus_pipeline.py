@@ -11,7 +11,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from siftworks.llm import line_dedup, pareto_mix, simhash_gray, sp_tokenizer, toxicity_fm
-from siftworks.llm.common import checkpoint_dir, documents, drop_table
+from siftworks.llm.common import bounded_batches, checkpoint_dir, documents, drop_table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -20,6 +20,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Null and empty texts have the base score and stay, texts of any length are scored whole, equal texts are treated alike. Without labels
     of both kinds nothing is learned: without toxic ones all stay. An empty table stays empty; all columns stay, whatever their names.
     """
+    bounded_batches(spark)
     return toxicity_fm.keep_clean(docs, toxicity_fm.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
@@ -29,6 +30,7 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Null and empty texts stay as they are; a text that loses all lines is empty. Lines of any length are compared whole. Ties go to the least
     (doc_id, line); rows that repeat id and text keep the same lines. An empty table stays empty; all columns stay, n_chars follows the text.
     """
+    bounded_batches(spark)
     return line_dedup.dedup_lines(docs)
 
 
@@ -38,6 +40,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     Null and empty texts are one group. Of rows that repeat the least id one stays, that of the least text hash; rows without an id stay. Texts
     of any length count whole. An empty table stays empty; all columns stay, whatever their names.
     """
+    bounded_batches(spark)
     return simhash_gray.keep_representatives(docs)
 
 
@@ -47,6 +50,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Null sources are one source; texts without a word, null ones too, stay once. Repeated rows share their copies; ties in rank go by doc_id. Texts
     of any length count whole. An empty table stays empty; all columns stay, whatever their names.
     """
+    bounded_batches(spark)
     return pareto_mix.mix(docs)
 
 
@@ -56,6 +60,7 @@ def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Null and empty texts have no tokens; repeated rows give equal rows; texts of any length are encoded whole. An empty table gives an
     empty result. Columns other than doc_id and text are not looked at.
     """
+    bounded_batches(spark)
     return sp_tokenizer.token_report(docs)
 
 
