@@ -57,10 +57,13 @@ def tabled(df: DataFrame) -> DataFrame:
 
 def drop_table(df: DataFrame) -> None:
     """Removes what tabled() wrote; nothing that is still to be computed may read it."""
-    jvm = df.sparkSession.sparkContext._jvm
     for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        remove_folder(df.sparkSession, folder)
+
+
+def remove_folder(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 MARK_BITS = 24

@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import crossparse_lang, kn_quality, line_dedup, pareto_mix, png_media, ring_sharding, secrets_crf, simhash_gray, sp_tokenizer, toxicity_fm
-from .common import documents
+from . import crossparse_lang, kn_quality, line_dedup, pareto_mix, png_media, ring_sharding, secrets_crf, simhash_gray, sp_tokenizer, toxicity_fm, warc_zstd
+from .common import bounded_batches, documents
 
 
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,11 +51,26 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pareto_mix.mix_report(documents(spark, sf_dir))
 
 
+def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bounded_batches(spark)
+    return warc_zstd.archive_report(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
+# Base 32 is 8 groups of 5 hex digits, each four symbols.
+OP11 = """
+with p as (select page_id, coalesce(html, '') as html from pages), h as (select page_id, html, sha1(html) as hex, octet_length(encode(html)) as n from p),
+r as (select *, row_number() over (partition by hex order by page_id) as k, min(page_id) over (partition by hex) as first_id from h),
+s as (select *, list_transform(range(8), lambda i: ('0x' || substr(hex, (5 * i + 1)::int, 5))::int) as v from r)
+select page_id, n::bigint as payload_bytes, list_aggregate(list_transform(range(32), lambda j: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (1 + ((v[j // 4 + 1] >> (15 - 5 * (j % 4))::int) & 31))::int, 1)), 'string_agg', '') as payload_digest,
+case when k = 1 then 'response' else 'revisit' end as record_type, case when k > 1 then first_id end as refers_to from s
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_secret_scan, op2_toxicity, op3_media_columns, op4_quality_rules, op5_language_id, op6_sharding, op7_line_dedup, op8_simhash_near_dedup, op9_sentencepiece, op10_source_mixing)
+    own = (op1_secret_scan, op2_toxicity, op3_media_columns, op4_quality_rules, op5_language_id, op6_sharding, op7_line_dedup, op8_simhash_near_dedup, op9_sentencepiece, op10_source_mixing, op11_warc)
     return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    """None of the ten results is fully expressible in SQL; tests/llm holds them against brute force."""
-    return {}
+    """The results that SQL can express; tests/llm holds the others against brute force."""
+    return {"op11_warc": OP11}
