@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import crossparse_lang, kn_quality, line_dedup, pareto_mix, png_media, ring_sharding, secrets_crf, simhash_gray, sp_tokenizer, toxicity_fm, warc_zstd
+from . import crossparse_lang, importance_duckdb, kn_quality, line_dedup, pareto_mix, png_media, ring_sharding, secrets_crf, simhash_gray, sp_tokenizer, toxicity_fm, warc_zstd
 from .common import bounded_batches, documents
 
 
@@ -56,6 +56,26 @@ def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_zstd.archive_report(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
+# CRC-32 byte by byte: `tab` is the table of its polynomial, `CRC` goes through the hex digits of a text's bytes.
+TAB = "tab as (select list(c order by i) as t from (select i, list_reduce(list_prepend(i::bigint, range(8)), lambda a, b: case when a & 1 = 1 then xor(a >> 1, 3988292384) else a >> 1 end) as c from range(256) r(i)))"
+CRC = "xor(list_reduce(list_prepend(4294967295::bigint, list_transform(range(length({0}) // 2), lambda k: ('0x' || substr({0}, (2 * k + 1)::int, 2))::bigint)), lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1])), 4294967295)"
+ASCII_LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+OP12 = f"""
+with {TAB}, x as (select doc_id, 1 as raw, text from documents union all select null, 0, text from benchmark),
+w as (select row_number() over () as k, doc_id, raw, regexp_extract_all({ASCII_LOWER.format("coalesce(text, '')")}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') as ws from x),
+g as (select k, raw, unnest(list_concat(ws, list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1]))) as f from w),
+n as (select k, raw, f, count(*) as n from g group by all), u as (select f, hex(encode(f)) as h from (select distinct f from n)),
+b as (select f, {CRC.format("h")} % 10000 as b from u, tab), m as (select k, raw, b, sum(n) as n from n join b using (f) group by all),
+c as (select b, sum(n * raw) as s, sum(n * (1 - raw)) as t from m group by b), z as (select sum(s) as ss, sum(t) as tt from c),
+v as (select b, floor(1000 * ln((t + 1)::double * (ss + 10000)::double / ((s + 1)::double * (tt + 10000)::double))) as gain from c, z),
+e as (select k, sum(n)::bigint as n_features, floor(sum(n * gain) / sum(n))::bigint as weight from m join v using (b) where raw = 1 group by k),
+y as (select doc_id, len(ws) as n_words, coalesce(n_features, 0)::bigint as n_features, coalesce(weight, 0)::bigint as weight, ('0x' || left(sha256('7:' || coalesce(doc_id::varchar, '')), 8))::bigint::double as h from w left join e using (k) where raw = 1),
+q as (select *, weight + floor(-1000 * ln(-ln((h + 0.5) / 4294967296.0::double)))::bigint as score from y),
+r as (select *, row_number() over (partition by n_words >= 20 order by score desc, doc_id) as place, count(*) over (partition by n_words >= 20) as n from q)
+select doc_id, n_features, weight, score, case when n_words >= 20 and place <= 25 * n // 100 then place end as rank from r
+"""
+
 # Base 32 is 8 groups of 5 hex digits, each four symbols.
 OP11 = """
 with p as (select page_id, coalesce(html, '') as html from pages), h as (select page_id, html, sha1(html) as hex, octet_length(encode(html)) as n from p),
@@ -66,11 +86,15 @@ case when k = 1 then 'response' else 'revisit' end as record_type, case when k >
 """
 
 
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance_duckdb.importance_report(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_secret_scan, op2_toxicity, op3_media_columns, op4_quality_rules, op5_language_id, op6_sharding, op7_line_dedup, op8_simhash_near_dedup, op9_sentencepiece, op10_source_mixing, op11_warc)
+    own = (op1_secret_scan, op2_toxicity, op3_media_columns, op4_quality_rules, op5_language_id, op6_sharding, op7_line_dedup, op8_simhash_near_dedup, op9_sentencepiece, op10_source_mixing, op11_warc, op12_importance_resampling)
     return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
     """The results that SQL can express; tests/llm holds the others against brute force."""
-    return {"op11_warc": OP11}
+    return {"op11_warc": OP11, "op12_importance_resampling": OP12}
