@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import crossparse_lang, importance_duckdb, kn_quality, line_dedup, pareto_mix, png_media, ring_sharding, secrets_crf, simhash_gray, sp_tokenizer, toxicity_fm, warc_zstd
+from . import crossparse_lang, importance_duckdb, kn_quality, line_dedup, pareto_mix, png_media, ring_sharding, secrets_crf, simhash_gray, sp_tokenizer, spelling_wavelet, toxicity_fm, warc_zstd
 from .common import bounded_batches, documents
 
 
@@ -76,6 +76,23 @@ r as (select *, row_number() over (partition by n_words >= 20 order by score des
 select doc_id, n_features, weight, score, case when n_words >= 20 and place <= 25 * n // 100 then place end as rank from r
 """
 
+# Words of equal length are near where one deletion at the same place makes them equal, others where a deletion of one makes the other.
+OP13 = f"""
+with recursive {TAB}, x as (select coalesce(doc_id::varchar, '') as id, unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]{{7,}}')) as run from documents),
+d as (select id, {ASCII_LOWER.format("run")} as run, count(*) as n from x group by all), e as (select *, hex(encode(id || ':' || run)) as hx from d),
+h as (select run, n, {CRC.format("hx")} as h from e, tab), p as (select run, n, h, (h % length(run))::int as p from h),
+s as (select case when h % 31 = 0 then substr(run, 1, p) || substr(run, p + 2) else run end as word, n from p),
+w as materialized (select word, sum(n)::bigint as n from s where length(word) >= 7 group by word having sum(n) >= 2),
+v as materialized (select word, i, substr(word, 1, i::int) || substr(word, (i + 2)::int) as v from (select word, unnest(range(length(word))) as i from w) q),
+o as (select distinct v.word as a, w.word as b from v join w on v.v = w.word),
+near as (select a.word as word, b.word as other from v a join v b on a.v = b.v and a.i = b.i and a.word <> b.word union all select a, b from o union all select b, a from o),
+m as (select near.word, count(*) as n_near, arg_min(other, (-w.n, other)) as best, max(w.n) as best_n from near join w on w.word = near.other group by near.word),
+f as materialized (select w.word, w.n, coalesce(n_near, 0) as n_near, case when best_n >= 10 * w.n then best end as form, case when best_n >= 10 * w.n then best_n end as form_n from w left join m using (word)),
+c as (select word, word as tail, 0 as k from f union all select c.word, f.form, k + 1 from c join f on f.word = c.tail where f.form is not null),
+r as (select word, arg_max(tail, k) as root from c group by word)
+select word, form, root, n, n_near::bigint as n_near, form_n from f join r using (word)
+"""
+
 # Base 32 is 8 groups of 5 hex digits, each four symbols.
 OP11 = """
 with p as (select page_id, coalesce(html, '') as html from pages), h as (select page_id, html, sha1(html) as hex, octet_length(encode(html)) as n from p),
@@ -90,11 +107,15 @@ def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance_duckdb.importance_report(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_wavelet.variant_report(documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_secret_scan, op2_toxicity, op3_media_columns, op4_quality_rules, op5_language_id, op6_sharding, op7_line_dedup, op8_simhash_near_dedup, op9_sentencepiece, op10_source_mixing, op11_warc, op12_importance_resampling)
+    own = (op1_secret_scan, op2_toxicity, op3_media_columns, op4_quality_rules, op5_language_id, op6_sharding, op7_line_dedup, op8_simhash_near_dedup, op9_sentencepiece, op10_source_mixing, op11_warc, op12_importance_resampling, op13_spelling_variants)
     return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
     """The results that SQL can express; tests/llm holds the others against brute force."""
-    return {"op11_warc": OP11, "op12_importance_resampling": OP12}
+    return {"op11_warc": OP11, "op12_importance_resampling": OP12, "op13_spelling_variants": OP13}
