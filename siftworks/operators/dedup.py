@@ -34,8 +34,10 @@ def cross_split_classes(df: DataFrame, key: Column, split: str, row_id: str) ->
 
 def ngrams(text: Column, n: int = 3) -> Column:
     """Distinct n-grams of [a-z0-9]+ tokens; none for fewer tokens."""
-    t = F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), F.lit(0))
-    return F.when(F.size(t) >= n, F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(t) - n + 1), lambda i: F.concat_ws(" ", F.slice(t, i, n))))).otherwise(F.array().cast("array<string>"))
+    tokens = F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), F.lit(0))
+    grams = lambda t: F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(t) - n + 1), lambda i: F.concat_ws(" ", F.slice(t, i, n))))
+    # The tokens are an element of an array, so that they are found once and not for each gram.
+    return F.element_at(F.transform(F.array(tokens), lambda t: F.when(F.size(t) >= n, grams(t)).otherwise(F.array().cast("array<string>"))), 1)
 
 
 def contamination(docs: DataFrame, frozen: DataFrame, doc: str, item: str, text: str = "text", least: int = 20) -> DataFrame:

@@ -20,7 +20,8 @@ class Stopping:
     """What is known after the events so far. snapshot() and restore() carry it on, without the histories of values.
 
     Rules that stop at once: a value that is no number, a bucket that is missing, over TIMEOUT_RATE timeouts, a syntax rate SYNTAX_DROP
-    below the last one measured. PATIENCE probes in a row without a gain of MIN_DELTA only make a stop pending; the next full
+    below the last one measured. An event without a syntax or timeout rate measures nothing and leaves the last rate as it is; with a timeout
+    rate alone its syntax rate counts as 1. PATIENCE probes in a row without a gain of MIN_DELTA only make a stop pending; the next full
     validation confirms it or, by a gain of its own, lifts it. MAX_EPOCHS confirm a stop too.
     """
 
@@ -49,6 +50,8 @@ class Stopping:
             return self._stop("bucket_missing")
         if not math.isfinite(value):
             return self._stop("nan_or_inf")
+        if syntax is None and timeout is None:
+            return False
         if timeout is not None and timeout > TIMEOUT_RATE:
             return self._stop("timeout_rate")
         syntax = 1.0 if syntax is None else syntax
@@ -84,10 +87,21 @@ class Stopping:
             self._stop("max_epochs")
 
 
+def advance(machine: Stopping, kind: str, value: float | None, epoch: float | None, syntax: float | None, timeout: float | None) -> None:
+    """Applies one event to a machine that has not stopped. kind is 'probe' or 'full'."""
+    if kind == "full":
+        machine.full(value, epoch, syntax, timeout)
+    else:
+        machine.probe(value, syntax, timeout)
+
+
+FOLDED = "seen bigint, stopped_at bigint, reason string, pending boolean, best_probe double, best_full double"
+
+
 def fold(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
     """(key, seen, stopped_at, reason, pending, best_probe, best_full) from rows (key, order..., kind, value, epoch, syntax, timeout).
 
-    kind is 'probe' or 'full'. After a confirmed stop later rows are only counted.
+    After a confirmed stop later rows are only counted.
     """
 
     def step(state, kind, missing, *numbers):
@@ -96,12 +110,9 @@ def fold(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
         if value is None and not missing:
             value = float("nan")  # pandas does not tell it from null
         if not machine.stopped:
-            if kind == "full":
-                machine.full(value, epoch, syntax, timeout)
-            else:
-                machine.probe(value, syntax, timeout)
+            advance(machine, kind, value, epoch, syntax, timeout)
             at = seen + 1 if machine.stopped else None
         return machine, seen + 1, at
 
     finish = lambda s: (s[1], s[2], s[0].reason, s[0].pending, s[0].best_probe, s[0].best_full)
-    return fold_in_order(rows.withColumn("_missing", F.col("value").isNull()), key, order, ["kind", "_missing", "value", "epoch", "syntax", "timeout"], lambda: (Stopping(), 0, None), step, finish, "seen bigint, stopped_at bigint, reason string, pending boolean, best_probe double, best_full double")
+    return fold_in_order(rows.withColumn("_missing", F.col("value").isNull()), key, order, ["kind", "_missing", "value", "epoch", "syntax", "timeout"], lambda: (Stopping(), 0, None), step, finish, FOLDED)

@@ -145,13 +145,44 @@ def replay_trajectories(spark, sf_dir):
     return state.replay(table(spark, sf_dir, "conversations"))
 
 
-@register("stop_machine", "ST3 ST4")
+# The machine as a recursive query: one row for each user and number of events told.
+STOP_SQL = """
+with recursive e as (select user_id, row_number() over (partition by user_id order by ts, event_id) as rn, (event_id * 7919 + 13) % 1000 as nth, event_type = 'purchase' as full_, value / 100 as value from events),
+x as (select user_id, rn, full_, case when nth % 331 = 5 then null else value end as value, (nth % 4)::double as epoch, case when nth % 11 = 3 then null else 1 - (nth % 7) / 100.0::double end as syntax, case when nth % 11 = 3 then null when nth = 0 then 0.1 else 0.0 end::double as timeout from e),
+s as (
+  select distinct user_id, 0::bigint as rn, null::double as best_probe, null::double as best_full, null::double as last_full, 0 as idle, null::double as syn, false as pending, null::bigint as stopped_at, '' as reason from x
+  union all
+  select user_id, k,
+    case when calm and not full_ and gain then value else best_probe end,
+    case when calm and full_ then greatest(coalesce(best_full, value), value) else best_full end,
+    case when calm and full_ then value else last_full end,
+    case when calm and not full_ then idle2 else idle end,
+    case when calm and (syntax is not null or timeout is not null) then coalesce(syntax, 1) else syn end,
+    case when calm and not full_ then pending or idle2 >= 4 when calm and full_ and lifted then false else pending end,
+    case when stopped_at is not null then stopped_at when now_stop <> '' or confirmed or last_epoch then k end,
+    case when stopped_at is not null then reason when now_stop <> '' then now_stop when confirmed then 'confirmed' when last_epoch then 'max_epochs' when not full_ and not pending and idle2 >= 4 then 'pending' when full_ and lifted then '' else reason end
+  from (
+    select *, calm and full_ and pending and not lifted and last_full is not null as confirmed, calm and full_ and epoch >= 3 as last_epoch from (
+      select *, stopped_at is null and now_stop = '' as calm, case when gain then 0 else idle + 1 end as idle2, pending and coalesce(value > coalesce(last_full, best_probe) + 0.005, false) as lifted from (
+        select s.*, x.rn as k, x.full_, x.value, x.epoch, x.syntax, x.timeout, best_probe is null or x.value > best_probe + 0.005 as gain,
+          case when x.value is null then 'bucket_missing' when x.syntax is null and x.timeout is null then '' when x.timeout > 0.08 then 'timeout_rate' when syn - coalesce(x.syntax, 1) > 0.05 then 'syntax_drop' else '' end as now_stop
+        from s join x on x.user_id = s.user_id and x.rn = s.rn + 1) q1) q2) q3)
+select user_id, rn as seen, stopped_at, reason, pending, best_probe, best_full from s qualify row_number() over (partition by user_id order by rn desc) = 1
+"""
+
+
+def probe_rows(x):
+    """Events of each user as probes and, where they are purchases, full validations; some measure nothing, a few lack a value."""
+    nth = (F.col("event_id") * 7919 + 13) % 1000
+    value = F.when(nth % 331 != 5, (F.col("value") / 100).cast("double"))
+    syntax, timeout = F.when(nth % 11 != 3, 1 - (nth % 7) / 100.0), F.when(nth % 11 != 3, F.when(nth == 0, 0.1).otherwise(0.0))
+    return x.select("user_id", "ts", F.col("event_id").alias("id"), F.when(F.col("event_type") == "purchase", "full").otherwise("probe").alias("kind"), value.alias("value"), (nth % 4).cast("double").alias("epoch"), syntax.alias("syntax"), timeout.alias("timeout"))
+
+
+@register("stop_machine", "ST3", STOP_SQL)
 def stop_machine(spark, sf_dir):
-    """Events of each user as probes and, where they are purchases, full validations."""
-    x = table(spark, sf_dir, "events")
-    nth = F.pmod(F.xxhash64("event_id"), F.lit(1000))
-    rows = x.select("user_id", "ts", "event_id", F.when(F.col("event_type") == "purchase", "full").otherwise("probe").alias("kind"), (F.col("value") / 100).cast("double").alias("value"), (nth % 4).cast("double").alias("epoch"), (1 - (nth % 7) / 100).alias("syntax"), F.when(nth == 0, 0.1).otherwise(0.0).alias("timeout"))
-    return stopping.fold(rows, "user_id", ["ts", "event_id"])
+    """The stop machine folded over each user's events in order."""
+    return stopping.fold(probe_rows(table(spark, sf_dir, "events")), "user_id", ["ts", "id"])
 
 
 TASKS = (

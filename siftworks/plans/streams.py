@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources import scratch
-from ..streaming import monitor
+from ..streaming import keyed, monitor
 from .catalogue import register, table
+from .procedural import STOP_SQL, probe_rows
 
 FILES = 4
 
@@ -66,3 +67,93 @@ def stream_resume(spark, sf_dir):
         feed(spark, sf_dir, path, files)
         run(stream(spark, sf_dir, path), "append", out, checkpoint)
     return spark.read.parquet(out).groupBy("event_type").agg(F.count("*").alias("n"), F.count_distinct("event_id").alias("ids"))
+
+
+DELIVERIES = 3
+
+
+def timed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int, int]:
+    """(events with ts as a timestamp and us, its microseconds; the least us; a third of their range and a bit)."""
+    x = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp")).withColumn("us", F.unix_micros("ts"))
+    ends = x.agg(F.min("us").alias("lo"), F.max("us").alias("hi")).first()
+    return x, ends.lo or 0, max(1, ((ends.hi or 0) - (ends.lo or 0)) // DELIVERIES + 1)
+
+
+def delivered(spark: SparkSession, rows: DataFrame, number, build, mode: str) -> DataFrame:
+    """What the stream build(source) has put out, with its batch, once rows came in DELIVERIES by their number, the stream being stopped after each and started again from its log."""
+    path, out, log = (scratch.folder(spark, k) for k in ("delivered", "out", "log"))
+    with keyed.rocksdb(spark):
+        for i in range(DELIVERIES):
+            rows.where(number == i).write.mode("append").parquet(path)
+            run(build(spark.readStream.schema(rows.schema).parquet(path)), mode, out, log)
+    return spark.read.parquet(out)
+
+
+@register("stop_machine_stream", "ST3 ST4", STOP_SQL)
+def stop_machine_stream(spark, sf_dir):
+    """The stop machine as keyed state, stopped and resumed from its state store between deliveries; every row is delivered twice."""
+    x, lo, width = timed(spark, sf_dir)
+    rows, nth = probe_rows(x), F.floor((F.unix_micros("ts") - lo) / width)
+    twice = rows.withColumn("again", F.explode(F.array(F.lit(0), F.lit(1))))
+    got = delivered(spark, twice, F.least(nth + F.col("again"), F.lit(DELIVERIES - 1)), lambda source: keyed.stop_stream(source, "user_id"), "update")
+    last = got.groupBy("user_id").agg(F.max_by(F.struct("seen", "stopped_at", "reason", "pending", "best_probe", "best_full"), "batch").alias("last"))
+    return last.select("user_id", "last.*")
+
+
+# Every 25th step; epochs of 5 days from 2024-01-01, in four parts.
+EVERY, ORIGIN_US, EPOCH_US = 25, 1_704_067_200_000_000, 5 * 86_400_000_000
+
+
+@register(
+    "stream_schedule",
+    "ST2 W9",
+    f"with e as (select user_id, event_id, epoch_us(ts) as us from events), m as (select user_id, event_id, us, 1 as tier, event_id as mark from e where event_id > 0 and event_id % {EVERY} = 0 union all select user_id, event_id, us, 2, (us - {ORIGIN_US}) * 4 // {EPOCH_US} from e where (us - {ORIGIN_US}) * 4 // {EPOCH_US} > 0 union all select user_id, event_id, us, 3, (us - {ORIGIN_US}) // {EPOCH_US} from e where (us - {ORIGIN_US}) // {EPOCH_US} > 0) select user_id, tier, LONG(mark) as mark, arg_min(event_id, (us, event_id)) as step from m group by user_id, tier, mark",
+)
+def stream_schedule(spark, sf_dir):
+    """Each mark of each user's run fires once, with its first step, although steps come up to two hours late and every tenth comes twice."""
+    x, lo, width = timed(spark, sf_dir)
+    late = F.col("us") + F.col("event_id") % 9 * 900_000_000
+    number = F.least(F.floor((late - lo) / width), F.lit(DELIVERIES - 1))
+    steps = x.select(F.col("user_id").alias("key"), "ts", F.col("event_id").alias("step"), number.cast("int").alias("number"))
+    again = steps.where("step % 10 = 0").withColumn("number", F.least(F.col("number") + 1, F.lit(DELIVERIES - 1)))
+    # A last step of no user, years on, lets the watermark pass all marks.
+    end = spark.range(1).select(F.lit(-1).cast("bigint").alias("key"), F.timestamp_micros(F.lit(lo + 400 * DELIVERIES * width)).alias("ts"), F.lit(0).cast("bigint").alias("step"), F.lit(DELIVERIES - 1).alias("number"))
+    rows = steps.unionByName(again).unionByName(end)
+    got = delivered(spark, rows, F.col("number"), lambda source: keyed.schedule(source, EVERY, ORIGIN_US, EPOCH_US, "3 hours"), "append")
+    return got.where("key >= 0").select(F.col("key").alias("user_id"), "tier", "mark", "step")
+
+
+GAP_HOURS, LATE_HOURS = 6, 24
+# Every 20th event comes with the last delivery. Then the watermark stands LATE_HOURS before the last event of the deliveries before.
+KEPT = f"""e as (select user_id, event_id, ts, value, epoch_us(ts) as us, event_id % 20 = 0 as held from events), b as (select min(us) as lo, (max(us) - min(us)) // {DELIVERIES} + 1 as width from e),
+w as (select (max(us) // 1000 - {LATE_HOURS} * 3600000) * 1000 as mark from e, b where not held and (us - lo) // width < {DELIVERIES - 1}),
+k as (select e.*, held and us + {GAP_HOURS} * 3600000000 <= mark as late from e, w)"""
+
+
+@register(
+    "stream_sessions",
+    "ST2",
+    f"with {KEPT}, p as (select *, us - lag(us) over (partition by user_id order by us, event_id) as step from k where not late), s as (select *, sum(case when step is null or step >= {GAP_HOURS} * 3600000000 then 1 else 0 end) over (partition by user_id order by us, event_id) as session from p) select user_id, LONG(min(us)) as begin_us, LONG(max(us) + {GAP_HOURS} * 3600000000) as end_us, LONG(count(*)) as n, round(sum(value), 4) as total from s group by user_id, session",
+)
+def stream_sessions(spark, sf_dir):
+    """Sessions of each user, as merged by rows that come late; those behind the watermark are left out."""
+    got = _sessions(spark, sf_dir)
+    return got.select("user_id", F.unix_micros("begin").alias("begin_us"), F.unix_micros("end").alias("end_us"), "n", F.round("total", 4).alias("total"))
+
+
+@register("stream_late_rows", "ST2", f"with {KEPT} select COUNT_IF(not late) as kept, COUNT_IF(late) as late, COUNT_IF(held and not late) as late_but_kept from k")
+def stream_late_rows(spark, sf_dir):
+    """How many rows the sessions hold, and how many came behind the watermark."""
+    events = table(spark, sf_dir, "events").agg(F.count("*").alias("rows"), F.count_if(F.col("event_id") % 20 == 0).alias("held"))
+    kept = _sessions(spark, sf_dir).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("kept"))
+    return kept.join(events).select("kept", (F.col("rows") - F.col("kept")).alias("late"), (F.col("held") - F.col("rows") + F.col("kept")).alias("late_but_kept"))
+
+
+def _sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x, lo, width = timed(spark, sf_dir)
+    number = F.when(F.col("event_id") % 20 == 0, DELIVERIES - 1).otherwise(F.floor((F.col("us") - lo) / width)).cast("int")
+    rows = x.select("user_id", "ts", "value", number.alias("number"))
+    # A last event of no user, years on, ends all sessions.
+    end = spark.range(1).select(F.lit(-1).cast("bigint").alias("user_id"), F.timestamp_micros(F.lit(lo + 400 * DELIVERIES * width)).alias("ts"), F.lit(0.0).alias("value"), F.lit(DELIVERIES - 1).alias("number"))
+    got = delivered(spark, rows.unionByName(end), F.col("number"), lambda source: keyed.sessions(source, "user_id", f"{GAP_HOURS} hours", f"{LATE_HOURS} hours"), "append")
+    return got.where("user_id >= 0")

@@ -5,17 +5,36 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+
+
+def checkpoint_dir(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir. Where that is unset a local session gets a temporary one; a cluster must name a shared one."""
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        root = spark.conf.get("spark.checkpoint.dir", None)
+        if root is None:
+            if sc.master.split("[")[0] != "local":
+                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+            root = tempfile.mkdtemp(prefix="siftworks-")
+        sc.setCheckpointDir(root)
+    return sc.getCheckpointDir()
 
 
 def folder(spark: SparkSession, name: str) -> str:
-    """A new path below spark.checkpoint.dir. Where that is unset a local session gets a temporary one; a cluster must name a shared one."""
-    root = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
-    if root is None:
-        if spark.sparkContext.master.split("[")[0] != "local":
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        root = tempfile.mkdtemp(prefix="siftworks-")
-    return f"{root}/{name}-{uuid.uuid4().hex}"
+    """A new path below checkpoint_dir()."""
+    return f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df computed once and kept in the shared folder, so that lost executors cost no recomputation."""
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    at, fs = _path(spark, path)
+    fs.delete(at, True)
 
 
 def _path(spark: SparkSession, path: str):
