@@ -89,6 +89,15 @@ def delivered(spark: SparkSession, rows: DataFrame, number, build, mode: str) ->
     return spark.read.parquet(out)
 
 
+def delivered_to(spark: SparkSession, rows: DataFrame, number, apply) -> None:
+    """Calls apply(batch, its number) for rows that come in DELIVERIES by their number, the stream being started again for each."""
+    path, log = (scratch.folder(spark, k) for k in ("delivered", "log"))
+    for i in range(DELIVERIES):
+        rows.where(number == i).write.mode("append").parquet(path)
+        q = spark.readStream.schema(rows.schema).parquet(path).writeStream.foreachBatch(apply).option("checkpointLocation", log).trigger(availableNow=True).start()
+        q.awaitTermination()
+
+
 @register("stop_machine_stream", "ST3 ST4", STOP_SQL)
 def stop_machine_stream(spark, sf_dir):
     """The stop machine as keyed state, stopped and resumed from its state store between deliveries; every row is delivered twice."""
