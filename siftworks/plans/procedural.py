@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import protocols, python_code, tokens, workspace
 from ..operators import bootstrap, state, stopping
+from ..operators import trajectory as trajectory_rows
 from .catalogue import register, table
 
 # A code sample for each document: the text sets its numbers and its shape.
@@ -140,7 +142,7 @@ def file_manifest(spark, sf_dir):
     return rows.unionByName(rows.agg(F.lit(".").alias("file"), F.sha2(F.array_join(pairs, ""), 256).alias("sha256"), F.sum("size").alias("size")))
 
 
-@register("replay_trajectories", "V10 V10a V10b V10c S15")
+@register("replay_trajectories", "V10 V10a S15")
 def replay_trajectories(spark, sf_dir):
     return state.replay(table(spark, sf_dir, "conversations"))
 
@@ -201,7 +203,47 @@ def trajectory(old: str, new: str) -> list[dict]:
     return [{"kind": k} | arguments.get(k, {}) for k in PLAN]
 
 
-@register("workspace_replay", "V10 V10a V10b V10c V10d V10e V10f V11 S15 A31 A35")
+# Turns as recorded steps: what a turn did is told by its numbers of words and characters.
+STEP_KINDS = (*workspace.KINDS, "apply_patch", "run_tests", "finish", "open_socket")
+STEPS_SQL = f"""t as (select conv_id, turn, role, coalesce(text, '') as text from conversations), n as (select conv_id, row_number() over (partition by conv_id order by turn) - 1 as step, role, len(regexp_extract_all(text, '[^ \\n]+')) as words, length(text) as chars from t),
+steps as (select conv_id::varchar as trajectory, step, list_value({", ".join(f"'{k}'" for k in STEP_KINDS)})[(words % {len(STEP_KINDS)} + 1)::int] as kind, chars % 13 <> 0 as readable, chars % 4 <> 0 as ok, list_value('test_pass', 'identify_bug', 'patch_applied')[(chars % 3 + 1)::int] as criterion, chars % 2 = 0 as claim, chars % 5 < 3 as verified from n)"""
+RECOMBINED_SQL = """x as (select *, sum((kind in ('rollback_patch', 'propose_patch', 'apply_patch', 'run_tests', 'finish'))::int) over (partition by trajectory order by step) as nth from steps),
+r as (select 'failed_patch_' || a.trajectory || '_s' || p.step as trajectory, case when a.step <= p.step then a.step else p.step + a.nth - p.nth end as step, a.kind, a.readable, a.ok, a.criterion, a.claim, a.verified from x a join x p on p.trajectory = a.trajectory and p.kind = 'apply_patch' where a.step <= p.step or a.kind in ('rollback_patch', 'propose_patch', 'apply_patch', 'run_tests', 'finish'))"""
+
+
+def evaluated_sql(rows: str) -> str:
+    known = ", ".join(f"'{k}'" for k in workspace.KINDS)
+    return f"""v as (select *, readable and kind in ({known}) as valid from {rows} where step < {workspace.MAX_STEPS}), e as (select *, min(case when valid and kind = 'finish' then step end) over (partition by trajectory) as finish_at from v),
+u as (select * from e where finish_at is null or step <= finish_at),
+g as (select trajectory, count(*) as actions, count_if(valid) as valid, count_if(not readable) as invalid, count_if(readable and not valid) as forbidden, count_if(valid and kind not in ('finish', 'inspect_error', 'write_memory')) as tools,
+count_if(valid and kind not in ('finish', 'inspect_error', 'write_memory', 'run_tests') and not ok) as tool_errors, count_if(valid and kind = 'apply_patch') as patches, count_if(valid and kind = 'apply_patch' and ok) as patched, count_if(valid and kind = 'run_tests') as tests, count_if(valid and kind = 'run_tests' and ok) as passed,
+max(case when valid and kind = 'finish' then criterion end) as criterion, bool_or(case when valid and kind = 'finish' then claim end) as claim, bool_or(case when valid and kind = 'finish' then verified end) as verified from u group by trajectory)
+select trajectory, actions::bigint as steps_executed, coalesce(case criterion when 'test_pass' then passed > 0 when 'identify_bug' then verified when 'patch_applied' then patched > 0 end, false) as success, coalesce(criterion = 'test_pass' and claim <> (passed > 0), false) as mismatch, criterion is null as max_steps_hit,
+valid / actions as action_validity_rate, case when tools > 0 then tool_errors / tools else 0 end::double as tool_error_rate, case when patches > 0 then patched / patches else 0 end::double as patch_success_rate, case when tests > 0 then passed / tests else 0 end::double as tests_pass_rate,
+forbidden::bigint as forbidden_action_count, invalid::bigint as invalid_action_count, (criterion is not null and tests = 0)::bigint as finish_without_tests_count from g"""
+
+
+def recorded_steps(spark, sf_dir):
+    x = table(spark, sf_dir, "conversations").withColumn("text", F.coalesce("text", F.lit("")))
+    words, chars = F.regexp_count("text", F.lit(r"[^ \n]+")), F.char_length("text")
+    pick = lambda values, n: F.element_at(F.array(*map(F.lit, values)), (n % len(values) + 1).cast("int"))
+    step = F.row_number().over(W.partitionBy("conv_id").orderBy("turn")) - 1
+    return x.select(F.col("conv_id").cast("string").alias("trajectory"), step.cast("bigint").alias("step"), pick(STEP_KINDS, words).alias("kind"), (chars % 13 != 0).alias("readable"), (chars % 4 != 0).alias("ok"), pick(workspace.CRITERIA, chars).alias("criterion"), (chars % 2 == 0).alias("claim"), (chars % 5 < 3).alias("verified"))
+
+
+@register("trajectory_metrics", "V10b A31 A35 S15", f"with {STEPS_SQL}, {evaluated_sql('steps')}")
+def trajectory_metrics(spark, sf_dir):
+    """Every conversation as a trajectory of recorded steps: validity, tools, patches, tests and success by the finish's criterion."""
+    return trajectory_rows.evaluated(recorded_steps(spark, sf_dir))
+
+
+@register("recovered_trajectories", "V10c V10b", f"with {STEPS_SQL}, {RECOMBINED_SQL}, z as ({'with ' + evaluated_sql('r')}) select * from z where success")
+def recovered_trajectories(spark, sf_dir):
+    """Trajectories cut behind each patch and gone on with the later steps that recover, of which those that succeed are kept."""
+    return trajectory_rows.evaluated(trajectory_rows.recombined(recorded_steps(spark, sf_dir))).where("success")
+
+
+@register("workspace_replay", "V10 V10a V10b V10d V10e V10f V11 S15 A31 A35")
 def workspace_replay(spark, sf_dir):
     """Each conversation's task replayed on a workspace, clean and spoilt in five ways at a step that its number sets. Equal replays run once."""
     import os
