@@ -10,10 +10,31 @@ _FENCE = re.compile(r"```(?:json)?\s*\n?(.*?)```", re.S)
 
 
 def repair_json(raw: str) -> str:
-    """Without fences and trailing commas, and with missing closing braces."""
+    """Without fences, without commas before a closing bracket, and with the brackets closed that are open at the end.
+
+    One pass with a stack of open brackets and the state of strings: what stands in a string is never touched, and a text that ends in a string
+    or closes what is not open is left as it is, for the parser to refuse.
+    """
     m = _FENCE.search(raw)
-    text = re.sub(r",\s*([}\]])", r"\1", (m[1] if m else raw).strip())
-    return text + "}" * max(0, text.count("{") - text.count("}"))
+    text = (m[1] if m else raw).strip()
+    out, stack, quoted, escaped = [], [], False, False
+    comma = None  # where in `out` a comma stands behind which only white space has come
+    for c in text:
+        if quoted:
+            quoted, escaped = escaped or c != '"', c == "\\" and not escaped
+        elif c == '"':
+            quoted = True
+        elif c in "{[":
+            stack.append("}" if c == "{" else "]")
+        elif c in "}]":
+            if not stack or stack.pop() != c:
+                return text
+            if comma is not None:
+                del out[comma:]
+        if not c.isspace():
+            comma = len(out) if c == "," and not quoted else None
+        out.append(c)
+    return text if quoted else "".join(out + stack[::-1])
 
 
 def extract_json(raw: str | None) -> dict | None:

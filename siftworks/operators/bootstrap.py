@@ -1,4 +1,4 @@
-"""Paired bootstrap intervals from counts: rows with equal outcomes are drawn together."""
+"""Paired bootstrap intervals from counts: rows with equal outcomes are drawn together, each replicate as many as there are."""
 
 from __future__ import annotations
 
@@ -11,12 +11,18 @@ from pyspark.sql import functions as F
 
 
 def replicate_means(delta: np.ndarray, n: np.ndarray, draws: int, seed: int) -> np.ndarray:
-    """Sorted means of `draws` Poisson bootstrap replicates of n rows for each value of delta.
+    """Sorted means of `draws` bootstrap replicates of exactly sum(n) rows, of which n have each value of delta.
 
-    A row weighs by a Poisson(1) draw in each replicate; n rows that are alike weigh by a Poisson(n) draw together, which is the same law.
+    How many rows of each value a replicate has is multinomial, and is drawn value by value: of the rows that are left to draw, a binomial number
+    has the next value, by its share in what is left. Memory is that of `draws` numbers, whatever the number of values.
     """
-    weights = np.random.default_rng(seed).poisson(n, (draws, len(n)))
-    return np.sort((weights * delta).sum(1) / np.maximum(weights.sum(1), 1))
+    rng, total = np.random.default_rng(seed), int(n.sum())
+    left, rows, sums = np.full(draws, total, np.int64), total, np.zeros(draws)
+    for value, count in zip(delta.tolist(), n.tolist()):
+        drawn = rng.binomial(left, count / rows) if count < rows else left
+        sums += drawn * value
+        left, rows = left - drawn, rows - count
+    return np.sort(sums / total)
 
 
 def paired_interval(rows: DataFrame, keys: list[str], a: str, b: str, draws: int = 10_000, seed: int = 42) -> DataFrame:

@@ -193,3 +193,22 @@ def markdown(title: str, sections: dict[str, list[dict]]) -> str:
 def write_report(report: dict, path: str) -> None:
     with open(path, "w", encoding="utf-8") as f:
         json.dump(report, f, indent=2, sort_keys=True, ensure_ascii=False)
+
+
+FAMILY_KEYS = ("families", "validation_family_ids", "frozen_family_ids", "train_family_ids")
+
+
+def read_family_ids(spark: SparkSession, path: str) -> DataFrame:
+    """(source_key, family_id) of JSON objects, one a line, that hold families under any of FAMILY_KEYS, as strings or as objects with family_id or id.
+
+    The schema is told row by row: lines are variants, so that one file may hold all shapes. Keys that are absent, null or no list, and items of other
+    types, give nothing; so do lines that are no JSON.
+    """
+    lines = spark.read.text(path).select(F.try_parse_json("value").alias("v"))
+    lists = F.array(*(F.struct(F.lit(k).alias("source_key"), F.try_variant_get("v", f"$.{k}", "array<variant>").alias("items")) for k in FAMILY_KEYS))
+    items = lines.select(F.explode(lists).alias("l")).select("l.source_key", F.explode("l.items").alias("item"))
+    text = lambda v, at: F.when(F.schema_of_variant(F.try_variant_get(v, at, "variant")) == "STRING", F.try_variant_get(v, at, "string"))
+    named = F.coalesce(F.nullif(text("item", "$.family_id"), F.lit("")), text("item", "$.id"))
+    kind = F.schema_of_variant("item")
+    out = items.select("source_key", F.when(kind == "STRING", F.try_variant_get("item", "$", "string")).when(kind.startswith("OBJECT"), named).alias("family_id"))
+    return out.where("family_id is not null").distinct()
