@@ -193,23 +193,25 @@ def predict(model: Model, texts: list[str | None]):
 
 
 def sample(docs: DataFrame) -> dict[str, str]:
-    """{language: text}: at most CHARS_PER_LANG characters of at most DOCS_PER_LANG rows of each of the MAX_LANGS commonest languages.
+    """{language: text}: at most CHARS_PER_LANG characters of at most DOCS_PER_LANG distinct texts of each of the MAX_LANGS commonest languages.
 
-    Held-out rows and null texts are never read. Rows up to LONG characters come before longer ones, then by a hash of doc_id and text. A first
-    count of each language sets a bound on the hash that leaves about four times the rows needed; no task gathers a language.
+    Held-out rows and null texts are never read. However often a text is repeated, it counts once, and so do languages' numbers of texts. Texts up
+    to LONG characters come before longer ones, then by a hash of the text. A first count of each language's texts sets a bound on the hash that
+    leaves about four times those needed, or all where there are no more; copies become one row before they are shuffled, and no task gathers a language.
     """
     rows = docs.where("lang is not null and text is not null").where(~held_out())
-    rows = rows.select("lang", F.left("text", F.lit(CHARS_PER_LANG)).alias("text"), (F.length("text") > LONG).alias("long"), F.pmod(F.xxhash64(F.lit(5), "doc_id", F.xxhash64("text")), F.lit(1 << 30)).alias("h"))
-    counts = rows.groupBy("lang").agg(F.count("*").alias("n"), F.count_if(~F.col("long")).alias("short")).orderBy(F.desc("n"), "lang").limit(MAX_LANGS).collect()
-    kept = F.lit(False)
+    rows = rows.select("lang", F.left("text", F.lit(CHARS_PER_LANG)).alias("text"), (F.length("text") > LONG).alias("long"), F.xxhash64(F.lit(5), "text").alias("h"))
+    texts = rows.groupBy("lang", "h").agg(F.max("long").alias("long"))
+    counts = texts.groupBy("lang").agg(F.count("*").alias("n"), F.count_if(~F.col("long")).alias("short")).orderBy(F.desc("n"), "lang").limit(MAX_LANGS).collect()
+    kept, place = F.lit(False), F.pmod(F.col("h"), F.lit(1 << 30))
     for r in counts:
         enough = r.short >= DOCS_PER_LANG
         bound = int((1 << 30) * min(1.0, 4 * DOCS_PER_LANG / max(1, r.short if enough else r.n)))
-        kept |= (F.col("lang") == r.lang) & (F.col("h") < bound) & (~F.col("long") if enough else F.lit(True))
-    got = rows.where(kept).collect()  # about 240 rows a language of at most CHARS_PER_LANG characters
+        kept |= (F.col("lang") == r.lang) & (place < bound) & (~F.col("long") if enough else F.lit(True))
+    got = rows.where(kept).groupBy("lang", "h", "long").agg(F.min("text").alias("text")).collect()  # about 240 texts a language of at most CHARS_PER_LANG characters
     out: dict[str, str] = {}
     taken: dict[str, int] = {}
-    for r in sorted(got, key=lambda r: (r.lang, r.long, r.h, r.text)):
+    for r in sorted(got, key=lambda r: (r.lang, r.long, r.h % (1 << 30), r.text)):
         had = out.get(r.lang, "")
         if len(had) < CHARS_PER_LANG and taken.get(r.lang, 0) < DOCS_PER_LANG:
             out[r.lang], taken[r.lang] = (had + "\n" + r.text)[:CHARS_PER_LANG], taken.get(r.lang, 0) + 1
@@ -219,7 +221,7 @@ def sample(docs: DataFrame) -> dict[str, str]:
 def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
     """(doc_id, held_out, lang_pred, score) for every row of docs (doc_id, text; lang where a model is still to be fitted).
 
-    Null and empty texts and texts without a letter are `und` with score 0; repeated rows get equal answers; texts of any length are
+    Null and empty texts and texts without a letter are `und` with score 0; repeated rows get equal answers and teach no more than one does; texts of any length are
     parsed whole. A row held out by its id teaches nothing, even if another row repeats the id; null languages teach nothing. Ties go
     to the first language by name. An empty table gives an empty result. Columns of other names are not looked at.
     """

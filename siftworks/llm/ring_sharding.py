@@ -9,8 +9,8 @@ its run by the bytes before it in its arc. No task holds more than some arcs.
 
 from __future__ import annotations
 
-from bisect import bisect_right
-
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -75,15 +75,14 @@ def assign(docs: DataFrame, shards: int = SHARDS, virtual: int = VIRTUAL, slack:
     rows = rows.withColumn("at", F.shiftrightunsigned(place, 1))
     nodes = ring(spark, shards, virtual)
     places, owner = [x[0] for x in nodes], [x[1] for x in nodes]
-    # The arc of a hash: a fixed table by its top bits gives a first guess range, at most a few nodes wide.
-    top = 14
-    starts = [bisect_right(places, (i << (63 - top)) - 1) if i else 0 for i in range((1 << top) + 1)]
-    wide = max(b - a for a, b in zip(starts, starts[1:]))
-    table, at = F.array(*map(F.lit, starts)), F.array(*map(F.lit, [*places, *[(1 << 63) - 1] * (wide + 1)]))
-    guess = F.element_at(table, F.shiftrightunsigned("at", 63 - top).cast("int") + 1)
-    rows = rows.withColumn("guess", guess)
-    step = sum(((F.element_at(at, F.col("guess") + i + 1) < F.col("at")).cast("int") for i in range(wide)), F.lit(0))
-    rows = cut(rows.withColumn("arc", F.pmod(F.col("guess") + step, F.lit(len(places)))).drop("guess"))
+
+    def arcs(batches):
+        ends = np.array(places)
+        for b in batches:
+            arc = np.searchsorted(ends, b.column("at").to_numpy()) % len(ends)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(arc.astype(np.int32))], [*b.schema.names, "arc"])
+
+    rows = cut(rows.mapInArrow(arcs, "doc_id bigint, size bigint, text_crc32 bigint, at bigint, arc int"))  # numbers only
 
     sums = {r.arc: r.load for r in rows.groupBy("arc").agg(F.sum("size").alias("load")).collect()}  # one row a virtual node
     loads = [sums.get(i, 0) for i in range(len(places))]

@@ -403,17 +403,19 @@ def test_sharding_rows(docs, rows, none):
 
 
 def brute_ring(rows, nodes, shards, capacity):
-    """{row: shard}: document by document in ring order; each node takes its own, then what was carried on, while its shard has room for more bytes."""
-    places = [p for p, _ in nodes]
+    """{row: shard}, byte by byte: going clockwise a node takes the bytes of its own arc, then those carried on, while its shard has room; a row is where its first byte is."""
+    places, room, out = [p for p, _ in nodes], [int(capacity)] * shards, {}
     arcs = defaultdict(list)
     for at, row, size in sorted(rows):
-        arcs[sum(p < at for p in places) % len(nodes)].append((row, size))
-    runs, out = ring_sharding.fill([sum(n for _, n in arcs[i]) for i in range(len(nodes))], [s for _, s in nodes], shards, capacity), {}
-    for arc, docs in arcs.items():
-        before = 0
-        for row, size in docs:
-            out[row] = [s for a, b, s in runs if a == arc and b <= before][-1]
-            before += size
+        arcs[sum(p < at for p in places) % len(nodes)] += [(row, k) for k in range(size)]
+    carried = []
+    for turn in range(2):
+        for node, (_, shard) in enumerate(nodes):
+            waiting = (arcs[node] if turn == 0 else []) + carried
+            out |= {row: shard for row, k in waiting[: room[shard]] if k == 0}
+            carried = waiting[room[shard] :]
+            room[shard] -= min(room[shard], len(waiting))
+    assert not carried
     return out
 
 
@@ -433,6 +435,24 @@ def test_overfull_shards_hand_on_clockwise():
     assert ring_sharding.fill([5, 0, 25], [0, 1, 2], 3, 10) == [(0, 0, 0), (2, 0, 2), (2, 10, 0), (2, 15, 1)]
 
 
+def test_language_is_learned_though_rows_repeat(spark):
+    """A few texts repeated thousands of times beside a rare language; one text a third of all; both languages are learned, and the sample stays small."""
+    english = [f"the cat sat on the mat and saw dog number {i} in the house" for i in range(10)]
+    german = [f"der hund lag auf der matte und sah die katze {i} im haus" for i in range(10)]
+    kept = [i for i in range(60) if zlib.crc32(str(i).encode()) % 3 != 1]
+    for rows in (
+        [(kept[k % len(kept)], "en", english[k % 10]) for k in range(3000)] + [(kept[k], "de", german[k]) for k in range(10)],
+        [(kept[k % 6], "en", english[0]) for k in range(5000)] + [(kept[k], "de", german[k]) for k in range(10)],
+    ):
+        df = spark.createDataFrame(rows, "doc_id bigint, lang string, text string").repartition(4)
+        got = crossparse_lang.sample(df.select("doc_id", "text", "lang"))
+        assert set(got) == {"en", "de"} and all(len(t) < 2000 for t in got.values())
+        assert got["en"].count(english[0]) == 1
+        wanted = [(1000, "en", "the dog saw the cat on the mat"), (1001, "de", "die katze sah den hund auf der matte")]
+        model = crossparse_lang.fit(got)
+        assert [r.lang_pred for r in crossparse_lang.identify(spark.createDataFrame(wanted, "doc_id bigint, lang string, text string"), model).sort("doc_id").collect()] == ["en", "de"]
+
+
 def test_ring_balance_and_movement(spark):
     docs = spark.range(20_000).selectExpr("id as doc_id", "repeat('x', cast(id % 50 as int)) as text")
     now, more = ({r.doc_id: (r.shard, r["size"]) for r in ring_sharding.assign(docs, n).collect()} for n in (10, 11))
