@@ -7,15 +7,16 @@ first node, in source order, that it changes. All are exposed as one table funct
 from __future__ import annotations
 
 import ast
-import copy
 import hashlib
 import json
 import os
 import re
+import resource
 import subprocess
 import sys
 import tempfile
 from collections.abc import Callable
+from xml.etree import ElementTree
 
 
 def parse(code: str | None) -> ast.Module | None:
@@ -54,11 +55,24 @@ def structural_hash(code: str | None, rename: bool = True) -> str:
     return _digest(ast.dump(_Anonymous().visit(tree) if rename else tree))
 
 
-def signatures(code: str | None) -> list[str]:
-    """name/number of arguments of each function, sorted."""
+def signatures(code: str | ast.Module | None) -> list[str]:
+    """name(arguments) of each function, outer ones first."""
+    tree = code if isinstance(code, ast.Module) else parse(code)
+    return [f"{n.name}({','.join(a.arg for a in n.args.args)})" for n in ast.walk(tree) if isinstance(n, ast.FunctionDef)] if tree else []
+
+
+def summary(code: str | None) -> tuple[str, str, str | None, str, bool]:
+    """(structural hash, hash of the tree as it is, signatures, findings of the safety screen, whether it compiles), from one parse."""
     tree = parse(code)
-    defs = [n for n in ast.walk(tree) if isinstance(n, (ast.FunctionDef, ast.AsyncFunctionDef))] if tree else []
-    return sorted(f"{n.name}/{len(n.args.args)}" for n in defs)
+    if tree is None:
+        return _digest(code or ""), _digest(code or ""), None, "syntax", False
+    bare, named, found = _digest(ast.dump(tree)), ";".join(signatures(tree)) or None, ",".join(safety_findings(tree))
+    try:
+        compile(tree, "<sample>", "exec")
+        compiles = True
+    except (SyntaxError, ValueError):
+        compiles = False
+    return _digest(ast.dump(_Anonymous().visit(tree))), bare, named, found, compiles
 
 
 # Modules and calls that the screen reports.
@@ -66,9 +80,9 @@ RISKY_MODULES = {"os", "sys", "subprocess", "socket", "shutil", "ctypes", "multi
 RISKY_CALLS = {"eval", "exec", "compile", "__import__", "input", "breakpoint"}
 
 
-def safety_findings(code: str | None) -> list[str]:
+def safety_findings(code: str | ast.Module | None) -> list[str]:
     """What in the code is not allowed to run: risky imports and calls, files opened for writing."""
-    tree, out = parse(code), []
+    tree, out = code if isinstance(code, ast.Module) else parse(code), []
     if tree is None:
         return ["syntax"]
     for n in ast.walk(tree):
@@ -89,12 +103,12 @@ def safety_findings(code: str | None) -> list[str]:
 Rewrite = Callable[[ast.AST], ast.AST | list | None]
 
 
-def rewrite_first(code: str, change: Rewrite) -> str | None:
-    """The code with the first node changed that `change` replaces; None if there is none or nothing differs."""
+def rewrite_first(code: str, change: Rewrite, before: str | None = None) -> str | None:
+    """The code with the first node changed that `change` replaces; None if there is none or nothing differs. before: the code as unparsed, if known."""
     tree = parse(code)
     if tree is None:
         return None
-    before = ast.unparse(tree)
+    before = before or ast.unparse(tree)
 
     def visit(node) -> bool:
         for name, value in ast.iter_fields(node):
@@ -102,7 +116,7 @@ def rewrite_first(code: str, change: Rewrite) -> str | None:
             for i, child in enumerate(items):
                 if not isinstance(child, ast.AST):
                     continue
-                new = change(copy.deepcopy(child))
+                new = change(child)  # changes nothing where it returns None
                 if new is not None:
                     if isinstance(value, list):
                         value[i : i + 1] = new if isinstance(new, list) else [new]
@@ -270,9 +284,10 @@ MUTATIONS: dict[str, list[Rewrite]] = {
 
 def variants(code: str | None, table: dict[str, list[Rewrite]]) -> list[tuple[str, str]]:
     """(name, code) of each rewrite that changes the code; the first alternative that does counts."""
-    out = []
-    for name, changes in table.items():
-        new = next((x for c in changes if (x := rewrite_first(code or "", c)) is not None), None)
+    out, tree = [], parse(code)
+    before = ast.unparse(tree) if tree is not None else None
+    for name, changes in table.items() if before is not None else ():
+        new = next((x for c in changes if (x := rewrite_first(code or "", c, before)) is not None), None)
         if new is not None:
             out.append((name, new))
     return out
@@ -295,11 +310,13 @@ def boundary_values(example) -> list:
 
 
 def boundary_sets(arguments: list, n: int = 3) -> list[list[tuple[int, object]]]:
-    """Edge cases of a call's arguments dealt into n disjoint sets: case i of an argument goes to set i % n."""
+    """Edge cases of a call's arguments dealt into n disjoint sets: case i of an argument goes to set i % n, but for one that an earlier case equals."""
     out: list[list[tuple[int, object]]] = [[] for _ in range(n)]
     for k, example in enumerate(arguments):
-        for i, value in enumerate(boundary_values(example)):
-            out[i % n].append((k, value))
+        values = boundary_values(example)
+        for i, value in enumerate(values):
+            if not any(type(v) is type(value) and v == value for v in values[:i]):
+                out[i % n].append((k, value))
     return out
 
 
@@ -342,6 +359,53 @@ def assertions(name: str, calls: list[list], outputs: list[dict]) -> list[str]:
     return [f"assert {name}({', '.join(map(repr, c))}) == {o['value']!r}" for c, o in zip(calls, outputs) if o["ok"]]
 
 
+def test_functions(name: str, calls: list[list], outputs: list[dict]) -> str:
+    """A pytest function for each call: it returns what it returned, or raises what it raised."""
+    out = ["import pytest"]
+    for k, (c, o) in enumerate(zip(calls, outputs)):
+        call = f"{name}({', '.join(map(repr, c))})"
+        body = f"    assert {call} == {o['value']!r}" if o["ok"] else f"    with pytest.raises({o['error']}):\n        {call}"
+        out.append(f"def test_{k}():\n{body}")
+    return "\n\n".join(out) + "\n"
+
+
+MEMORY = 1 << 30  # bytes of a process that runs samples
+
+
+def _limited() -> None:
+    resource.setrlimit(resource.RLIMIT_AS, (MEMORY, MEMORY))
+
+
+def pytest_many(samples: list[tuple[str, str]], timeout_s: float = 10.0) -> list[dict]:
+    """{passed, collected, failed, timed_out} of each (code, tests), collected and run by pytest, all in one process of its own with bounded memory.
+
+    A sample passes if it has tests and all pass. Where the process ends early, or takes longer than timeout_s for each sample, samples are run one by one.
+    """
+    if not samples:
+        return []
+    with tempfile.TemporaryDirectory() as d:
+        for k, (code, tests) in enumerate(samples):
+            with open(f"{d}/test_sample_{k}.py", "w", encoding="utf-8") as f:
+                f.write(f"{code}\n\n{tests}\n")
+        command = [sys.executable, "-I", "-m", "pytest", "-q", "-p", "no:cacheprovider", "--continue-on-collection-errors", "--junitxml", f"{d}/report.xml", "--rootdir", d, d]
+        try:
+            subprocess.run(command, cwd=d, env={"PATH": os.environ.get("PATH", ""), "PYTEST_DISABLE_PLUGIN_AUTOLOAD": "1", "PYTHONDONTWRITEBYTECODE": "1"}, capture_output=True, timeout=timeout_s * len(samples), preexec_fn=_limited)
+            report = ElementTree.parse(f"{d}/report.xml").getroot()
+        except (subprocess.TimeoutExpired, OSError, ElementTree.ParseError) as e:
+            if len(samples) > 1:
+                return [x for s in samples for x in pytest_many([s], timeout_s)]
+            return [{"passed": False, "collected": 0, "failed": 1, "timed_out": isinstance(e, subprocess.TimeoutExpired)}]
+    out = [{"passed": False, "collected": 0, "failed": 0, "timed_out": False} for _ in samples]
+    for case in report.iter("testcase"):
+        if at := re.search(r"test_sample_(\d+)", f"{case.get('classname')} {case.get('name')}"):
+            row = out[int(at[1])]
+            row["collected"] += case.find("error") is None
+            row["failed"] += any(case.find(x) is not None for x in ("failure", "error"))
+    for row in out:
+        row["passed"] = row["collected"] > 0 and row["failed"] == 0
+    return out
+
+
 def verify(code: str, tests: str, timeout_s: float = 10.0) -> dict:
     """Runs assert tests after the code; passed only if there is a test, none fails and time suffices."""
     n = len(re.findall(r"\bassert\b", tests or ""))

@@ -44,7 +44,7 @@ def both(name: str, covers: str, text: str) -> None:
 
 
 def _load() -> None:
-    from . import dedup, gates, metrics, procedural, projections, relational, sampling, shapes, similarity, storage, streams, upserts  # noqa: F401
+    from . import code_rows, dedup, gates, metrics, procedural, projections, relational, sampling, shapes, similarity, storage, streams, upserts  # noqa: F401
 
 
 def queries():

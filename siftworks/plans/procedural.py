@@ -3,98 +3,14 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from ..functions import protocols, python_code, tokens, workspace
+from ..functions import protocols, tokens, workspace
 from ..operators import bootstrap, state, stopping
 from ..operators import trajectory as trajectory_rows
 from .catalogue import register, table
 
-# A code sample for each document: the text sets its numbers and its shape.
-CODES = (
-    "def f{k}(xs):\n    total = 0\n    for i in range(len(xs)):\n        if xs[i] > {k}:\n            total = total + xs[i]\n    return total\n",
-    "def g{k}(s):\n    if not s:\n        return ''\n    return s[::-1] + str({k})\n",
-    "def h{k}(xs):\n    out = []\n    for x in sorted(xs):\n        out.append(x * {k})\n    return max(out) if out else 0\n",
-)
-
-
-def code_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k = F.pmod(F.length("text"), F.lit(9)) + 1
-    shapes = F.array(*map(F.lit, CODES))
-    code = F.replace(F.element_at(shapes, (F.col("doc_id") % len(CODES) + 1).cast("int")), F.lit("{k}"), k.cast("string"))
-    return table(spark, sf_dir, "documents").select("doc_id", "source", code.alias("code"))
-
-
-@F.pandas_udf(T.StringType())
-def structural(code: pd.Series) -> pd.Series:
-    return code.map(python_code.structural_hash)
-
-
-@F.pandas_udf(T.StringType())
-def signature(code: pd.Series) -> pd.Series:
-    return code.map(lambda c: ",".join(python_code.signatures(c)))
-
-
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def findings(code: pd.Series) -> pd.Series:
-    return code.map(python_code.safety_findings)
-
-
-@F.pandas_udf(T.BooleanType())
-def compiles(code: pd.Series) -> pd.Series:
-    return code.map(lambda c: python_code.compile_error(c) is None)
-
-
-@register("code_structure", "D6 D7 X29 X30 X31")
-def code_structure(spark, sf_dir):
-    """Structural groups: hash, signature, findings and members."""
-    x = code_samples(spark, sf_dir).withColumn("hash", structural("code")).withColumn("signatures", signature("code")).withColumn("findings", findings("code")).withColumn("compiles", compiles("code"))
-    return x.groupBy("hash", "compiles").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc"), F.count_distinct("signatures").alias("n_signatures"), F.sum(F.size("findings")).alias("n_findings"))
-
-
-def _variants(kind: str, rules):
-    def run(batches):
-        for pdf in batches:
-            rows = [(d, kind, name, new) for d, code in zip(pdf.doc_id, pdf.code) for name, new in python_code.variants(code, rules)]
-            yield pd.DataFrame(rows, columns=["doc_id", "kind", "rewrite", "code"])
-
-    return run
-
-
-@register("bug_variants", "V5 V5a V5b V5c V5d V5e V5f V5g V5h V5i V7")
-def bug_variants(spark, sf_dir):
-    return code_samples(spark, sf_dir).select("doc_id", "code").mapInPandas(_variants("bug", python_code.BUGS), "doc_id bigint, kind string, rewrite string, code string")
-
-
-@register("mutation_variants", "V6 V6a V6b V6c V6d V6e V6f V6g V6h V6i V6j V6k")
-def mutation_variants(spark, sf_dir):
-    return code_samples(spark, sf_dir).select("doc_id", "code").mapInPandas(_variants("mutation", python_code.MUTATIONS), "doc_id bigint, kind string, rewrite string, code string")
-
-
-@register("boundary_variants", "V8 V8a V8b V9 X32")
-def boundary_variants(spark, sf_dir):
-    def run(batches):
-        for pdf in batches:
-            rows = [(d, i, len(s), repr(s)) for d, n in zip(pdf.doc_id, pdf.n_chars) for i, s in enumerate(python_code.boundary_sets([int(n), [int(n), 1], "x"]))]
-            yield pd.DataFrame(rows, columns=["doc_id", "variant", "n_cases", "cases"])
-
-    return table(spark, sf_dir, "documents").select("doc_id", "n_chars").mapInPandas(run, "doc_id bigint, variant int, n_cases int, cases string")
-
-
-@register("verified_shapes", "V1 V2 V4 Q24")
-def verified_shapes(spark, sf_dir):
-    """Each distinct code sample run against its tests in a process of its own."""
-
-    def run(batches):
-        for pdf in batches:
-            got = [python_code.verify(c, "assert callable(list(globals().values())[-1])") for c in pdf.code]
-            yield pd.DataFrame({"code": pdf.code, "passed": [g["passed"] for g in got], "collected": [g["collected"] for g in got], "timed_out": [g["timed_out"] for g in got]})
-
-    return code_samples(spark, sf_dir).select("code").distinct().mapInPandas(run, "code string, passed boolean, collected int, timed_out boolean")
-
 
 @register("protocol_diagnostics", "X17 X19 X20 X21 X23 X13 X15")
 def protocol_diagnostics(spark, sf_dir):
@@ -273,25 +189,6 @@ def workspace_replay(spark, sf_dir):
     return wanted.join(done, ["task", "spoil", "at"])
 
 
-@register("boundary_outputs", "V8c V9 V8")
-def boundary_outputs(spark, sf_dir):
-    """Edge cases of each task's argument run through the corrected code: outputs, and the test lines made of them, which must pass."""
-    examples = ([1, 2], "abc", 3)
-
-    def run(batches):
-        for pdf in batches:
-            rows = []
-            for k in pdf["task"]:
-                code = TASKS[k][0].replace(TASKS[k][1], TASKS[k][2], 1)
-                calls = [[v] for v in python_code.boundary_values(examples[k])]
-                outputs = python_code.expected_outputs(code, "solution", calls) or []
-                tests = "\n".join(python_code.assertions("solution", calls, outputs))
-                rows.append((k, len(calls), sum(o["ok"] for o in outputs), python_code.verify(code, tests)["passed"], python_code.verify(TASKS[k][0], tests)["passed"]))
-            yield pd.DataFrame(rows, columns=["task", "cases", "returned", "passes", "broken_passes"])
-
-    return spark.range(len(TASKS)).select(F.col("id").cast("int").alias("task")).mapInPandas(run, "task int, cases int, returned int, passes boolean, broken_passes boolean")
-
-
 @register("token_lengths", "V13 A23 X34")
 def token_lengths(spark, sf_dir):
     """Tokens of whole texts by an installed vocabulary, and by language how many are over the limit of training."""

@@ -143,7 +143,7 @@ def frozen_lock(spark, sf_dir):
     return spark.createDataFrame(states, "state string, errors bigint")
 
 
-@register("markdown_report", "K8 Q12", "select concat('| ', lang, ' | ', TEXT(count(*)), ' |') as line from documents where lang is not null group by lang")
+@register("markdown_report", "K8", "select concat('| ', lang, ' | ', TEXT(count(*)), ' |') as line from documents where lang is not null group by lang")
 def markdown_report(spark, sf_dir):
     """The table rows of a rendered report of languages."""
     counts = table(spark, sf_dir, "documents").where("lang is not null").groupBy("lang").agg(F.count("*").alias("n")).orderBy("lang").collect()  # one row a language
