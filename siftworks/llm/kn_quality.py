@@ -1,7 +1,8 @@
 """Quality rules: word and line statistics, and bands of n-gram perplexity for each language.
 
-Each language with MIN_ROWS documents or more has an alphabet of its own: white space, its LETTERS most frequent letters, two classes of other
-letters, digits, punctuation and the rest; rarer languages share one. Spark counts the n-grams of ORDER symbols of all texts. From them
+Each language with MIN_ROWS documents or more has an alphabet of its own: white space, its most frequent letters, as many as cover all but a
+hundredth of what it writes, two classes of other letters, digits, punctuation and the rest; rarer languages share one. Symbols have 5 to 12 bits
+and n-grams as many symbols as 25 bits hold: five of a small alphabet, four of one of sixty, two of a thousand syllables or ideographs. Spark counts the n-grams of all texts. From them
 a modified Kneser-Ney model with three discounts an order is made and stored as sorted arrays of 64-bit hashes with log probabilities and
 back-off weights; it grows with the n-grams that the corpus holds. Scoring searches the arrays once for each distinct n-gram of some texts.
 A document outside its language's perplexity band, which follows from the quartiles over all documents that pass the plain rules, is rejected.
@@ -19,10 +20,11 @@ from pyspark.sql import functions as F
 from .common import cut, mix64, pieces
 from .line_forms import powers, sums
 
-ORDER, BITS = 5, 5
-SIZE = 1 << BITS
-LETTERS = 26
-SPACE, OTHER, DIGIT, MARK, REST = 0, LETTERS + 1, LETTERS + 3, LETTERS + 4, LETTERS + 5
+GRAM_BITS = 25
+LEAST_BITS, MOST_BITS = 5, 12
+COVER = 0.99  # of the letters that a language writes, which have symbols of their own, as far as MOST_BITS hold them
+SPACE, OTHER, DIGIT, MARK, REST = 0, 1, 3, 4, 5  # classes; their symbols but that of white space follow the letters'
+CLASSES = 6
 MIN_ROWS = 20  # documents from which a language has a model and a band of its own
 MAX_ENTRIES = 12_000_000  # n-grams of the languages that are scored together; 12 bytes each on an executor
 LEAST = 2  # an n-gram found once in all is known from the text that is scored only
@@ -61,7 +63,7 @@ _kinds: list[np.ndarray] = []
 
 
 def kinds() -> np.ndarray:
-    """The symbol of every code point in an alphabet without letters of its own."""
+    """The class of every code point; letters have two, OTHER and the next, in turn."""
     if not _kinds:
         out = np.full(0x110000, REST, np.uint8)
         for i in range(0x110000):
@@ -77,21 +79,37 @@ def kinds() -> np.ndarray:
     return _kinds[0]
 
 
+def room(bits: int) -> int:
+    """Letters that have a symbol of their own beside the classes."""
+    return (1 << bits) - CLASSES
+
+
+def bits_of(letters: list[int]) -> int:
+    """Bits of a symbol in the least alphabet with room for the letters."""
+    return next(b for b in range(LEAST_BITS, MOST_BITS + 1) if room(b) >= len(letters) or b == MOST_BITS)
+
+
+def symbol(kind: int, bits: int) -> int:
+    return kind if kind == SPACE else room(bits) + kind
+
+
 def alphabet(found: list[int]) -> np.ndarray:
     """The symbol of every code point; found: a language's letters, the most frequent first."""
-    out = kinds().copy()
-    out[found[:LETTERS]] = np.arange(1, 1 + len(found[:LETTERS]))
+    bits = bits_of(found)
+    out = np.array([symbol(k, bits) for k in range(CLASSES)], np.uint16)[kinds()]
+    out[found[: room(bits)]] = np.arange(1, 1 + len(found[: room(bits)]))
     return out
 
 
-def grams(symbols: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """The code of each symbol with the ORDER - 1 before it; rows of n symbols start after white space."""
-    padded = np.zeros(len(symbols) + (ORDER - 1) * len(n), np.uint32)
-    at = np.arange(len(symbols)) + (ORDER - 1) * (np.repeat(np.arange(len(n)), n) + 1)
+def grams(symbols: np.ndarray, n: np.ndarray, bits: int = LEAST_BITS) -> np.ndarray:
+    """The code of each symbol with those before it that GRAM_BITS hold; rows of n symbols start after white space."""
+    order = GRAM_BITS // bits
+    padded = np.zeros(len(symbols) + (order - 1) * len(n), np.uint32)
+    at = np.arange(len(symbols)) + (order - 1) * (np.repeat(np.arange(len(n)), n) + 1)
     padded[at] = symbols
     code = padded.copy()
-    for i in range(1, ORDER):
-        code[i:] |= padded[:-i] << np.uint32(BITS * i)
+    for i in range(1, order):
+        code[i:] |= padded[:-i] << np.uint32(bits * i)
     return code[at]
 
 
@@ -108,10 +126,15 @@ def _letter_counts(batches):
 
 
 def alphabets(rows: DataFrame) -> dict[int, list[int]]:
-    """{slot: its LETTERS most frequent letters} over all texts of rows (slot, text)."""
+    """{slot: its most frequent letters} over all texts of rows (slot, text): those of the least alphabet that covers COVER of them, or of the largest."""
     counts = rows.select("slot", "text").mapInArrow(_letter_counts, "slot int, letter int, n bigint").groupBy("slot", "letter").agg(F.sum("n").alias("n"))
-    first = F.slice(F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("n"), "letter"))), 1, LETTERS)  # of at most some hundred thousand letters
-    return {r.slot: [x.letter for x in r.first] for r in counts.groupBy("slot").agg(first.alias("first")).collect()}
+    first = F.slice(F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("n"), "letter"))), 1, room(MOST_BITS))  # of at most some hundred thousand letters
+    out = {}
+    for r in counts.groupBy("slot").agg(first.alias("first"), F.sum("n").alias("total")).collect():
+        covered = np.cumsum([-x.n for x in r.first])
+        enough = int(np.searchsorted(covered, COVER * r.total)) + 1
+        out[r.slot] = [x.letter for x in r.first[: room(bits_of(r.first[:enough]))]]
+    return out
 
 
 def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
@@ -127,10 +150,10 @@ def _symbols(letters: dict[int, list[int]]):
     tables: dict[int, np.ndarray] = {}
 
     def encode(slots, codes, n):
-        out, ends = np.zeros(len(codes), np.uint8), np.cumsum(n)
+        out, ends = np.zeros(len(codes), np.uint16), np.cumsum(n)
         for s in np.unique(slots).tolist():
             if s not in tables:
-                if len(tables) >= 32:
+                if len(tables) >= 16:
                     tables.clear()
                 tables[s] = alphabet(letters.get(s, []))
             for k in np.flatnonzero(slots == s).tolist():
@@ -141,20 +164,36 @@ def _symbols(letters: dict[int, list[int]]):
     return encode
 
 
+def _coded(letters: dict[int, list[int]]):
+    """A function from (slots, code points, number of each row's) to the n-gram codes that end at each."""
+    encode, wide = _symbols(letters), {s: bits_of(x) for s, x in letters.items()}
+
+    def code(slots, codes, n):
+        symbols, bits = encode(slots, codes, n), np.array([wide.get(s, LEAST_BITS) for s in slots.tolist()])
+        out = np.zeros(len(codes), np.uint32)
+        for b in np.unique(bits).tolist():
+            rows = bits == b
+            here = np.repeat(rows, n)
+            out[here] = grams(symbols[here], n[rows], b)
+        return out
+
+    return code
+
+
 def _counts(letters: dict[int, list[int]]):
     def run(batches):
-        encode, held, size = _symbols(letters), [], 0
+        code, held, size = _coded(letters), [], 0
 
         def rows(codes, n):
-            return pa.RecordBatch.from_arrays([pa.array((codes >> np.uint64(BITS * ORDER)).astype(np.int32)), pa.array((codes & np.uint64((1 << BITS * ORDER) - 1)).astype(np.int32)), pa.array(n)], names=["slot", "gram", "n"])
+            return pa.RecordBatch.from_arrays([pa.array((codes >> np.uint64(GRAM_BITS)).astype(np.int32)), pa.array((codes & np.uint64((1 << GRAM_BITS) - 1)).astype(np.int32)), pa.array(n)], names=["slot", "gram", "n"])
 
         for b in batches:
             slots = b.column(0).to_numpy()
             data, offsets = views(b.column(1))
             for i, j in pieces(np.diff(offsets).tolist(), PIECE):
                 codes, n = lower_points(data[offsets[i] : offsets[j]].tobytes(), (offsets[i : j + 1] - offsets[i]).tolist())
-                gram = grams(encode(slots[i:j], codes, n), n)
-                found, count = np.unique(np.repeat(slots[i:j], n).astype(np.uint64) << np.uint64(BITS * ORDER) | gram, return_counts=True)
+                gram = code(slots[i:j], codes, n)
+                found, count = np.unique(np.repeat(slots[i:j], n).astype(np.uint64) << np.uint64(GRAM_BITS) | gram, return_counts=True)
                 if len(found):
                     held.append((found, count.astype(np.int64)))
                     size += len(found)
@@ -182,6 +221,7 @@ class Model:
     logp: np.ndarray
     contexts: np.ndarray
     backoff: np.ndarray
+    bits: dict[int, int]  # of a slot's symbols, LEAST_BITS where it is not there
 
     @staticmethod
     def _get(hashes, values, wanted, missing):
@@ -192,16 +232,16 @@ class Model:
 
     def log2(self, slot: int, codes: np.ndarray) -> np.ndarray:
         """log2 P(last symbol | those before) of codes, from the longest n-gram that is known, with the back-off weights of longer contexts."""
-        codes = np.asarray(codes, np.uint64)
+        codes, bits = np.asarray(codes, np.uint64), self.bits.get(slot, LEAST_BITS)
         out, open_, weight = np.zeros(len(codes), np.float32), np.arange(len(codes)), np.zeros(len(codes), np.float32)
-        for n in range(ORDER, 0, -1):
-            low = codes[open_] & np.uint64((1 << BITS * n) - 1)
+        for n in range(GRAM_BITS // bits, 0, -1):
+            low = codes[open_] & np.uint64((1 << bits * n) - 1)
             p = self._get(self.seen, self.logp, keys(slot, n, low), np.nan)
             known = ~np.isnan(p)
             out[open_[known]] = p[known] + weight[open_[known]]
             open_, low = open_[~known], low[~known]
-            weight[open_] += self._get(self.contexts, self.backoff, keys(slot, n - 1, low >> np.uint64(BITS)), 0.0)
-        out[open_] = weight[open_] - BITS  # the uniform distribution below order 1
+            weight[open_] += self._get(self.contexts, self.backoff, keys(slot, n - 1, low >> np.uint64(bits)), 0.0)
+        out[open_] = weight[open_] - bits  # the uniform distribution below order 1
         return out
 
 
@@ -215,39 +255,41 @@ def discounts(counts: np.ndarray) -> np.ndarray:
     return np.clip(d, 0.01, [0.01, 0.99, 1.99, 2.99]) * [0, 1, 1, 1]
 
 
-def estimate(counts: dict[int, tuple[np.ndarray, np.ndarray]], least: int = 1) -> Model:
-    """A model from {slot: (n-gram codes, counts)}. Orders below the highest count distinct symbols to the left.
+def estimate(counts: dict[int, tuple[np.ndarray, np.ndarray]], least: int = 1, bits: dict[int, int] | None = None) -> Model:
+    """A model from {slot: (n-gram codes, counts)} and the slots' bits a symbol, LEAST_BITS unless given. Orders below the highest count distinct symbols to the left.
 
     n-grams of the highest order found fewer than `least` times enter the estimate but are not stored: scoring backs off from them.
     """
     seen, logp, contexts, backoff = [], [], [], []
     for slot, (gram, n) in counts.items():
+        b = (bits or {}).get(slot, LEAST_BITS)
+        most = GRAM_BITS // b
         order = np.argsort(gram)
         orders = [(np.asarray(gram, np.int64)[order], np.asarray(n, np.float64)[order])]
-        for k in range(ORDER - 1, 0, -1):
-            codes, left = np.unique(orders[0][0] & ((1 << BITS * k) - 1), return_counts=True)
+        for k in range(most - 1, 0, -1):
+            codes, left = np.unique(orders[0][0] & ((1 << b * k) - 1), return_counts=True)
             orders.insert(0, (codes, left.astype(np.float64)))
-        lower_codes, lower = np.zeros(1, np.int64), np.array([1 / SIZE])
+        lower_codes, lower = np.zeros(1, np.int64), np.array([1 / (1 << b)])
         for k, (codes, c) in enumerate(orders, 1):
             step = discounts(c)[np.minimum(c, 3).astype(int)]
-            context = codes >> BITS
+            context = codes >> b
             first = np.flatnonzero(np.concatenate([[True], context[1:] != context[:-1]]))
             total, lost = np.add.reduceat(c, first), np.add.reduceat(step, first)
             size = np.diff(np.append(first, len(codes)))
             gamma = lost / total
-            below = lower[np.searchsorted(lower_codes, codes & ((1 << BITS * (k - 1)) - 1))]
+            below = lower[np.searchsorted(lower_codes, codes & ((1 << b * (k - 1)) - 1))]
             p = (c - step) / np.repeat(total, size) + np.repeat(gamma, size) * below
-            stored = c >= (least if k == ORDER else 1)
+            stored = c >= (least if k == most else 1)
             seen.append(keys(slot, k, codes[stored]))
             logp.append(np.log2(p[stored]))
             contexts.append(keys(slot, k - 1, context[first]))
             backoff.append(np.log2(np.maximum(gamma, 1e-30)))
             lower_codes, lower = codes, p
     if not seen:
-        return Model(*(np.zeros(0, t) for t in (np.uint64, np.float32, np.uint64, np.float32)))
+        return Model(*(np.zeros(0, t) for t in (np.uint64, np.float32, np.uint64, np.float32)), bits or {})
     seen, logp, contexts, backoff = (np.concatenate(x) for x in (seen, logp, contexts, backoff))
-    a, b = np.argsort(seen), np.argsort(contexts)
-    return Model(seen[a], logp[a].astype(np.float32), contexts[b], backoff[b].astype(np.float32))
+    a, c = np.argsort(seen), np.argsort(contexts)
+    return Model(seen[a], logp[a].astype(np.float32), contexts[c], backoff[c].astype(np.float32), bits or {})
 
 
 def _of_rows(marks: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -308,7 +350,7 @@ def plain(part: np.ndarray, ends: np.ndarray):
 
 def _score(shared, letters: dict[int, list[int]]):
     def run(batches):
-        model, encode = shared.value, _symbols(letters)
+        model, coded = shared.value, _coded(letters)
         for b in batches:
             slots = b.column(1).to_numpy()
             data, offsets = views(b.column(2))
@@ -316,7 +358,7 @@ def _score(shared, letters: dict[int, list[int]]):
                 part, ends = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
                 codes, n = lower_points(part.tobytes(), ends.tolist())
                 own = slots[i:j]
-                gram = grams(encode(own, codes, n), n)
+                gram = coded(own, codes, n)
                 row = np.repeat(np.arange(j - i), n)
                 bits = np.zeros(j - i)
                 for s in np.unique(own).tolist():
@@ -364,9 +406,9 @@ def scored(rows: DataFrame, most: int = MAX_ENTRIES) -> DataFrame:
     groups = together({r.slot: r.n for r in counts.groupBy("slot").agg(F.count("*").alias("n")).collect()}, most) or [[0]]
     out = None
     for group in groups:
-        got = (counts if len(groups) == 1 else counts.where(F.col("slot").isin(group))).toArrow()  # `most` rows, or the n-grams of one language: 32 ** ORDER at most
+        got = (counts if len(groups) == 1 else counts.where(F.col("slot").isin(group))).toArrow()  # `most` rows, or the n-grams of one language: 2 ** GRAM_BITS at most
         slot, gram, n = (got.column(i).to_numpy() for i in range(3))
-        model = spark.sparkContext.broadcast(estimate({int(s): (gram[slot == s], n[slot == s]) for s in np.unique(slot)}, LEAST))
+        model = spark.sparkContext.broadcast(estimate({int(s): (gram[slot == s], n[slot == s]) for s in np.unique(slot)}, LEAST, {s: bits_of(x) for s, x in letters.items()}))
         mine = rows if len(groups) == 1 else rows.where(F.col("slot").isin(group))
         part = cut(mine.mapInArrow(_score(model, letters), STATS))
         model.unpersist()

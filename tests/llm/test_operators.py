@@ -1,6 +1,7 @@
 """Operators against brute force, round trips and held-out rows, with nulls, ties, repeats and empty tables."""
 
 import hashlib
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -285,9 +286,31 @@ def test_kneser_ney_against_definition():
 def test_grams_are_of_code_points():
     letters = {1: [ord(c) for c in "абв"], 2: [ord(c) for c in "日本語"]}
     codes, n = kn_quality.lower_points("Аб 1,日本".encode(), [0, 7, 13])
-    assert n.tolist() == [5, 2] and kn_quality._symbols(letters)(np.array([1, 2]), codes, n).tolist() == [1, 2, 0, kn_quality.DIGIT, kn_quality.MARK, 1, 2]
+    assert n.tolist() == [5, 2] and kn_quality._symbols(letters)(np.array([1, 2]), codes, n).tolist() == [1, 2, 0, kn_quality.symbol(kn_quality.DIGIT, 5), kn_quality.symbol(kn_quality.MARK, 5), 1, 2]
     grams = kn_quality.grams(np.array([1, 2, 3, 9], np.uint8), np.array([3, 1]))
     assert grams.tolist() == [1, 1 << 5 | 2, 1 << 10 | 2 << 5 | 3, 9]
+    wide = kn_quality.grams(np.array([1000, 2000, 3000], np.uint16), np.array([3]), 12)
+    assert wide.tolist() == [1000, 1000 << 12 | 2000, 2000 << 12 | 3000]
+
+
+def test_alphabets_hold_all_letters_but_a_hundredth(spark):
+    rows = [(1, "abcdefghijklmnopqrstuvwxyz" * 40 + "éèà"), (2, "".join(map(chr, range(0x4E00, 0x4E00 + 600))) * 3), (3, "абвгдежзийклмнопрстуфхцчшщъыьэюя" * 9), (4, "".join(map(chr, range(0x4E00, 0x4E00 + 9000)))), (5, "1 2 .")]
+    got = kn_quality.alphabets(spark.createDataFrame(rows, "slot int, text string").selectExpr("slot", "cast(text as binary) as text"))
+    assert {s: (len(x), kn_quality.bits_of(x)) for s, x in got.items()} == {1: (26, 5), 2: (600, 10), 3: (32, 6), 4: (4090, 12)}
+
+
+@pytest.mark.parametrize("name, letters", [("latin", "abcdefghijklmnopqrstuvwxyz"), ("cyrillic", "абвгдежзийклмнопрстуфхцчшщъыьэюя"), ("cjk", [chr(0x4E00 + 7 * i) for i in range(600)]), ("hangul", [chr(0xAC00 + 29 * i) for i in range(300)])])
+def test_random_characters_are_rejected_in_every_script(spark, name, letters):
+    """Clean texts are of words of a vocabulary; the others have random characters of the same alphabet."""
+    rng = random.Random(3)
+    short = len(letters) > 100
+    vocabulary = ["".join(rng.choice(letters) for _ in range(rng.randint(1, 3) if short else rng.randint(2, 9))) for _ in range(1500)]
+    clean = [" ".join(rng.choice(vocabulary) for _ in range(400)) for _ in range(300)]
+    bad = [" ".join("".join(rng.choice(letters) for _ in w) for w in rng.choice(clean).split()) for _ in range(30)]
+    df = spark.createDataFrame([(i, t, name) for i, t in enumerate(clean + bad)], "doc_id bigint, text string, lang string")
+    kept = {r.doc_id: r.kept for r in kn_quality.quality(df).collect()}
+    assert np.mean([kept[i] for i in range(300)]) >= 0.98
+    assert np.mean([kept[i] for i in range(300, 330)]) <= 0.1
 
 
 def test_bands_reject_gibberish_and_keep_clean(spark):
