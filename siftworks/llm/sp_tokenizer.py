@@ -19,18 +19,20 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer, models, normalizers
 
-from .common import released
+from .common import pieces, released
 
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 PARTS = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
-KNOWN_PARTS = 300_000
+KNOWN_PARTS = 60_000  # remembered by a task: some 15 MB
+PIECE_CHARS = 500_000  # of texts that are cut into parts at once
 LONG_PART = 400  # characters from which a part, as in scripts without blanks, is not remembered
 os.environ.setdefault("RAYON_NUM_THREADS", "2")  # the cores of a task's executor share the library's threads
 
@@ -229,14 +231,11 @@ def model_bytes(path: str | None = None) -> bytes:
         return f.read()
 
 
-def _pieces(texts: list[str], limit: int = 2_000_000):
-    start = total = 0
-    for i, t in enumerate(texts):
-        if total and total + len(t) > limit:
-            yield texts[start:i]
-            start, total = i, 0
-        total += len(t)
-    yield texts[start:]
+def _texts(column):
+    """Lists of the column's texts, null ones as '', of about PIECE_CHARS each; a longer text stands alone."""
+    lengths = pc.fill_null(pc.utf8_length(column), 0).to_pylist()
+    for start, end in pieces(lengths, PIECE_CHARS):
+        yield [x or "" for x in column.slice(start, end - start).to_pylist()]
 
 
 def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
@@ -246,8 +245,7 @@ def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
     def run(batches):
         model, known = load(proto)[0], {}
         for b in batches:
-            texts = [x or "" for x in b.column(1).to_pylist()]
-            ids = [x for part in _pieces(texts) for x in model.encode_batch(part, known)]
+            ids = [x for part in _texts(b.column(1)) for x in model.encode_batch(part, known)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
 
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, "doc_id bigint, ids binary")
@@ -279,7 +277,7 @@ def token_report(docs: DataFrame, path: str | None = None) -> DataFrame:
         (model, own), known = load(proto), {}
         for b in batches:
             out = []
-            for part in _pieces([x or "" for x in b.column(1).to_pylist()]):
+            for part in _texts(b.column(1)):
                 for text, (ids, same) in zip(part, model.encode_batch(part, known, own)):
                     want = model.normalise(text).replace(MARK, " ")
                     want = want[1:] if model.dummy_prefix else want
