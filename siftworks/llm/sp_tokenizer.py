@@ -31,7 +31,7 @@ MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 PARTS = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
-KNOWN_PARTS = 60_000  # remembered by a task: some 15 MB
+KNOWN_PARTS = 200_000  # remembered by a task: some 50 MB
 PIECE_CHARS = 500_000  # of texts that are cut into parts at once
 LONG_PART = 400  # characters from which a part, as in scripts without blanks, is not remembered
 os.environ.setdefault("RAYON_NUM_THREADS", "2")  # the cores of a task's executor share the library's threads
