@@ -752,3 +752,18 @@ def test_pareto_inclusion_follows_length(spark):
     for s, target in (("a", 10 / 7), ("b", 4 / 7)):
         c = target * 68 / (4 * 2**0.75 + 64 * 2**1.75)
         assert got[s, 4] == pytest.approx(c * 2**0.75, rel=0.1) and got[s, 64] == pytest.approx(c * 2**1.75, rel=0.1)
+
+
+def test_leads_of_other_languages():
+    """Secrets behind German, French, Spanish and Russian leads; prose with the same words, and checksums, are none."""
+    field = secrets_crf.fitted()
+    for text, want in (
+        ("Das Passwort lautet Xk39vLq8Wz", "Xk39vLq8Wz"),
+        ("contraseña: q8ZrT4mB1x", "q8ZrT4mB1x"),
+        ("mot de passe : Zr8kLp02Qx", "Zr8kLp02Qx"),
+        ("пароль: Gh72kLm9Zx", "Gh72kLm9Zx"),
+        ("sha 0d1c2b3a4f5e", None),
+        ("il a perdu le mot de passe hier", None),
+        ("la clave de todo es simple", None),
+    ):
+        assert [text[a:b] for a, b in secrets_crf.field_spans(text, field)] == ([want] if want else []), text
