@@ -83,6 +83,15 @@ def code_structure(spark, sf_dir):
     return x.select("doc_id", "structural_first", "structural_members", "bare_first", "signature_first", "findings", "compiles")
 
 
+@register("signature_lines", "X11", f"with {CODE_SQL} select doc_id, name as function, 'xs, k=' || len(kinds) as arguments, LONG(1) as line, broken from code")
+def signature_lines(spark, sf_dir):
+    """The first signature of each code by a pattern over its lines, where it parses and where it does not."""
+    pattern = r"(?m)^\s*def\s+(\w+)\s*\(([^)]*)\)\s*(:?)"
+    of = lambda k: F.regexp_extract("code", pattern, k)
+    line = F.size(F.split(F.substring_index("code", "def ", 1), "\n"))
+    return code_samples(spark, sf_dir).select("doc_id", of(1).alias("function"), of(2).alias("arguments"), line.cast("bigint").alias("line"), (of(3) == "").alias("broken"))
+
+
 def _variants(rules):
     def run(batches):
         for pdf in batches:
@@ -154,11 +163,11 @@ def boundary_variants(spark, sf_dir):
 SAMPLES = 50  # that one process of pytest runs
 
 
-def _tests(name: str, code: str) -> tuple[int, str | None]:
-    """Number of calls at the edges of both arguments, and pytest functions of what the code does on them; None where it does not run."""
+def _tests(names: list[str], codes: list[str]) -> list[tuple[int, str | None]]:
+    """For each code the number of calls at the edges of both arguments, and pytest functions of what it does on them; None where it does not run."""
     calls = [[xs, k] for xs in python_code.boundary_values([3, 1]) for k in (0, -1)]
-    outputs = python_code.expected_outputs(code, name, calls)
-    return len(calls), None if outputs is None else python_code.test_functions(name, calls, outputs)
+    outputs = python_code.outputs_many([(code, name, calls) for name, code in zip(names, codes)])
+    return [(len(calls), None if o is None else python_code.test_functions(name, calls, o)) for name, o in zip(names, outputs)]
 
 
 # Only an empty list of numbers is indexed out of range, in a loop that runs, and before any guard returns.
@@ -175,7 +184,8 @@ def boundary_outputs(spark, sf_dir):
         for pdf in batches:
             for at in range(0, len(pdf), SAMPLES):
                 part = pdf.iloc[at : at + SAMPLES]
-                made, codes = [_tests(n, c) for n, c in zip(part.name, part.code)], part.code.tolist()
+                codes = part.code.tolist()
+                made = _tests(part.name.tolist(), codes)
                 tried = [k for k, (_, tests) in enumerate(made) if tests is not None]
                 right = dict(zip(tried, python_code.pytest_many([(codes[k], made[k][1]) for k in tried])))
                 canary = dict(zip(tried, python_code.pytest_many([(codes[k].replace(END, "    return 'canary'").replace("return False", "return 'canary'"), made[k][1]) for k in tried])))

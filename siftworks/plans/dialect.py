@@ -20,6 +20,7 @@ CALLS = {
     "TEXT": ("cast({0} as string)", "cast({0} as varchar)"),
     "COUNT_IF": ("cast(count_if({0}) as bigint)", "cast(count(*) filter (where {0}) as bigint)"),
     "RATE": ("round(coalesce(try_divide(cast({0} as double), cast({1} as double)), 0.0D), 6)", "round(coalesce(cast({0} as double) / nullif(cast({1} as double), 0), 0.0), 6)"),
+    "FIRST_BY": ("min_by({0}, {1})", "arg_min_null({0}, {1})"),
     "QUANTILE": ("percentile({0}, {1})", "quantile_cont({0}, {1})"),
     "LINES": ("split({0}, '\\n', -1)", "string_split({0}, chr(10))"),
     "SPLIT": ("split({0}, {1}, -1)", "string_split({0}, {1})"),

@@ -153,6 +153,49 @@ def trajectory_metrics(spark, sf_dir):
     return trajectory_rows.evaluated(recorded_steps(spark, sf_dir))
 
 
+# A replay's tools on a real file, as a recursive query: the text, and what each patch and test came to.
+TOOL_KINDS = ("list_files", "read_file", "apply_patch", "search_text", "apply_patch", "run_tests", "propose_patch", "apply_patch", "open_socket", "write_memory", "run_tests", "finish")
+TOOLS_SQL = f"""with recursive n as (select conv_id, row_number() over (partition by conv_id order by turn) - 1 as step, coalesce(text, '') as text from conversations),
+a as (select conv_id, step, text, list_value({", ".join(f"'{k}'" for k in TOOL_KINDS)})[(len(regexp_extract_all(text, '[^ \\n]+')) % {len(TOOL_KINDS)} + 1)::int] as kind, regexp_extract(text, '[A-Za-z]+') as old, length(text) as chars from n where step < {workspace.MAX_STEPS}),
+w as (select conv_id, 0::bigint as at, text as file, false as patched, null::boolean as ok from a where step = 0 union all
+  select conv_id, step + 1, case when hit and kind = 'apply_patch' then replace(file, old, '@' || step) else file end, patched or (hit and kind = 'apply_patch'), case when kind in ('apply_patch', 'propose_patch') then hit when kind = 'run_tests' then patched else true end
+  from (select w.conv_id, a.step, a.kind, a.old, w.file, w.patched, a.chars % 13 <> 0 and a.old <> '' and (length(w.file) - length(replace(w.file, a.old, ''))) = length(a.old) as hit from w join a on a.conv_id = w.conv_id and a.step = w.at) q),
+steps as (select a.conv_id::varchar as trajectory, a.step, a.kind, a.chars % 13 <> 0 as readable, w.ok, list_value('test_pass', 'identify_bug', 'patch_applied')[(a.chars % 3 + 1)::int] as criterion, a.chars % 2 = 0 as claim, a.chars % 5 < 3 as verified from a join w on w.conv_id = a.conv_id and w.at = a.step + 1)"""
+
+
+@register("conversation_replay", "V10 V10b V11 X27 S15", f"{TOOLS_SQL}, {evaluated_sql('steps')}")
+def conversation_replay(spark, sf_dir):
+    """Every conversation as actions on a file, its first turn, run through the tools: patches hit a turn's first word if it stands there once, tests pass once a patch did."""
+    import os
+
+    x = table(spark, sf_dir, "conversations").withColumn("text", F.coalesce("text", F.lit("")))
+    x = x.withColumn("step", F.row_number().over(W.partitionBy("conv_id").orderBy("turn")) - 1).where(F.col("step") < workspace.MAX_STEPS)
+    pick = lambda values, n: F.element_at(F.array(*map(F.lit, values)), (n % len(values) + 1).cast("int"))
+    chars = F.char_length("text")
+    step = F.struct("step", pick(TOOL_KINDS, F.regexp_count("text", F.lit(r"[^ \n]+"))).alias("kind"), F.regexp_extract("text", "[A-Za-z]+", 0).alias("old"), (chars % 13 == 0).alias("sentinel"), pick(workspace.CRITERIA, chars).alias("criterion"), (chars % 2 == 0).alias("claim"), (chars % 5 < 3).alias("verified"))
+    each = x.groupBy("conv_id").agg(F.max(F.when(F.col("step") == 0, F.col("text"))).alias("file"), F.sort_array(F.collect_list(step)).alias("steps"))  # MAX_STEPS steps at most
+    more = {"finish": lambda a: {"criterion": a["criterion"], "tests_passed": a["claim"], "verified": a["verified"]}, "read_file": lambda a: {"path": "file.txt"}, "search_text": lambda a: {"query": a["old"]}, "write_memory": lambda a: {"memory": {}}, "run_tests": lambda a: {}}
+    patch = lambda a: {"path": "file.txt", "old": a["old"], "new": f"@{a['step']}"}
+
+    def run(batches):
+        os.environ[workspace.NETWORK] = "0"
+        for pdf in batches:
+            out = []
+            for conv, file, steps in zip(pdf["conv_id"], pdf["file"], pdf["steps"]):
+                space = workspace.Workspace({"file.txt": file, "solution.py": "", "test_solution.py": ""})
+                patched = lambda code, tests, seconds, s=space: {"passed": any(r["success"] for r in s.log)}
+                actions = [{"kind": a["kind"], **({"sentinel": True} if a["sentinel"] else {}), **(patch(a) if a["kind"].endswith("_patch") else more.get(a["kind"], lambda a: {})(a))} for a in steps]
+                n = workspace.replay(space, actions, runner=patched)
+                rate = lambda a, b, n=n: n[a] / n[b] if n[b] else 0.0
+                out.append((str(conv), n["actions"], n["success"], bool(n["mismatch"]), n["max_steps_hit"], rate("valid", "actions"), rate("tool_errors", "tools"), rate("patched", "patches"), rate("passed", "tests"), n["forbidden"], n["invalid"], n["finish_without_tests"]))
+            yield pd.DataFrame(out, columns=[c.split()[0] for c in METRICS.split(", ")])
+
+    return each.mapInPandas(run, METRICS)
+
+
+METRICS = "trajectory string, steps_executed bigint, success boolean, mismatch boolean, max_steps_hit boolean, action_validity_rate double, tool_error_rate double, patch_success_rate double, tests_pass_rate double, forbidden_action_count bigint, invalid_action_count bigint, finish_without_tests_count bigint"
+
+
 @register("recovered_trajectories", "V10c V10b", f"with {STEPS_SQL}, {RECOMBINED_SQL}, z as ({'with ' + evaluated_sql('r')}) select * from z where success")
 def recovered_trajectories(spark, sf_dir):
     """Trajectories cut behind each patch and gone on with the later steps that recover, of which those that succeed are kept."""

@@ -5,7 +5,7 @@ from .catalogue import both
 both("left_semi_families", "F1 J5", "select doc_id, source from documents d where exists (select 1 from labels l where l.doc_id = d.doc_id and l.quality = 1)")
 both("left_anti_frozen", "J6 F4", "select doc_id from documents d where not exists (select 1 from labels l where l.doc_id = d.doc_id) and not contains(source, '13')")
 both("frozen_exclusion", "F2 B18", "with fs as (select doc_id from labels where toxic = 1), ff as (select distinct source from documents where doc_id % 97 = 0) select case when fs.doc_id is not null then 'frozen_sample' when ff.source is not null then 'frozen_family' else 'kept' end as reason, LONG(count(*)) as n from documents d left join fs on fs.doc_id = d.doc_id left join ff on ff.source = d.source group by 1")
-both("lookup_keep_first", "J7", "with k as (select trim(text) as code, source, row_number() over (partition by trim(text) order by doc_id) as rn from documents) select d.doc_id, k.source as recovered from documents d left join k on k.code = trim(d.text) and k.rn = 1")
+both("lookup_keep_first", "J7", "with h as (select doc_id, source, SHA(trim(text)) as code from documents), k as (select code, FIRST_BY(source, doc_id) as recovered from h where code is not null group by code) select h.doc_id, k.recovered from h left join k on k.code = h.code")
 both("left_join_default", "J8", "select c_custkey, coalesce(o.n, 0) as n_orders from customer left join (select o_custkey, LONG(count(*)) as n from orders group by o_custkey) o on o.o_custkey = c_custkey")
 both("outer_id_diff", "J10", "select COUNT_IF(l.doc_id is null) as only_documents, COUNT_IF(d.doc_id is null) as only_labels, COUNT_IF(l.doc_id is not null and d.doc_id is not null) as shared from documents d full outer join labels l on l.doc_id = d.doc_id")
 both("registry_merge", "J11 K7 S8", "with old as (select source as family, 'train' as tag, count(*) as n from documents where doc_id % 2 = 0 group by source), new as (select source as family, 'val' as tag, count(*) as n from documents where doc_id % 3 = 0 group by source) select coalesce(old.family, new.family) as family, concat(coalesce(old.tag, ''), '+', coalesce(new.tag, '')) as usage, LONG(coalesce(old.n, 0) + coalesce(new.n, 0)) as samples from old full outer join new on old.family = new.family")

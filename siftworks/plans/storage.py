@@ -150,3 +150,15 @@ def markdown_report(spark, sf_dir):
     text = records.markdown("Languages", {"counts": [r.asDict() for r in counts]})
     rows = [(line,) for line in text.split("\n") if line.startswith("| ") and not line.startswith(("| lang", "| ---"))]
     return spark.createDataFrame(rows, "line string")
+
+
+@register("artifact_manifest", "K9 S19 S13", "select lang || '.jsonl' as folder, LONG(count(*)) as rows from (select coalesce(lang, 'none') as lang from documents) d group by lang union all select '', null")
+def artifact_manifest(spark, sf_dir):
+    """A folder of JSON lines for each language, a note, and files that listings pass over: rows by folder as the manifest of files has them."""
+    path = scratch.folder(spark, "artifacts")
+    docs = table(spark, sf_dir, "documents").select(F.coalesce("lang", F.lit("none")).alias("lang"), "doc_id")
+    for lang in sorted(r.lang for r in docs.select("lang").distinct().collect()):  # a folder for each language
+        docs.where(F.col("lang") == lang).select(F.to_json(F.struct("doc_id")).alias("value")).write.text(f"{path}/{lang}.jsonl")
+    for name in ("note.md", "__pycache__/m.jsonl", "x.pyc", "artifact-manifest.json", ".git/a/b.jsonl"):
+        scratch.write_text(spark, f"{path}/{name}", "{}\n")
+    return records.artifact_manifest(spark, path).groupBy("folder").agg(F.sum("row_count").alias("rows"))

@@ -109,6 +109,26 @@ def stop_machine_stream(spark, sf_dir):
     return last.select("user_id", "last.*")
 
 
+@register(
+    "stream_drop_streak",
+    "ST5 W5 W7",
+    """with e as (select user_id, event_type = 'purchase' as full_, case when event_id % 997 = 5 then null else value / 100 end as value, (event_id * 7919 + 13) % 4 as epoch, ts, event_id from events),
+    f as (select *, row_number() over (partition by user_id, full_, value is null order by ts desc, event_id desc) as back from e), g as (select user_id, LONG(count(*)) as seen, bool_or(value is null) as nan,
+    max(case when not full_ and value is not null and back = 1 then value end) as p1, max(case when not full_ and value is not null and back = 2 then value end) as p2, max(case when not full_ and value is not null and back = 3 then value end) as p3,
+    max(case when full_ and value is not null and back = 1 then value end) as f1, max(case when full_ and value is not null and back = 2 then value end) as f2, max(case when full_ and value is not null and back = 1 then epoch end) as epoch from f group by user_id)
+    select user_id, seen, case when nan then 'nan' when p1 < p2 - 0.05 and p2 < p3 - 0.05 then case when f2 is null then 'awaiting' when f1 < f2 - 0.05 then 'confirmed' else 'unconfirmed' end when epoch >= 3 then 'max_epochs' else '' end as verdict from g""",
+)
+def stream_drop_streak(spark, sf_dir):
+    """Three probes that fall by 0.05, confirmed by validations or not, as each user stands at the end of three deliveries, the rows of one coming twice."""
+    x, lo, width = timed(spark, sf_dir)
+    value = F.when(F.col("event_id") % 997 != 5, F.col("value") / 100)
+    kind = F.when(F.col("event_type") == "purchase", "full").otherwise("probe")
+    rows = x.select("user_id", "ts", F.col("event_id").alias("id"), kind.alias("kind"), value.alias("value"), ((F.col("event_id") * 7919 + 13) % 4).cast("double").alias("epoch"), F.floor((F.col("us") - lo) / width).alias("number"))
+    rows = rows.unionByName(rows.where("number = 0").withColumn("number", F.col("number") + 1))
+    got = delivered(spark, rows, F.col("number"), lambda source: keyed.drop_stream(source, "user_id", 3, 0.05, 3), "update")
+    return got.groupBy("user_id").agg(F.max_by(F.struct("seen", "verdict"), "batch").alias("last")).select("user_id", "last.*")
+
+
 # Every 25th step; epochs of 5 days from 2024-01-01, in four parts.
 EVERY, ORIGIN_US, EPOCH_US = 25, 1_704_067_200_000_000, 5 * 86_400_000_000
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -212,3 +213,35 @@ def read_family_ids(spark: SparkSession, path: str) -> DataFrame:
     kind = F.schema_of_variant("item")
     out = items.select("source_key", F.when(kind == "STRING", F.try_variant_get("item", "$", "string")).when(kind.startswith("OBJECT"), named).alias("family_id"))
     return out.where("family_id is not null").distinct()
+
+
+IGNORED_FOLDERS = ("__pycache__", ".git", ".pytest_cache", "node_modules")
+IGNORED_FILES = ("*.pyc", "*.crc", "_SUCCESS", "artifact-manifest.json")
+
+
+def artifact_manifest(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
+    """(file, folder, sha256, size, row_count) of the files below path whose name matches a glob, without IGNORED_FOLDERS and IGNORED_FILES.
+
+    row_count: lines that are not blank of files named .jsonl or .jsonl.gz, or that stand in a folder named so; null for others. Files go to tasks one by one and are hashed
+    there (2 GB each at most); lines are counted in splits of any size, and no list of files is gathered.
+    """
+    like = lambda glob: "^" + re.escape(glob).replace(r"\*", ".*").replace(r"\?", ".") + "$"
+    # The whole path as readers report it, whatever way it was named.
+    at, fs = scratch._path(spark, path)
+    root = fs.resolvePath(at).toString().rstrip("/") + "/"
+    inside = lambda p: F.substring(F.regexp_replace(p, r"^file:/+", "file:/"), len(re.sub(r"^file:/+", "file:/", root)) + 1, 1 << 30)
+
+    def kept(x: DataFrame) -> DataFrame:
+        name = F.element_at(F.split("file", "/"), -1)
+        x = x.withColumn("folder", F.regexp_extract("file", "^(.*)/[^/]*$", 1))
+        bad = F.exists(F.split("file", "/"), lambda part: part.isin(*IGNORED_FOLDERS))
+        for glob in IGNORED_FILES:
+            bad |= name.rlike(like(glob))
+        return x.where(~bad & name.rlike(like(pattern)))
+
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    files = kept(files.select(inside(F.col("path")).alias("file"), F.sha2("content", 256).alias("sha256"), F.col("length").alias("size")))
+    lined = F.col("file").rlike(r"\.jsonl(\.gz)?(/|$)")
+    lines = spark.read.option("recursiveFileLookup", "true").text(path).select(inside(F.col("_metadata.file_path")).alias("file"), "value")
+    counts = lines.where(lined & (F.trim("value") != "")).groupBy("file").agg(F.count("*").alias("n"))
+    return files.join(counts, "file", "left").select("file", "folder", "sha256", "size", F.when(lined, F.coalesce("n", F.lit(0))).alias("row_count"))

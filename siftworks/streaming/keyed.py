@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from contextlib import contextmanager
 
@@ -79,6 +80,51 @@ def stop_stream(events: DataFrame, key: str, snapshots: DataFrame | None = None)
     return out.withColumnRenamed("key", key)
 
 
+class DropProcessor(StatefulProcessor):
+    """The verdict of falling probes: the last probes and validations of each key, and whether a value was no number, as value state. Rows as StopProcessor has them."""
+
+    def __init__(self, patience: int, min_delta: float, max_epochs: float):
+        self.patience, self.min_delta, self.max_epochs = patience, min_delta, max_epochs
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.held = handle.getValueState("held", "probes array<double>, fulls array<double>, epoch double, nan boolean, seen bigint, us bigint, id bigint")
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues: TimerValues) -> Iterator[Row]:
+        probes, fulls, epoch, nan, seen, *last = self.held.get() if self.held.exists() else ([], [], None, False, 0, None, None)
+        probes, fulls, last = list(probes), list(fulls), tuple(last)
+        for r in sorted(rows, key=lambda r: (r.us, r.id)):
+            if last[0] is not None and (r.us, r.id) <= last:
+                continue
+            last, seen = (r.us, r.id), seen + 1
+            if r.value is None or not math.isfinite(r.value):
+                nan = True
+            elif r.kind == "full":
+                fulls, epoch = [*fulls, r.value][-2:], r.epoch
+            else:
+                probes = [*probes, r.value][-self.patience :]
+        self.held.update((probes, fulls, epoch, nan, seen, *last))
+        yield Row(key=key[0], seen=seen, verdict=self.verdict(probes, fulls, epoch, nan))
+
+    def verdict(self, probes: list[float], fulls: list[float], epoch: float | None, nan: bool) -> str:
+        """nan stops; `patience` probes, each min_delta below the one before, stop if the last validation fell too; so do max_epochs, unless probes wait to be confirmed."""
+        fell = lambda xs: all(b < a - self.min_delta for a, b in zip(xs, xs[1:]))
+        if nan:
+            return "nan"
+        if len(probes) >= self.patience >= 2 and fell(probes):
+            return "awaiting" if len(fulls) < 2 else "confirmed" if fell(fulls) else "unconfirmed"
+        return "max_epochs" if epoch is not None and epoch >= self.max_epochs else ""
+
+    def close(self) -> None:
+        pass
+
+
+def drop_stream(events: DataFrame, key: str, patience: int, min_delta: float, max_epochs: float) -> DataFrame:
+    """(key, seen, verdict) whenever rows of a key come; events as for stop_stream, without rates. Start it within rocksdb()."""
+    kind = events.schema[key].dataType.simpleString()
+    x = events.select(F.col(key).alias("key"), F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), F.col("id").cast("bigint").alias("id"), "kind", *(F.col(c).cast("double").alias(c) for c in ("value", "epoch")))
+    return x.groupBy("key").transformWithState(DropProcessor(patience, min_delta, max_epochs), f"key {kind}, seen bigint, verdict string", "Update", "None").withColumnRenamed("key", key)
+
+
 class ScheduleProcessor(StatefulProcessor):
     """For each mark that a run passes, the first step seen at it; it is fired when the watermark has passed the mark's end.
 

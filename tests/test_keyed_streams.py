@@ -142,3 +142,19 @@ def test_late_row_joins_sessions_or_is_left_out(spark, tmp_path):
         run(spark, stream, "append", lambda b, i: got.extend(b.select("n", "total", F.hour("begin")).collect()), f"{tmp_path}/log")
     # The row of 1:30 made one session of two; that of 10:00 came 30 hours behind the watermark's row and is lost.
     assert sorted((r[0], r[1]) for r in got) == [(1, 1.0), (1, 1.0), (1, 1.0), (3, 3.0)]
+
+
+@pytest.mark.parametrize(
+    "probes, fulls, epoch, nan, verdict",
+    [
+        ([0.9, 0.8, 0.7], [0.5, 0.4], 1, False, "confirmed"),
+        ([0.9, 0.8, 0.7], [0.5, 0.5], 9, False, "unconfirmed"),
+        ([0.9, 0.8, 0.7], [0.5], 9, False, "awaiting"),
+        ([0.9, 0.8, 0.76], [0.5, 0.4], 1, False, ""),
+        ([0.8, 0.7], [0.5, 0.4], 3, False, "max_epochs"),
+        ([0.9, 0.8, 0.7], [0.5, 0.4], 1, True, "nan"),
+        ([], [], None, False, ""),
+    ],
+)
+def test_verdict_of_falling_probes(probes, fulls, epoch, nan, verdict):
+    assert keyed.DropProcessor(3, 0.05, 3).verdict(probes, fulls, epoch, nan) == verdict
