@@ -223,7 +223,7 @@ def artifact_manifest(spark: SparkSession, path: str, pattern: str = "*") -> Dat
     """(file, folder, sha256, size, row_count) of the files below path whose name matches a glob, without IGNORED_FOLDERS and IGNORED_FILES.
 
     row_count: lines that are not blank of files named .jsonl or .jsonl.gz, or that stand in a folder named so; null for others. Files go to tasks one by one and are hashed
-    there (2 GB each at most); lines are counted in splits of any size, and no list of files is gathered.
+    there (2 GB each at most); lines are counted in splits of any size, and no list of files is gathered. Empty files, which Spark's readers pass over, are not listed.
     """
     like = lambda glob: "^" + re.escape(glob).replace(r"\*", ".*").replace(r"\?", ".") + "$"
     # The whole path as readers report it, whatever way it was named.

@@ -135,11 +135,11 @@ def test_exact_resampling_equals_drawing_row_by_row():
 
 
 def test_manifest_of_artifacts(spark, tmp_path):
-    files = {"a.jsonl": '{"x": 1}\n\n  \n{"x": 2}\n', "b/c.jsonl/part-0.txt": "1\n2\n3", "b/empty.jsonl": "", "n.md": "é", "b/__pycache__/m.jsonl": "1", ".git/x": "1", "y.pyc": "1", "_SUCCESS": "", "artifact-manifest.json": "{}", "b/x.crc": "1"}
+    files = {"a.jsonl": '{"x": 1}\n\n  \n{"x": 2}\n', "b/c.jsonl/part-0.txt": "1\n2\n3", "b/empty.jsonl": "", "b/blank.jsonl": " \n", "n.md": "é", "b/__pycache__/m.jsonl": "1", ".git/x": "1", "y.pyc": "1", "_SUCCESS": "", "artifact-manifest.json": "{}", "b/x.crc": "1"}
     for name, text in files.items():
         (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
         (tmp_path / name).write_text(text, encoding="utf-8")
     got = {r.file: (r.folder, r.sha256, r.size, r.row_count) for r in records.artifact_manifest(spark, str(tmp_path)).collect()}
     fact = lambda n: (n.rpartition("/")[0], hashlib.sha256(files[n].encode()).hexdigest(), len(files[n].encode()))
-    assert got == {"a.jsonl": (*fact("a.jsonl"), 2), "b/c.jsonl/part-0.txt": (*fact("b/c.jsonl/part-0.txt"), 3), "b/empty.jsonl": (*fact("b/empty.jsonl"), 0), "n.md": (*fact("n.md"), None)}
-    assert {r.file for r in records.artifact_manifest(spark, f"file://{tmp_path}", "*.jsonl").collect()} == {"a.jsonl", "b/empty.jsonl"}
+    assert got == {"a.jsonl": (*fact("a.jsonl"), 2), "b/c.jsonl/part-0.txt": (*fact("b/c.jsonl/part-0.txt"), 3), "b/blank.jsonl": (*fact("b/blank.jsonl"), 0), "n.md": (*fact("n.md"), None)}
+    assert {r.file for r in records.artifact_manifest(spark, f"file://{tmp_path}", "*.jsonl").collect()} == {"a.jsonl", "b/blank.jsonl"}
