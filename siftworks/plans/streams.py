@@ -86,6 +86,8 @@ def delivered(spark: SparkSession, rows: DataFrame, number, build, mode: str) ->
         for i in range(DELIVERIES):
             rows.where(number == i).write.mode("append").parquet(path)
             run(build(spark.readStream.schema(rows.schema).parquet(path)), mode, out, log)
+    for folder in (path, log):  # what came out is read later
+        scratch.remove(spark, folder)
     return spark.read.parquet(out)
 
 
@@ -96,6 +98,8 @@ def delivered_to(spark: SparkSession, rows: DataFrame, number, apply) -> None:
         rows.where(number == i).write.mode("append").parquet(path)
         q = spark.readStream.schema(rows.schema).parquet(path).writeStream.foreachBatch(apply).option("checkpointLocation", log).trigger(availableNow=True).start()
         q.awaitTermination()
+    for folder in (path, log):
+        scratch.remove(spark, folder)
 
 
 @register("stop_machine_stream", "ST3 ST4", STOP_SQL)
