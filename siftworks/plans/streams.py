@@ -163,10 +163,20 @@ w as (select (max(us) // 1000 - {LATE_HOURS} * 3600000) * 1000 as mark from e, b
 k as (select e.*, held and us + {GAP_HOURS} * 3600000000 <= mark as late from e, w)"""
 
 
+def _islands(name: str, rows: str, which: str) -> str:
+    """DuckDB's table `name`: rows with the number of their session, which rows GAP_HOURS apart begin."""
+    order = "over (partition by user_id order by us, event_id)"
+    return f"{name}_ as (select *, us - lag(us) {order} as step from {rows} where {which}), {name} as (select *, sum(case when step is null or step >= {GAP_HOURS} * 3600000000 then 1 else 0 end) {order} as session from {name}_)"
+
+
 @register(
     "stream_sessions",
     "ST2",
-    f"with {KEPT}, p as (select *, us - lag(us) over (partition by user_id order by us, event_id) as step from k where not late), s as (select *, sum(case when step is null or step >= {GAP_HOURS} * 3600000000 then 1 else 0 end) over (partition by user_id order by us, event_id) as session from p) select user_id, LONG(min(us)) as begin_us, LONG(max(us) + {GAP_HOURS} * 3600000000) as end_us, LONG(count(*)) as n, round(sum(value), 4) as total from s group by user_id, session",
+    # Sessions of the first deliveries that end before the watermark are closed; rows that come later do not join them.
+    f"with {KEPT}, v as (select k.*, held or (us - lo) // width >= {DELIVERIES - 1} as last from k, b where not late), {_islands('p', 'v', 'not last')}, c as (select user_id, session, max(us) + {GAP_HOURS} * 3600000000 <= (select mark from w) as closed from p group by user_id, session), "
+    f"z as (select p.*, closed from p join c using (user_id, session)), o as (select user_id, event_id, us, value from z where not closed union all select user_id, event_id, us, value from v where last), {_islands('q', 'o', 'true')}, "
+    f"s as (select user_id, us, value, 'closed' || session as session from z where closed union all select user_id, us, value, 'open' || session from q) "
+    f"select user_id, LONG(min(us)) as begin_us, LONG(max(us) + {GAP_HOURS} * 3600000000) as end_us, LONG(count(*)) as n, round(sum(value), 4) as total from s group by user_id, session",
 )
 def stream_sessions(spark, sf_dir):
     """Sessions of each user, as merged by rows that come late; those behind the watermark are left out."""
