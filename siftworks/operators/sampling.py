@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..sources.scratch import cut
 from .dedup import rank_first
 
 
@@ -18,8 +19,11 @@ def draw(key: str, seed: int = 42) -> Column:
 
 
 def ranks(df: DataFrame, order: list[str]) -> tuple[DataFrame, int]:
-    """(df with rank, 1 for the first row by `order`; number of rows). Rows are sorted by ranges, and only the ranges' sizes reach the driver."""
-    rows = df.orderBy(*order).withColumns({"_at": F.monotonically_increasing_id(), "_p": F.spark_partition_id()})
+    """(df with rank, 1 for the first row by `order`; number of rows). Rows are sorted by ranges, and only the ranges' sizes reach the driver.
+
+    The sorted rows are kept: ranges rest on a sample, and another run would draw others.
+    """
+    rows = cut(df.orderBy(*order).withColumns({"_at": F.monotonically_increasing_id(), "_p": F.spark_partition_id()}))
     sizes = dict(rows.groupBy("_p").count().collect())
     ahead, total = {}, 0
     for p in sorted(sizes):
