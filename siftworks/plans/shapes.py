@@ -45,6 +45,9 @@ def repaired(text: pd.Series) -> pd.Series:
 DAMAGED = """'{"id": ' || event_id || ', "tags": ["' || event_type || '", "a,]", {"p": ' || props || '}], "note": "q\\"}{[", "end": true}'"""
 
 
+FEW_KINDS = 50_000  # that go to all tasks with their counts
+
+
 @register(
     "json_cut_repair",
     "X17 X18 X21",
@@ -58,17 +61,25 @@ DAMAGED = """'{"id": ' || event_id || ', "tags": ["' || event_type || '", "a,]",
     select event_id, LONG(count(*)) as cuts, COUNT_IF(same and good) as whole, COUNT_IF(good) as parsed, LONG(max(case when good then length(mended) end)) as longest, LONG(max(case when good then json_array_length(mended, '$.tags') end)) as tags from r group by event_id""",
 )
 def json_cut_repair(spark, sf_dir):
-    """A nested object for each event, cut behind every character and mended: how many cuts parse, and what the fullest holds."""
-    text = F.concat(F.lit('{"id": '), F.col("event_id").cast("string"), F.lit(', "tags": ["'), "event_type", F.lit('", "a,]", {"p": '), "props", F.lit('}], "note": "q\\"}{[", "end": true}'))
-    x = table(spark, sf_dir, "events").select("event_id", text.alias("t"))
-    x = x.withColumn("k", F.explode(F.sequence(F.lit(1), F.length("t")))).select("event_id", F.left("t", F.col("k")).alias("t"))
-    x = x.withColumn("mended", repaired("t")).withColumn("v", F.try_parse_json("mended"))
+    """A nested object for each event, cut behind every character and mended: how many cuts parse, and what the fullest holds.
+
+    An event's id stands in its object as a number only, of which parsers see the sign and how many digits there are. Events that are alike but
+    for their digits have equal counts, so each kind of object is cut and mended once.
+    """
+    number = F.regexp_replace(F.col("event_id").cast("string"), "[0-9]", "1")
+    x = table(spark, sf_dir, "events").select("event_id", F.concat(F.lit('{"id": '), number, F.lit(', "tags": ["'), "event_type", F.lit('", "a,]", {"p": '), "props", F.lit('}], "note": "q\\"}{[", "end": true}')).alias("kind"))
+    kinds = scratch.cut(x.groupBy("kind").count().select("kind"))
+    cuts = kinds.withColumn("k", F.explode(F.sequence(F.lit(1), F.length("kind")))).select("kind", F.left("kind", F.col("k")).alias("t"))
+    cuts = cuts.withColumn("mended", repaired("t")).withColumn("v", F.try_parse_json("mended"))
     right = F.col("v").isNotNull()
     tags = F.size(F.try_variant_get("v", "$.tags", "array<variant>"))
-    return x.groupBy("event_id").agg(
+    found = cuts.groupBy("kind").agg(
         F.count("*").alias("cuts"), F.count_if(F.try_parse_json("t").isNotNull()).alias("whole"), F.count_if(right).alias("parsed"),
         F.max(F.when(right, F.length("mended"))).cast("bigint").alias("longest"), F.max(F.when(right & (tags >= 0), tags)).cast("bigint").alias("tags"),
     )
+    found = scratch.cut(found)
+    each = x.join(F.broadcast(found) if found.count() <= FEW_KINDS else found, "kind")
+    return each.groupBy("event_id").agg(*(F.sum(c).alias(c) for c in ("cuts", "whole", "parsed")), *(F.max(c).alias(c) for c in ("longest", "tags")))
 
 
 FIRST = "regexp_replace(split_part(coalesce(text, ''), chr(10), 1), '[#`~\\s]+', ' ', 'g')"
