@@ -188,8 +188,11 @@ def boundary_outputs(spark, sf_dir):
                 made = _tests(part.name.tolist(), codes)
                 tried = [k for k, (_, tests) in enumerate(made) if tests is not None]
                 right = dict(zip(tried, python_code.pytest_many([(codes[k], made[k][1]) for k in tried])))
-                canary = dict(zip(tried, python_code.pytest_many([(codes[k].replace(END, "    return 'canary'").replace("return False", "return 'canary'"), made[k][1]) for k in tried])))
+                canary = dict(zip(tried, python_code.pytest_many([(codes[k].replace(END, "    return 'canary'").replace("return False", "return 'canary'"), made[k][1]) for k in tried], first=True)))
                 rows = [(n, codes[k], made[k][0], made[k][1] is not None, right.get(k, none)["collected"], right.get(k, none)["passed"], canary.get(k, none)["passed"], (made[k][1] or "").count("pytest.raises")) for k, n in enumerate(part.name)]
                 yield pd.DataFrame(rows, columns=["name", "code", "cases", "ran", "collected", "passed", "canary_passed", "raising"])
 
-    return code_samples(spark, sf_dir).select("name", "code").distinct().mapInPandas(run, "name string, code string, cases int, ran boolean, collected int, passed boolean, canary_passed boolean, raising int")
+    # Codes are small but take long, so tasks are told by their number; by their bytes a few would have all.
+    n, most = table(spark, sf_dir, "documents").count(), int(spark.conf.get("spark.sql.shuffle.partitions"))
+    tasks = max(1, min(-(-n // SAMPLES), max(most, n // 20_000)))
+    return code_samples(spark, sf_dir).select("name", "code").repartition(tasks, "name", "code").distinct().mapInPandas(run, "name string, code string, cases int, ran boolean, collected int, passed boolean, canary_passed boolean, raising int")

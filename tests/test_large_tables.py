@@ -4,9 +4,9 @@ import json
 
 from pyspark.sql import functions as F
 
-from siftworks.functions import protocols
+from siftworks.functions import protocols, python_code
 from siftworks.operators import sampling
-from siftworks.plans import shapes
+from siftworks.plans import code_rows, shapes
 
 
 def parsed(text):
@@ -50,3 +50,22 @@ def test_cuts_of_objects_alike_are_mended_once(spark, tmp_path, monkeypatch):
         want[event] = now if old is None else (*(a + b for a, b in zip(now[:3], old[:3])), max(now[3], old[3]), max(now[4], old[4]))
     assert got == want
     assert calls.stat().st_size < 2000
+
+
+def test_samples_of_pytest_are_told_by_a_light_run(monkeypatch):
+    """No report of every failure is written, and with `first` a sample ends with its first failure."""
+    runs = []
+    real = python_code.subprocess.run
+    monkeypatch.setattr(python_code.subprocess, "run", lambda command, **more: runs.append(command) or real(command, **more))
+    code, tests = "def f(x):\n    return x\n", "def test_a():\n    assert f(1) == 2\n\ndef test_b():\n    assert f(1) == 3\n\ndef test_c():\n    assert f(1) == 1\n"
+    samples = [(code, tests), (code, tests[tests.index("def test_c") :]), ("def f(", tests), (code, "")]
+    whole, short = python_code.pytest_many(samples), python_code.pytest_many(samples, first=True)
+    assert [r["passed"] for r in whole] == [r["passed"] for r in short] == [False, True, False, False]
+    assert [(r["collected"], r["failed"]) for r in whole] == [(3, 2), (1, 0), (0, 1), (0, 0)] and (short[0]["collected"], short[0]["failed"]) == (1, 1)
+    assert len(runs) == 2 and all("--junitxml" not in c and "--tb=no" in c for c in runs)
+
+
+def test_codes_are_dealt_to_tasks_by_their_number(spark, tmp_path):
+    spark.range(400).selectExpr("id as doc_id", "concat('a b\nc d ', repeat('x', int(id))) as text", "'s' as source").write.parquet(f"{tmp_path}/documents.parquet")
+    out = code_rows.boundary_outputs(spark, str(tmp_path)).withColumn("task", F.spark_partition_id())
+    assert out.select("task").distinct().count() == 8
