@@ -1,10 +1,11 @@
 """What fails on large tables only: ranges drawn anew, work that repeats, processes for each row."""
 
 import json
+import random
 
 from pyspark.sql import functions as F
 
-from siftworks.functions import protocols, python_code
+from siftworks.functions import protocols, python_code, tokens
 from siftworks.operators import sampling
 from siftworks.plans import code_rows, shapes
 
@@ -69,3 +70,24 @@ def test_codes_are_dealt_to_tasks_by_their_number(spark, tmp_path):
     spark.range(400).selectExpr("id as doc_id", "concat('a b\nc d ', repeat('x', int(id))) as text", "'s' as source").write.parquet(f"{tmp_path}/documents.parquet")
     out = code_rows.boundary_outputs(spark, str(tmp_path)).withColumn("task", F.spark_partition_id())
     assert out.select("task").distinct().count() == 8
+
+
+def test_tokens_of_pieces_are_those_of_whole_texts():
+    """Blanks of all kinds and in all numbers, contractions, digits, marks, code points beyond the first plane; known pieces are not encoded again."""
+    with open(tokens.VOCABULARY, encoding="utf-8") as f:
+        own = tokens.load(f.read())
+    assert tokens.apart(own)
+    draw = random.Random(7)
+    signs = [" ", " ", " ", "  ", "\n", "\t", "\u00a0", "\u3000", "\u0085", "\x1c", "'s", "'", "ll", "a", "Z", "\u00e9", "\u4e2d", "\U0001f600", "1", "99", ".", "!?", "_", "<|endoftext|>", "the", "word"]
+    texts = ["", " ", "a ", " a", "a  b", "it's all\n\n gone"] + ["".join(draw.choices(signs, k=draw.randint(1, 40))) for _ in range(5000)]
+    known: dict = {}
+    assert tokens.counts(own, texts, known) == [len(e.ids) for e in own.encode_batch(texts, add_special_tokens=False)]
+
+    class Counted:
+        pieces = 0
+
+        def encode_batch_fast(self, x, **more):
+            Counted.pieces += len(x)
+            return own.encode_batch_fast(x, **more)
+
+    assert sum(tokens.counts(Counted(), ["the word.\nword " * 500], {})) > 0 and Counted.pieces <= 7
