@@ -22,10 +22,14 @@ def gram_classes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame
     d = table(spark, sf_dir, "documents")
     split = F.element_at(F.array(*map(F.lit, ("train", "val", "test"))), (F.pmod("doc_id", F.lit(3)) + 1).cast("int"))
     d = d.select("doc_id", split.alias("split"), F.array_distinct(F.transform(dedup.ngrams(F.col("text")), lambda g: F.xxhash64(g))).alias("members"))
-    d = cut(d.where(F.size("members") > 0)).withColumn("key", F.sha2(F.array_join(F.sort_array("members"), ","), 256))
-    least = simjoin.classes(d, "doc_id", F.col("key"))
-    of = cut(least.withColumnRenamed("id", "doc_id").join(d.select("doc_id", "split"), "doc_id"))
-    return of, d.join(of.where("doc_id = class").select("doc_id"), "doc_id").select(F.col("doc_id").alias("class"), "members")
+    d = d.where(F.size("members") > 0)
+    keyed = cut(d.select("doc_id", "split", F.sha2(F.array_join(F.sort_array("members"), ","), 256).alias("key")))
+    least = simjoin.classes(keyed, "doc_id", F.col("key"))
+    of = cut(least.withColumnRenamed("id", "doc_id").join(keyed.select("doc_id", "split"), "doc_id"))
+    # The sets are most of what is kept: once, and without a shuffle where the ids are few.
+    own = of.where("doc_id = class").select("doc_id").distinct()
+    own = F.broadcast(own) if own.count() <= simjoin.FEW_IDS else own
+    return of, cut(d.select(F.col("doc_id").alias("class"), "members").join(own.withColumnRenamed("doc_id", "class"), "class", "left_semi"))
 
 
 @register(
@@ -38,7 +42,6 @@ def gram_classes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame
 def similarity_join(spark, sf_dir):
     """Pairs across splits over 0.7, between the documents of a class in a split; a class in several splits is paired with itself."""
     of, sets = gram_classes(spark, sf_dir)
-    sets = cut(sets)
     pairs = simjoin.jaccard_join(sets, "class", "members").unionByName(sets.select(F.col("class").alias("a"), F.col("class").alias("b"), F.size("members").cast("bigint").alias("shared"), F.lit(1.0).alias("score")))
     by_split = cut(of.groupBy("class", "split").agg(F.min("doc_id").alias("doc"), F.count("*").alias("members")))
     side = lambda end, tag: by_split.select(F.col("class").alias(end), *(F.col(c).alias(f"{c}_{tag}") for c in ("doc", "split", "members")))

@@ -6,7 +6,7 @@ import random
 from pyspark.sql import functions as F
 
 from siftworks.functions import protocols, python_code, tokens
-from siftworks.operators import sampling
+from siftworks.operators import sampling, simjoin
 from siftworks.plans import code_rows, shapes
 
 
@@ -91,3 +91,12 @@ def test_tokens_of_pieces_are_those_of_whole_texts():
             return own.encode_batch_fast(x, **more)
 
     assert sum(tokens.counts(Counted(), ["the word.\nword " * 500], {})) > 0 and Counted.pieces <= 7
+
+
+def test_heads_that_no_other_set_has_go_no_farther(spark, monkeypatch):
+    """What the join keeps grows with what sets share, not with their members."""
+    kept = []
+    monkeypatch.setattr(simjoin, "cut", lambda df: kept.append(df.cache().count()) or df)
+    rows = [(i, [1000 * i + k for k in range(100)]) for i in range(50)] + [(90, list(range(1, 101)))]
+    got = simjoin.jaccard_join(spark.createDataFrame(rows, "id bigint, members array<bigint>"), "id", "members").collect()
+    assert [tuple(r)[:3] for r in got] == [(0, 90, 99)] and max(kept) <= 62
