@@ -1,9 +1,9 @@
 """Secret scan: base patterns, and a linear-chain conditional random field over tokens.
 
 Three fixed patterns give the base spans. The field tags tokens, plain words too, as secret begin, inside or outside from their shape, the
-neighbouring words and features of the whole file, and Viterbi decodes the tags of a chain. Lines without a trigger, which is a lead word
-or a token that looks drawn at random, are outside as a whole; on the others a chain holds all tokens up to CONTEXT before and
-after each trigger. The field is fitted by stochastic gradient on a generated, labelled corpus of lines whose size is a
+neighbouring words and features of the whole file, and Viterbi decodes the tags of a chain. Every token is in one chain: those up to CONTEXT
+before and after a trigger, which is a lead word or a token that looks drawn at random, in one with it, the others of a line in chains of
+PIECE at most. Of these only chains are decoded that a bound does not show to be outside as a whole. The field is fitted by stochastic gradient on a generated, labelled corpus of lines whose size is a
 parameter; it needs no labelled rows.
 """
 
@@ -38,7 +38,8 @@ LEAD = re.compile(r"(?<![a-z])(?:" + "|".join((*LEADS, *PHRASES)) + r"|(?:api|ac
 RANDOM = re.compile(r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*[0-9]|[A-Za-z0-9+/_-]*[a-z][A-Z]+[a-z0-9]*[A-Z0-9])[A-Za-z0-9+/_-]{12,}")
 CHUNK = re.compile(r"\S+")
 PAIRED = re.compile(r"""["']?[A-Za-z_][A-Za-z0-9_.-]{1,40}["']?(?::=|=>|[:=])["']?(?=[^\s/:=])""")
-CONTEXT = 6
+CONTEXT, PIECE = 6, 8
+KNOWN = 200_000  # words whose weights a worker keeps
 B, I, O = 0, 1, 2  # noqa: E741
 ROWS = 1 << 16
 WORDS = [10, 12, 13, 14, 15, 16]  # places of the features that name words
@@ -65,10 +66,6 @@ def file_features(text: str) -> list[str]:
     return [f"file_size={int(math.log10(n))}", f"file_digits={share(string.digits)}", f"file_assign={share('=:')}", f"file_code={share('{};()[]')}"]
 
 
-def _entropy(word: str) -> float:
-    return -sum(c / len(word) * math.log2(c / len(word)) for c in map(word.count, set(word)))
-
-
 def _kind(word: str) -> str:
     if word.isdigit():
         return "number"
@@ -79,28 +76,69 @@ def _kind(word: str) -> str:
     return "alnum" if word.isalnum() else "marked" if any(map(str.isalnum, word)) else "marks"
 
 
+@lru_cache(1 << 14)
+def _bits(counts: tuple[int, ...]) -> int:
+    n = sum(counts)
+    return int(-2 * sum(c / n * math.log2(c / n) for c in counts))
+
+
+def _parts(w: str, low: str) -> tuple:
+    """What the features of a word alone are told by: kind, length, shape, entropy, changes of kind, size, vowels."""
+    n, plain = len(w), w.isascii() and w.isalpha()
+    if plain and w.islower():
+        kind, short, changes = "lower", "a", 0
+    elif plain and n > 1 and w[0].isupper() and w[1:].islower():
+        kind, short, changes = "title", "Aa", min(8, 16 // n)
+    else:
+        kind = _kind(w)
+        short = re.sub(r"(.)\1+", r"\1", re.sub(r"[a-z]", "a", re.sub(r"[A-Z]", "A", re.sub(r"[0-9]", "0", w))))[:6]
+        changes = min(8, sum((a.isdigit(), a.isupper()) != (b.isdigit(), b.isupper()) for a, b in zip(w, w[1:])) * 16 // n)
+    vowels = low.count("a") + low.count("e") + low.count("i") + low.count("o") + low.count("u")
+    return kind, min(12, n // 3), short, _bits(tuple(sorted(map(w.count, set(w))))), changes, min(6, n // 4), vowels * 8 // n
+
+
+def _names(parts: tuple) -> list[str]:
+    kind, length, short, bits, changes, size, vowels = parts
+    return ["bias", f"kind={kind}", f"length={length}", f"shape={short}", f"entropy={bits}", f"changes={changes}", f"size={kind}/{size}", f"vowels={kind}/{vowels}"]
+
+
+def _leads(low: str) -> bool:
+    return bool(LEAD.fullmatch(low)) or any(x in LEADS for x in re.split(r"[\W\d_]+", low))
+
+
 def tokens(text: str, start: int = 0, end: int | None = None) -> list[tuple[int, int]]:
     """(start, end) of what stands between blanks, without the brackets, quotes and stops around it; a key and its value apart."""
     out = []
     for m in CHUNK.finditer(text, start, len(text) if end is None else end):
-        a, b = m.span()
-        if pair := PAIRED.match(text, a, b):
-            key = pair[0].strip("\"':=>")
-            at = a + pair[0].index(key)
-            out.append((at, at + len(key)))
-            a = pair.end()
-        while a < b and text[a] in "\"'([{<,;":
-            a += 1
-        if (quote := re.search("[\"']", text[a:b])) and quote.start():
-            b = a + quote.start()
-        if noise := re.search(r"([!?#*$%&|])\1+$", text[a:b]):
-            b = a + noise.start()
-        while a < b and (text[b - 1] in "\"')]}>,;.:" or (text[b - 1] in "!?" and text[a : b - 1].rstrip("!?").isalpha())):
-            b -= 1
-        out.append((a, b) if a < b else m.span())
+        if (chunk := m[0]).isalpha():
+            out.append(m.span())
+        else:
+            a = m.start()
+            out += [(a + i, a + k) for i, k in _cut(chunk)]
     return out
 
 
+@lru_cache(1 << 16)
+def _cut(chunk: str) -> tuple[tuple[int, int], ...]:
+    """The tokens of a chunk."""
+    a, b, out = 0, len(chunk), []
+    if pair := PAIRED.match(chunk):
+        key = pair[0].strip("\"':=>")
+        at = pair[0].index(key)
+        out.append((at, at + len(key)))
+        a = pair.end()
+    while a < b and chunk[a] in "\"'([{<,;":
+        a += 1
+    if (quote := re.search("[\"']", chunk[a:b])) and quote.start():
+        b = a + quote.start()
+    if noise := re.search(r"([!?#*$%&|])\1+$", chunk[a:b]):
+        b = a + noise.start()
+    while a < b and (chunk[b - 1] in "\"')]}>,;.:" or (chunk[b - 1] in "!?" and chunk[a : b - 1].rstrip("!?").isalpha())):
+        b -= 1
+    out.append((a, b) if a < b else (0, len(chunk)))
+    return tuple(out)
+
+
 def features(text: str, spans: list[tuple[int, int]], whole: list[str]) -> np.ndarray:
     """Hashed features of each token: shape, the words around it and features of the file; as many for each."""
     words = [text[a:b] for a, b in spans]
@@ -110,22 +148,18 @@ def features(text: str, spans: list[tuple[int, int]], whole: list[str]) -> np.nd
     lead = [ends(i) or any(x in LEADS for x in re.split(r"[\W\d_]+", w)) for i, w in enumerate(low)]
     out = []
     for i, w in enumerate(words):
-        kind, n = _kind(w), len(w)
-        short = re.sub(r"(.)\1+", r"\1", re.sub(r"[a-z]", "a", re.sub(r"[A-Z]", "A", re.sub(r"[0-9]", "0", w))))
-        changes = sum((a.isdigit(), a.isupper()) != (b.isdigit(), b.isupper()) for a, b in zip(w, w[1:]))
-        vowels = sum(map(low[i].count, "aeiou")) * 8 // max(1, n)
+        parts, n = _parts(w, low[i]), len(w)
+        kind, same = parts[0], f"{parts[0]}/{parts[5]}"
         back = next((k for k in range(1, 5) if i >= k and lead[i - k]), 0)
-        same = f"{kind}/{min(6, n // 4)}"
         name = [
-            "bias", f"kind={kind}", f"length={min(12, n // 3)}", f"shape={short[:6]}", f"entropy={int(2 * _entropy(w))}", f"changes={min(8, changes * 16 // n)}", f"size={same}", f"vowels={kind}/{vowels}",
-            f"lead={back}", f"lead_kind={back}/{same}", f"own={low[i]}", f"is_lead={lead[i]}", f"after={pad[i + 5]}", f"before={pad[i + 3]}", f"before2={pad[i + 2]}", f"pair={pad[i + 2]}/{pad[i + 3]}", f"before_kind={pad[i + 3]}/{kind}",
+            *_names(parts), f"lead={back}", f"lead_kind={back}/{same}", f"own={low[i]}", f"is_lead={lead[i]}", f"after={pad[i + 5]}", f"before={pad[i + 3]}", f"before2={pad[i + 2]}", f"pair={pad[i + 2]}/{pad[i + 3]}", f"before_kind={pad[i + 3]}/{kind}",
             f"before_shape={_kind(words[i - 1]) if i else '<'}/{kind}", f"once={kind}/{n < 6 or text.count(w) == 1}", *whole,
         ]
         out.append([zlib.crc32(x.encode()) & (ROWS - 1) for x in name])
     return np.array(out)
 
 
-def chains(text: str):
+def near(text: str):
     """Lists of (start, end): on each line with a trigger, the tokens up to CONTEXT before and after one."""
     at = sorted({m.start() for m in LEAD.finditer(text)} | {m.start() for m in RANDOM.finditer(text)})
     i = 0
@@ -157,6 +191,129 @@ def chains(text: str):
             yield run
 
 
+def far(text: str, runs: list[list[tuple[int, int]]]):
+    """Lists of (start, end), PIECE at most: the tokens that no run holds, those next to each other on a line."""
+    taken = sorted(t for run in runs for t in run)
+    i, stop, stretch = 0, -1, []
+    for t in tokens(text):
+        while i < len(taken) and taken[i][1] <= t[0]:
+            i += 1
+        held = i < len(taken) and taken[i][0] < t[1]
+        if held or t[0] > stop or len(stretch) == PIECE:
+            if stretch:
+                yield stretch
+            stretch = []
+            if t[0] > stop:
+                stop = text.find("\n", t[0])
+                stop = len(text) if stop < 0 else stop
+        if not held:
+            stretch.append(t)
+    if stretch:
+        yield stretch
+
+
+def chains(text: str):
+    """Lists of (start, end) that hold every token of the text once: those near triggers, then the others."""
+    runs = list(near(text))
+    yield from runs
+    yield from far(text, runs)
+
+
+PAIR, BEFORE_KIND, OWN, AFTER, BEFORE, BEFORE2 = (zlib.crc32(f"{x}=".encode()) for x in ("pair", "before_kind", "own", "after", "before", "before2"))  # of what a word is behind
+
+
+class Bound:
+    """How much better than outside throughout the best other path of a chain is at most, for many chains at once, by sums of weights kept for each word.
+
+    All is exact but for the feature that asks if a word is met once, of which the larger weight counts.
+    """
+
+    LAST = frozenset([p.split()[-1] for p in PHRASES] + ["key", "code", "codes", "secret"])  # of leads of several words
+
+    def __init__(self, field: Field):
+        self.gain = field.weight[:, [B, I]] - field.weight[:, [O]]
+        step = field.step - field.step[O, O]
+        self.step = step
+        self.kinds = ["<", "number", "hex", "lower", "upper", "title", "mixed", "alnum", "marked", "marks"]
+        self.shapes = np.array([[self.of(f"before_shape={a}/{b}") for b in self.kinds] for a in self.kinds])
+        self.alone: dict[tuple, tuple] = {}  # what words alone add, by their parts
+        self.empty()
+
+    def of(self, *names: str) -> np.ndarray:
+        return self.gain[[zlib.crc32(x.encode()) & (ROWS - 1) for x in names]].sum(0)
+
+    def empty(self) -> None:
+        """Forgets all words but the marks before and behind a chain."""
+        self.ids, self.low, self.pair, self.before_kind, self.rows = {}, [], [], [], np.zeros((KNOWN + 2, 10))
+        if len(self.alone) > KNOWN:
+            self.alone.clear()
+        self.learn(["<", ">"])
+        self.ids, self.rows[:2, 8] = {}, 0  # as marks they are of no kind, as words they are learned like any other
+
+    def learn(self, words: list[str]) -> None:
+        """Takes up words that are not known yet."""
+        crc, first, more, alone = zlib.crc32, len(self.low), [], []
+        for k, w in enumerate(words, first):
+            low = w.lower()[:24]
+            e, parts = low.encode(), _parts(w, low)
+            own = self.alone.get(parts + (len(w) < 6,))
+            if own is None:
+                kind = parts[0]
+                once = self.of(f"once={kind}/True")
+                once = once if len(w) < 6 else np.maximum(once, self.of(f"once={kind}/False"))
+                own = self.alone[parts + (len(w) < 6,)] = (*(self.of(*_names(parts), "lead=0", f"lead_kind=0/{kind}/{parts[5]}", "is_lead=False") + once).tolist(), self.kinds.index(kind))
+            self.ids[w] = k
+            self.low.append(e)
+            self.pair.append(crc(b"/", crc(e, PAIR)))
+            self.before_kind.append(crc(b"/", crc(e, BEFORE_KIND)))
+            lead = low in self.LAST or low in LEADS if low.isalpha() else low in self.LAST or _leads(low)
+            more += (crc(e, OWN), crc(e, AFTER), crc(e, BEFORE), crc(e, BEFORE2))
+            alone += (*own, lead)
+        at, alone = slice(first, first + len(words)), np.array(alone, float).reshape(-1, 4)
+        self.rows[at, :8] = self.gain[np.array(more, np.int64).reshape(-1, 4) & (ROWS - 1)].reshape(-1, 8)
+        self.rows[at, :2] += alone[:, :2]
+        self.rows[at, 8:] = alone[:, 2:]
+
+    def doubtful(self, text: str, pieces: list[list[tuple[int, int]]], whole: list[str]) -> list[list[tuple[int, int]]]:
+        """The chains that may hold a secret."""
+        out = []
+        for i in range(0, len(pieces), KNOWN // PIECE):
+            some = pieces[i : i + KNOWN // PIECE]
+            if len(self.low) + sum(map(len, some)) > KNOWN:
+                self.empty()
+            out += self._doubtful(text, some, whole)
+        return out
+
+    def _doubtful(self, text: str, pieces: list[list[tuple[int, int]]], whole: list[str]) -> list[list[tuple[int, int]]]:
+        words = [text[a:b] for piece in pieces for a, b in piece]
+        if new := set(words).difference(self.ids):
+            self.learn(sorted(new))
+        size = np.array([len(p) for p in pieces])
+        piece = np.repeat(np.arange(len(pieces)), size)
+        at = np.arange(len(words)) + 3 * piece + 2  # two marks stand before a chain, one behind it
+        every = np.zeros(len(words) + 3 * len(pieces), np.int64)
+        every[np.cumsum(size + 3) - 1] = 1
+        every[at] = np.fromiter(map(self.ids.__getitem__, words), np.int64, len(words))
+        rows = self.rows
+        own, one, two = every[at], every[at - 1], every[at - 2]
+        kind, kinds = rows[own, 8].astype(int), [k.encode() for k in self.kinds]
+        crc, low, pair, before = zlib.crc32, self.low, self.pair, self.before_kind
+        ones = one.tolist()
+        pairs = np.array([crc(low[b], pair[a]) for a, b in zip(two.tolist(), ones)], np.int64) & (ROWS - 1)
+        befores = np.array([crc(kinds[k], before[b]) for b, k in zip(ones, kind.tolist())], np.int64) & (ROWS - 1)
+        gain = rows[own, 0:2] + rows[every[at + 1], 2:4] + rows[one, 4:6] + rows[two, 6:8] + self.gain[pairs] + self.gain[befores] + self.shapes[rows[one, 8].astype(int), kind] + self.of(*whole)
+        g = np.full((PIECE, len(pieces), 2), -np.inf)
+        g[np.arange(len(own)) - np.repeat(np.cumsum(size) - size, size), piece] = gain
+        none, s = np.full(len(pieces), -np.inf), self.step
+        b, i, o, most = g[0, :, 0], none, none, g[0, :, 0].copy()  # o: outside again
+        for t in range(1, PIECE):
+            b, i, o = np.maximum(np.maximum(s[O, B], o + s[O, B]), np.maximum(b + s[B, B], i + s[I, B])) + g[t, :, 0], np.maximum(b + s[B, I], i + s[I, I]) + g[t, :, 1], np.maximum(np.maximum(b + s[B, O], i + s[I, O]), o)
+            most = np.where(t < size, np.maximum(np.maximum(b, i), o), most)
+        may = most > -1e-6
+        may[piece[rows[own, 9] > 0]] = True
+        return [pieces[k] for k in np.flatnonzero(may)]
+
+
 class Field:
     """Weights of (hashed feature, tag) and of tag to tag; inside never follows outside or the start."""
 
@@ -165,6 +322,12 @@ class Field:
         self.step = np.zeros((3, 3))
         self.begin = np.array([0.0, -np.inf, 0.0])
         self.step[O, I] = -np.inf
+        self.known: Bound | None = None
+
+    def bound(self) -> Bound:
+        if self.known is None:
+            self.known = Bound(self)
+        return self.known
 
     def emissions(self, at: np.ndarray) -> np.ndarray:
         return self.weight[at].sum(1)
@@ -200,6 +363,7 @@ class Field:
 
     def fit(self, examples: list[tuple[np.ndarray, list[int]]], epochs: int = EPOCHS, rate: float = 0.2, decay: float = 1e-4, seed: int = 1) -> Field:
         """Adagrad on the log likelihood, one chain at a time, in an order fixed by the seed."""
+        self.known = None
         square, square_step = np.full_like(self.weight, 1e-6), np.full((3, 3), 1e-6)
         order, rng = list(range(len(examples))), random.Random(seed)
         for _ in range(epochs):
@@ -276,26 +440,42 @@ def generated(n: int = LINES, seed: int = 1, unseen: bool = False):
         yield before + value + stop + (" " + tail if not stop.endswith("\n") else tail) + rest, [(len(before), len(before) + len(value))] if secret else []
 
 
+def ordinary(n: int, seed: int = 1):
+    """Lines of words in any case, with accents, stops and numbers, that hold no secret."""
+    rng = random.Random(seed)
+    parts = ["der", "ung", "sch", "é", "ß", "ö", "ain", "ber", "que", "SS", "Mc", "ÉT", "or", "an", "ci", "ö", "ñ", "ST", "na", "l'", "-", "к", "до", "за"]
+    forms = [str, str, str, str.title, str.upper, str.capitalize, lambda w: w + rng.choice(".,;:!?)"), lambda w: f"({w}", lambda w: w[:2].upper() + w[2:], lambda w: w + str(rng.randint(1, 99)), lambda w: f"{w}:{w[:3]}"]
+    for _ in range(n):
+        yield " ".join(rng.choice(forms)("".join(rng.choice(parts) for _ in range(rng.randint(1, 5)))) for _ in range(PIECE))
+
+
 @lru_cache(1)
 def fitted(lines: int = LINES, seed: int = 1) -> Field:
     """A field fitted on `lines` generated lines."""
     examples = []
-    for text, spans in generated(lines, seed):
+    for k, (text, spans) in enumerate(generated(lines, seed)):
         whole = file_features(text)
-        for run in chains(text):
+        runs = list(near(text))
+        # Of plain words far from triggers a share is enough to learn from; a first line without a trigger counts whole.
+        plain = list(far(text, runs))
+        for run in runs + (plain[-1:] if k % 4 == 0 else []) + ([] if runs else plain[:2]):
             tags = []
             for start, end in run:
                 inside = any(a <= start and end <= b for a, b in spans)
                 tags.append(O if not inside else I if tags and tags[-1] != O else B)
             examples.append((features(text, run, whole), tags))
+    for text in ordinary(lines // 4, seed):
+        whole = file_features(text)
+        examples += [(features(text, run, whole), [O] * len(run)) for run in chains(text)]
     return Field().fit(examples)
 
 
 def field_spans(text: str, field: Field) -> list[tuple[int, int]]:
     """(start, end) of tagged secrets, a begin and the insides that follow it."""
-    whole, out = None, []
-    for run in chains(text):
-        whole = whole or file_features(text)
+    runs, out = list(near(text)), []
+    plain = list(far(text, runs))
+    whole = file_features(text) if runs or plain else []
+    for run in runs + (field.bound().doubtful(text, plain, whole) if plain else []):
         tags = field.viterbi(field.emissions(features(text, run, whole)))
         for (start, end), tag in zip(run, tags):
             if tag == B:

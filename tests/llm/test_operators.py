@@ -767,3 +767,27 @@ def test_leads_of_other_languages():
         ("la clave de todo es simple", None),
     ):
         assert [text[a:b] for a, b in secrets_crf.field_spans(text, field)] == ([want] if want else []), text
+
+
+def test_every_token_is_in_a_chain():
+    """Also far from lead words and tokens that look drawn at random; spans are those of decoding all chains, bounded or not, for words that are new, known and forgotten."""
+    field, seen = secrets_crf.fitted(), 0
+    weights = np.random.default_rng(5).normal(size=field.weight.shape) / 2
+    other = secrets_crf.Field()
+    other.weight[:-1], other.step = weights[:-1], field.step
+    far = " ".join(f"plain{'abcdefgh'[i % 8]}" for i in range(40)) + ' x"y", (Zz9) a=b key  code\n\n' + "rest of it " * 9
+    for text in [far, "password = hunter22 " + far, "", " \n", *(t for t, _ in secrets_crf.generated(60, seed=8))]:
+        runs = list(secrets_crf.chains(text))
+        assert sorted(t for run in runs for t in run) == secrets_crf.tokens(text)
+        for f in (field, other):
+            want, whole = [], secrets_crf.file_features(text)
+            for run in runs:
+                for (a, b), tag in zip(run, f.viterbi(f.emissions(secrets_crf.features(text, run, whole)))):
+                    if tag == 0:
+                        want.append((a, b))
+                    elif tag == 1:
+                        want[-1] = (want[-1][0], b)
+            assert secrets_crf.field_spans(text, f) == want
+            seen += len(want)
+        other.bound().empty()
+    assert seen > 100
