@@ -123,3 +123,16 @@ def test_blocked_audit_compares_hashes_of_grams(spark, tmp_path, monkeypatch):
     assert sorted(map(tuple, got)) == sorted(want) and want
     (sets,) = joined
     assert dict(sets.dtypes)["grams"] == "array<bigint>"
+
+
+def test_neighbours_are_shuffled_once(spark, tmp_path):
+    """Sets of numbers go once to blocks of ids, without a join; ids on the edges of blocks, gaps, repeats, nulls and texts without grams."""
+    ids = [-257, -256, -1, 0, 1, 1, 2, 2, 5, 254, 255, 256, 257, 511, 512, None]
+    rows = [(i, None if i == 5 else "" if i == 257 else f"a b c d e{k % 3} f g") for k, i in enumerate(ids)]
+    spark.createDataFrame(rows, "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    df = catalogue.queries()["jaccard_neighbours"](spark, str(tmp_path))
+    grams = lambda t: {tuple((t or "").split()[k : k + 3]) for k in range(max(0, len((t or "").split()) - 2))}
+    want = [(i, round(len(grams(s) & grams(t)) / max(1, len(grams(s) | grams(t))), 6)) for i, s in rows for j, t in rows if i is not None and j == i + 1]
+    assert sorted(map(tuple, df.collect())) == sorted(want) and len(want) == 12
+    plan = df._jdf.queryExecution().sparkPlan().toString()
+    assert "Join" not in plan and plan.count("Window") >= 1
