@@ -1,4 +1,4 @@
-"""Keyed state by transformWithState: the stop machine as a stream, and a schedule of evaluations by event-time timers."""
+"""The stop machine and falling probes as keyed state by transformWithState; a schedule of evaluations and sessions by windows of event time."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, StatefulProcessor, StatefulProcessorHandle, TimerValues
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle, TimerValues
 
 from ..operators.stopping import FOLDED, Stopping, advance
 
@@ -125,69 +125,27 @@ def drop_stream(events: DataFrame, key: str, patience: int, min_delta: float, ma
     return x.groupBy("key").transformWithState(DropProcessor(patience, min_delta, max_epochs), f"key {kind}, seen bigint, verdict string", "Update", "None").withColumnRenamed("key", key)
 
 
-class ScheduleProcessor(StatefulProcessor):
-    """For each mark that a run passes, the first step seen at it; it is fired when the watermark has passed the mark's end.
-
-    Steps may come late, twice or in any order within the watermark: until its timer a mark's earliest step wins, and a fired mark is dropped,
-    as rows for it would be behind the watermark.
-    """
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.marks = handle.getMapState("marks", "tier int, mark bigint", "us bigint, step bigint, ends bigint")
-
-    def handleInputRows(self, key, rows: Iterator[Row], timerValues: TimerValues) -> Iterator[Row]:
-        first: dict = {}
-        for r in rows:
-            at = (r.tier, r.mark)
-            now = (r.us, r.step, r.ends)
-            if at not in first or now < first[at]:
-                first[at] = now
-        for at, now in first.items():
-            held = self.marks.getValue(at) if self.marks.containsKey(at) else None
-            if held is None:
-                self.handle.registerTimer(now[2])
-            if held is None or now[:2] < (held[0], held[1]):
-                self.marks.updateValue(at, now)
-        return iter([])
-
-    def handleExpiredTimer(self, key, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[Row]:
-        over = expiredTimerInfo.getExpiryTimeInMs()
-        for at, held in [(tuple(k), tuple(v)) for k, v in self.marks.iterator()]:
-            if held[2] <= over:
-                self.marks.removeKey(at)
-                yield Row(key=key[0], tier=at[0], mark=at[1], us=held[0], step=held[1])
-
-    def close(self) -> None:
-        pass
-
-
-def marks(steps: DataFrame, every: int, origin_us: int, epoch_us: int, parts: int = 4) -> DataFrame:
-    """Rows (key, ts, step, tier, mark, ends, us) of the marks at which a step (key, ts, step) stands; ends in milliseconds, us is ts in microseconds.
-
-    A run's epoch grows with event time from origin_us, by one each epoch_us. Tier 1: each step that `every` divides, over 0. Tier 2: each 1 / parts of
-    an epoch that has begun, but for the very first. Tier 3: each whole epoch. A mark ends where the next of its tier may begin.
-    """
-    us = F.unix_micros("ts") - origin_us
-    part, epoch = F.floor(us * parts / epoch_us), F.floor(us / epoch_us)
-    end = lambda n, of: F.ceil((origin_us + (n + 1) * (epoch_us / of)) / 1000).cast("bigint")
-    row = lambda tier, mark, ends: F.struct(F.lit(tier).alias("tier"), mark.cast("bigint").alias("mark"), ends.alias("ends"))
-    at = F.array(
-        F.when((F.col("step") > 0) & (F.col("step") % every == 0), row(1, F.col("step"), F.ceil((F.unix_micros("ts") + 1) / 1000).cast("bigint"))),
-        F.when(part > 0, row(2, part, end(part, parts))),
-        F.when(epoch > 0, row(3, epoch, end(epoch, 1))),
-    )
-    return steps.withColumn("at", F.explode(F.array_compact(at))).select("key", "ts", "step", "at.*", F.unix_micros("ts").alias("us"))
-
-
 def schedule(steps: DataFrame, every: int, origin_us: int, epoch_us: int, late: str, parts: int = 4) -> DataFrame:
     """(key, tier, mark, ts, step) of a stream of steps (key, ts, step): each mark fires once, with its earliest step, however late or often steps come.
 
-    Steps later than `late` are left out. A mark fires when the watermark has passed its end. Start it within rocksdb().
+    A run's epoch grows with event time from origin_us, by one each epoch_us, which `parts` divides. Tier 1: each step that `every` divides, over 0.
+    Tier 2: each 1 / parts of an epoch that has begun, but for the very first. Tier 3: each whole epoch. Marks are windows of event time: one fires
+    when the watermark, `late` behind the last step, has passed its end; later steps do not count. Start it within rocksdb().
     """
-    kind = steps.schema["key"].dataType.simpleString()
-    x = marks(steps.withColumn("ts", F.col("ts").cast("timestamp")), every, origin_us, epoch_us, parts).withWatermark("ts", late)
-    fired = x.groupBy("key").transformWithState(ScheduleProcessor(), f"key {kind}, tier int, mark bigint, us bigint, step bigint", "Append", "EventTime")
+    if epoch_us % parts:
+        raise ValueError("parts must divide epoch_us")
+    x = steps.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
+    first = F.min(F.struct(F.unix_micros("ts").alias("us"), F.col("step").cast("bigint").alias("step"))).alias("first")
+
+    def timed(tier: int, width: int) -> DataFrame:
+        window = F.window("ts", f"{width} microseconds", None, f"{origin_us % width} microseconds")
+        begun = x.where(F.unix_micros("ts") >= origin_us + width).groupBy("key", window.alias("w")).agg(first)
+        mark = F.floor((F.unix_micros("w.start") - origin_us) / width).cast("bigint")
+        return begun.select("key", F.lit(tier).alias("tier"), mark.alias("mark"), "first.us", "first.step")
+
+    # Repeats of a step that `late` does not part are one.
+    counted = x.where((F.col("step") > 0) & (F.col("step") % every == 0)).groupBy("key", F.col("step").cast("bigint").alias("mark"), F.session_window("ts", late)).agg(first)
+    fired = counted.select("key", F.lit(1).alias("tier"), "mark", "first.us", "first.step").unionByName(timed(2, epoch_us // parts)).unionByName(timed(3, epoch_us))
     return fired.select("key", "tier", "mark", F.timestamp_micros("us").alias("ts"), "step")
 
 

@@ -158,3 +158,12 @@ def test_late_row_joins_sessions_or_is_left_out(spark, tmp_path):
 )
 def test_verdict_of_falling_probes(probes, fulls, epoch, nan, verdict):
     assert keyed.DropProcessor(3, 0.05, 3).verdict(probes, fulls, epoch, nan) == verdict
+
+
+def test_marks_are_found_without_python(spark, tmp_path):
+    """Windows of the engine, not a call for each key and mark."""
+    steps = spark.readStream.schema("key bigint, ts timestamp, step bigint").parquet(str(tmp_path))
+    plan = keyed.schedule(steps, 10, 1_704_067_200_000_000, 43_200_000_000, "3 hours")._jdf.queryExecution().logical().toString()
+    assert "TransformWithState" not in plan and "Aggregate" in plan
+    with pytest.raises(ValueError):
+        keyed.schedule(steps, 10, 0, 43_200_000_001, "3 hours")
