@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import protocols, tokens, workspace
 from ..operators import bootstrap, state, stopping
 from ..operators import trajectory as trajectory_rows
+from ..sources import digests
 from .catalogue import register, table
 
 
@@ -51,9 +52,8 @@ def crc_seeds(spark, sf_dir):
 def file_manifest(spark, sf_dir):
     """A row for each file of the folder, and one named '.' for the folder: the hash of all names and hashes in order of name."""
     root = sf_dir.split("://")[-1].rstrip("/")
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(sf_dir)
     inside = F.col("path").substr(F.instr("path", root) + len(root) + 1, F.length("path"))
-    rows = files.select(inside.alias("file"), F.sha2("content", 256).alias("sha256"), F.length("content").cast("bigint").alias("size"))
+    rows = digests.hashes(spark, sf_dir).select(inside.alias("file"), "sha256", "size")
     pairs = F.transform(F.sort_array(F.collect_list(F.struct("file", "sha256"))), lambda x: F.concat(x["file"], x["sha256"]))
     return rows.unionByName(rows.agg(F.lit(".").alias("file"), F.sha2(F.array_join(pairs, ""), 256).alias("sha256"), F.sum("size").alias("size")))
 
