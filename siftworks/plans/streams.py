@@ -1,4 +1,4 @@
-"""Queries that run Structured Streaming over the events, file by file in order of time, to the end of what is there."""
+"""Queries that run Structured Streaming over the events, part by part in order of time, to the end of what is there."""
 
 from __future__ import annotations
 
@@ -10,21 +10,22 @@ from ..streaming import keyed, monitor
 from .catalogue import register, table
 from .procedural import STOP_SQL, probe_rows
 
-FILES = 4
+PARTS = 4
 
 
-def feed(spark: SparkSession, sf_dir: str, path: str, files: range = range(FILES)) -> None:
-    """Files of events, each of a range of time that follows the one before."""
+def feed(spark: SparkSession, sf_dir: str, path: str, parts: range = range(PARTS)) -> None:
+    """Files of events in ranges of time that follow each other, each written by as many tasks as read the table; rows without a time come last."""
     x = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
     ends = x.agg(F.min(F.unix_micros("ts")).alias("lo"), F.max(F.unix_micros("ts")).alias("hi")).first()
-    width = max(1, ((ends.hi or 0) - (ends.lo or 0)) // FILES + 1)
-    for i in files:
-        x.where(F.floor((F.unix_micros("ts") - (ends.lo or 0)) / width) == i).coalesce(1).write.mode("append").parquet(path)
+    width = max(1, ((ends.hi or 0) - (ends.lo or 0)) // PARTS + 1)
+    part = F.coalesce(F.floor((F.unix_micros("ts") - (ends.lo or 0)) / width), F.lit(PARTS - 1))
+    for i in parts:
+        x.where(part == i).write.mode("append").parquet(path)
 
 
 def stream(spark: SparkSession, sf_dir: str, path: str) -> DataFrame:
     schema = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp")).schema
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("latestFirst", "false").parquet(path)
+    return spark.readStream.schema(schema).parquet(path)
 
 
 def run(df: DataFrame, mode: str, out: str, checkpoint: str) -> None:
@@ -38,8 +39,9 @@ def run(df: DataFrame, mode: str, out: str, checkpoint: str) -> None:
 def stream_window_rates(spark, sf_dir):
     """Hourly counts and sums as they stand after the last batch."""
     path, out, checkpoint = (scratch.folder(spark, k) for k in ("events", "rates", "rates-log"))
-    feed(spark, sf_dir, path)
-    run(monitor.windowed_rates(stream(spark, sf_dir, path), "1 hour", late="400 days"), "update", out, checkpoint)
+    for i in range(PARTS):
+        feed(spark, sf_dir, path, range(i, i + 1))
+        run(monitor.windowed_rates(stream(spark, sf_dir, path), "1 hour", late="400 days"), "update", out, checkpoint)
     got = spark.read.parquet(out).groupBy("window", "event_type").agg(F.max_by(F.struct("n", "total"), "batch").alias("last"))
     return got.select("event_type", F.floor(F.unix_timestamp(F.col("window.start")) / 3600).cast("bigint").alias("hour"), "last.n", F.round("last.total", 4).alias("total"))
 
@@ -51,20 +53,20 @@ def stream_window_rates(spark, sf_dir):
 )
 def stream_nan_latch(spark, sf_dir):
     """Values over 90 stand for no number: a user's state latches at the first and counts no further."""
-    path, out, checkpoint = (scratch.folder(spark, k) for k in ("events", "latch", "latch-log"))
-    feed(spark, sf_dir, path)
-    x = stream(spark, sf_dir, path).withColumn("value", F.when(F.col("value") > 90, F.lit(float("nan"))).otherwise(F.col("value")))
-    run(monitor.early_stop(x, "user_id", "value", patience=1 << 30), "update", out, checkpoint)
-    got = spark.read.parquet(out).groupBy("user_id").agg(F.max_by(F.struct("n", "reason"), "batch").alias("last"))
-    return got.select("user_id", "last.n", (F.coalesce(F.col("last.reason"), F.lit("")) == "nan").alias("latched"))
+    x, lo, width = timed(spark, sf_dir)
+    value = F.when(F.col("value") > 90, F.lit(float("nan"))).otherwise(F.col("value"))
+    rows = x.select("user_id", "ts", "event_id", value.alias("value"), F.coalesce(F.floor((F.col("us") - lo) / width), F.lit(DELIVERIES - 1)).alias("number"))
+    states = keyed.Held(scratch.folder(spark, "latch"), lambda batch, held: monitor.stop_states(batch, held, "user_id", "value", ["ts", "event_id"], patience=1 << 30))
+    delivered_to(spark, rows, F.col("number"), states)
+    return states.table(spark).select("user_id", "n", (F.col("reason") == "nan").alias("latched"))
 
 
 @register("stream_resume", "ST6 ST4", "select event_type, LONG(count(*)) as n, LONG(count(distinct event_id)) as ids from events group by event_type")
 def stream_resume(spark, sf_dir):
-    """A stream stopped after half of the files and started again from its log, with the rest there: each event once."""
+    """A stream stopped after half of the parts and started again from its log, with the rest there: each event once."""
     path, out, checkpoint = (scratch.folder(spark, k) for k in ("events", "seen", "seen-log"))
-    for files in (range(FILES // 2), range(FILES // 2, FILES)):
-        feed(spark, sf_dir, path, files)
+    for parts in (range(PARTS // 2), range(PARTS // 2, PARTS)):
+        feed(spark, sf_dir, path, parts)
         run(stream(spark, sf_dir, path), "append", out, checkpoint)
     return spark.read.parquet(out).groupBy("event_type").agg(F.count("*").alias("n"), F.count_distinct("event_id").alias("ids"))
 
@@ -129,8 +131,9 @@ def stream_drop_streak(spark, sf_dir):
     kind = F.when(F.col("event_type") == "purchase", "full").otherwise("probe")
     rows = x.select("user_id", "ts", F.col("event_id").alias("id"), kind.alias("kind"), value.alias("value"), ((F.col("event_id") * 7919 + 13) % 4).cast("double").alias("epoch"), F.floor((F.col("us") - lo) / width).alias("number"))
     rows = rows.unionByName(rows.where("number = 0").withColumn("number", F.col("number") + 1))
-    got = delivered(spark, rows, F.col("number"), lambda source: keyed.drop_stream(source, "user_id", 3, 0.05, 3), "update")
-    return got.groupBy("user_id").agg(F.max_by(F.struct("seen", "verdict"), "batch").alias("last")).select("user_id", "last.*")
+    states = keyed.Held(scratch.folder(spark, "streaks"), lambda batch, held: keyed.drop_states(batch, held, "user_id", 3))
+    delivered_to(spark, rows, F.col("number"), states)
+    return states.table(spark).select("user_id", "seen", keyed.drop_verdict(3, 0.05, 3).alias("verdict"))
 
 
 # Every 25th step; epochs of 5 days from 2024-01-01, in four parts.

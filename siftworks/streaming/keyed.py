@@ -1,4 +1,4 @@
-"""The stop machine and falling probes as keyed state by transformWithState; a schedule of evaluations and sessions by windows of event time."""
+"""The stop machine and falling probes as keyed state by transformWithState, or as a table that each batch folds on; a schedule of evaluations and sessions by windows of event time."""
 
 from __future__ import annotations
 
@@ -6,11 +6,12 @@ import math
 from collections.abc import Iterator
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle, TimerValues
 
 from ..operators.stopping import FOLDED, Stopping, advance
+from ..sources import scratch
 
 
 @contextmanager
@@ -25,6 +26,38 @@ def rocksdb(spark: SparkSession):
         spark.conf.set(key, before)
 
 
+class Held:
+    """The state of keys as a table in a shared folder, for foreachBatch: each batch makes it anew from that of the batch before, without a call in Python for each key.
+
+    fold(batch, table or None) gives (key, the state's fields) of every key. A batch that is begun again starts from the same table, so its rows count once.
+    """
+
+    def __init__(self, path: str, fold):
+        self.path, self.fold = path, fold
+
+    def __call__(self, batch: DataFrame, i: int) -> None:
+        spark = batch.sparkSession
+        before = sorted(n for n in map(int, scratch.names(spark, self.path)) if n < i)
+        held = spark.read.parquet(f"{self.path}/{before[-1]}") if before else None
+        self.fold(batch, held).write.mode("overwrite").parquet(f"{self.path}/{i}")
+        for n in before[:-1]:
+            scratch.remove(spark, f"{self.path}/{n}")
+
+    def table(self, spark: SparkSession) -> DataFrame:
+        return spark.read.parquet(f"{self.path}/{max(map(int, scratch.names(spark, self.path)))}")
+
+
+def folded(batch: DataFrame, held: DataFrame | None, key: str, row: Column, start: Column, step) -> DataFrame:
+    """(key, the fields of start) of all keys: step(state, row) over a key's rows of the batch, sorted, from the state held or start."""
+    kind = batch.select(start.alias("s")).schema["s"].dataType
+    fields, kind = kind.names, kind.simpleString()
+    x = batch.select(key, row.alias("row"), F.lit(None).cast(kind).alias("held"))
+    if held is not None:
+        x = x.unionByName(held.select(key, F.struct(*fields).cast(kind).alias("held")), allowMissingColumns=True)
+    x = x.groupBy(key).agg(F.sort_array(F.collect_list("row")).alias("rows"), F.first("held", ignorenulls=True).alias("held"))
+    return x.select(key, F.aggregate("rows", F.coalesce("held", start.cast(kind)), step).alias("s")).select(key, *(f"s.{c}" for c in fields))
+
+
 MACHINE = "best_probe double, best_full double, last_full double, idle int, syntax double, pending boolean, stopped boolean, reason string"
 FIELDS = [c.split()[0] for c in MACHINE.split(", ")]
 
@@ -125,6 +158,37 @@ def drop_stream(events: DataFrame, key: str, patience: int, min_delta: float, ma
     return x.groupBy("key").transformWithState(DropProcessor(patience, min_delta, max_epochs), f"key {kind}, seen bigint, verdict string", "Update", "None").withColumnRenamed("key", key)
 
 
+def drop_states(batch: DataFrame, held: DataFrame | None, key: str, patience: int) -> DataFrame:
+    """(key, probes, fulls, epoch, nan, seen, us, id): what DropProcessor holds of each key, folded by the engine. For Held."""
+    row = F.struct(F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), F.col("id").cast("bigint").alias("id"), (F.col("kind") == "full").alias("full"), *(F.col(c).cast("double").alias(c) for c in ("value", "epoch")))
+    none = lambda kind: F.lit(None).cast(kind)
+    start = F.struct(*(F.array().cast("array<double>").alias(c) for c in ("probes", "fulls")), none("double").alias("epoch"), F.lit(False).alias("nan"), F.lit(0).cast("bigint").alias("seen"), none("bigint").alias("us"), none("bigint").alias("id"))
+
+    def step(s, r):
+        told = F.coalesce((r.us < s.us) | ((r.us == s.us) & (r.id <= s.id)), F.lit(False))
+        bad, full = ~finite(r.value), F.coalesce(r.full, F.lit(False))
+        last = lambda xs, n: F.concat(F.when(F.size(xs) >= n, F.slice(xs, 2, n - 1)).otherwise(xs), F.array(r.value))
+        after = F.struct(
+            F.when(bad | full, s.probes).otherwise(last(s.probes, patience)).alias("probes"), F.when(~bad & full, last(s.fulls, 2)).otherwise(s.fulls).alias("fulls"), F.when(~bad & full, r.epoch).otherwise(s.epoch).alias("epoch"),
+            (s.nan | bad).alias("nan"), (s.seen + 1).alias("seen"), r.us.alias("us"), r.id.alias("id"),
+        )
+        return F.when(told, s).otherwise(after)
+
+    return folded(batch, held, key, row, start, step)
+
+
+def drop_verdict(patience: int, min_delta: float, max_epochs: float) -> Column:
+    """DropProcessor.verdict of the fields of drop_states."""
+    fell = lambda xs, n: F.forall(F.zip_with(F.slice(xs, 2, n), xs, lambda b, a: b.isNull() | (b < a - min_delta)), lambda x: x)
+    streak = (F.size("probes") >= patience) & fell(F.col("probes"), patience) if patience >= 2 else F.lit(False)
+    confirmed = F.when(F.size("fulls") < 2, "awaiting").when(fell(F.col("fulls"), 2), "confirmed").otherwise("unconfirmed")
+    return F.when(F.col("nan"), "nan").when(streak, confirmed).when(F.col("epoch") >= max_epochs, "max_epochs").otherwise("")
+
+
+def finite(value: Column) -> Column:
+    return F.coalesce(F.abs(value) < float("inf"), F.lit(False))
+
+
 def schedule(steps: DataFrame, every: int, origin_us: int, epoch_us: int, late: str, parts: int = 4) -> DataFrame:
     """(key, tier, mark, ts, step) of a stream of steps (key, ts, step): each mark fires once, with its earliest step, however late or often steps come.
 

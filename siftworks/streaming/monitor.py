@@ -7,6 +7,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from .keyed import finite, folded
+
 
 def windowed_rates(events: DataFrame, length: str = "1 hour", late: str | None = "10 minutes") -> DataFrame:
     """Counts and sums by event type and window of ts; rows later than `late` are left out. None: events have a watermark."""
@@ -45,3 +47,19 @@ def early_stop(probes: DataFrame, key: str, value: str, min_delta: float = 1.0,
 
     kind = probes.schema[key].dataType.simpleString()
     return probes.groupBy(key).applyInPandasWithState(step, f"{key} {kind}, n long, best double, bad long, reason string", "n long, best double, bad long, reason string", "update", GroupStateTimeout.NoTimeout)
+
+
+def stop_states(batch: DataFrame, held: DataFrame | None, key: str, value: str, order: list[str], min_delta: float = 1.0, patience: int = 5, most: int | None = None) -> DataFrame:
+    """(key, n, best, bad, reason) of all keys as early_stop has them, '' for no reason, folded by the engine; rows of a batch by order, nulls last. For keyed.Held."""
+    row = F.struct(*(c for i, name in enumerate(order) for c in (F.col(name).isNull().alias(f"no{i}"), F.col(name).alias(f"o{i}"))), F.col(value).cast("double").alias("v"))
+    start = F.struct(F.lit(0).cast("bigint").alias("n"), F.lit(float("-inf")).alias("best"), F.lit(0).cast("bigint").alias("bad"), F.lit("").alias("reason"))
+
+    def step(s, r):
+        number = finite(r.v)
+        better = number & (r.v >= s.best + min_delta)
+        bad = F.when(better, 0).when(number, s.bad + 1).otherwise(s.bad).cast("bigint")
+        reason = F.when(~number, "nan").when(bad >= patience, "patience")
+        reason = reason.when(s.n + 1 >= most, "max") if most else reason
+        return F.when(s.reason != "", s).otherwise(F.struct((s.n + 1).alias("n"), F.when(better, r.v).otherwise(s.best).alias("best"), bad.alias("bad"), reason.otherwise("").alias("reason")))
+
+    return folded(batch, held, key, row, start, step)

@@ -4,10 +4,12 @@ import datetime as dt
 import random
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from siftworks.operators import stopping
-from siftworks.streaming import keyed
+from siftworks.plans import catalogue, streams
+from siftworks.streaming import keyed, monitor
 
 PROBES = "user bigint, ts timestamp, id bigint, kind string, value double, epoch double, syntax double, timeout double"
 START = dt.datetime(2024, 1, 1)
@@ -167,3 +169,99 @@ def test_marks_are_found_without_python(spark, tmp_path):
     assert "TransformWithState" not in plan and "Aggregate" in plan
     with pytest.raises(ValueError):
         keyed.schedule(steps, 10, 0, 43_200_000_001, "3 hours")
+
+
+def odd_rows(rng, start):
+    some = [None, float("nan"), float("inf")]
+    return [(rng.choice([None, 1, 2, 3, 4]), START + dt.timedelta(minutes=start + rng.randrange(40)), rng.randrange(5), rng.choice(["probe", "probe", "full"]), rng.choice(some) if rng.random() < 0.04 else rng.randrange(20) / 10, float(rng.randrange(5))) for _ in range(60)]
+
+
+def test_streaks_folded_by_the_engine_are_those_of_the_processor(spark, tmp_path, monkeypatch):
+    """Null keys, repeats within and between batches, values that are no number; a batch begun again counts once, and only two tables stay."""
+    rng, shape = random.Random(4), "user bigint, ts timestamp, id bigint, kind string, value double, epoch double"
+    states = keyed.Held(f"{tmp_path}/held", lambda batch, held: keyed.drop_states(batch, held, "user", 3))
+    (tmp_path / "held").mkdir()
+    told: dict = {}
+
+    class Value:
+        def __init__(self, key):
+            self.key = key
+
+        def exists(self):
+            return self.key in told
+
+        def get(self):
+            return told[self.key]
+
+        def update(self, value):
+            told[self.key] = value
+
+    processor, verdicts = keyed.DropProcessor(3, 0.05, 3), {}
+    for i in range(4):
+        rows = odd_rows(rng, 20 * i)
+        batch = spark.createDataFrame(rows + rows[:9], shape)
+        states(batch, i)
+        states(batch, i)
+        for user in {r[0] for r in rows}:
+            processor.held = Value(user)
+            us = lambda t: (t - dt.datetime(1970, 1, 1)) // dt.timedelta(microseconds=1)
+            mine = sorted({(us(r[1]), r[2]): r for r in reversed(rows) if r[0] == user}.items())
+            # Of rows with one time and id the engine tells the least; so they are made alike here.
+            least = [min((r for r in rows if r[0] == user and (us(r[1]), r[2]) == k), key=lambda r: (r[3] == "full", r[4] is not None, r[4] != r[4], r[4] or 0, r[5])) for k, _ in mine]
+            out = list(processor.handleInputRows((user,), iter([Row(us=us(r[1]), id=r[2], kind=r[3], value=r[4], epoch=r[5]) for r in least]), None))
+            verdicts[user] = (out[0].seen, out[0].verdict)
+        got = states.table(spark).select("user", "seen", keyed.drop_verdict(3, 0.05, 3).alias("verdict")).collect()
+        assert {r.user: (r.seen, r.verdict) for r in got} == verdicts
+    assert sorted(p.name for p in (tmp_path / "held").iterdir()) == ["2", "3"]
+
+
+@pytest.mark.parametrize("probes, fulls, epoch, nan", [([0.9, 0.8, 0.7], [0.5, 0.4], 1, False), ([0.9, 0.8, 0.7], [0.5, 0.5], 9, False), ([0.9, 0.8, 0.7], [0.5], 9, False), ([0.9, 0.8, 0.76], [0.5, 0.4], 1, False), ([0.8, 0.7], [], 3, False), ([0.9], [0.5, 0.4], 1, True), ([], [], None, False)])
+def test_verdict_of_the_engine(spark, probes, fulls, epoch, nan):
+    x = spark.createDataFrame([(probes, fulls, epoch and float(epoch), nan)], "probes array<double>, fulls array<double>, epoch double, nan boolean")
+    assert x.select(keyed.drop_verdict(3, 0.05, 3)).first()[0] == keyed.DropProcessor(3, 0.05, 3).verdict(probes, fulls, epoch, nan)
+
+
+@pytest.mark.parametrize("patience, most", [(3, None), (1 << 30, None), (4, 9)])
+def test_stops_folded_by_the_engine(spark, tmp_path, patience, most):
+    rng, held = random.Random(5), None
+    want: dict = {}
+    for i in range(3):
+        rows = [(k % 7 or None, 100 * i + k, v) for k in range(90) for v in [rng.choice([None, float("nan"), float("-inf")]) if rng.random() < 0.03 else rng.random() * (1 + k / 10)]]
+        for user, _, v in rows:
+            n, best, bad, reason = want.get(user, (0, float("-inf"), 0, ""))
+            if not reason:
+                number = v is not None and v == v and abs(v) != float("inf")
+                better = number and v >= best + 1
+                n, best, bad = n + 1, v if better else best, 0 if better else bad + number
+                reason = "nan" if not number else "patience" if bad >= patience else "max" if most and n >= most else ""
+            want[user] = (n, best, bad, reason)
+        rng.shuffle(rows)
+        monitor.stop_states(spark.createDataFrame(rows, "user bigint, ts bigint, v double"), held, "user", "v", ["ts"], patience=patience, most=most).write.parquet(f"{tmp_path}/{i}")
+        held = spark.read.parquet(f"{tmp_path}/{i}")
+    assert {r.user: tuple(r)[1:] for r in held.collect()} == want
+
+
+@pytest.mark.parametrize("name", ["stream_nan_latch", "stream_drop_streak"])
+def test_states_are_folded_without_python(spark, monkeypatch, name):
+    """No call in Python for each key, no file that one task writes from the whole table."""
+    plans, fold = [], keyed.folded
+
+    def spy(*args):
+        plans.append(fold(*args))
+        return plans[-1]
+
+    monkeypatch.setattr(keyed, "folded", spy)
+    monkeypatch.setattr(monitor, "folded", spy)
+    catalogue.queries()[name](spark, "/root/testdata/sf0.001").collect()
+    assert len(plans) == 3 and not any("Python" in p._jdf.queryExecution().executedPlan().toString() or "Pandas" in p._jdf.queryExecution().optimizedPlan().toString() for p in plans)
+
+
+def test_parts_are_written_by_all_tasks(spark, tmp_path):
+    """Rows without a time are in the last part."""
+    rows = [(k, START + dt.timedelta(minutes=k) if k else None, k) for k in range(4000)]
+    spark.createDataFrame(rows, "event_id bigint, ts timestamp, value bigint").repartition(4).write.parquet(f"{tmp_path}/events.parquet")
+    for i in range(4):
+        streams.feed(spark, str(tmp_path), f"{tmp_path}/{i}", range(i, i + 1))
+    got = [spark.read.parquet(f"{tmp_path}/{i}") for i in range(4)]
+    assert sum(g.count() for g in got) == 4000 and got[3].where("ts is null").count() == 1
+    assert min(len(g.inputFiles()) for g in got) > 1
