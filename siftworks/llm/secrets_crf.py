@@ -35,11 +35,15 @@ LEADS = ("password", "passwd", "passphrase", "passcode", "pwd", "secret", "token
          "passwort", "kennwort", "zugangscode", "contraseña", "contrasena", "senha", "jeton", "пароль", "токен")
 PHRASES = ("mot de passe", "clé secrète", "clé api", "code d'accès", "clave secreta", "clave de acceso", "clave privada", "chave secreta", "chiave segreta", "api-schlüssel", "zugangsschlüssel", "секретный ключ")
 LEAD = re.compile(r"(?<![a-z])(?:" + "|".join((*LEADS, *PHRASES)) + r"|(?:api|access|private|secret|signing|client)[ _-]?key|recovery codes?|client[ _-]secret)(?![a-z])", re.I)
+STEMS = (*LEADS, *PHRASES, "key", "recovery code")  # one of which is in whatever a lead matches
+FOLDED = re.compile("[\u0130\u0131\u017f\u212a\u1c80-\u1c8f]")  # letters that a pattern takes for others, in lower case or not
+LONG = re.compile(r"[A-Za-z0-9+/_-]{12,}")
 RANDOM = re.compile(r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*[0-9]|[A-Za-z0-9+/_-]*[a-z][A-Z]+[a-z0-9]*[A-Z0-9])[A-Za-z0-9+/_-]{12,}")
 CHUNK = re.compile(r"\S+")
 PAIRED = re.compile(r"""["']?[A-Za-z_][A-Za-z0-9_.-]{1,40}["']?(?::=|=>|[:=])["']?(?=[^\s/:=])""")
 CONTEXT, PIECE = 6, 8
-KNOWN = 200_000  # words whose weights a worker keeps
+KNOWN = 300_000  # words whose weights a worker keeps
+CHARACTERS = 1 << 16  # of texts whose chains are bounded at once
 B, I, O = 0, 1, 2  # noqa: E741
 ROWS = 1 << 16
 WORDS = [10, 12, 13, 14, 15, 16]  # places of the features that name words
@@ -67,6 +71,8 @@ def file_features(text: str) -> list[str]:
 
 
 def _kind(word: str) -> str:
+    if word.islower() and word.isalpha():
+        return "lower"
     if word.isdigit():
         return "number"
     if re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", word) and not word.isalpha():
@@ -76,6 +82,10 @@ def _kind(word: str) -> str:
     return "alnum" if word.isalnum() else "marked" if any(map(str.isalnum, word)) else "marks"
 
 
+CLASSES = str.maketrans({c: k for k, chars in (("a", string.ascii_lowercase), ("A", string.ascii_uppercase), ("0", string.digits)) for c in chars})
+REPEATS, MARKS = re.compile(r"(.)\1+"), re.compile(r"[^0A]")
+
+
 @lru_cache(1 << 14)
 def _bits(counts: tuple[int, ...]) -> int:
     n = sum(counts)
@@ -90,9 +100,15 @@ def _parts(w: str, low: str) -> tuple:
     elif plain and n > 1 and w[0].isupper() and w[1:].islower():
         kind, short, changes = "title", "Aa", min(8, 16 // n)
     else:
-        kind = _kind(w)
-        short = re.sub(r"(.)\1+", r"\1", re.sub(r"[a-z]", "a", re.sub(r"[A-Z]", "A", re.sub(r"[0-9]", "0", w))))[:6]
-        changes = min(8, sum((a.isdigit(), a.isupper()) != (b.isdigit(), b.isupper()) for a, b in zip(w, w[1:])) * 16 // n)
+        kind, same = _kind(w), w.translate(CLASSES)
+        short = REPEATS.sub(r"\1", same)[:6]
+        if w.isascii():  # marks and small letters are alike, neither digits nor capitals
+            turns = len(REPEATS.sub(r"\1", MARKS.sub("a", same))) - 1
+        elif kind == "lower":
+            turns = 0
+        else:
+            turns = sum((a.isdigit(), a.isupper()) != (b.isdigit(), b.isupper()) for a, b in zip(w, w[1:]))
+        changes = min(8, turns * 16 // n)
     vowels = low.count("a") + low.count("e") + low.count("i") + low.count("o") + low.count("u")
     return kind, min(12, n // 3), short, _bits(tuple(sorted(map(w.count, set(w))))), changes, min(6, n // 4), vowels * 8 // n
 
@@ -159,9 +175,16 @@ def features(text: str, spans: list[tuple[int, int]], whole: list[str]) -> np.nd
     return np.array(out)
 
 
+def triggers(text: str) -> list[int]:
+    """Where leads and tokens that look drawn at random start."""
+    low = text.lower()
+    leads = {m.start() for m in LEAD.finditer(text)} if any(x in low for x in STEMS) or not low.isascii() and FOLDED.search(text) else set()
+    return sorted(leads | {m.start() for m in LONG.finditer(text) if RANDOM.match(m[0])})
+
+
 def near(text: str):
     """Lists of (start, end): on each line with a trigger, the tokens up to CONTEXT before and after one."""
-    at = sorted({m.start() for m in LEAD.finditer(text)} | {m.start() for m in RANDOM.finditer(text)})
+    at = triggers(text)
     i = 0
     while i < len(at):
         begin, end = text.rfind("\n", 0, at[i]) + 1, text.find("\n", at[i])
@@ -212,6 +235,46 @@ def far(text: str, runs: list[list[tuple[int, int]]]):
         yield stretch
 
 
+BLANK = np.array([chr(i).isspace() for i in range(0x3001)] + [False])
+
+
+def pieces(text: str, runs: list[list[tuple[int, int]]]) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+    """(words, starts, ends, lengths of lists) of what far gives, all lists in one."""
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    edge = np.diff(np.concatenate([[True], BLANK[np.minimum(codes, len(BLANK) - 1)], [True]]).view(np.int8))
+    start, end, words = np.flatnonzero(edge < 0), np.flatnonzero(edge > 0), text.split()
+    marked = np.flatnonzero(~np.fromiter(map(str.isalpha, words), bool, len(words))).tolist()
+    if marked:
+        cuts = [_cut(words[i]) for i in marked]
+        many = np.ones(len(words), np.int64)
+        many[marked] = [len(c) for c in cuts]
+        at = np.cumsum(many) - many
+        if len(words) < many.sum():  # some are a key and a value
+            words = [words[i] for i in np.repeat(np.arange(len(words)), many).tolist()]
+            start, end = np.repeat(start, many), np.repeat(end, many)
+        place = [at_i + k for at_i, c in zip(at[marked].tolist(), cuts) for k in range(len(c))]
+        inner = np.array([x for c in cuts for x in c])
+        for i, (a, b) in zip(place, inner.tolist()):
+            words[i] = words[i][a:b]
+        end[place] = start[place] + inner[:, 1]
+        start[place] += inner[:, 0]
+    held = np.zeros(len(words), bool)
+    if taken := sorted(t for run in runs for t in run):
+        first, last = np.array(taken).T
+        i = np.searchsorted(np.maximum.accumulate(last), start, "right")
+        held = np.append(first, np.iinfo(np.int64).max)[i] < end
+    line = np.searchsorted(np.flatnonzero(codes == 10), start)
+    new = np.ones(len(words), bool)
+    new[1:] = (line[1:] != line[:-1]) | held[:-1]
+    if held.any():
+        keep = ~held
+        words = [words[i] for i in np.flatnonzero(keep).tolist()]
+        start, end, new = start[keep], end[keep], new[keep]
+    first = np.flatnonzero(new)
+    nth = np.arange(len(words)) - np.repeat(first, np.diff(np.append(first, len(words))))
+    return words, start, end, np.diff(np.append(np.flatnonzero(nth % PIECE == 0), len(words)))
+
+
 def chains(text: str):
     """Lists of (start, end) that hold every token of the text once: those near triggers, then the others."""
     runs = list(near(text))
@@ -222,6 +285,29 @@ def chains(text: str):
 PAIR, BEFORE_KIND, OWN, AFTER, BEFORE, BEFORE2 = (zlib.crc32(f"{x}=".encode()) for x in ("pair", "before_kind", "own", "after", "before", "before2"))  # of what a word is behind
 
 
+@lru_cache(1 << 8)
+def _behind(n: int) -> np.ndarray:
+    """(4, 256): what each byte of a checksum adds, in the low bits of that of the same text with n bytes more, whose own checksum is told apart."""
+    zeros = b"\0" * n
+    return np.array([[(zlib.crc32(zeros, v << 8 * k) ^ zlib.crc32(zeros)) & (ROWS - 1) for v in range(256)] for k in range(4)], np.uint16)
+
+
+class Checksums:
+    """CRC-32, in the low bits, of texts put together from a front of known checksum and an end of known checksum and length, for many at once."""
+
+    def __init__(self):
+        self.table = np.zeros((0, 4, 256), np.uint16)
+
+    def join(self, front: np.ndarray, end: np.ndarray, size: np.ndarray) -> np.ndarray:
+        most = int(size.max(initial=0))
+        if most >= len(self.table):
+            self.table = np.stack([_behind(n) for n in range(most + 1)])
+        out, flat, at = (end & (ROWS - 1)).astype(np.uint16), self.table.reshape(-1), size.astype(np.int64) << 10
+        for k in range(4):
+            out = out ^ flat[at + (k << 8) + ((front >> 8 * k) & 255)]
+        return out
+
+
 class Bound:
     """How much better than outside throughout the best other path of a chain is at most, for many chains at once, by sums of weights kept for each word.
 
@@ -237,6 +323,8 @@ class Bound:
         self.kinds = ["<", "number", "hex", "lower", "upper", "title", "mixed", "alnum", "marked", "marks"]
         self.shapes = np.array([[self.of(f"before_shape={a}/{b}") for b in self.kinds] for a in self.kinds])
         self.alone: dict[tuple, tuple] = {}  # what words alone add, by their parts
+        names = [k.encode() for k in self.kinds]
+        self.kind_crc, self.kind_size, self.checksums = np.array([zlib.crc32(k) for k in names]), np.array([len(k) for k in names]), Checksums()
         self.empty()
 
     def of(self, *names: str) -> np.ndarray:
@@ -244,15 +332,26 @@ class Bound:
 
     def empty(self) -> None:
         """Forgets all words but the marks before and behind a chain."""
-        self.ids, self.low, self.pair, self.before_kind, self.rows = {}, [], [], [], np.zeros((KNOWN + 2, 10))
+        self.ids, self.known, self.rows, self.crcs = {}, 0, np.zeros((KNOWN + 2, 10)), np.zeros((KNOWN + 2, 4), np.int64)
+        self.again = np.zeros(KNOWN + 2, bool)  # words met again after the text that they were learned from
         if len(self.alone) > KNOWN:
             self.alone.clear()
         self.learn(["<", ">"])
         self.ids, self.rows[:2, 8] = {}, 0  # as marks they are of no kind, as words they are learned like any other
 
+    def make_room(self) -> None:
+        """Forgets words that were met once; all, if many are left."""
+        kept = [(w, k) for w, k in self.ids.items() if self.again[k]]
+        at, rows, crcs = [k for _, k in kept], self.rows, self.crcs
+        self.empty()
+        if len(kept) < KNOWN // 2:
+            self.known += len(kept)
+            self.ids = {w: k for k, (w, _) in enumerate(kept, 2)}
+            self.rows[2 : self.known], self.crcs[2 : self.known] = rows[at], crcs[at]
+
     def learn(self, words: list[str]) -> None:
         """Takes up words that are not known yet."""
-        crc, first, more, alone = zlib.crc32, len(self.low), [], []
+        crc, first, more, alone, crcs = zlib.crc32, self.known, [], [], []
         for k, w in enumerate(words, first):
             low = w.lower()[:24]
             e, parts = low.encode(), _parts(w, low)
@@ -263,55 +362,56 @@ class Bound:
                 once = once if len(w) < 6 else np.maximum(once, self.of(f"once={kind}/False"))
                 own = self.alone[parts + (len(w) < 6,)] = (*(self.of(*_names(parts), "lead=0", f"lead_kind=0/{kind}/{parts[5]}", "is_lead=False") + once).tolist(), self.kinds.index(kind))
             self.ids[w] = k
-            self.low.append(e)
-            self.pair.append(crc(b"/", crc(e, PAIR)))
-            self.before_kind.append(crc(b"/", crc(e, BEFORE_KIND)))
+            crcs += (crc(e), len(e), crc(b"/", crc(e, PAIR)), crc(b"/", crc(e, BEFORE_KIND)))
             lead = low in self.LAST or low in LEADS if low.isalpha() else low in self.LAST or _leads(low)
             more += (crc(e, OWN), crc(e, AFTER), crc(e, BEFORE), crc(e, BEFORE2))
             alone += (*own, lead)
-        at, alone = slice(first, first + len(words)), np.array(alone, float).reshape(-1, 4)
+        self.known += len(words)
+        at, alone = slice(first, self.known), np.array(alone, float).reshape(-1, 4)
+        self.crcs[at] = np.array(crcs, np.int64).reshape(-1, 4)
         self.rows[at, :8] = self.gain[np.array(more, np.int64).reshape(-1, 4) & (ROWS - 1)].reshape(-1, 8)
         self.rows[at, :2] += alone[:, :2]
         self.rows[at, 8:] = alone[:, 2:]
 
-    def doubtful(self, text: str, pieces: list[list[tuple[int, int]]], whole: list[str]) -> list[list[tuple[int, int]]]:
-        """The chains that may hold a secret."""
-        out = []
-        for i in range(0, len(pieces), KNOWN // PIECE):
-            some = pieces[i : i + KNOWN // PIECE]
-            if len(self.low) + sum(map(len, some)) > KNOWN:
-                self.empty()
-            out += self._doubtful(text, some, whole)
+    def doubtful(self, words: list[str], size: np.ndarray, whole: np.ndarray) -> list[int]:
+        """Which of the chains, of these lengths and with these gains by features of their files, may hold a secret."""
+        out, many = [], KNOWN // PIECE
+        for i in range(0, len(size), many):
+            some, begin = size[i : i + many], int(size[:i].sum())
+            own = words[begin : begin + int(some.sum())] if len(size) > many else words
+            if self.known + len(own) > KNOWN:
+                self.make_room()
+                if self.known + len(own) > KNOWN:
+                    self.empty()
+            out += [i + k for k in self._doubtful(own, some, whole[i : i + many])]
         return out
 
-    def _doubtful(self, text: str, pieces: list[list[tuple[int, int]]], whole: list[str]) -> list[list[tuple[int, int]]]:
-        words = [text[a:b] for piece in pieces for a, b in piece]
+    def _doubtful(self, words: list[str], size: np.ndarray, whole: np.ndarray) -> list[int]:
+        before = self.known
         if new := set(words).difference(self.ids):
             self.learn(sorted(new))
-        size = np.array([len(p) for p in pieces])
-        piece = np.repeat(np.arange(len(pieces)), size)
+        piece = np.repeat(np.arange(len(size)), size)
         at = np.arange(len(words)) + 3 * piece + 2  # two marks stand before a chain, one behind it
-        every = np.zeros(len(words) + 3 * len(pieces), np.int64)
+        every = np.zeros(len(words) + 3 * len(size), np.int64)
         every[np.cumsum(size + 3) - 1] = 1
         every[at] = np.fromiter(map(self.ids.__getitem__, words), np.int64, len(words))
         rows = self.rows
         own, one, two = every[at], every[at - 1], every[at - 2]
-        kind, kinds = rows[own, 8].astype(int), [k.encode() for k in self.kinds]
-        crc, low, pair, before = zlib.crc32, self.low, self.pair, self.before_kind
-        ones = one.tolist()
-        pairs = np.array([crc(low[b], pair[a]) for a, b in zip(two.tolist(), ones)], np.int64) & (ROWS - 1)
-        befores = np.array([crc(kinds[k], before[b]) for b, k in zip(ones, kind.tolist())], np.int64) & (ROWS - 1)
-        gain = rows[own, 0:2] + rows[every[at + 1], 2:4] + rows[one, 4:6] + rows[two, 6:8] + self.gain[pairs] + self.gain[befores] + self.shapes[rows[one, 8].astype(int), kind] + self.of(*whole)
-        g = np.full((PIECE, len(pieces), 2), -np.inf)
+        self.again[own[own < before]] = True
+        kind, crcs, join = rows[own, 8].astype(int), self.crcs, self.checksums.join
+        pairs = join(crcs[two, 2], crcs[one, 0], crcs[one, 1])
+        befores = join(crcs[one, 3], self.kind_crc[kind], self.kind_size[kind])
+        gain = rows[own, 0:2] + rows[every[at + 1], 2:4] + rows[one, 4:6] + rows[two, 6:8] + self.gain[pairs] + self.gain[befores] + self.shapes[rows[one, 8].astype(int), kind] + whole[piece]
+        g = np.full((PIECE, len(size), 2), -np.inf)
         g[np.arange(len(own)) - np.repeat(np.cumsum(size) - size, size), piece] = gain
-        none, s = np.full(len(pieces), -np.inf), self.step
+        none, s = np.full(len(size), -np.inf), self.step
         b, i, o, most = g[0, :, 0], none, none, g[0, :, 0].copy()  # o: outside again
         for t in range(1, PIECE):
             b, i, o = np.maximum(np.maximum(s[O, B], o + s[O, B]), np.maximum(b + s[B, B], i + s[I, B])) + g[t, :, 0], np.maximum(b + s[B, I], i + s[I, I]) + g[t, :, 1], np.maximum(np.maximum(b + s[B, O], i + s[I, O]), o)
             most = np.where(t < size, np.maximum(np.maximum(b, i), o), most)
         may = most > -1e-6
         may[piece[rows[own, 9] > 0]] = True
-        return [pieces[k] for k in np.flatnonzero(may)]
+        return np.flatnonzero(may).tolist()
 
 
 class Field:
@@ -472,24 +572,52 @@ def fitted(lines: int = LINES, seed: int = 1) -> Field:
 
 def field_spans(text: str, field: Field) -> list[tuple[int, int]]:
     """(start, end) of tagged secrets, a begin and the insides that follow it."""
-    runs, out = list(near(text)), []
-    plain = list(far(text, runs))
-    whole = file_features(text) if runs or plain else []
-    for run in runs + (field.bound().doubtful(text, plain, whole) if plain else []):
-        tags = field.viterbi(field.emissions(features(text, run, whole)))
-        for (start, end), tag in zip(run, tags):
-            if tag == B:
-                out.append((start, end))
-            elif tag == I and out:
-                out[-1] = (out[-1][0], end)
+    return spans_of([text], field)[0]
+
+
+def spans_of(texts: list[str], field: Field) -> list[list[tuple[int, int]]]:
+    """field_spans of each text; chains of all are bounded at once."""
+    runs, whole = [list(near(text)) for text in texts], [file_features(text) for text in texts]
+    # A chain ends with its line, so texts are lines of one.
+    begin = np.cumsum([0] + [len(text) + 1 for text in texts])
+    words, starts, ends, size = pieces("\n".join(texts), [[(a + at, b + at) for a, b in run] for own, at in zip(runs, begin.tolist()) for run in own])
+    first = np.cumsum(size) - size
+    home = np.searchsorted(begin, starts[first], "right") - 1
+    if words:
+        bound = field.bound()
+        for k in bound.doubtful(words, size, np.array([bound.of(*w) for w in whole])[home]):
+            own, at = slice(first[k], first[k] + size[k]), begin[home[k]]
+            runs[home[k]].append(list(zip((starts[own] - at).tolist(), (ends[own] - at).tolist())))
+    out = []
+    for text, own, features_of in zip(texts, runs, whole):
+        found = []
+        for run in own:
+            tags = field.viterbi(field.emissions(features(text, run, features_of)))
+            for (start, end), tag in zip(run, tags):
+                if tag == B:
+                    found.append((start, end))
+                elif tag == I and found:
+                    found[-1] = (found[-1][0], end)
+        out.append(found)
     return out
 
 
 def scan(text: str, field: Field):
     """(base spans, all spans), each (start, kind, end): the field's spans that no base span covers are added."""
-    base = base_spans(text)
-    added = [(a, 3, b) for a, b in field_spans(text, field) if not any(s <= a and b <= e for s, _, e in base)]
-    return base, sorted(base + added)
+    return next(scans([text], field))
+
+
+def scans(texts: list[str], field: Field):
+    """scan of each text, CHARACTERS of text at a time."""
+    i = 0
+    while i < len(texts):
+        k, n = i + 1, len(texts[i])
+        while k < len(texts) and n + len(texts[k]) <= CHARACTERS:
+            n, k = n + len(texts[k]), k + 1
+        for text, found in zip(texts[i:k], spans_of(texts[i:k], field)):
+            base = base_spans(text)
+            yield base, sorted(base + [(a, 3, b) for a, b in found if not any(s <= a and b <= e for s, _, e in base)])
+        i = k
 
 
 def spell(spans) -> str:
@@ -507,8 +635,7 @@ def scan_secrets(docs: DataFrame, field: Field | None = None) -> DataFrame:
     def run(batches):
         for b in batches:
             out = []
-            for text in b.column(1):
-                base, spans = scan(text.as_py() or "", shared.value)
+            for base, spans in scans([text or "" for text in b.column(1).to_pylist()], shared.value):
                 n = [sum(k == i for _, k, _ in spans) for i in range(4)]
                 out.append((*n[:3], hashlib.sha256(spell(base).encode()).hexdigest(), spell(spans), n[3]))
             cols = list(zip(*out)) if out else [[]] * 6

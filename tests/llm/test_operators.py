@@ -791,3 +791,29 @@ def test_every_token_is_in_a_chain():
             seen += len(want)
         other.bound().empty()
     assert seen > 100
+
+
+def test_chains_of_many_texts_are_cut_at_once(monkeypatch):
+    """What arrays give is what each text gives on its own: triggers, pieces, checksums of joined texts, parts of words, spans; words are forgotten in between."""
+    rng = random.Random(12)
+    field = secrets_crf.fitted()
+    some = ["", " ", "\n", "x", "a=b", "key: v\u2003w", "PA\u017f\u017fWORD is Zx81q", "To\u212aEN\tab12cd34ef56", "p\u0130n pwd", "\U0001f600 q", *(t for t, _ in secrets_crf.generated(150, seed=21)), *secrets_crf.ordinary(60, seed=4)]
+    texts = [rng.choice(["", " ", "\n", "\r\n \x1c"]).join(rng.choices(some, k=rng.randint(1, 4))) for _ in range(200)] + some
+    for t in texts:
+        assert secrets_crf.triggers(t) == sorted({m.start() for m in secrets_crf.LEAD.finditer(t)} | {m.start() for m in secrets_crf.RANDOM.finditer(t)})
+        runs = list(secrets_crf.near(t))
+        words, starts, ends, size = secrets_crf.pieces(t, runs)
+        far = list(secrets_crf.far(t, runs))
+        assert list(zip(starts.tolist(), ends.tolist())) == [x for p in far for x in p] and size.tolist() == [len(p) for p in far] and words == [t[a:b] for p in far for a, b in p]
+        for w in words:
+            turns = sum((a.isdigit(), a.isupper()) != (b.isdigit(), b.isupper()) for a, b in zip(w, w[1:]))
+            short = re.sub(r"(.)\1+", r"\1", re.sub(r"[a-z]", "a", re.sub(r"[A-Z]", "A", re.sub(r"[0-9]", "0", w))))[:6]
+            assert secrets_crf._parts(w, w.lower()[:24])[2::2][:1] == (short,) and secrets_crf._parts(w, w.lower()[:24])[4] == min(8, turns * 16 // len(w)), w
+    fronts, backs = [rng.randbytes(9) for _ in range(50)], [rng.randbytes(rng.randrange(97)) for _ in range(50)]
+    got = secrets_crf.Checksums().join(np.array([zlib.crc32(x) for x in fronts]), np.array([zlib.crc32(x) for x in backs]), np.array([len(x) for x in backs]))
+    assert got.tolist() == [zlib.crc32(a + b) & 65535 for a, b in zip(fronts, backs)]
+    alone = [secrets_crf.field_spans(t, field) for t in texts]
+    monkeypatch.setattr(secrets_crf, "KNOWN", 2000)
+    field.known = None
+    assert [x for k in range(0, len(texts), 9) for x in secrets_crf.spans_of(texts[k : k + 9], field)] == alone and any(alone)
+    field.known = None
