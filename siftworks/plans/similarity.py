@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import dedup, simjoin
+from ..functions import grams
+from ..operators import simjoin
 from ..sources.scratch import cut
 from .catalogue import register, table
 from .dedup import GRAMS, SPLIT3, TOKENS
@@ -18,18 +19,16 @@ p as (select a, b, shared, DOUBLE(shared) / (sizes - shared) as score from o whe
 
 
 def gram_classes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """((doc_id, split, class), (class, members)) of documents of three words or more: those with the same 3-grams are one class, whose grams are kept once."""
+    """((doc_id, split, class, size), (class, members)) of documents of three words or more: those with the same 3-grams are one class. The classes' grams are made anew from a text each time they are read."""
     d = table(spark, sf_dir, "documents")
-    split = F.element_at(F.array(*map(F.lit, ("train", "val", "test"))), (F.pmod("doc_id", F.lit(3)) + 1).cast("int"))
-    d = d.select("doc_id", split.alias("split"), F.array_distinct(F.transform(dedup.ngrams(F.col("text")), lambda g: F.xxhash64(g))).alias("members"))
-    d = d.where(F.size("members") > 0)
-    keyed = cut(d.select("doc_id", "split", F.sha2(F.array_join(F.sort_array("members"), ","), 256).alias("key")))
-    least = simjoin.classes(keyed, "doc_id", F.col("key"))
-    of = cut(least.withColumnRenamed("id", "doc_id").join(keyed.select("doc_id", "split"), "doc_id"))
-    # The sets are most of what is kept: once, and without a shuffle where the ids are few.
-    own = of.where("doc_id = class").select("doc_id").distinct()
+    split = F.element_at(F.array(*map(F.lit, ("train", "val", "test"))), (F.pmod("id", F.lit(3)) + 1).cast("int"))
+    d = d.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("bigint").alias("id"), F.lower("text").alias("text"))
+    keyed = cut(d.mapInArrow(grams.keys, "id bigint, size int, key binary"))
+    least = simjoin.classes(keyed, "id", F.col("key"))
+    of = cut(least.withColumnRenamed("id", "doc_id").join(keyed.select(F.col("id").alias("doc_id"), split.alias("split"), "size"), "doc_id").select("doc_id", "split", "class", "size"))
+    own = of.where("doc_id = class").select(F.col("doc_id").alias("id")).distinct()
     own = F.broadcast(own) if own.count() <= simjoin.FEW_IDS else own
-    return of, cut(d.select(F.col("doc_id").alias("class"), "members").join(own.withColumnRenamed("doc_id", "class"), "class", "left_semi"))
+    return of, d.join(own, "id", "left_semi").mapInArrow(grams.lists, "id bigint, members array<bigint>").withColumnRenamed("id", "class")
 
 
 @register(
@@ -42,7 +41,7 @@ def gram_classes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame
 def similarity_join(spark, sf_dir):
     """Pairs across splits over 0.7, between the documents of a class in a split; a class in several splits is paired with itself."""
     of, sets = gram_classes(spark, sf_dir)
-    pairs = simjoin.jaccard_join(sets, "class", "members").unionByName(sets.select(F.col("class").alias("a"), F.col("class").alias("b"), F.size("members").cast("bigint").alias("shared"), F.lit(1.0).alias("score")))
+    pairs = simjoin.jaccard_join(sets, "class", "members").unionByName(of.where("doc_id = class").select(F.col("class").alias("a"), F.col("class").alias("b"), F.col("size").cast("bigint").alias("shared"), F.lit(1.0).alias("score")))
     by_split = cut(of.groupBy("class", "split").agg(F.min("doc_id").alias("doc"), F.count("*").alias("members")))
     side = lambda end, tag: by_split.select(F.col("class").alias(end), *(F.col(c).alias(f"{c}_{tag}") for c in ("doc", "split", "members")))
     x = pairs.join(side("a", "a"), "a").join(side("b", "b"), "b").where((F.col("split_a") != F.col("split_b")) & ((F.col("a") != F.col("b")) | (F.col("split_a") < F.col("split_b"))))
@@ -59,7 +58,7 @@ def similarity_links(spark, sf_dir):
     of, sets = gram_classes(spark, sf_dir)
     pairs = simjoin.jaccard_join(sets, "class", "members")
     sizes = cut(of.groupBy("class").agg(F.count("*").alias("members")))
-    both = pairs.select(F.col("a").alias("class"), F.col("b").alias("other")).unionByName(pairs.select(F.col("b").alias("class"), F.col("a").alias("other")))
+    both = pairs.select(F.explode(F.array(F.struct(F.col("a").alias("class"), F.col("b").alias("other")), F.struct(F.col("b").alias("class"), F.col("a").alias("other")))).alias("e")).select("e.*")
     near = both.join(sizes.withColumnRenamed("class", "other"), "other").groupBy("class").agg(F.sum("members").alias("near"))
     facts = cut(sizes.join(near, "class", "left").select("class", (F.col("members") - 1 + F.coalesce("near", F.lit(0))).alias("links")))
     return of.join(facts, "class").select("doc_id", F.col("class").alias("class_id"), "links")

@@ -103,6 +103,28 @@ def test_heads_that_no_other_set_has_go_no_farther(spark, monkeypatch):
     assert [tuple(r)[:3] for r in got] == [(0, 90, 99)] and max(kept) <= 62
 
 
+def test_sets_that_share_too_few_heads_go_no_farther(spark, monkeypatch):
+    """A set that shares heads, but not as many as a pair needs, is dropped by their number; what is kept of the others has a row for a set, not for a head."""
+    kept = []
+    monkeypatch.setattr(simjoin, "cut", lambda df: kept.append(df.cache().count()) or df)
+    rows = [(i, [10 * i + k for k in range(4)] + [10 * i + 10 + k for k in range(4)] + [simjoin.CELLS * (1000 * i + k) for k in range(1, 93)]) for i in range(60)]
+    rows += [(100, list(range(5001, 5101))), (101, list(range(5001, 5100))), (102, list(range(5002, 5101)))]
+    got = simjoin.jaccard_join(spark.createDataFrame(rows, "id bigint, members array<bigint>"), "id", "members").collect()
+    assert sorted(tuple(r)[:3] for r in got) == [(100, 101, 99), (100, 102, 99), (101, 102, 98)] and max(kept) <= 3
+
+
+def test_cells_of_many_sets_are_dealt_to_blocks(spark, monkeypatch):
+    """Near copies, chance members in common, blocks of few members: all pairs, each once."""
+    monkeypatch.setattr(simjoin, "MEMBERS", 300)
+    monkeypatch.setattr(simjoin, "MET", 50)
+    rng = random.Random(5)
+    sets = [sorted({*rng.sample(range(40 * (i % 3), 40 * (i % 3) + 40), 36), *rng.sample(range(1000), 3)}) for i in range(90)]
+    df = spark.createDataFrame(list(enumerate(sets)), "id bigint, members array<bigint>").repartition(5)
+    got = [tuple(r)[:3] for r in simjoin.jaccard_join(df, "id", "members", 70, 20).collect()]
+    want = [(a, b, len({*x} & {*y})) for a, x in enumerate(sets) for b, y in enumerate(sets) if a < b and 100 * len({*x} & {*y}) > 70 * len({*x} | {*y})]
+    assert sorted(got) == want and len(want) > 500
+
+
 def test_blocked_audit_compares_hashes_of_grams(spark, tmp_path, monkeypatch):
     """Sets of numbers are joined, not of texts, and what texts of other buckets share is not met; the pairs are those of all pairs of a bucket."""
     draw, joined, own = random.Random(3), [], simjoin.jaccard_join

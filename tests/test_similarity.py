@@ -1,10 +1,13 @@
 """The exact similarity join against all pairs, at several thresholds and block sizes."""
 
 import random
+import re
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from siftworks.functions import grams
 from siftworks.operators import dedup, simjoin
 
 
@@ -62,3 +65,21 @@ def test_grams_of_long_texts_are_found_once(spark):
     df = spark.createDataFrame([(" ".join(words),), ("a B",), (None,), ("A b-c",)], "text string")
     got = [r.g for r in df.select(dedup.ngrams(F.col("text")).alias("g")).collect()]
     assert len(got[0]) == 5000 and got[1] == [] and not got[2] and got[3] == ["a b c"]
+
+
+def test_hashes_of_grams_are_those_of_the_texts():
+    """Distinct 3-grams of [a-z0-9]+, whatever parts the words; texts of a slice do not run into each other; another seed gives other hashes."""
+    texts = ["", "a b", "a b c", "  a-b\u00e9c\n", "a b c a b c", "\u65e5a\u672cb c d", "ab c", None, "x1 2 3 \x00 4", "c", "a b c"]
+    at = pa.array(["skipped", *[t or "" for t in texts]], pa.string()).slice(1)
+    row, h = grams.hashes(at)
+    want = [{tuple(w[k : k + 3]) for k in range(len(w) - 2)} for w in (re.findall("[a-z0-9]+", t or "") for t in texts)]
+    names = {}
+    for k, g in enumerate(want):
+        own = h[row == k].tolist()
+        assert len(own) == len(g) == len(set(own))
+        names.setdefault(frozenset(g), set()).add(tuple(own))
+    assert all(len(x) == 1 for x in names.values()) and len({v for x in names.values() for own in x for v in own}) == len(set().union(*want))
+    broken = pa.StringArray.from_buffers(1, pa.py_buffer(b"\0\0\0\0\7\0\0\0"), pa.py_buffer(b"a\xffb\xc3 c"[:7].ljust(7)))
+    assert grams.hashes(broken)[1].tolist() == h[row == 2].tolist()
+    seeded = grams.hashes(pa.array(["a b c", "a b c"]), pa.array(["s", "t"]))[1].tolist()
+    assert len({*seeded, h[row == 2][0]}) == 3
