@@ -160,7 +160,8 @@ def boundary_variants(spark, sf_dir):
     return x.mapInPandas(run, "doc_id bigint, variant int, n_cases int, cases string")
 
 
-SAMPLES = 50  # that one process of pytest runs
+SAMPLES = 50  # that a task has at least, about
+TOGETHER = 400  # that one process of pytest runs: it takes as long to begin as some 60 samples
 
 
 def _tests(names: list[str], codes: list[str]) -> list[tuple[int, str | None]]:
@@ -182,8 +183,8 @@ def boundary_outputs(spark, sf_dir):
     def run(batches):
         none = {"passed": False, "collected": 0}
         for pdf in batches:
-            for at in range(0, len(pdf), SAMPLES):
-                part = pdf.iloc[at : at + SAMPLES]
+            for at in range(0, len(pdf), TOGETHER):
+                part = pdf.iloc[at : at + TOGETHER]
                 codes = part.code.tolist()
                 made = _tests(part.name.tolist(), codes)
                 tried = [k for k, (_, tests) in enumerate(made) if tests is not None]
